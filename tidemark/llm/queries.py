@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, mixing, order_minhash, secrets, simhash, substrings, toxicity
+from tidemark.llm import bpe, mixing, order_minhash, packing, secrets, simhash, substrings, toxicity
 from tidemark.llm.common import table
 
 
@@ -36,6 +37,13 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    packed = packing.pack(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    digests = {f"{c}_sha256": F.sha2(c, 256) for c in ("ids", "positions")}
+    return packed.withColumns(digests).drop("ids", "positions")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_bpe": op5_bpe,
     "op7_order_minhash": op7_order_minhash,
+    "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
 }
 
