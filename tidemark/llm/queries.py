@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, html_main, mixing, order_minhash, packing, secrets, simhash, substrings, toxicity
+from tidemark.llm import bpe, html_main, mixing, order_minhash, packing, secrets, simhash, substrings, toxicity, vectors
 from tidemark.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_mixing": op4_mixing,
     "op5_bpe": op5_bpe,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_order_minhash": op7_order_minhash,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
