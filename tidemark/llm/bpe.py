@@ -14,6 +14,7 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ from tidemark.llm.common import ids_and_texts, shuffle_partitions
 #: A block's documents are held together in one task: about so many bytes of text.
 BLOCK_BYTES = 32 << 20
 DOCS, WORDS = 0, 1
+DOCS_TOGETHER = 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -48,121 +50,175 @@ def codec(pattern: str, ranks: dict[bytes, int]) -> tiktoken.Encoding:
     return _codecs[key]
 
 
-def pack_strings(items: list[bytes]) -> bytes:
-    """Length-prefixed, compressed."""
-    lengths = np.fromiter(map(len, items), np.uint32, len(items)).tobytes()
-    return zstandard.compress(struct.pack("<I", len(items)) + lengths + b"".join(items), 3)
+def as_planes(x: np.ndarray) -> bytes:
+    """32-bit numbers as four runs of bytes, lowest first: high bytes are mostly zero and compress away."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def unpack_strings(data: bytes) -> list[bytes]:
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def pack(*parts: bytes) -> bytes:
+    """Byte strings behind their lengths, compressed."""
+    return zstandard.compress(struct.pack(f"<I{len(parts)}Q", len(parts), *map(len, parts)) + b"".join(parts), 6)
+
+
+def unpack(data: bytes) -> list[bytes]:
     raw = zstandard.decompress(data)
     n = struct.unpack_from("<I", raw)[0]
-    ends = np.cumsum(np.frombuffer(raw, np.uint32, n, 4), dtype=np.int64) + 4 + 4 * n
-    starts = [4 + 4 * n, *ends[:-1].tolist()]
-    return [raw[a:b] for a, b in zip(starts, ends.tolist())]
+    at, out = 4 + 8 * n, []
+    for size in struct.unpack_from(f"<{n}Q", raw, 4):
+        out.append(raw[at : at + size])
+        at += size
+    return out
 
 
-ROW = "kind byte, key long, block string, slot int, doc_id long, data binary"
-_arrow_row = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("block", pa.string()), ("slot", pa.int32()), ("doc_id", pa.int64()), ("data", pa.binary())])
+def pieces(joined: bytes, lengths: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(lengths, dtype=np.int64).tolist()
+    return [joined[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _arrow_row)], schema=_arrow_row)
+def to_varint(x: np.ndarray) -> bytes:
+    """Seven bits a byte, lowest first; all but a number's last byte have the top bit."""
+    x = x.astype(np.uint32)
+    size = 1 + sum((x >= (1 << (7 * k))).astype(np.int64) for k in range(1, 5))
+    first = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    for k in range(5):
+        has = size > k
+        out[first[has] + k] = ((x[has] >> np.uint32(7 * k)) & np.uint32(127)) | np.where(size[has] > k + 1, 128, 0)
+    return out.tobytes()
 
 
-def _blocks(pattern: str, buckets: int, block_bytes: int):
-    """Documents to block rows: a DOCS row per document, a WORDS row per block and bucket of words."""
+def from_varint(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    last = np.flatnonzero(raw < 128)
+    first = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
+    out = np.zeros(len(last), np.uint32)
+    for k in range(5):
+        has = last - first >= k
+        out[has] |= (raw[first[has] + k].astype(np.uint32) & np.uint32(127)) << np.uint32(7 * k)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = regex.compile(pattern)
-        part = TaskContext.get().partitionId()
-        number, size, words, rows = 0, 0, {}, []
-
-        def flush() -> pa.RecordBatch:
-            block = f"{part}-{number}"
-            lists: list[list[bytes]] = [[] for _ in range(buckets)]
-            slots = np.empty(len(words), np.uint64)
-            for i, w in enumerate(words):
-                raw = w.encode()
-                b = xxhash.xxh64_intdigest(raw) % buckets
-                slots[i] = (b << 32) | len(lists[b])
-                lists[b].append(raw)
-            # Numbers are given anew, bucket by bucket, so that a block's answers line up.
-            base = np.cumsum([0, *map(len, lists)])[:-1]
-            new = (base[(slots >> np.uint64(32)).astype(np.int64)] + (slots & np.uint64(0xFFFFFFFF)).astype(np.int64)).astype(np.uint32)
-            out = [
-                (DOCS, hash_of_block(block), block, -1, doc_id, zstandard.compress(np.ascontiguousarray(new[seq].view(np.uint8).reshape(-1, 4).T).tobytes(), 3))
-                for doc_id, seq in rows
-            ]
-            out += [(WORDS, b, block, b, None, pack_strings(items)) for b, items in enumerate(lists) if items]
-            return _batch(out)
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = split.findall(text)
-                seq = np.fromiter((words.setdefault(w, len(words)) for w in found), np.uint32, len(found))
-                rows.append((doc_id, seq))
-                size += len(text)
-                if size >= block_bytes:
-                    yield flush()
-                    number, size, words, rows = number + 1, 0, {}, []
-        if rows:
-            yield flush()
+ROW = "kind byte, key long, block string, slot int, data binary"
+_arrow_row = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("block", pa.string()), ("slot", pa.int32()), ("data", pa.binary())])
 
-    return run
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _arrow_row)], schema=_arrow_row)
 
 
 def hash_of_block(block: str) -> int:
     return xxhash.xxh32_intdigest(block.encode())
 
 
-def _encode_lists(pattern: str, ranks, buckets: int):
-    """WORDS rows become lists of packed ids; each distinct word of a bucket is encoded once."""
+#: A word's class is the bit length of its count in the block; classes come most frequent first.
+CLASSES = 33
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = codec(pattern, ranks.value)._encode_single_piece
-        known: dict[bytes, bytes] = {}
-        for batch in batches:
-            out = []
-            for kind, key, block, slot, doc_id, data in zip(*(c.to_pylist() for c in batch.columns)):
-                if kind == WORDS:
-                    ids = []
-                    for w in unpack_strings(data):
-                        got = known.get(w)
-                        if got is None:
-                            got = known[w] = np.array(encode(w), np.uint32).tobytes()
-                        ids.append(got)
-                    key, data = hash_of_block(block), pack_strings(ids)
-                out.append((kind, key, block, slot, doc_id, data))
-            if out:
-                yield _batch(out)
-
-    return run
-
-
-def _assemble(ranks, emit):
-    """Rows of a block, lists first, to what ``emit`` makes of each document."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = {i: t for t, i in ranks.value.items()}
-        block, lists, words = None, [], None
-        for batch in batches:
-            out = []
-            for kind, _, name, _, doc_id, data in zip(*(c.to_pylist() for c in batch.columns)):
-                if name != block:
-                    block, lists, words = name, [], None
-                if kind == WORDS:
-                    lists += unpack_strings(data)
-                    continue
-                if words is None:
-                    words, lists = emit.prepare(lists, table), []
-                planes = np.frombuffer(zstandard.decompress(data), np.uint8)
-                seq = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
-                out.append((doc_id, *emit.document(words, seq)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), emit.types)], names=list(emit.names))
-
-    return run
+def block_rows(block: str, words: dict[str, int], docs: list[tuple[int | None, np.ndarray]], buckets: int) -> Iterator[tuple]:
+    """DOCS rows of up to ``DOCS_TOGETHER`` documents, and a WORDS row per bucket of words.
+
+    Words are numbered by class, bucket and spelling: frequent words get short numbers, and the
+    numbers follow from the lists and their class sizes alone.
+    """
+    raw = [w.encode() for w in words]
+    counts = np.bincount(np.concatenate([seq for _, seq in docs]), minlength=len(raw)) if raw else np.empty(0, np.int64)
+    cls = CLASSES - 1 - np.minimum(np.frexp(counts.astype(np.float64))[1], CLASSES - 1)
+    bucket = [xxhash.xxh64_intdigest(w) % buckets for w in raw]
+    order = sorted(range(len(raw)), key=lambda i: (bucket[i], cls[i], raw[i]))
+    lists: list[list[int]] = [[] for _ in range(buckets)]
+    for i in order:
+        lists[bucket[i]].append(i)
+    number = np.empty(len(raw), np.uint32)
+    number[sorted(range(len(raw)), key=lambda i: (cls[i], bucket[i], raw[i]))] = np.arange(len(raw), dtype=np.uint32)
+    for at in range(0, len(docs), DOCS_TOGETHER):
+        some = docs[at : at + DOCS_TOGETHER]
+        ids = np.array([d or 0 for d, _ in some], "<i8").tobytes()
+        known = np.array([d is not None for d, _ in some], np.uint8).tobytes()
+        sizes = np.array([len(q) for _, q in some], "<u4").tobytes()
+        yield DOCS, hash_of_block(block), block, -1, pack(ids, known, sizes, to_varint(number[np.concatenate([q for _, q in some])]))
+    for b, items in enumerate(lists):
+        if items:
+            sizes = np.bincount(cls[items], minlength=CLASSES).astype("<u4").tobytes()
+            lengths = to_varint(np.array([len(raw[i]) for i in items]))
+            yield WORDS, b, block, b, pack(sizes, lengths, b"".join([raw[i] for i in items]))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Documents to block rows. A block's name comes from its place in the scan, which a rerun repeats."""
+    split = regex.compile(pattern)
+    part = TaskContext.get().partitionId()
+    number, size, words, docs = 0, 0, {}, []
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found = split.findall(text)
+            docs.append((doc_id, np.fromiter((words.setdefault(w, len(words)) for w in found), np.uint32, len(found))))
+            size += len(text)
+            if size >= block_bytes:
+                yield _batch(list(block_rows(f"{part}-{number}", words, docs, buckets)))
+                number, size, words, docs = number + 1, 0, {}, []
+    if docs:
+        yield _batch(list(block_rows(f"{part}-{number}", words, docs, buckets)))
+
+
+def _encode_lists(batches: Iterator[pa.RecordBatch], pattern: str, ranks) -> Iterator[pa.RecordBatch]:
+    """WORDS rows become lists of ids; each distinct word of a bucket is encoded once."""
+    encode = codec(pattern, ranks.value)._encode_single_piece
+    known: dict[bytes, list[int]] = {}
+    for batch in batches:
+        out = []
+        for kind, key, block, slot, data in zip(*(c.to_pylist() for c in batch.columns)):
+            if kind == WORDS:
+                sizes, lengths, joined = unpack(data)
+                ids: list[list[int]] = []
+                for w in pieces(joined, from_varint(lengths)):
+                    got = known.get(w)
+                    if got is None:
+                        got = known[w] = encode(w)
+                    ids.append(got)
+                flat = np.fromiter((i for x in ids for i in x), np.uint32)
+                key, data = hash_of_block(block), pack(sizes, to_varint(np.array(list(map(len, ids)))), as_planes(flat))
+            out.append((kind, key, block, slot, data))
+        if out:
+            yield _batch(out)
+
+
+def ordered_words(lists: list[bytes]) -> list[np.ndarray]:
+    """Ids of the block's words by number, from the answers of its buckets in order."""
+    by_class: list[list[np.ndarray]] = [[] for _ in range(CLASSES)]
+    for data in lists:
+        sizes, lengths, ids = unpack(data)
+        each = np.split(from_planes(ids), np.cumsum(from_varint(lengths))[:-1])
+        at = 0
+        for c, n in enumerate(np.frombuffer(sizes, "<u4").tolist()):
+            by_class[c] += each[at : at + n]
+            at += n
+    return [x for c in by_class for x in c]
+
+
+def _assemble(batches: Iterator[pa.RecordBatch], ranks, emit) -> Iterator[pa.RecordBatch]:
+    """Rows of a block, lists first, to what ``emit`` makes of each document."""
+    table = {i: t for t, i in ranks.value.items()}
+    block, lists, words = None, [], None
+    for batch in batches:
+        for kind, _, name, _, data in zip(*(c.to_pylist() for c in batch.columns)):
+            if name != block:
+                block, lists, words = name, [], None
+            if kind == WORDS:
+                lists.append(data)
+                continue
+            if words is None:
+                words, lists = emit.prepare(ordered_words(lists), table), []
+            ids, known, sizes, numbers = unpack(data)
+            cuts = np.cumsum(np.frombuffer(sizes, "<u4"), dtype=np.int64)[:-1]
+            out = [
+                (doc_id if there else None, *emit.document(words, seq))
+                for doc_id, there, seq in zip(np.frombuffer(ids, "<i8").tolist(), known, np.split(from_varint(numbers), cuts))
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), emit.types)], names=list(emit.names))
 
 
 class Digests:
@@ -173,8 +229,8 @@ class Digests:
     types = (pa.int64(), pa.int64(), pa.string(), pa.string())
 
     @staticmethod
-    def prepare(lists: list[bytes], table: dict[int, bytes]):
-        ids = [np.frombuffer(x, np.uint32).tolist() for x in lists]
+    def prepare(words: list[np.ndarray], table: dict[int, bytes]):
+        ids = [x.tolist() for x in words]
         as_text = [",".join(map(str, x)).encode() for x in ids]
         raw = [b"".join(map(table.__getitem__, x)) for x in ids]
         return as_text, raw, np.fromiter(map(len, ids), np.int64, len(ids))
@@ -195,12 +251,13 @@ class Ids:
     types = (pa.int64(), pa.list_(pa.int32()))
 
     @staticmethod
-    def prepare(lists: list[bytes], table: dict[int, bytes]):
-        return lists
+    def prepare(words: list[np.ndarray], table: dict[int, bytes]):
+        return words
 
     @staticmethod
     def document(words, seq: np.ndarray) -> tuple[np.ndarray]:
-        return (np.frombuffer(b"".join(map(words.__getitem__, seq.tolist())), np.int32),)
+        got = [words[i] for i in seq.tolist()]
+        return (np.concatenate(got).astype(np.int32) if got else np.empty(0, np.int32),)
 
 
 def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, emit, block_bytes: int) -> DataFrame:
@@ -209,10 +266,10 @@ def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, emit, block
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     shared = spark.sparkContext.broadcast(ranks)
-    blocks = ids_and_texts(docs).mapInArrow(_blocks(pattern, n, block_bytes), ROW)
-    answered = blocks.repartition(n, "key").mapInArrow(_encode_lists(pattern, shared, n), ROW)
+    blocks = ids_and_texts(docs).mapInArrow(partial(_blocks, pattern=pattern, buckets=n, block_bytes=block_bytes), ROW)
+    answered = blocks.repartition(n, "key").mapInArrow(partial(_encode_lists, pattern=pattern, ranks=shared), ROW)
     ordered = answered.repartition(n, "key", "block").sortWithinPartitions("block", F.desc("kind"), "slot")
-    return ordered.mapInArrow(_assemble(shared, emit), emit.schema)
+    return ordered.mapInArrow(partial(_assemble, ranks=shared, emit=emit), emit.schema)
 
 
 def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
