@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from tidemark.plans import search
+
+PARTS = (search,)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for part in PARTS for k, f in part.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: s for part in PARTS for k, s in part.ORACLE_SQL.items()}
