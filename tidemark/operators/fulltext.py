@@ -124,8 +124,7 @@ def question_words(questions: DataFrame) -> DataFrame:
 
 def trigrams(text: Column) -> Column:
     """Distinct runs of three characters of the lower-case text."""
-    low = F.lower(text)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3))))
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(...))"), F.lit(1)))
 
 
 def trigram_postings(chunks: DataFrame) -> DataFrame:
