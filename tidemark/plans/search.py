@@ -251,12 +251,11 @@ QUERIES = {
 TRIGRAM = """
 words as (select distinct query_id, unnest(list_filter(list_distinct(regexp_split_to_array(lower(question), '\\s+')), lambda w: length(w) >= 3)) as word from asked_short),
 need as (select query_id, count(*) as words from words group by all),
+runs as (select chunk_id, n, substr(low, i, 40) as run
+  from (select chunk_id, lower(text) as low, length(text) as n, unnest(range(1, length(text) + 1)) as i from chunks)),
 counted as (
-  select w.word, chunk_id, length(text) - 2 as len,
-         case when len(list_filter(range(1, length(w.word)), lambda k: left(w.word, k) = right(w.word, k))) > 0
-              then len(list_filter(range(1, length(text) + 1), lambda i: substr(lower(text), i, length(w.word)) = w.word))
-              else (length(lower(text)) - length(replace(lower(text), w.word, ''))) // length(w.word) end as f
-  from (select distinct word from words) w join chunks on contains(lower(text), w.word)),
+  select word, chunk_id, count(*) as f, any_value(n) - 2 as len
+  from (select distinct word from words) w join runs on left(run, 3) = left(w.word, 3) and starts_with(run, w.word) group by all),
 dfw as (select word, count(*) as n from counted group by all),
 tstats as (select count(*) as n_chunks, avg(greatest(length(text) - 2, 0)) as avglen from chunks where text <> ''),
 parts as (
