@@ -127,11 +127,11 @@ def trigram_search(spark, sf):
 
 
 def fts_fallback(spark, sf):
-    """Every second word cut short by a letter is no term any more; substrings still find it."""
+    """The third word without its first letter is seldom a term; substrings still find it."""
     chunks, index = _index(spark, sf)
     word = F.get(F.split("question", " "), F.lit(2))
-    cut = tables.questions(spark, sf).select("query_id", F.regexp_replace(F.expr("substring(split(question, ' ')[2], 2, 100)"), r"[^\p{L}\p{N}]", "").alias("question"))
-    return fulltext.search(chunks, index, cut.where(word.isNotNull())).select("query_id", "chunk_id", "score", "rank", "path")
+    cut = F.regexp_replace(F.substring(word, 2, 100), r"[^\p{L}\p{N}]", "")
+    return fulltext.search(chunks, index, tables.questions(spark, sf).select("query_id", F.coalesce(cut, F.lit("")).alias("question"))).select("query_id", "chunk_id", "score", "rank", "path")
 
 
 def vector_topk(spark, sf):
@@ -285,6 +285,12 @@ select * from (select query_id, chunk_id, score, row_number() over (partition by
     "trigram_search": f"""with {tables.CHUNKS},
 asked_short as (select item_id as query_id, array_to_string(regexp_split_to_array(regexp_replace(text, '[^\\p{{L}}\\p{{N}}\\s]', '', 'g'), '\\s+')[1:3], ' ') as question from benchmark),
 {TRIGRAM} select query_id, chunk_id, score, rank from substrings""",
+    "fts_fallback": f"""with {tables.CHUNKS},
+cut as (select item_id, regexp_replace(substr(string_split(text, ' ')[3], 2, 100), '[^\\p{{L}}\\p{{N}}]', '', 'g') as text from benchmark),
+{KEYWORD.replace("from benchmark", "from cut")},
+asked_short as (select item_id as query_id, text as question from cut where item_id not in (select query_id from keyword)),
+{TRIGRAM}
+select query_id, chunk_id, score, rank, 'terms' as path from keyword union all select query_id, chunk_id, score, rank, 'substrings' from substrings""",
     "vector_topk": f"with {VECTOR.format(where='')} select query_id, chunk_id, score, rank from vec",
     "vector_topk_prefilter": f"with {VECTOR.format(where='where e.label in (0, 1, 2)')} select query_id, chunk_id, score, rank from vec",
     "vector_search_blocks": f"""select * from (select q.vec_id as query_id, e.vec_id as chunk_id, {COSINE} as score,
