@@ -150,10 +150,10 @@ def history_recent(spark, sf):
 
 
 def history_index_search(spark, sf):
-    """Substring search for three fixed words among all questions."""
+    """Substring search for fixed words among all questions; the last is no valid expression."""
     rows = _history(spark, sf).select((F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), F.col("question").alias("text"))
-    asked = spark.createDataFrame([(1, "summarize"), (2, "explain the"), (3, "a-b")], "query_id long, question string")
-    return fulltext.trigram_topk(rows, asked).select("query_id", "chunk_id", "rank")
+    asked = spark.createDataFrame([(1, "einach"), (2, "que la OR ithth"), (3, "a-b")], "query_id long, question string")
+    return fulltext.trigram_topk(rows, asked).select("query_id", "chunk_id", "score", "rank")
 
 
 QUERIES = {

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import catalogs, search, texts
+from tidemark.plans import catalogs, search, streams, texts
 
-PARTS = (search, catalogs, texts)
+PARTS = (search, catalogs, texts, streams)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for part in PARTS for k, f in part.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: s for part in PARTS for k, s in part.ORACLE_SQL.items()}
