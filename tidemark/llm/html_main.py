@@ -213,7 +213,8 @@ def train(pages: DataFrame, sample: int = SAMPLE) -> Model:
         m = fit(data)
         yield pa.RecordBatch.from_arrays([pa.array([json.dumps([m.weights, m.steps, m.start])])], names=["model"])
 
-    return Model(*json.loads(chosen.select("page_id", "html").coalesce(1).mapInArrow(learn, "model string").first()["model"]))
+    found = chosen.select("page_id", "html").coalesce(1).mapInArrow(learn, "model string").first()
+    return fit([]) if found is None else Model(*json.loads(found["model"]))
 
 
 def main_text(html: str, model: Model) -> str:

@@ -99,19 +99,20 @@ def mix(docs: DataFrame) -> DataFrame:
     Rows that share a doc_id must be copies of one document; rows without words have no words to
     take, and one copy of them stays.
     """
-    taken = takings(docs).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    taken = taken.dropDuplicates(["_id"])
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]))
-    whole = F.when(F.col("_size") > 0, F.expr("_taken div _size")).otherwise(F.lit(1))
-    part = F.when(F.col("_size") > 0, F.expr("_taken % _size")).otherwise(F.lit(0))
+    taken = takings(docs).groupBy("doc_id").agg(F.max("size").alias("size"), F.max("taken").alias("taken"))
+    # The row travels as a struct: no name of its columns can clash.
+    rows = docs.select(F.struct(*docs.columns).alias("row")).join(taken, F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")))
+    whole = F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(F.lit(1))
+    part = F.when(F.col("size") > 0, F.expr("taken % size")).otherwise(F.lit(0))
     counts = F.concat(F.array_repeat(F.lit(0).cast("long"), whole.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
-    rows = joined.withColumn("_part", F.explode(counts))
-    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    text = F.when(F.col("_part") > 0, F.array_join(F.slice(words, F.lit(1), F.col("_part").cast("int")), "")).otherwise(F.col("text"))
+    rows = rows.select("row", F.explode(counts).alias("part"))
+    words = F.regexp_extract_all("row.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    is_part = F.col("part") > 0
+    text = F.when(is_part, F.array_join(F.slice(words, F.lit(1), F.col("part").cast("int")), "")).otherwise(F.col("row.text"))
     rows = rows.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_part") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    own = {"text": F.col("text"), "n_chars": F.when(is_part, F.length("text")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    kinds = dict(docs.dtypes)
+    return rows.select(*((own[c].cast(kinds[c]) if own.get(c) is not None else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 ORACLE_SQL = f"""

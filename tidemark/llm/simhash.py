@@ -200,7 +200,8 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Rows with a null doc_id cannot be named by a component and stay.
     """
-    kept = near_duplicates(docs, radius).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where("doc_id is not null")
-    named = named.join(kept, named["doc_id"] == kept["_kept"], "left_semi")
-    return named.unionByName(docs.where("doc_id is null"))
+    kept = near_duplicates(docs, radius).where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    # The row travels as a struct: no name of its columns can clash.
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    named = rows.where("row.doc_id is not null").join(kept, F.col("row.doc_id") == F.col("kept"), "left_semi")
+    return named.unionByName(rows.where("row.doc_id is null")).select("row.*")

@@ -156,6 +156,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([b])], names=["w", "b"])
 
     found = rows.mapInArrow(extract, "doc_id long, toxic int, ids binary, sizes binary").coalesce(1).mapInArrow(learn, "w binary, b double").first()
+    if found is None:
+        return np.zeros(DIMS, np.float32), START_BIAS
     return np.frombuffer(found["w"], np.float32), found["b"]
 
 
