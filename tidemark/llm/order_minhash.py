@@ -123,14 +123,16 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(used == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / used)
 
 
-def with_next(texts: DataFrame, carried: list[str]) -> DataFrame:
-    """``texts`` with ``next_*``: the columns of the row that follows in descending doc_id, round and round.
+def with_next(texts: DataFrame, derived: dict[str, Column]) -> DataFrame:
+    """``texts`` with the derived columns, and with ``next_text`` and ``next_*`` of the row that follows in
+    descending doc_id, round and round.
 
     Rows are dealt to ranges of doc_id by quantiles (one number per range goes through the driver);
     within a range the next row is a window's, and the row after a range's last is the first of the
     range below, which is looked up by its id. Null ids come last, equal ids in the order of their
     texts' hashes.
     """
+    carried = ["text", *derived]
     n = 2 * shuffle_partitions(texts.sparkSession)
     ids = texts.select(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("at"))
     bounds = sorted(set(ids.approxQuantile("at", [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
@@ -145,16 +147,17 @@ def with_next(texts: DataFrame, carried: list[str]) -> DataFrame:
     found = (
         texts.withColumn("at", at)
         .join(F.broadcast(nexts), F.col("at") == F.col("next_head"))
+        .withColumns(derived)
         .groupBy("range")
         .agg(F.min(F.struct(F.md5("text").alias("key"), F.struct(*carried).alias("row"))).alias("head_row"))
         .select(F.col("range").alias("of"), F.col("head_row.row").alias("head_row"))
     )
     order = Window.partitionBy("range").orderBy(F.desc("at"), F.md5("text"))
-    rows = texts.withColumn("at", at).withColumn("range", range_of(F.col("at")))
+    rows = texts.withColumns(derived).withColumn("at", at).withColumn("range", range_of(F.col("at")))
     rows = rows.withColumn("following", F.lead(F.struct(*carried)).over(order))
     rows = rows.join(F.broadcast(found), (F.col("range") == F.col("of")) & F.col("following").isNull(), "left")
     following = F.coalesce("following", "head_row")
-    return rows.select(*texts.columns, *(following[c].alias(f"next_{c}") for c in carried))
+    return rows.select(*texts.columns, *derived, *(following[c].alias(f"next_{c}") for c in carried))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -164,8 +167,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     descending doc_id and after the last the first. Null and empty texts have an empty fingerprint;
     a table of one row follows itself; an empty table gives no rows; other columns are not read.
     """
-    texts = ids_and_texts(docs).withColumn("sig", signature(F.col("text")))
-    rows = with_next(texts, ["text", "sig"]).withColumn("n_chars", F.length("text"))
+    rows = with_next(ids_and_texts(docs), {"sig": signature(F.col("text"))}).withColumn("n_chars", F.length("text"))
     half = F.expr("n_chars div 2").cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - half), F.substring("next_text", F.lit(1), half)))
     rows = rows.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "sig", "next_sig", signature(F.col("edited")).alias("edited_sig"))
