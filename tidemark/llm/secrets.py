@@ -2,8 +2,8 @@
 
 A candidate is a long string near a word that names a secret. Its marginal cost is the number of
 bytes by which a frame grows when the candidate is appended to its surrounding text, compressed
-with a dictionary of common identifiers and of the document's own words; a random key costs
-nearly its full entropy, an identifier or a word of the document next to nothing.
+with a dictionary of common identifiers; a random key costs nearly its full entropy, an identifier
+or a word that stands nearby next to nothing.
 """
 
 from __future__ import annotations
