@@ -132,6 +132,23 @@ def test_novel_strings_are_reported_and_plain_ones_are_not():
     assert "xK9q" not in secrets.masked(found)
 
 
+def test_long_dotted_and_wrapped_secrets_are_found_whole():
+    rng = random.Random(11)
+    key = lambda n, chars="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789": "".join(rng.choice(chars) for _ in range(n))
+    long, jwt = "MIIE" + key(1596), f"eyJ{key(33)}.{key(300)}.{key(43)}"
+    lines = [key(64) for _ in range(25)] + [key(9) + "="]
+    letters = key(32, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+    for before, secret in (("private_key: ", long), ("Authorization: Bearer ", jwt), ("login with ", letters), ("private_key: ", "\n".join(lines)), ("private_key: ", "\\n".join(lines)), ("token: ", "\n".join(lines))):
+        text = f"first line\n{before}{secret}\nand then more of the text"
+        left = secrets.masked(text)
+        assert left.startswith("first line\n") and left.endswith("\nand then more of the text")
+        assert not any(part in left for part in re.split(r"\.|\n|\\n", secret)), before
+    diluted = "login at " + "the_common_configuration_settings_of_the_production_environment_example." * 3 + key(32)
+    assert [diluted[a:b] for a, _, b in secrets.all_spans(diluted)[1]] == [diluted[-32:]]
+    cut = "auth config.default " + key(20) + "." + "0123456789abcdef" * 2 + "." + key(24)
+    assert not any(x in secrets.masked(cut) for x in (cut[20:40], cut[-24:]))
+
+
 def brute_fingerprint(text: str) -> int:
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
     if not words:

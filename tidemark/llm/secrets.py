@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns, plus strings that a dictionary-primed zstandard cannot shorten.
 
-A candidate is a long string near a word that names a secret. Its marginal cost is the number of
-bytes by which a frame grows when the candidate is appended to its surrounding text, compressed
-with a dictionary of common identifiers; a random key costs nearly its full entropy, an identifier
-or a word that stands nearby next to nothing.
+A candidate is a long string near a word that names a secret, of any length and with its dotted
+parts; what follows a found one on the next lines is a candidate too. Its marginal cost is the
+number of bytes by which a frame grows when the candidate is appended to its surrounding text,
+compressed with a dictionary of common identifiers; a random key costs nearly its full entropy, an
+identifier or a word that stands nearby next to nothing.
 """
 
 from __future__ import annotations
@@ -36,7 +37,12 @@ IDENTIFIERS = (
     "https://www.example.com/index.html http:// .com .org .net /usr/local/bin /var/log/ application/json text/plain "
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0000000000000000 "
 )
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,512}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*")
+LEAST_CANDIDATE = 16
+#: What may stand between a found string and the string that continues it: line ends, quotes, joins.
+BETWEEN = re.compile(r"""(?:\\[nr]|[\s"'+,.\\])+""")
+#: A candidate that is plain as a whole is looked at in slices of so many characters.
+SLICE = 512
 #: How far before a candidate its sensitive word may stand, and how much text around it primes the coder.
 REACH = 40
 AROUND = 200
@@ -46,6 +52,7 @@ LEAST_NOVELTY = 0.62
 #: A text without any of these has no assignment and no sensitive word: a plain search says so sooner.
 _HINTS = tuple(x.encode() for x in ("passw", "pwd", "secret", "token", "api", "credential", "private", "auth", "bearer", "signature", "login"))
 
+_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
 _base_dict = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 _coder = zstandard.ZstdCompressor(level=9, dict_data=_base_dict, write_content_size=False)
 
@@ -72,25 +79,92 @@ def novelty(before: str, candidate: str, after: str) -> float:
     return (len(_coder.compress(around + candidate.encode())) - alone) / len(candidate)
 
 
+def run_start(text: str, at: int, i: int) -> int:
+    """Where the run of candidate characters around position ``i`` starts, not before ``at``."""
+    while i > at and (text[i - 1] in _CHARS or text[i - 1] == "." and i - 1 > at and text[i - 2] in _CHARS):
+        i -= 1
+    return i
+
+
+def outside(a: int, b: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of a:b that no base span covers."""
+    out = []
+    for p, _, q in base:
+        if p < b and a < q:
+            out.append((a, p))
+            a = max(a, q)
+    return [(p, q) for p, q in [*out, (a, b)] if p < q]
+
+
+def cuts(text: str, a: int, b: int) -> Iterator[list[int]]:
+    """Places to cut a plain candidate at, in the order in which they are tried."""
+    yield [i for i in range(a, b) if text[i] == "."]
+    words = [m.span() for m in SENSITIVE.finditer(text, a, b)]
+    yield [p for p, _ in words]
+    yield [i for i in range(a + 1, b) if text[i - 1] == "=" != text[i]]
+    yield [q for _, q in words]
+    yield list(range(a + SLICE, b, SLICE))
+
+
+def novel_parts(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """The candidate itself if it is novel, or else its novel parts."""
+    if text[a:b].startswith("."):
+        a += 1
+    if b - a < LEAST_CANDIDATE:
+        return []
+    if novelty(text[max(0, a - AROUND) : a], text[a:b], text[b : b + AROUND]) >= LEAST_NOVELTY:
+        return [(a, b)]
+    for places in cuts(text, a, b):
+        if inner := [i for i in places if a < i < b]:
+            return [x for p, q in zip([a, *inner], [*inner, b]) for x in novel_parts(text, p, q)]
+    return []
+
+
+def continued(text: str, a: int, b: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Novel strings that go on where the found string a:b ends, each where the one before it ends.
+
+    A last line too short to be a candidate belongs to lines of one width, or ends in padding.
+    """
+    out, widths = [], [b - a]
+    while (gap := BETWEEN.match(text, b)) and (c := CANDIDATE.match(text, gap.end())):
+        p, q = c.span()
+        if any(k == 0 and x < q and p < y for x, k, y in base):
+            break
+        parts = [x for y in outside(p, q, base) for x in novel_parts(text, *y)]
+        covered = sum(y - x for x, y in parts) + sum(max(0, min(q, y) - max(p, x)) for x, _, y in base)
+        out += parts
+        if covered < q - p:
+            broken = any(x in gap.group() for x in ("\n", "\\n", "\r", "\\r"))
+            wrapped = len(widths) > 1 and widths[-1] == widths[-2] or text[q - 1] == "="
+            if q - p < LEAST_CANDIDATE and broken and wrapped and (q == len(text) or text[q] in "\r\n\"'\\"):
+                out += outside(p, q, base)
+            break
+        widths.append(q - p)
+        b = q
+    return out
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Incompressible strings near a sensitive word that no base span overlaps."""
-    found, at = [], 0
+    """Incompressible strings near a sensitive word, and what continues them or an assigned value, outside the base spans."""
+    found, at = set(), 0
+    for a, k, b in base:
+        if k == 0:
+            found.update(continued(text, a, b, base))
     for m in SENSITIVE.finditer(text):
-        if m.end() < at:
-            continue
-        for c in CANDIDATE.finditer(text, max(at, m.start()), min(len(text), m.end() + REACH + 512)):
+        for c in CANDIDATE.finditer(text, run_start(text, at, max(at, m.start()))):
             a, b = c.span()
             if a > m.end() + REACH:
                 break
-            at = b
-            s = c.group()
-            if not (any(x.isdigit() for x in s) and any(x.isalpha() for x in s)):
-                continue
-            if any(p < b and a < q for p, _, q in base):
+            if b <= at or b - a < LEAST_CANDIDATE:
+                at = max(at, b)
                 continue
-            if novelty(text[max(0, a - AROUND) : a], s, text[b : b + AROUND]) >= LEAST_NOVELTY:
-                found.append((a, 3, b))
-    return found
+            at = b
+            parts = [x for p in outside(a, b, base) for x in novel_parts(text, *p)]
+            found.update(parts)
+            if parts and parts[-1][1] == b:
+                found.update(more := continued(text, *parts[-1], base))
+                at = max([at, *(q for _, q in more)])
+    return [(a, 3, b) for a, b in sorted(found)]
 
 
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
