@@ -149,6 +149,25 @@ def test_long_dotted_and_wrapped_secrets_are_found_whole():
     assert not any(x in secrets.masked(cut) for x in (cut[20:40], cut[-24:]))
 
 
+def test_repeated_secrets_are_found_at_every_place():
+    rng = random.Random(12)
+    key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(32))
+    for text in (
+        f"login {key}\nlogin {key}\n",
+        f"auth {key} " + "plain words " * 15 + f"and {key[:16]} then {key}",
+        f"bearer {key}\n" * 6,
+        f"pwd /app/{key}/one then pwd /app/{key}/two",
+        f"login one={key} login two={key}",
+        f"login {key} " + "some words stand here " * 30 + f"x{key}y",
+    ):
+        base, novel = secrets.all_spans(text)
+        covered = [(p, q) for p, _, q in base + novel]
+        assert all(any(p <= m.start() and m.end() <= q for p, q in covered) for m in re.finditer(key, text)), text
+        assert key not in secrets.masked(text)
+        assert len(novel) == len(set(novel)) == text.count(key)
+    assert secrets.all_spans("login configuration_default_value\n" * 4)[1] == []
+
+
 def brute_fingerprint(text: str) -> int:
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
     if not words:

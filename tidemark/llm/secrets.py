@@ -4,7 +4,8 @@ A candidate is a long string near a word that names a secret, of any length and
 parts; what follows a found one on the next lines is a candidate too. Its marginal cost is the
 number of bytes by which a frame grows when the candidate is appended to its surrounding text,
 compressed with a dictionary of common identifiers; a random key costs nearly its full entropy, an
-identifier or a word that stands nearby next to nothing.
+identifier or a word that stands nearby next to nothing. Copies of the candidate itself don't count
+as surroundings, and all places of a string get its verdict.
 """
 
 from __future__ import annotations
@@ -96,6 +97,26 @@ def outside(a: int, b: int, base: list[tuple[int, int, int]]) -> list[tuple[int,
     return [(p, q) for p, q in [*out, (a, b)] if p < q]
 
 
+def surroundings(text: str, a: int, b: int) -> tuple[str, str, str]:
+    """The text before the candidate a:b, the candidate, and the text after it.
+
+    What the candidate shares with the sides over its least length is left out of them, at their ends
+    too: a copy of a key says nothing against the key.
+    """
+    s, sides = text[a:b], []
+    for p, q, lo, hi in (
+        (max(0, a - AROUND), a, max(0, a - AROUND - LEAST_CANDIDATE + 1), a),
+        (b, min(len(text), b + AROUND), b, min(len(text), b + AROUND + LEAST_CANDIDATE - 1)),
+    ):
+        kept, at = [], p
+        for i in range(lo, hi - LEAST_CANDIDATE + 1):
+            if text[i : i + LEAST_CANDIDATE] in s:
+                kept.append(text[at : max(at, i)])
+                at = max(at, i + LEAST_CANDIDATE)
+        sides.append("".join([*kept, text[at:q]]))
+    return sides[0], s, sides[1]
+
+
 def cuts(text: str, a: int, b: int) -> Iterator[list[int]]:
     """Places to cut a plain candidate at, in the order in which they are tried."""
     yield [i for i in range(a, b) if text[i] == "."]
@@ -112,7 +133,7 @@ def novel_parts(text: str, a: int, b: int) -> list[tuple[int, int]]:
         a += 1
     if b - a < LEAST_CANDIDATE:
         return []
-    if novelty(text[max(0, a - AROUND) : a], text[a:b], text[b : b + AROUND]) >= LEAST_NOVELTY:
+    if novelty(*surroundings(text, a, b)) >= LEAST_NOVELTY:
         return [(a, b)]
     for places in cuts(text, a, b):
         if inner := [i for i in places if a < i < b]:
@@ -144,8 +165,33 @@ def continued(text: str, a: int, b: int, base: list[tuple[int, int, int]]) -> li
     return out
 
 
+def everywhere(text: str, found: set[tuple[int, int]], base: list[tuple[int, int, int]]) -> set[tuple[int, int]]:
+    """The found spans and every other place of their strings, outside the base spans."""
+    by_start: dict[str, set[str]] = {}
+    for a, b in found:
+        if b - a >= LEAST_CANDIDATE:
+            by_start.setdefault(text[a : a + LEAST_CANDIDATE], set()).add(text[a:b])
+    out, ends, done = set(found), {}, 0
+    for a, b in found:
+        ends[a] = max(b, ends.get(a, 0))
+    reach = 0
+    for i in range(len(text) - LEAST_CANDIDATE + 1 if by_start else 0):
+        reach = max(reach, ends.get(i, 0))
+        longest = max((i + len(s) for s in by_start.get(text[i : i + LEAST_CANDIDATE], ()) if text.startswith(s, i)), default=0)
+        if longest > reach:
+            reach = longest
+            out.update(outside(i, longest, base))
+            if i >= done and not any(p < longest and i < q for p, _, q in base):
+                out.update(more := continued(text, i, longest, base))
+                done = max([longest, *(q for _, q in more)])
+    return out
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Incompressible strings near a sensitive word, and what continues them or an assigned value, outside the base spans."""
+    """Incompressible strings near a sensitive word, and what continues them or an assigned value, outside the base spans.
+
+    A string that is novel at one place is reported at all of its places in the text.
+    """
     found, at = set(), 0
     for a, k, b in base:
         if k == 0:
@@ -164,7 +210,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
             if parts and parts[-1][1] == b:
                 found.update(more := continued(text, *parts[-1], base))
                 at = max([at, *(q for _, q in more)])
-    return [(a, 3, b) for a, b in sorted(found)]
+    return [(a, 3, b) for a, b in sorted(everywhere(text, found, base))]
 
 
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
