@@ -417,6 +417,17 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept == {d for d, r in got.items() if not r.predicted}
 
 
+def test_toxicity_does_not_grow_with_length_alone(spark):
+    rows, labels = toxic_corpus()
+    clean = next(t for (d, t, *_), (_, y) in zip(rows, labels) if y == 0)
+    long = "The old house stands by the river. " * 20000
+    df = spark.createDataFrame([(r[0], r[1]) for r in rows] + [(8000, long), (8001, long + ". " + clean), (8002, "Nothing here. " * 9000)], "doc_id long, text string")
+    for marks in (spark.createDataFrame(labels, "doc_id long, toxic int"), spark.createDataFrame([], "doc_id long, toxic int")):
+        got = {r.doc_id: r for r in toxicity.score(df, marks).where("doc_id >= 8000 and doc_id < 8003").collect()}
+        assert {r.predicted for r in got.values()} == {0} and max(r.score for r in got.values()) < 0.2
+        assert toxicity.keep_clean(df, marks).where("doc_id >= 8000 and doc_id < 8003").count() == 3
+
+
 def test_toxicity_without_rows(docs, empty, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.score(empty, none).collect() == []

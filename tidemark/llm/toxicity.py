@@ -68,9 +68,12 @@ def sentence_logits(text: str, scores: WordScores, bias: float) -> list[tuple[in
     return out
 
 
-def noisy_or(logits: np.ndarray) -> float:
-    """1 - prod(1 - sigmoid(z)), worked out on the log scale; 0 without sentences."""
-    return float(-np.expm1(-np.logaddexp(0, logits).sum())) if len(logits) else 0.0
+def noisy_or(logits: np.ndarray, bias: float) -> float:
+    """1 - prod(1 - sigmoid(z)) on the log scale, less what each sentence gives without any known word.
+
+    Sentences at or below the bias give nothing, so that length alone never adds up; 0 without sentences.
+    """
+    return float(-np.expm1(-np.maximum(0.0, np.logaddexp(0, logits) - np.logaddexp(0, bias)).sum())) if len(logits) else 0.0
 
 
 def fit(docs: list[tuple[int, list[np.ndarray]]]) -> tuple[np.ndarray, float]:
@@ -177,7 +180,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
             out = []
             for text in batch.column(1).to_pylist():
                 spans = sentence_logits(text, scores, bias)
-                p = noisy_or(np.array([z for *_, z in spans]))
+                p = noisy_or(np.array([z for *_, z in spans]), bias)
                 bad = [f"{a}:{e}" for a, e, z in spans if z > 0]
                 out.append((p, int(p >= THRESHOLD), len(bad), ",".join(bad)))
             cols = list(zip(*out)) if out else [[]] * 4
@@ -200,7 +203,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Data
         scores = WordScores(weights)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            fine = [noisy_or(np.array([z for *_, z in sentence_logits(t or "", scores, bias)])) < THRESHOLD for t in texts]
+            fine = [noisy_or(np.array([z for *_, z in sentence_logits(t or "", scores, bias)]), bias) < THRESHOLD for t in texts]
             yield batch.filter(pa.array(fine, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
