@@ -136,3 +136,15 @@ def test_pipeline_stages_follow_their_operators(spark):
 def test_pipeline_runs(spark):
     rows = corpus_pipeline.run(spark, DATA).collect()
     assert rows and set(rows[0].asDict()) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
+
+
+def test_pages_with_tags_left_open_keep_their_text():
+    said = lambda html: [b[0] for b in html_main.blocks(html)]
+    assert said("<html><head><title>T</title><meta charset=utf-8><body><article><p>One two.</p></article></body>") == ["One two."]
+    assert said("<head><title>T</title><style>p{}</style><p>No body tag.</p><div>More</div>") == ["No body tag.", "More"]
+    assert said("<head><noscript><div>off</div></noscript></head><body><p>On</p>") == ["On"]
+    assert said("<body><div><button>Menu<p>Kept text.</p>and this</div><p>After</p>") == ["Kept text.", "and this", "After"]
+    assert said("<body><select><option>A<option>B<p>Kept.</p></body>") == ["Kept."]
+    assert said("<body><button><div>Label</div></button><select><option>A</option></select><svg><text>x</text></svg><p>Text</p>") == ["Text"]
+    formula = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>x=1</annotation></semantics></math>"
+    assert said(f"<article><p>Let {formula} hold.</p></article>") == ["Let x=1 hold."]

@@ -30,7 +30,17 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
-SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video select textarea button".split())
+MATH = frozenset(
+    "annotation annotation-xml math menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms "
+    "mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split()
+)
+INLINE |= MATH
+SILENT = frozenset("script style noscript template head title svg iframe object canvas audio video select textarea button".split())
+#: Of a formula only its visible form counts, not its source.
+RAW = frozenset("script style title textarea annotation annotation-xml".split())
+#: Tags that leave the page's head open, and tags of the lines of a list to choose from.
+IN_HEAD = frozenset("html head title base link meta script style noscript template".split())
+CHOICES = frozenset("option optgroup".split())
 ARTICLE = frozenset("article main".split())
 OUTSIDE = frozenset("nav footer aside form header menu dialog".split())
 #: Words of class or id that tell of something beside the article.
@@ -45,7 +55,11 @@ WORDS = re.compile(r"[a-z]+")
 
 
 class Blocks(HTMLParser):
-    """Collects (text, ancestors, link characters); an ancestor is (tag, words of class and id)."""
+    """Collects (text, ancestors, link characters); an ancestor is (tag, words of class and id).
+
+    Text in a silent tag is dropped if the tag is closed. If its container ends first, only the text up
+    to the next block tag was the silent tag's own.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -53,31 +67,66 @@ class Blocks(HTMLParser):
         self.found: list[tuple[str, tuple, int]] = []
         self.text: list[str] = []
         self.linked = 0
+        #: Found blocks in silent tags by place, with those tags; tags (by identity) that were closed, or hold a block tag.
+        self.hidden: dict[int, list[int]] = {}
+        self.closed: set[int] = set()
+        self.split: set[int] = set()
+        #: All silent tags, so that no identity is used twice.
+        self.kept: list[tuple] = []
+
+    def silent(self) -> list[int]:
+        return [id(x) for x in self.open if x[0] in SILENT]
 
     def end_block(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.found.append((text, tuple(x for x in self.open if x[0] not in INLINE), self.linked))
+            ancestors = tuple(x for x in self.open if x[0] not in INLINE)
+            if silent := self.silent():
+                if ancestors[-1][0] in CHOICES or not self.split.issuperset(silent):
+                    text = ""
+                self.hidden[len(self.found)] = silent
+                ancestors = tuple(x for x in ancestors if x[0] not in SILENT)
+            if text:
+                self.found.append((text, ancestors, self.linked))
+            else:
+                self.hidden.pop(len(self.found), None)
         self.text, self.linked = [], 0
 
     def finish(self) -> None:
         self.close()
         self.end_block()
+        self.found = [x for i, x in enumerate(self.found) if self.closed.isdisjoint(self.hidden.get(i, ()))]
+
+    def leave_head(self) -> None:
+        for i, x in enumerate(self.open):
+            if x[0] == "head":
+                self.end_block()
+                self.closed.add(id(x))
+                del self.open[i:]
+                return
 
     def handle_starttag(self, tag, attrs):
+        if tag == "body" or tag not in IN_HEAD and not any(t in SILENT and t not in ("head", "title") for t, _ in self.open):
+            self.leave_head()
         if tag == "br":
             self.text.append(" ")
         if tag not in INLINE:
             self.end_block()
+            if tag not in SILENT and tag not in CHOICES and tag not in VOID:
+                self.split.update(self.silent())
             # A paragraph ends where the next block starts, an item where the next item does.
             self.leave("p" if tag != "li" else "li", within="ul ol table div section article main body".split())
         if tag not in VOID:
             words = frozenset(w for k, v in attrs if k in ("class", "id", "role") and v for w in WORDS.findall(v.lower()))
             self.open.append((tag, words))
+            if tag in SILENT:
+                self.kept.append(self.open[-1])
 
     def leave(self, tag: str, within=()) -> None:
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
+                if tag in SILENT:
+                    self.closed.add(id(self.open[i]))
                 del self.open[i:]
                 return
             if self.open[i][0] in within:
@@ -89,7 +138,9 @@ class Blocks(HTMLParser):
         self.leave(tag)
 
     def handle_data(self, data):
-        if not any(t in SILENT for t, _ in self.open):
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self.leave_head()
+        if not any(t in RAW for t, _ in self.open):
             self.text.append(data)
             if any(t == "a" for t, _ in self.open):
                 self.linked += len(data.strip())
