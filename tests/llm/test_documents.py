@@ -398,6 +398,23 @@ def toxic_corpus():
     return rows, labels
 
 
+def test_mix_gives_rows_without_own_id_their_own_takings(spark):
+    rng = random.Random(5)
+    say = lambda i, n: f"row{i} " + " ".join(rng.choice(["ab", "cd", "ef"]) for _ in range(n - 1))
+    rows = [(None if i % 2 else i // 4, say(i, 1 + i % 7 * 40), "en", ("src0", "src1", "src2", None)[i % 4 if i % 3 else 0], 0) for i in range(400)]
+    docs = spark.createDataFrame([(*r[:4], len(r[1])) for r in rows], SCHEMA).repartition(4)
+    want = Counter()
+    for r in mixing.takings(docs).collect():
+        want[r.source] += r.taken
+    got, seen = Counter(), Counter()
+    for r in mixing.mix(docs).collect():
+        got[r.source] += len(r.text.split())
+        seen[r.text.split()[0]] += 1
+    assert got == want and max(seen.values()) <= mixing.MOST_COPIES
+    per_row = Counter((r.doc_id, r.source, r.size, r.taken) for r in mixing.takings(docs).collect())
+    assert sum(n for (*_, taken), n in per_row.items() if taken) == len(seen)
+
+
 def test_toxicity_on_held_out_rows(spark):
     rows, labels = toxic_corpus()
     extra = [(9000, None), (9001, ""), (9002, "!!"), (None, "zork you")]

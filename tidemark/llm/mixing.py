@@ -10,7 +10,7 @@ from that stream, round and round if the quota is larger than the shard.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut
@@ -96,12 +96,23 @@ def mix(docs: DataFrame) -> DataFrame:
     """The mixed rows of ``docs`` with its columns: each row as often as the mix takes it whole, and
     once more with its first words where the mix takes a part (``n_chars`` then follows the text).
 
-    Rows that share a doc_id must be copies of one document; rows without words have no words to
-    take, and one copy of them stays.
+    Rows with a null or repeated doc_id are rows of their own; among rows of one doc_id, source and
+    size, which ``takings`` can't tell apart, the hash of the text says which is first. Rows without
+    words have no words to take, and one copy of them stays.
     """
-    taken = takings(docs).groupBy("doc_id").agg(F.max("size").alias("size"), F.max("taken").alias("taken"))
+
+    def numbered(df: DataFrame, key: Column, order: list) -> DataFrame:
+        own = Window.partitionBy("key").orderBy(*order)
+        return df.withColumn("key", key).withColumn("nth", F.row_number().over(own))
+
+    def key(doc_id: Column, source: Column, size: Column) -> Column:
+        return F.concat(F.coalesce(doc_id.cast("long").cast("string"), F.lit("")), F.lit(":"), size.cast("string"), F.coalesce(F.concat(F.lit(":"), source.cast("string")), F.lit("")))
+
+    taken = numbered(takings(docs), key(F.col("doc_id"), F.col("source"), F.col("size")), ["taken"]).select("key", "nth", "size", "taken")
     # The row travels as a struct: no name of its columns can clash.
-    rows = docs.select(F.struct(*docs.columns).alias("row")).join(taken, F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    words = F.coalesce(F.regexp_count("row.text", F.lit(WORD)), F.lit(0)).cast("long")
+    rows = numbered(rows, key(F.col("row.doc_id"), F.col("row.source"), words), [F.xxhash64("row.text")]).join(taken, ["key", "nth"])
     whole = F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(F.lit(1))
     part = F.when(F.col("size") > 0, F.expr("taken % size")).otherwise(F.lit(0))
     counts = F.concat(F.array_repeat(F.lit(0).cast("long"), whole.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
