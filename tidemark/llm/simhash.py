@@ -4,14 +4,14 @@ Fingerprints are computed once per text, equal ones collapse into a class before
 shuffled, and classes meet in buckets: the 64 bits are cut into 8 blocks of 8, and two fingerprints
 that differ in at most ``radius`` (2) bits agree in at least 6 blocks, so they share one of the 28
 tables keyed by six blocks. A bucket fixes 48 bits and so never holds more than 65,536 distinct
-fingerprints, whatever the input. Inside a bucket bit planes are stored vertically, distances of 64
-fingerprints are counted at once with carry-save counters, and a block of words is abandoned when
-every distance in it exceeds the radius.
+fingerprints, whatever the input. Bit planes are stored vertically, 64 distances are counted at once
+with carry-save counters, and a word is abandoned when every distance in it exceeds the radius. Small
+buckets lie side by side in common words, which are compared with themselves, shifted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, ids_and_texts, shuffle_partitions
-from tidemark.llm.components import connected_components
+from tidemark.llm.components import connected_components, spanning
 
 BLOCKS = 8
 RADIUS = 2
+#: Links of a bucket that are held before they are brought down to a spanning forest.
+FOREST = 1 << 21
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -70,72 +72,113 @@ def bit_planes(x: np.ndarray) -> np.ndarray:
     return out.view("<u8")
 
 
-def within_radius(planes: np.ndarray, queries: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Bit-sliced Hamming filter: row q holds the words whose set bits mark fingerprints near query q.
+def counted(diff: Callable[[int, tuple[np.ndarray, ...]], np.ndarray], cells: tuple[np.ndarray, ...], over: np.ndarray, radius: int = RADIUS) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """The cells with a lane within the radius, and those lanes as set bits.
 
-    ``ones`` and ``twos`` are the low bits of 64 counters a word, ``over`` collects lanes beyond the
-    radius. Every eight planes, the (query, word) blocks in which every lane is over are abandoned.
+    A cell is one word of 64 comparisons; ``diff(plane, cells)`` says where a plane differs. ``ones`` and
+    ``twos`` are the low bits of 64 counters a word, ``over`` collects the lanes beyond the radius (or
+    not to be compared at all). Every eight planes, cells in which every lane is over are abandoned.
     """
     if radius != 2:
         raise ValueError("the counters are built for a radius of 2")
-    m, w = len(queries), planes.shape[1]
-    out = np.zeros((m, w), np.uint64)
-    qi, wi = (a.ravel() for a in np.mgrid[0:m, 0:w])
-    ones = np.zeros(len(qi), np.uint64)
-    twos, over = ones.copy(), ones.copy()
+    ones = np.zeros(len(over), np.uint64)
+    twos = ones.copy()
     for b in range(64):
-        flip = (np.uint64(0) - ((queries >> np.uint64(b)) & np.uint64(1)))[qi]
-        diff = planes[b][wi] ^ flip
-        carry = ones & diff
-        ones ^= diff
-        over |= (twos & carry) | (twos & ones)
+        d = diff(b, cells)
+        carry = ones & d
+        ones ^= d
+        over = over | (twos & carry) | (twos & ones)
         twos |= carry
-        if b % 8 == 7 and b < 63:
+        if b % 8 == 7:
             alive = over != ALL
             if not alive.all():
-                qi, wi, ones, twos, over = qi[alive], wi[alive], ones[alive], twos[alive], over[alive]
-                if not len(qi):
-                    return out
-    out[qi, wi] = ~over
+                cells = tuple(c[alive] for c in cells)
+                ones, twos, over = ones[alive], twos[alive], over[alive]
+                if not len(over):
+                    break
+    return cells, ~over
+
+
+def within_radius(planes: np.ndarray, queries: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """Bit-sliced Hamming filter: row q holds the words whose set bits mark fingerprints near query q."""
+    m, w = len(queries), planes.shape[1]
+    out = np.zeros((m, w), np.uint64)
+
+    def diff(b: int, cells: tuple[np.ndarray, ...]) -> np.ndarray:
+        flip = np.uint64(0) - ((queries >> np.uint64(b)) & np.uint64(1))
+        return planes[b][cells[1]] ^ flip[cells[0]]
+
+    cells = tuple(a.ravel() for a in np.mgrid[0:m, 0:w])
+    (qi, wi), near = counted(diff, cells, np.zeros(m * w, np.uint64), radius)
+    out[qi, wi] = near
     return out
 
 
-def bucket_links(x: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i > j) of distinct fingerprints within the radius, as a spanning forest of them.
+def set_lanes(words: np.ndarray) -> np.ndarray:
+    return np.unpackbits(words.astype("<u8").view(np.uint8).reshape(len(words), 8), axis=1, bitorder="little").astype(bool)
+
+
+def packed_links(x: np.ndarray, size: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (i > j) within the radius of many buckets that lie one after another in the same words.
 
-    Small buckets list their links; in large ones only the first link of each fingerprint to an
-    earlier one and those that join two trees are kept, which loses no connection.
+    ``size`` holds the buckets' sizes, largest first. All lanes are compared with the lanes ``shift``
+    places on, whole words at a time; lanes whose bucket is no longer than the shift are over from the
+    start, and as large buckets come first, each shift concerns a beginning of the words only.
     """
-    n = len(x)
     planes = bit_planes(x)
-    parent = np.arange(n)
+    planes = np.concatenate([planes, np.zeros((64, 2), np.uint64)], axis=1)
+    own = np.repeat(size, size)
+    left = own - (np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size))
+    i, j = [], []
+    for shift in range(1, int(size[0]) if len(size) else 0):
+        n = int(np.searchsorted(-own, -shift))  # lanes of buckets with more than ``shift`` members
+        words = np.arange(-(-n // 64))
+        lanes = np.zeros(64 * len(words), np.uint8)
+        lanes[:n] = left[:n] > shift
+        over = ~np.packbits(lanes, bitorder="little").view("<u8")
+        step, low = divmod(shift, 64)
+
+        def diff(b: int, cells: tuple[np.ndarray, ...]) -> np.ndarray:
+            w = cells[0] + step
+            moved = planes[b][w] >> np.uint64(low)
+            if low:
+                moved = moved | planes[b][w + 1] << np.uint64(64 - low)
+            return planes[b][cells[0]] ^ moved
+
+        (w,), near = counted(diff, (words,), over, radius)
+        row, lane = np.nonzero(set_lanes(near))
+        at = w[row] * 64 + lane
+        i.append(at + shift)
+        j.append(at)
+    none = np.empty(0, np.int64)
+    return (np.concatenate(i), np.concatenate(j)) if i else (none, none)
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
 
-    a, b = [], []
+def bucket_links(x: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (i > j) of one bucket's distinct fingerprints within the radius, as a spanning forest of
+    them: that loses no connection, and a bucket's links never fill the memory."""
+    n = len(x)
+    planes = bit_planes(x)
+    i, j, held = [], [], 0
     step = max(1, (1 << 18) // planes.shape[1])
     for at in range(0, n, step):
         near = within_radius(planes, x[at : at + step], radius)
-        rows, lanes = np.nonzero(np.unpackbits(near.view(np.uint8), axis=1, bitorder="little")[:, :n])
-        rows += at
-        keep = rows > lanes
-        for i, j in zip(rows[keep].tolist(), lanes[keep].tolist()):
-            ri, rj = root(i), root(j)
-            if ri != rj:
-                parent[max(ri, rj)] = min(ri, rj)
-                a.append(i)
-                b.append(j)
-    return np.array(a, np.int64), np.array(b, np.int64)
+        row, lane = np.nonzero(set_lanes(near.ravel()).reshape(len(near), -1)[:, :n])
+        row += at
+        keep = row > lane
+        i.append(row[keep])
+        j.append(lane[keep])
+        held += int(keep.sum())
+        if held > FOREST:
+            a, b = spanning(np.concatenate(i), np.concatenate(j))
+            i, j, held = [a], [b], 0
+    return spanning(np.concatenate(i), np.concatenate(j)) if i else (np.empty(0, np.int64),) * 2
 
 
 def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``(u, v)`` between class representatives whose fingerprints differ in at most ``radius`` bits.
 
-    ``classes`` is ``(fp long, rep long)`` with distinct ``fp``. Links within a bucket come as a
+    ``classes`` is ``(fp long, rep long)`` with distinct ``fp``. Links within a large bucket come as a
     spanning forest: components of the result equal those of all links.
     """
     width = 64 // BLOCKS
@@ -159,14 +202,16 @@ def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
         ends = np.concatenate([starts[1:], [len(t)]])
         size = ends - starts
         us, vs = [], []
-        # Buckets of the same small size are compared together, pair by pair of their slots.
-        for m in np.unique(size[(size > 1) & (size <= 8)]).tolist():
-            first = starts[size == m]
-            for i, j in combinations(range(m), 2):
-                near = np.bitwise_count(fp[first + i] ^ fp[first + j]) <= radius
-                us.append(rep[first + i][near])
-                vs.append(rep[first + j][near])
-        for s in np.flatnonzero(size > 8).tolist():
+        # Buckets of up to a word of fingerprints share words, largest first; larger ones have words of their own.
+        small = np.flatnonzero((size > 1) & (size <= 64))
+        small = small[np.argsort(-size[small], kind="stable")]
+        for at in range(0, len(small), 1 << 18):
+            some = small[at : at + (1 << 18)]
+            row = np.repeat(starts[some] - (np.cumsum(size[some]) - size[some]), size[some]) + np.arange(size[some].sum())
+            i, j = packed_links(fp[row], size[some], radius)
+            us.append(rep[row[i]])
+            vs.append(rep[row[j]])
+        for s in np.flatnonzero(size > 64).tolist():
             i, j = bucket_links(fp[starts[s] : ends[s]], radius)
             us.append(rep[starts[s] + i])
             vs.append(rep[starts[s] + j])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, shuffle_partitions, written
-from tidemark.llm.components import connected_components
+from tidemark.llm.components import connected_components, spanning
 
 THRESHOLD = 0.95
 #: Links of a node on the ground layer (half to the nearest, half spread out) and above.
@@ -244,24 +244,6 @@ class Index:
         return cls(z["ids"], z["weights"], z["raw"], layers, int(z["beam"]))
 
 
-def spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (node, smallest node of its component) that connect what the given links connect."""
-    nodes, inv = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = inv[: len(u)], inv[len(u) :]
-    label = np.arange(len(nodes))
-    while True:
-        least = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, least)
-        np.minimum.at(new, b, least)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    moved = label != np.arange(len(nodes))
-    return nodes[moved], nodes[label[moved]]
-
-
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(len(column), -1)
 
