@@ -1,11 +1,12 @@
 """Mixing sources to target weights by Sainte-Lague apportionment, with DataFrame functions only.
 
-The mix is built from equal blocks of ``BLOCK_WORDS`` words. A source's quota is the number of its
-quotients target/(k - 1/2) that are at least one block, which is Sainte-Lague's rule with the block as
-divisor; the quota is dealt to the source's shards in the same way by their words. A shard holds about
-``SHARD_ROWS`` documents, so the largest source has the most shards and no window holds more rows
-than that on average. In a shard, documents stand in a seeded order and the shard's blocks are taken
-from that stream, round and round if the quota is larger than the shard.
+The mix is built from equal blocks of ``BLOCK_WORDS`` words. The number of blocks is fixed first; they go
+to the sources by highest quotients target/(k - 1/2). A source's blocks are dealt to its shards in the same
+way by their words, in two steps (groups of shards, then shards), so that no contest holds more than about
+the square root of a source's shards. A shard holds about ``SHARD_ROWS`` documents, so the largest source
+has the most shards and no window holds more rows than that on average. In a shard, documents stand in a
+seeded order and the shard's blocks are taken from that stream, round and round if the quota is larger than
+the shard.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST_COPIES) -> DataFrame:
-    """One row per source (null is one, and the last): source, source_size, source_rows, target.
+    """One row per source (null is one, and the last): source, source_size, source_rows, rank, target.
 
     ``budget`` times all words is shared by weight; a target stops at ``most`` times its source's
     words and what is above is reshared among the others. Sources in order of cap/weight fill up one
@@ -53,7 +54,53 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
     )
     target = F.when(F.col("pos") < F.col("first_open"), F.col("cap").cast("double")).otherwise(F.col("open_level") * F.col("w"))
     target = F.when(F.col("first_open").isNull(), F.col("cap").cast("double")).otherwise(target)
-    return sources.select("source", "source_size", "source_rows", target.alias("target"))
+    return sources.select("source", "source_size", "source_rows", "rank", target.alias("target"))
+
+
+def apportion(parties: DataFrame, within: list[str], weight: str, seats: str, order: list[str]) -> DataFrame:
+    """``parties`` with ``quota``: each contest's ``seats`` go to its parties by the highest quotients weight/(k - 1/2).
+
+    ``within`` names a contest; ties go to the party that is first in ``order``, then to the lower k. A party's
+    exact share tells its quota but for a few seats: over all parties of a contest the shares, rounded, miss
+    ``seats`` by half a seat a party at most. So only quotients near the share are ranked, in numbers that add
+    up to a few for each party, and what lies below is certain. Parties without weight get nothing, and nothing
+    is given in a contest without weight.
+    """
+    all_of = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
+    w = F.col(weight).cast("double")
+    near = (
+        parties.withColumn("_all", F.sum(w).over(all_of))
+        .withColumn("_n", F.count("*").over(all_of))
+        .withColumn("_part", F.when(F.col("_all") > 0, w / F.col("_all")).otherwise(F.lit(0.0)))
+        .withColumn("_share", F.floor(F.col("_part") * F.col(seats) + 0.5))
+        .withColumn("_reach", F.ceil(F.col("_part") * F.col("_n") * 1.5) + 2)
+        .withColumn("_sure", F.when(F.col("_part") > 0, F.greatest(F.lit(0), F.col("_share") - F.col("_reach"))).otherwise(F.lit(0)).cast("long"))
+        .withColumn("_last", F.when(F.col("_part") > 0, F.col("_share") + F.col("_reach")).otherwise(F.lit(0)).cast("long"))
+        .withColumn("_open", F.col(seats) - F.sum("_sure").over(all_of))
+    )
+    # A party without weight keeps one row, without a k.
+    k = F.when(F.col("_last") > 0, F.sequence(F.col("_sure") + 1, F.col("_last")))
+    contest = near.select(*parties.columns, "_sure", "_open", F.explode_outer(k).alias("_k"))
+    rank = F.row_number().over(all_of.orderBy(F.desc_nulls_last(w / (F.col("_k") - 0.5)), *order, "_k"))
+    won = F.count(F.when(F.col("_k").isNotNull() & (F.col("_rank") <= F.col("_open")), 1))
+    return contest.withColumn("_rank", rank).groupBy(*parties.columns, "_sure").agg(won.alias("_won")).select(*parties.columns, (F.col("_sure") + F.col("_won")).cast("long").alias("quota"))
+
+
+def shard_quotas(sizes: DataFrame, targets: DataFrame, block_words: int) -> DataFrame:
+    """``(rank, shard, cell_size, quota)``: every shard's blocks; a source's add up to the source's own.
+
+    ``sizes`` has ``rank`` (the source's), ``shard, of_shards, size``; ``targets`` has ``rank, target``. The
+    blocks of the mix are the targets' sum in blocks.
+    """
+    every = targets.withColumn("seats", F.floor(F.sum("target").over(Window.partitionBy(F.lit(0))) / block_words + 0.5))
+    by_source = apportion(every, [], "target", "seats", ["rank"]).select("rank", F.col("quota").alias("seats"))
+    # Shards of a group have numbers that leave the same remainder.
+    group = F.col("shard") % F.ceil(F.sqrt("of_shards"))
+    cells = cut(sizes.groupBy("rank", "shard", group.alias("group")).agg(F.sum("size").alias("cell_size")))
+    groups = cells.groupBy("rank", "group").agg(F.sum("cell_size").alias("group_size")).join(by_source, "rank")
+    dealt = apportion(groups, ["rank"], "group_size", "seats", ["group"]).select("rank", "group", F.col("quota").alias("seats"))
+    quotas = apportion(cells.join(dealt, ["rank", "group"]), ["rank", "group"], "cell_size", "seats", ["shard"])
+    return quotas.select("rank", "shard", "cell_size", "quota")
 
 
 def takings(docs: DataFrame, seed: str = SEED, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -71,21 +118,17 @@ def takings(docs: DataFrame, seed: str = SEED, block_words: int = BLOCK_WORDS) -
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         ).withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     )
-    targets = source_targets(sizes)
-    named = sizes.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-    shards = F.ceil(F.col("source_rows") / SHARD_ROWS)
-    named = named.withColumn("shard", F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % shards)
-    cell = Window.partitionBy("source", "shard")
-    stream = cell.orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    quota = F.floor(F.col("target") / block_words + 0.5)
-    dealt = F.floor(F.col("cell_size").cast("double") * F.col("quota") / F.col("source_size") + 0.5)
+    targets = cut(source_targets(sizes))
+    named = sizes.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    named = named.withColumn("of_shards", F.ceil(F.col("source_rows") / SHARD_ROWS))
+    named = named.withColumn("shard", F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % F.col("of_shards"))
+    quotas = shard_quotas(named, targets, block_words)
+    stream = Window.partitionBy("rank", "shard").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    named = named.withColumn("start", F.coalesce(F.sum("size").over(stream), F.lit(0))).join(quotas, ["rank", "shard"])
     copies = F.expr("cell_taken div cell_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start")))
     return (
-        named.withColumn("cell_size", F.sum("size").over(cell))
-        .withColumn("start", F.coalesce(F.sum("size").over(stream), F.lit(0)))
-        .withColumn("quota", quota)
-        .withColumn("cell_taken", F.when(F.col("cell_size") > 0, F.least(dealt * block_words, F.col("cell_size") * MOST_COPIES)).otherwise(F.lit(0)).cast("long"))
+        named.withColumn("cell_taken", F.least(F.col("quota") * block_words, F.col("cell_size") * MOST_COPIES))
         .withColumn("copies", F.when(F.col("cell_size") > 0, copies).otherwise(F.lit(0)))
         .withColumn("rest", F.col("cell_taken") - F.col("copies") * F.col("cell_size"))
         .select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size") + part).cast("long").alias("taken"))
@@ -126,6 +169,28 @@ def mix(docs: DataFrame) -> DataFrame:
     return rows.select(*((own[c].cast(kinds[c]) if own.get(c) is not None else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
+def _contest(name: str, parties: str, within: str, weight: str, order: str) -> str:
+    """SQL of ``apportion``: tables ``{name}_near`` (parties with their certain seats) and ``{name}`` (with quota)."""
+    over = f"partition by {within}" if within else ""
+    keys = [k.strip() for k in (within.split(",") if within else [])] + [order]
+    parties = parties.format(BLOCK_WORDS=BLOCK_WORDS)
+    return f"""{name}_parts as (
+  select *, case when sum({weight}) over ({over}) > 0 then {weight}::double / (sum({weight}) over ({over}))::double else 0 end as part, count(*) over ({over}) as n
+  from ({parties})),
+{name}_near as (
+  select *, case when part > 0 then greatest(0, floor(part * seats + 0.5) - (ceil(part * n * 1.5) + 2)) else 0 end::bigint as sure,
+         case when part > 0 then floor(part * seats + 0.5) + ceil(part * n * 1.5) + 2 else 0 end::bigint as upto
+  from {name}_parts),
+{name}_open as (select *, seats - sum(sure) over ({over}) as open_seats from {name}_near),
+{name}_won as (
+  select {", ".join(keys)}, count(*) as won from (
+    select {", ".join(keys)}, open_seats, row_number() over ({over} order by {weight}::double / (k - 0.5) desc, {order}, k) as place
+    from (select *, unnest(range(sure + 1, upto + 1)) as k from {name}_open))
+  where place <= open_seats group by all),
+{name} as (
+  select *, (sure + coalesce(won, 0))::bigint as quota from {name}_open left join {name}_won using ({", ".join(keys)}))"""
+
+
 ORACLE_SQL = f"""
 with sizes as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
@@ -145,25 +210,27 @@ filled as (
 opened as (
   select *, min(case when (left_words / left_w) * w <= cap then pos end) over () as first_open from filled),
 targets as (
-  select source, source_size, source_rows,
+  select source, source_size, source_rows, rank,
          case when first_open is null or pos < first_open then cap::double
               else max(case when pos = first_open then left_words / left_w end) over () * w end as target
   from opened),
-cells as (
-  select d.*, t.source_size, t.target,
+named as (
+  select d.*, t.rank, t.source_size, t.target, ceil(t.source_rows / {SHARD_ROWS})::bigint as of_shards,
          ('0x' || substr(key, 1, 8))::bigint % ceil(t.source_rows / {SHARD_ROWS})::bigint as shard
   from sizes d join targets t on d.source is not distinct from t.source),
+{_contest("by_source", "select *, floor(sum(target) over () / {BLOCK_WORDS} + 0.5)::bigint as seats from targets", "", "target", "rank")},
+cells as (
+  select rank, shard, shard % ceil(sqrt(of_shards))::bigint as grp, sum(size)::bigint as cell_size
+  from named group by rank, shard, of_shards),
+{_contest("by_group", "select * from (select rank, grp, sum(cell_size)::bigint as group_size from cells group by rank, grp) join (select rank, quota as seats from by_source) using (rank)", "rank", "group_size", "grp")},
+{_contest("by_shard", "select * from cells join (select rank, grp, quota as seats from by_group) using (rank, grp)", "rank, grp", "cell_size", "shard")},
 streams as (
-  select *, sum(size) over (partition by source, shard)::bigint as cell_size,
-         coalesce(sum(size) over (partition by source, shard order by key, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as start
-  from cells),
-quotas as (
-  select *, case when cell_size > 0
-         then least(floor(cell_size::double * floor(target / {BLOCK_WORDS} + 0.5) / source_size + 0.5) * {BLOCK_WORDS}, cell_size * {MOST_COPIES})::bigint
-         else 0 end as cell_taken
-  from streams),
+  select *, coalesce(sum(size) over (partition by rank, shard order by key, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as start
+  from named),
 copied as (
-  select *, case when cell_size > 0 then cell_taken // cell_size else 0 end as copies from quotas)
+  select s.*, q.cell_size, least(q.quota * {BLOCK_WORDS}, q.cell_size * {MOST_COPIES})::bigint as cell_taken,
+         case when q.cell_size > 0 then least(q.quota * {BLOCK_WORDS}, q.cell_size * {MOST_COPIES})::bigint // q.cell_size else 0 end as copies
+  from streams s join by_shard q on s.rank = q.rank and s.shard = q.shard)
 select doc_id, size, source_size, target,
        (copies * size + greatest(0, least(size, cell_taken - copies * cell_size - start)))::bigint as taken
 from copied
