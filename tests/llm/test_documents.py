@@ -301,7 +301,7 @@ def brute_signature(text: str) -> set[tuple[int, int]]:
     if not words:
         return set()
     kmers = [spark_hash(*h[i : i + 5]) for i in range(len(h) - 4)] if len(h) >= 5 else [spark_hash(*h)]
-    top = lambda v: (v & ((1 << 64) - 1)) >> 25
+    top = lambda v: (v & ((1 << 64) - 1)) >> 32
     seen, placed = Counter(), []
     for pos, v in enumerate(map(top, kmers)):
         n = seen[v]
@@ -309,7 +309,7 @@ def brute_signature(text: str) -> set[tuple[int, int]]:
         placed.append((v if n == 0 else top(spark_hash_pair(v, n)), pos))
     bins = defaultdict(list)
     for v, pos in sorted(placed):
-        bins[v >> 33].append((v, pos))
+        bins[v >> 26].append((v, pos))
     out = set()
     for b, got in bins.items():
         chosen = sorted(got[:2], key=lambda x: x[1])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -14,8 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; set a folder only where it is unset (tests)."""
+    """Use the cluster's ``spark.checkpoint.dir``; set a folder only where it is unset and one machine does
+    all the work (tests). On a cluster a machine's own folder would be lost with it, so that is an error."""
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
 
 
@@ -41,3 +45,17 @@ def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Bytes of stored input that one task of a shuffle is to take.
+PARTITION_BYTES = 64 << 20
+#: An estimate of this many bytes is none: the optimizer says so of rows that come from no file.
+UNKNOWN_BYTES = 1 << 60
+
+
+def partitions_for(df: DataFrame) -> int:
+    """Partitions for a shuffle of what ``df`` reads: as configured, and more where its files ask for them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    held = sum(n for n in sizes if n < UNKNOWN_BYTES)
+    return max(shuffle_partitions(df.sparkSession), math.ceil(held / PARTITION_BYTES))

@@ -14,13 +14,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ids_and_texts, shuffle_partitions
+from tidemark.llm.common import ids_and_texts, partitions_for
 
 K = 5
 TUPLE = 2
 BIN_BITS = 6
 HASH_BITS = 18
-POS_BITS = 24
+#: As many as the places of an array need, so that no text is too long for its order.
+POS_BITS = 31
 #: Upper bits of a k-mer's hash that fit a long together with its position.
 KEPT_BITS = 63 - POS_BITS
 
@@ -33,7 +34,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def _placed(hash_: Column, pos: Column) -> Column:
     """Hash above, position below, as a non-negative long: its order is that of hashes, then of text."""
     high = F.shiftleft(F.shiftrightunsigned(hash_, 64 - KEPT_BITS), POS_BITS)
-    return high.bitwiseOR(F.least(pos.cast("long"), F.lit((1 << POS_BITS) - 1)))
+    return high.bitwiseOR(pos.cast("long"))
 
 
 def _hash(x: Column) -> Column:
@@ -133,7 +134,8 @@ def with_next(texts: DataFrame, derived: dict[str, Column]) -> DataFrame:
     texts' hashes.
     """
     carried = ["text", *derived]
-    n = 2 * shuffle_partitions(texts.sparkSession)
+    parts = partitions_for(texts)
+    n = 2 * parts
     ids = texts.select(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("at"))
     bounds = sorted(set(ids.approxQuantile("at", [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
     edges = F.array(*(F.lit(int(b)).cast("long") for b in bounds)) if bounds else F.array().cast("array<bigint>")
@@ -146,16 +148,17 @@ def with_next(texts: DataFrame, derived: dict[str, Column]) -> DataFrame:
     at = F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))
     found = (
         texts.withColumn("at", at)
-        .join(F.broadcast(nexts), F.col("at") == F.col("next_head"))
+        .join(F.broadcast(nexts), F.col("at") == F.col("next_head"))  # two numbers per range
         .withColumns(derived)
         .groupBy("range")
         .agg(F.min(F.struct(F.md5("text").alias("key"), F.struct(*carried).alias("row"))).alias("head_row"))
         .select(F.col("range").alias("of"), F.col("head_row.row").alias("head_row"))
     )
     order = Window.partitionBy("range").orderBy(F.desc("at"), F.md5("text"))
-    rows = texts.withColumns(derived).withColumn("at", at).withColumn("range", range_of(F.col("at")))
+    rows = texts.withColumns(derived).withColumn("at", at).withColumn("range", range_of(F.col("at"))).repartition(parts, "range")
     rows = rows.withColumn("following", F.lead(F.struct(*carried)).over(order))
-    rows = rows.join(F.broadcast(found), (F.col("range") == F.col("of")) & F.col("following").isNull(), "left")
+    # ``found`` holds whole texts, one per range: rows are already dealt by range and meet them there.
+    rows = rows.join(found.hint("merge"), (F.col("range") == F.col("of")) & F.col("following").isNull(), "left")
     following = F.coalesce("following", "head_row")
     return rows.select(*texts.columns, *derived, *(following[c].alias(f"next_{c}") for c in carried))
 
