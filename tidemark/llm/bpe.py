@@ -26,11 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ids_and_texts, shuffle_partitions
+from tidemark.llm.common import ids_and_texts, partitions_for
 
 #: A block's documents are held together in one task: about so many bytes of text.
 BLOCK_BYTES = 32 << 20
 DOCS, WORDS = 0, 1
+#: A partition's next block has a place this much on: a prime, so that homes differ.
+PLACES = 1_000_003
 DOCS_TOGETHER = 64
 
 
@@ -39,12 +41,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-_codecs: dict[tuple[int, int], tiktoken.Encoding] = {}
+_codecs: dict[tuple[str, int, int], tiktoken.Encoding] = {}
+#: A word is encoded as one match.
+WHOLE = r"(?s).+"
 
 
 def codec(pattern: str, ranks: dict[bytes, int]) -> tiktoken.Encoding:
-    """One encoder per worker process and vocabulary."""
-    key = (id(ranks), len(ranks))
+    """One encoder per worker process, pattern and vocabulary."""
+    key = (pattern, id(ranks), len(ranks))
     if key not in _codecs:
         _codecs[key] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     return _codecs[key]
@@ -102,27 +106,26 @@ def from_varint(data: bytes) -> np.ndarray:
     return out
 
 
-ROW = "kind byte, key long, block string, slot int, data binary"
-_arrow_row = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("block", pa.string()), ("slot", pa.int32()), ("data", pa.binary())])
+#: ``key`` is the partition a row goes to next; ``home`` is that of its block.
+ROW = "kind byte, key int, home int, block string, slot int, data binary"
+_arrow_row = pa.schema([("kind", pa.int8()), ("key", pa.int32()), ("home", pa.int32()), ("block", pa.string()), ("slot", pa.int32()), ("data", pa.binary())])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _arrow_row)], schema=_arrow_row)
 
 
-def hash_of_block(block: str) -> int:
-    return xxhash.xxh32_intdigest(block.encode())
-
-
 #: A word's class is the bit length of its count in the block; classes come most frequent first.
 CLASSES = 33
 
 
-def block_rows(block: str, words: dict[str, int], docs: list[tuple[int | None, np.ndarray]], buckets: int) -> Iterator[tuple]:
+def block_rows(place: int, words: dict[str, int], docs: list[tuple[int | None, np.ndarray]], buckets: int) -> Iterator[tuple]:
     """DOCS rows of up to ``DOCS_TOGETHER`` documents, and a WORDS row per bucket of words.
 
     Words are numbered by class, bucket and spelling: frequent words get short numbers, and the
-    numbers follow from the lists and their class sizes alone.
+    numbers follow from the lists and their class sizes alone. Blocks are dealt to partitions by their
+    place in the scan. A block's name has a digest of its words and documents: should a rerun find its
+    rows in another order, lists of the one never meet documents of the other.
     """
     raw = [w.encode() for w in words]
     counts = np.bincount(np.concatenate([seq for _, seq in docs]), minlength=len(raw)) if raw else np.empty(0, np.int64)
@@ -134,54 +137,60 @@ def block_rows(block: str, words: dict[str, int], docs: list[tuple[int | None, n
         lists[bucket[i]].append(i)
     number = np.empty(len(raw), np.uint32)
     number[sorted(range(len(raw)), key=lambda i: (cls[i], bucket[i], raw[i]))] = np.arange(len(raw), dtype=np.uint32)
+    digest = xxhash.xxh64(repr([d for d, _ in docs]).encode())
+    for w in raw:
+        digest.update(struct.pack("<I", len(w)) + w)
+    for _, seq in docs:
+        digest.update(struct.pack("<Q", len(seq)) + seq.tobytes())
+    block, home = f"{place}-{digest.hexdigest()}", place % buckets
     for at in range(0, len(docs), DOCS_TOGETHER):
         some = docs[at : at + DOCS_TOGETHER]
         ids = np.array([d or 0 for d, _ in some], "<i8").tobytes()
         known = np.array([d is not None for d, _ in some], np.uint8).tobytes()
         sizes = np.array([len(q) for _, q in some], "<u4").tobytes()
-        yield DOCS, hash_of_block(block), block, -1, pack(ids, known, sizes, to_varint(number[np.concatenate([q for _, q in some])]))
+        yield DOCS, home, home, block, -1, pack(ids, known, sizes, to_varint(number[np.concatenate([q for _, q in some])]))
     for b, items in enumerate(lists):
         if items:
             sizes = np.bincount(cls[items], minlength=CLASSES).astype("<u4").tobytes()
             lengths = to_varint(np.array([len(raw[i]) for i in items]))
-            yield WORDS, b, block, b, pack(sizes, lengths, b"".join([raw[i] for i in items]))
+            yield WORDS, b, home, block, b, pack(sizes, lengths, b"".join([raw[i] for i in items]))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Documents to block rows. A block's name comes from its place in the scan, which a rerun repeats."""
+    """Documents to block rows. A block's place is its number within its partition of the scan, dealt so that
+    first blocks of partitions go to different homes."""
     split = regex.compile(pattern)
-    part = TaskContext.get().partitionId()
-    number, size, words, docs = 0, 0, {}, []
+    place, size, words, docs = TaskContext.get().partitionId(), 0, {}, []
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             found = split.findall(text)
             docs.append((doc_id, np.fromiter((words.setdefault(w, len(words)) for w in found), np.uint32, len(found))))
             size += len(text)
             if size >= block_bytes:
-                yield _batch(list(block_rows(f"{part}-{number}", words, docs, buckets)))
-                number, size, words, docs = number + 1, 0, {}, []
+                yield _batch(list(block_rows(place, words, docs, buckets)))
+                place, size, words, docs = place + PLACES, 0, {}, []
     if docs:
-        yield _batch(list(block_rows(f"{part}-{number}", words, docs, buckets)))
+        yield _batch(list(block_rows(place, words, docs, buckets)))
 
 
-def _encode_lists(batches: Iterator[pa.RecordBatch], pattern: str, ranks) -> Iterator[pa.RecordBatch]:
+def _encode_lists(batches: Iterator[pa.RecordBatch], ranks) -> Iterator[pa.RecordBatch]:
     """WORDS rows become lists of ids; each distinct word of a bucket is encoded once."""
-    encode = codec(pattern, ranks.value)._encode_single_piece
+    encode = codec(WHOLE, ranks.value).encode_ordinary
     known: dict[bytes, list[int]] = {}
     for batch in batches:
         out = []
-        for kind, key, block, slot, data in zip(*(c.to_pylist() for c in batch.columns)):
+        for kind, key, home, block, slot, data in zip(*(c.to_pylist() for c in batch.columns)):
             if kind == WORDS:
                 sizes, lengths, joined = unpack(data)
                 ids: list[list[int]] = []
                 for w in pieces(joined, from_varint(lengths)):
                     got = known.get(w)
                     if got is None:
-                        got = known[w] = encode(w)
+                        got = known[w] = encode(w.decode())
                     ids.append(got)
                 flat = np.fromiter((i for x in ids for i in x), np.uint32)
-                key, data = hash_of_block(block), pack(sizes, to_varint(np.array(list(map(len, ids)))), as_planes(flat))
-            out.append((kind, key, block, slot, data))
+                key, data = home, pack(sizes, to_varint(np.array(list(map(len, ids)))), as_planes(flat))
+            out.append((kind, key, home, block, slot, data))
         if out:
             yield _batch(out)
 
@@ -204,13 +213,15 @@ def _assemble(batches: Iterator[pa.RecordBatch], ranks, emit) -> Iterator[pa.Rec
     table = {i: t for t, i in ranks.value.items()}
     block, lists, words = None, [], None
     for batch in batches:
-        for kind, _, name, _, data in zip(*(c.to_pylist() for c in batch.columns)):
+        for kind, _, _, name, _, data in zip(*(c.to_pylist() for c in batch.columns)):
             if name != block:
                 block, lists, words = name, [], None
             if kind == WORDS:
                 lists.append(data)
                 continue
             if words is None:
+                if not lists and any(np.frombuffer(unpack(data)[2], "<u4")):
+                    raise RuntimeError("a rerun read the documents in another order: write the input to a table first")
                 words, lists = emit.prepare(ordered_words(lists), table), []
             ids, known, sizes, numbers = unpack(data)
             cuts = np.cumsum(np.frombuffer(sizes, "<u4"), dtype=np.int64)[:-1]
@@ -264,11 +275,11 @@ def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, emit, block
     if len(ranks) > 1 << 21:
         raise ValueError("the vocabulary is broadcast: at most two million tokens")
     spark = docs.sparkSession
-    n = shuffle_partitions(spark)
+    n = partitions_for(docs)
     shared = spark.sparkContext.broadcast(ranks)
     blocks = ids_and_texts(docs).mapInArrow(partial(_blocks, pattern=pattern, buckets=n, block_bytes=block_bytes), ROW)
-    answered = blocks.repartition(n, "key").mapInArrow(partial(_encode_lists, pattern=pattern, ranks=shared), ROW)
-    ordered = answered.repartition(n, "key", "block").sortWithinPartitions("block", F.desc("kind"), "slot")
+    answered = blocks.repartitionById(n, "key").mapInArrow(partial(_encode_lists, ranks=shared), ROW)
+    ordered = answered.repartitionById(n, "key").sortWithinPartitions("block", F.desc("kind"), "slot")
     return ordered.mapInArrow(partial(_assemble, ranks=shared, emit=emit), emit.schema)
 
 
@@ -289,16 +300,19 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes:
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """``(doc_id, bytes binary)`` from ``(doc_id, ids)`` by the token-byte table; null ids give null.
+    """``(doc_id, bytes binary)`` from ``(doc_id, ids)`` by the token-byte table.
 
-    The table is broadcast: it has one row per token of a fixed vocabulary.
+    A null list gives null, an empty one no bytes; a list with a null or with an id that the vocabulary does not
+    have stands for no text and gives null too. Null and repeated doc_ids are rows of their own; an empty
+    table gives no rows. The table is broadcast: it has one row per token of a fixed vocabulary.
     """
     shared = encoded.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = {i: t for t, i in shared.value.items()}
         for batch in batches:
-            out = [None if x is None else b"".join(map(table.__getitem__, x)) for x in batch.column(1).to_pylist()]
+            parts = [None if x is None else [table.get(i) for i in x] for x in batch.column(1).to_pylist()]
+            out = [None if x is None or None in x else b"".join(x) for x in parts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "bytes"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
