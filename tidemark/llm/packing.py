@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import codec
-from tidemark.llm.common import ids_and_texts, shuffle_partitions
+from tidemark.llm.common import ids_and_texts, partitions_for
 
 CONTEXT = 2048
 #: Documents a shard has on average, and pieces of one text that stay together.
@@ -70,10 +70,15 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[int]:
     return where
 
 
+def end_token(ranks: dict[bytes, int]) -> int:
+    """The id that closes a text and fills a row: the first above all ranks, which may have gaps."""
+    return max(ranks.values(), default=-1) + 1
+
+
 def pieces(docs: DataFrame, ranks: dict[bytes, int], pattern: str, context: int) -> DataFrame:
     """``(doc_id, piece, n, ids)``: ids as little-endian 32-bit numbers, ``context`` of them at most."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    end = len(ranks)
+    end = end_token(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = codec(pattern, shared.value).encode_ordinary
@@ -100,12 +105,12 @@ def pack(docs: DataFrame, ranks: dict[bytes, int], pattern: str, context: int =
     null or repeated doc_id are packed like others; an empty table gives no rows; other columns are not
     read. A rerun packs the same.
     """
-    spark = docs.sparkSession
+    parts = partitions_for(docs)
     shards = max(1, math.ceil(docs.count() / shard_rows))
     shard = F.pmod(F.xxhash64("doc_id", F.floor(F.col("piece") / PIECES_TOGETHER)), F.lit(shards))
     dealt = pieces(docs, ranks, pattern, context).withColumn("shard", shard)
-    ordered = dealt.repartition(shuffle_partitions(spark), "shard").sortWithinPartitions("shard", F.desc("n"), "doc_id", "piece", "ids")
-    end = len(ranks)
+    ordered = dealt.repartitionById(parts, F.pmod(F.col("shard"), F.lit(parts)).cast("int")).sortWithinPartitions("shard", F.desc("n"), "doc_id", "piece", "ids")
+    end = end_token(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -150,5 +155,9 @@ def pack(docs: DataFrame, ranks: dict[bytes, int], pattern: str, context: int =
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
-    """The packed rows as Parquet, one folder per shard: ``ids`` of a shard stacked are its id matrix."""
-    packed.write.partitionBy("shard").parquet(path)
+    """The packed rows as Parquet, one file per task, each with whole shards in order of ``(shard, seq)``.
+
+    ``ids`` of a file stacked are its id matrix. ``packed`` has to come from ``pack``, whose tasks hold whole
+    shards; a table without rows writes no rows. An existing ``path`` is an error, nothing is overwritten.
+    """
+    packed.sortWithinPartitions("shard", "seq").write.parquet(path)
