@@ -449,3 +449,33 @@ def test_toxicity_without_rows(docs, empty, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.score(empty, none).collect() == []
     assert {r.predicted for r in toxicity.score(docs, none).collect()} == {0}
+
+
+def test_no_byte_goes_by_a_hash_alone(spark):
+    """With base 1 a hash is a sum: texts that are each other's letters in another order all collide."""
+    rng = random.Random(21)
+    body = [rng.choice("abcdefgh ") for _ in range(400)]
+    rows = {i: "".join(rng.sample(body, len(body))) for i in range(30)}
+    rows |= {100 + i: rows[i] for i in range(10)} | {200: rows[3][50:300], 201: "x" * 30 + rows[4][:200] + "y"}
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)
+    texts_only = df.select("doc_id", "text")
+    assert substrings.covered_windows(texts_only, substrings.GROUP, (1, 1)) is None
+    for group in (substrings.GROUP, 3):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(df, group, ((1, 1), *substrings.BASES)).collect()}
+        assert got == brute_repeats(rows)
+    with pytest.raises(RuntimeError):
+        substrings.remove_repeats(df, bases=((1, 1),))
+    # Copies in blocks of their own are compared across them.
+    assert substrings.unlike(texts_only, spark.createDataFrame([(100, 0, 50, 0, 0, 0)], "doc_id long, s int, e int, of_doc long, of_s int, lot long")) == 0
+    assert substrings.unlike(texts_only, spark.createDataFrame([(100, 0, 50, 0, 0, 0), (101, 0, 50, 0, 0, 0)], "doc_id long, s int, e int, of_doc long, of_s int, lot long")) == 1
+
+
+def test_rows_that_share_a_doc_id_are_documents_of_their_own(spark):
+    rng = random.Random(22)
+    part = "".join(rng.choice("abcdefgh ") for _ in range(260))
+    rows = [(5, part + "one"), (5, part + "one"), (5, "two" + part), (3, "zz" + part[:150]), (9, "short"), (9, "short"), (None, part), (None, None)]
+    order = sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], hashlib.md5(r[1].encode()).hexdigest()))
+    want = sorted((d, *w) for (d, _), w in zip(order, brute_repeats({i: t for i, (_, t) in enumerate(order)}).values()))
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(r for r in got if r[0] is not None) == want
+    assert sorted(r[1:4] for r in got if r[0] is None) == [(0, 0, 0), (260, 0, 0)]

@@ -10,9 +10,13 @@ Finding them takes two steps, both over all bytes.
 2. Suffix sort. The contexts of an anchor meet in one task, at most ``GROUP`` at a time. The suffixes
    that start their windows are merge-sorted; two suffixes are compared by the length of their common
    extension, found by binary search over prefix polynomial hashes (seven probes for 100 bytes).
-   Neighbours that agree on 100 bytes by hash are compared byte by byte before they count as equal.
-   Groups of more than ``GROUP`` contexts are sorted part by part, and the first window of each class
-   and part meets those of the other parts by its hash.
+   Neighbours in the result are compared byte by byte over what they have in common, which proves the
+   order and the equalities. Groups of more than ``GROUP`` contexts are sorted part by part, and the first
+   window of each class and part meets those of the other parts by its hash.
+
+No byte goes by a hash alone: copies in a block of texts are compared where they are, others get the
+bytes of the run they are copies of, and are compared with their own text. Should a hash have deceived
+anywhere, nothing is removed and all is done again with other bases.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ids_and_texts, shuffle_partitions, written
+from tidemark.llm.common import ids_and_texts, partitions_for, written
 
 #: Bytes of a repeated string; bytes hashed for an anchor; contexts sorted together.
 LENGTH, GRAM, GROUP = 100, 40, 512
@@ -35,8 +39,15 @@ BLOCK_BYTES = 24 << 20
 #: Suffixes sorted at once.
 CHUNK = 1 << 19
 
-#: Odd bases of the two polynomial hashes (arithmetic is modulo 2**64), and mixers.
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Odd bases of the two polynomial hashes (arithmetic is modulo 2**64) by attempt, and mixers.
+BASES = (
+    (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F),
+    (0xBF58476D1CE4E5B9, 0x94D049BB133111EB),
+    (0x2545F4914F6CDD1D, 0x5851F42D4C957F2D),
+    (0x369DEA0F31A53F85, 0xD1342543DE82EF95),
+)
+#: Copies of one run that get its bytes from one row.
+COPIES_TOGETHER = 64
 MIX = (0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
 
 _powers: dict[tuple[int, bool], np.ndarray] = {}
@@ -74,7 +85,7 @@ def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(v[: len(v) - (width - w)], v[width - w :]) if w < width else v
 
 
-def anchor_runs(data: np.ndarray) -> tuple[np.ndarray, ...]:
+def anchor_runs(data: np.ndarray, bases: tuple[int, int] = BASES[0]) -> tuple[np.ndarray, ...]:
     """(first window, last window, offset of the anchor, anchor hash, context hash) of every run.
 
     Positions are worked out in pieces of 2**20 windows so that they fit the low bits of a hash; runs
@@ -84,8 +95,8 @@ def anchor_runs(data: np.ndarray) -> tuple[np.ndarray, ...]:
     if n < LENGTH:
         return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     low = np.uint64((1 << 20) - 1)
-    h, h2 = prefix_hashes(data, BASES[0]), prefix_hashes(data, BASES[1])
-    grams = mixed((h[GRAM:] - h[:-GRAM]) * powers(BASES[0], n, True)[: n - GRAM + 1], MIX[0])
+    h, h2 = prefix_hashes(data, bases[0]), prefix_hashes(data, bases[1])
+    grams = mixed((h[GRAM:] - h[:-GRAM]) * powers(bases[0], n, True)[: n - GRAM + 1], MIX[0])
     starts, ends, anchors = [], [], []
     for at in range(0, n - LENGTH + 1, (1 << 20) - LENGTH):
         part = grams[at : at + (1 << 20)][: n - GRAM + 1 - at]
@@ -98,22 +109,27 @@ def anchor_runs(data: np.ndarray) -> tuple[np.ndarray, ...]:
         ends.append(np.append(s[1:] - 1, len(p) - 1) + at)
         anchors.append(p[s] + at)
     s, e, a = map(np.concatenate, (starts, ends, anchors))
-    context = (h2[e + LENGTH] - h2[s]) * powers(BASES[1], n, True)[s]
-    context = mixed(context + (a - s).astype(np.uint64) * np.uint64(MIX[0]) + (e - s).astype(np.uint64) * np.uint64(BASES[0]), MIX[1])
+    context = (h2[e + LENGTH] - h2[s]) * powers(bases[1], n, True)[s]
+    context = mixed(context + (a - s).astype(np.uint64) * np.uint64(MIX[0]) + (e - s).astype(np.uint64) * np.uint64(BASES[0][0]), MIX[1])
     return s, e, a - s, grams[a], context
 
 
 RUN = "g long, c long, doc_id long, s int, e int, off int"
 _run_names = ["g", "c", "doc_id", "s", "e", "off"]
+#: A covered run that is a copy of a run elsewhere names it.
+TOLD = RUN + ", of_doc long, of_s int"
 
 
-def _runs_batch(cols: list[np.ndarray], covered: np.ndarray | None) -> pa.RecordBatch:
-    """Rows of RUN; covered ones have no g."""
+def _runs_batch(cols: list[np.ndarray], covered: np.ndarray | None, of: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> pa.RecordBatch:
+    """Rows of RUN; covered ones have no g. With ``of`` (document, start, whether there is none), rows of TOLD."""
     arrays = [pa.array(cols[0].view(np.int64), mask=covered), *(pa.array(x.view(np.int64)) for x in cols[1:3]), *(pa.array(x.astype(np.int32)) for x in cols[3:])]
-    return pa.RecordBatch.from_arrays(arrays, names=_run_names)
+    if of is None:
+        return pa.RecordBatch.from_arrays(arrays, names=_run_names)
+    arrays += [pa.array(of[0], mask=of[2]), pa.array(of[1].astype(np.int32), mask=of[2])]
+    return pa.RecordBatch.from_arrays(arrays, names=[*_run_names, "of_doc", "of_s"])
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _anchors(batches: Iterator[pa.RecordBatch], bases: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """All runs of the texts; of runs with equal contexts in a block, only the first keeps its anchor.
 
     Equal contexts of a block are compared byte by byte here.
@@ -123,7 +139,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> Iterator[pa.RecordBatch]:
         docs.sort(key=lambda d: d[0])
-        parts = [(i, *anchor_runs(data)) for i, (_, data) in enumerate(docs)]
+        parts = [(i, *anchor_runs(data, bases)) for i, (_, data) in enumerate(docs)]
         which = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts]).astype(np.int64)
         if not len(which):
             return
@@ -170,11 +186,13 @@ def same_bytes(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarra
 def _first_contexts(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     """Runs sorted by (g, c, doc_id, s) to covered runs (no g) and to the contexts to compare.
 
-    Of each (g, c) the first run stays a context, the others are covered. Contexts of an anchor that
-    has but one are dropped; ``c`` becomes the number of the context's part in its anchor's group. The
-    rows stream: only the last anchor's state is carried over.
+    Of each (g, c) the first run stays a context, the others are covered and name it; their ``c`` numbers
+    them in lots of ``COPIES_TOGETHER``. Contexts of an anchor that has but one are dropped; their ``c`` becomes
+    the number of the context's part in its anchor's group. The rows stream: only the last anchor's state is
+    carried over.
     """
     last_g = last_c = None
+    of_doc, of_s, copies = 0, 0, 0  # the last context and its copies so far
     number, held = 0, None  # contexts of the last anchor so far; its only one, not yet passed on
     for batch in batches:
         null = np.asarray(batch.column(0).is_null())
@@ -189,6 +207,11 @@ def _first_contexts(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[p
         same_g[0] = last_g is not None and not null[0] and g[0] == last_g
         same_c[0] = same_g[0] and c[0] == last_c
         context = ~null & ~same_c
+        # The context that a row is a copy of: the last one before it, in this batch or an earlier one.
+        first = np.maximum.accumulate(np.where(context, np.arange(n), -1))
+        here = first >= 0
+        doc_of, s_of = np.where(here, d[first], of_doc), np.where(here, s[first], of_s)
+        nth = np.arange(n) - first + np.where(here, 0, copies)
         start = np.flatnonzero(~same_g)
         group = np.cumsum(~same_g)
         upto = np.cumsum(context)
@@ -209,29 +232,35 @@ def _first_contexts(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[p
         alone = context & ~several & is_last & (not null[-1])
         if alone.any():
             i = np.flatnonzero(alone)[0]
-            held = _runs_batch([x[i : i + 1] for x in (g, np.zeros_like(c), d, s, e, off)], None)
+            held = _runs_batch([x[i : i + 1] for x in (g, np.zeros_like(c), d, s, e, off)], None, (d[i : i + 1], s[i : i + 1], np.ones(1, bool)))
         go = null | (~null & same_c) | (context & several)
         covered = (null | same_c)[go]
-        cols = [g[go], (ordinal // limit)[go], d[go], s[go], e[go], off[go]]
+        cols = [g[go], np.where(same_c, nth // COPIES_TOGETHER, ordinal // limit)[go], d[go], s[go], e[go], off[go]]
         if go.any():
-            yield _runs_batch(cols, covered)
+            yield _runs_batch(cols, covered, (doc_of[go], s_of[go], ~same_c[go]))
         if null[-1]:
             last_g = last_c = None
             number, held = 0, None
         else:
             number = int(total[group[-1]])
             last_g, last_c = g[-1], c[-1]
+            of_doc, of_s, copies = int(doc_of[-1]), int(s_of[-1]), int(nth[-1]) + 1
+
 
+class Collision(Exception):
+    """Different bytes had equal hashes."""
 
-def suffix_classes(text: np.ndarray, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def suffix_classes(text: np.ndarray, at: np.ndarray, key: np.ndarray, base: int = BASES[0][0]) -> tuple[np.ndarray, np.ndarray]:
     """Sort suffixes ``text[at:]`` within equal ``key`` by their first LENGTH bytes.
 
-    Returns the order and, for every place in it, whether it is equal to the place before it.
+    Returns the order and, for every place in it, whether it is equal to the place before it; ``Collision``
+    if the bytes don't bear the order out.
     A bottom-up mergesort over all keys at once: runs double, an element's place in the merged run is
     its place in its own plus its rank in the other, found by binary search with hashed comparisons.
     """
-    h = prefix_hashes(text, BASES[0])
-    inverse = powers(BASES[0], len(text), True)
+    h = prefix_hashes(text, base)
+    inverse = powers(base, len(text), True)
 
     def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common extension of suffixes a and b, at most LENGTH."""
@@ -284,17 +313,21 @@ def suffix_classes(text: np.ndarray, at: np.ndarray, key: np.ndarray) -> tuple[n
     a, b = at[order[1:]], at[order[:-1]]
     equal = np.zeros(len(order), bool)
     near = np.flatnonzero(keys[1:] == keys[:-1])
-    near = near[common(a[near], b[near]) >= LENGTH]
-    near = near[same_bytes(text, a[near], b[near], np.full(len(near), LENGTH))]
-    equal[near + 1] = True
+    a, b = a[near], b[near]
+    k = common(a, b)
+    whole = k >= LENGTH
+    last = np.minimum(k, LENGTH - 1)
+    if not same_bytes(text, a, b, k).all() or not (whole | (text[b + last] < text[a + last])).all():
+        raise Collision
+    equal[near[whole] + 1] = True
     return order, equal
 
 
-def _compare(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], limit: int, bases: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """Contexts sorted by (g, part) to covered windows and, for large groups, first windows by hash.
 
     Rows out: doc_id, s, e (first and last covered window) with null hashes, or one window (s = e)
-    with its two hashes.
+    with its two hashes. A row without doc_id tells of a collision.
     """
     held: list[pa.RecordBatch] = []
     size = 0
@@ -313,7 +346,11 @@ def _compare(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Recor
         j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         at = base[row] + j
         key = group[row] * (LENGTH + 1) + (off[row] - j)
-        order, equal = suffix_classes(text, at, key)
+        try:
+            order, equal = suffix_classes(text, at, key, bases[0])
+        except Collision:
+            yield _windows(np.zeros(1, np.int64), np.zeros(1), np.zeros(1), known=False)
+            return
         # The first of each class by (doc_id, start) stays.
         cls = np.cumsum(~equal) - 1
         r = row[order]
@@ -332,10 +369,10 @@ def _compare(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Recor
         hot = np.flatnonzero(stays & many[r])
         if len(hot):
             hashes = []
-            for k in range(2):
-                h = prefix_hashes(text, BASES[k])
+            for base, by in zip(bases, MIX):
+                h = prefix_hashes(text, base)
                 p = at[order[hot]]
-                hashes.append(mixed((h[p + LENGTH] - h[p]) * powers(BASES[k], len(text), True)[p], MIX[k]))
+                hashes.append(mixed((h[p + LENGTH] - h[p]) * powers(base, len(text), True)[p], by))
             yield _windows(doc[r[hot]], start[hot], start[hot], *hashes)
 
     def flush(final: bool) -> Iterator[pa.RecordBatch]:
@@ -368,9 +405,9 @@ def _compare(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Recor
         yield from flush(True)
 
 
-def _windows(doc, s, e, h1=None, h2=None) -> pa.RecordBatch:
+def _windows(doc, s, e, h1=None, h2=None, known: bool = True) -> pa.RecordBatch:
     none = pa.nulls(len(doc), pa.int64())
-    arrays = [pa.array(doc.astype(np.int64)), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))]
+    arrays = [pa.array(doc.astype(np.int64)) if known else none, pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))]
     arrays += [none, none] if h1 is None else [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))]
     return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "s", "e", "h1", "h2"])
 
@@ -389,33 +426,65 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays(arrays, names=names)
 
 
+def _cut_originals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with a lot of runs that are copies of parts of them, to the bytes that each copy must have.
+
+    Copies that follow one another in both texts are one row.
+    """
+    for batch in batches:
+        texts = batch.column(0).cast(pa.binary()).to_pylist()
+        ends, (doc, s, e, of_s) = list_fields(batch.column(1))
+        text = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        order = np.lexsort((s, s - of_s, doc, text))
+        text, doc, s, e, of_s = (x[order] for x in (text, doc, s.astype(np.int64), e.astype(np.int64), of_s.astype(np.int64)))
+        if not len(doc):
+            continue
+        shift = s - of_s
+        new = np.concatenate([[True], (text[1:] != text[:-1]) | (doc[1:] != doc[:-1]) | (shift[1:] != shift[:-1]) | (s[1:] > e[:-1] + 1)])
+        start = np.flatnonzero(new)
+        stop = np.maximum.reduceat(e, start)
+        for at in range(0, len(start), 1 << 12):
+            i, last = start[at : at + (1 << 12)], stop[at : at + (1 << 12)]
+            bodies = [texts[t][a : a + n] for t, a, n in zip(text[i].tolist(), of_s[i].tolist(), (last - s[i] + LENGTH).tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array(s[i].astype(np.int32)), pa.array(bodies, pa.binary())], names=["doc_id", "s", "body"])
+
+
+def _count_unlike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with the bytes that they should have at given places: how many places have others."""
+    for batch in batches:
+        texts = batch.column(0).cast(pa.binary()).to_pylist()
+        wrong = sum(text[c["s"] : c["s"] + len(c["body"])] != c["body"] for text, copies in zip(texts, batch.column(1).to_pylist()) for c in copies)
+        yield pa.RecordBatch.from_arrays([pa.array([wrong], pa.int64())], names=["wrong"])
+
+
+def unlike(texts: DataFrame, copies: DataFrame) -> int:
+    """Number of ``copies(doc_id, s, e, of_doc, of_s, lot)`` that don't have the bytes of their originals."""
+    lots = copies.groupBy("of_doc", "lot").agg(F.collect_list(F.struct("doc_id", "s", "e", "of_s")).alias("copies"))
+    originals = texts.join(lots, F.col("doc_id") == F.col("of_doc")).select("text", "copies").mapInArrow(_cut_originals, "doc_id long, s int, body binary")
+    wanted = originals.groupBy("doc_id").agg(F.collect_list(F.struct("s", "body")).alias("wanted"))
+    found = texts.join(wanted, "doc_id").select("text", "wanted").mapInArrow(_count_unlike, "wrong long")
+    return found.agg(F.coalesce(F.sum("wrong"), F.lit(0))).first()[0]
+
+
 def list_fields(column: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Offsets and fields of a column of lists of structs (a null list is an empty one)."""
     structs = column.values
     return column.offsets.to_numpy(), [structs.field(i).to_numpy(zero_copy_only=False) for i in range(structs.type.num_fields)]
 
 
-def sorted_runs(texts: DataFrame, group: int) -> DataFrame:
+def sorted_runs(texts: DataFrame, group: int, bases: tuple[int, int]) -> DataFrame:
     """Covered runs (no g) and the contexts to compare (``c`` is their part), from all texts."""
-    n = shuffle_partitions(texts.sparkSession)
-    runs = texts.mapInArrow(_anchors, RUN)
+    n = partitions_for(texts)
+    runs = texts.mapInArrow(partial(_anchors, bases=bases), RUN)
     # Covered runs have no g: they are spread by document.
     dealt = runs.repartition(n, F.coalesce("g", "doc_id")).sortWithinPartitions("g", "c", "doc_id", "s")
-    return dealt.mapInArrow(partial(_first_contexts, limit=group), RUN)
-
+    return dealt.mapInArrow(partial(_first_contexts, limit=group), TOLD)
 
-def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` and ``kept`` (the bytes that stay).
 
-    A byte goes if a 100-byte string that covers it also starts earlier: in a document of smaller
-    doc_id, or earlier in the same one. Null and empty texts have nothing to lose; texts under 100
-    bytes stay whole; doc_id is the order of documents and so has to be unique: rows that share one are
-    judged as one document with several texts. Rows with a null doc_id have no place in the order and
-    stay whole. An empty table gives no rows; other columns are not read.
-    """
-    texts = ids_and_texts(docs)
-    runs = written(sorted_runs(texts, group))
-    n = shuffle_partitions(docs.sparkSession)
+def covered_windows(texts: DataFrame, group: int, bases: tuple[int, int]) -> DataFrame | None:
+    """``(doc_id, s, e)``: runs of windows to remove; None if the hashes under these bases deceived."""
+    runs = written(sorted_runs(texts, group, bases))
+    n = partitions_for(texts)
     to_compare = runs.where("g is not null").groupBy("doc_id").agg(F.collect_list(F.struct("g", "c", "s", "e", "off")).alias("runs"))
     contexts = texts.join(to_compare, "doc_id").select("doc_id", "text", "runs").mapInArrow(
         _cut_contexts, "g long, part long, doc_id long, s int, e int, off int, body binary"
@@ -423,14 +492,50 @@ def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     compared = written(
         contexts.repartition(n, "g", "part")
         .sortWithinPartitions("g", "part")
-        .mapInArrow(partial(_compare, limit=group), "doc_id long, s int, e int, h1 long, h2 long")
+        .mapInArrow(partial(_compare, limit=group, bases=bases), "doc_id long, s int, e int, h1 long, h2 long")
     )
     # Windows of parts of one large group: at most one per part and class, so these windows are small.
-    first = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("doc_id", "s"))
-    crossed = compared.where("h1 is not null").withColumn("nth", first).where("nth > 1")
+    by_hash = Window.partitionBy("h1", "h2").orderBy("doc_id", "s")
+    crossed = compared.where("h1 is not null").withColumn("nth", F.row_number().over(by_hash)).withColumn("of", F.first(F.struct("doc_id", "s")).over(by_hash)).where("nth > 1")
+    copies = runs.where("of_doc is not null").select("doc_id", "s", "e", "of_doc", "of_s", F.col("c").alias("lot"))
+    again = crossed.select("doc_id", "s", "e", F.col("of.doc_id").alias("of_doc"), F.col("of.s").alias("of_s"), F.floor(F.col("nth") / COPIES_TOGETHER).alias("lot"))
+    if compared.where("doc_id is null").limit(1).count() or unlike(texts, copies.unionByName(again)):
+        return None
     covered = runs.where("g is null").select("doc_id", "s", "e")
     for late in (compared.where("h1 is null"), crossed):
         covered = covered.unionByName(late.select("doc_id", "s", "e"))
+    return covered
+
+
+def in_order(texts: DataFrame) -> DataFrame:
+    """``(doc_id, text, name)``: ``name`` is the given doc_id, ``doc_id`` one that no two rows share, in order.
+
+    Only where ids repeat are the rows sorted and written with new numbers.
+    """
+    named = texts.withColumn("name", F.col("doc_id"))
+    if not texts.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return named
+    ordered = named.where("doc_id is not null").orderBy("doc_id", F.md5("text")).withColumn("doc_id", F.monotonically_increasing_id())
+    return written(ordered.unionByName(named.where("doc_id is null")))
+
+
+def remove_repeats(docs: DataFrame, group: int = GROUP, bases: tuple[tuple[int, int], ...] = BASES) -> DataFrame:
+    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` and ``kept`` (the bytes that stay).
+
+    A byte goes if a 100-byte string that covers it also starts earlier: in a document of smaller
+    doc_id, or earlier in the same one. Null and empty texts have nothing to lose; texts under 100
+    bytes stay whole. Rows that share a doc_id are documents of their own, in the order of their texts'
+    hashes; of equal rows all but one lose everything that is long enough. Rows with a null doc_id have no
+    place in the order and stay whole. An empty table gives no rows; other columns are not read. A task holds about
+    ``BLOCK_BYTES`` of texts, or one text, and some forty times as much for its hashes.
+    """
+    texts = in_order(ids_and_texts(docs))
+    for pair in bases:
+        covered = covered_windows(texts.select("doc_id", "text"), group, pair)
+        if covered is not None:
+            break
+    else:
+        raise RuntimeError("all bases of the hashes collided")
     spans = covered.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("covered"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -455,4 +560,4 @@ def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return texts.join(spans, "doc_id", "left").select("doc_id", "text", "covered").mapInArrow(finish, schema)
+    return texts.join(spans, "doc_id", "left").select("name", "text", "covered").mapInArrow(finish, schema)
