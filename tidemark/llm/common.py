@@ -6,6 +6,9 @@ import math
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +41,24 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_by(df: DataFrame, *keys: str) -> tuple[str, DataFrame]:
+    """``df`` as Parquet in the shared checkpoint folder, one folder per value of the keys, and where it is."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(*keys).parquet(path)
+    return path, spark.read.schema(df.schema).parquet(path)
+
+
+def read_column(path: str, column: str) -> list:
+    """A column of the Parquet files of a folder, read inside a task from the shared storage."""
+    scheme, _, rest = path.partition(":")
+    uri = path if path.startswith("/") else f"file:///{rest.lstrip('/')}" if scheme == "file" else path
+    fs, at = pa.fs.FileSystem.from_uri(uri)
+    files = [f.path for f in fs.get_file_info(pa.fs.FileSelector(at)) if f.base_name.endswith(".parquet")]
+    return [x for f in sorted(files) for x in pq.read_table(f, columns=[column], filesystem=fs, partitioning=None).column(0).to_pylist()]
+
+
 def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, text)`` only, with null texts as empty ones: extra columns never reach an operator."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

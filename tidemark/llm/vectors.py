@@ -1,12 +1,13 @@
 """Embedding near-duplicates by hierarchical navigable small-world graphs, one per shard.
 
 Equal vectors collapse into a class; classes are dealt to shards by hash, and every shard's graph is
-built in one task and written to the shared folder. Every class then queries every shard: queries
-stream through the tasks that hold a shard's graph. Beams widen in two ways: a shard audits its
-graph against brute force on a fixed number of its own vectors and doubles its beam until the recall
-is reached, and a query whose beam is filled with links doubles its own. What a beam finds is checked
-in double precision before it counts; links become counts and spanning forests where they are found,
-so pairs never leave a task.
+built in one task and written to the shared folder. Every class then queries every shard: a task holds a
+slice of the classes and reads the graphs from the shared folder one after another, so that vectors are
+shuffled once, however many shards there are. Beams widen in two ways: a shard audits its graph against
+brute force, with vectors of its own and of all shards that have links in it (themselves not counted), and
+doubles its beam until the recall is reached; and a query whose beam is filled with links doubles its own.
+What a beam finds is checked in double precision before it counts; links become counts and spanning
+forests where they are found, so pairs never leave a task.
 """
 
 from __future__ import annotations
@@ -21,16 +22,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, shuffle_partitions, written
+from tidemark.llm.common import cut, read_column, shuffle_partitions, written_by
 from tidemark.llm.components import connected_components, spanning
 
 THRESHOLD = 0.95
 #: Links of a node on the ground layer (half to the nearest, half spread out) and above.
 GROUND, UPPER = 32, 16
 #: Shards at least, classes in a shard on average at most, classes per query task on average at most.
-SHARDS, SHARD_ROWS, TASK_ROWS = 8, 50_000, 16_384
+SHARDS, SHARD_ROWS, TASK_ROWS = 8, 50_000, 32_768
 BEAM, BUILD_BEAM, EXPAND = 32, 48, 4
-AUDITS, RECALL = 64, 0.99
+#: Vectors with links that audit a shard at most; vectors of the shard, and of all shards, they are looked for among.
+AUDITS, OWN_TRIED, ALL_TRIED, RECALL = 128, 1024, 256, 0.99
 SLACK = 1e-4
 #: A widened beam of at least one in so many of a shard's vectors becomes a scan of the shard.
 SCAN = 16
@@ -165,11 +167,16 @@ class Index:
 
     def __init__(self, ids: np.ndarray, weights: np.ndarray, raw: np.ndarray, layers: list[np.ndarray], beam: int):
         self.ids, self.weights, self.raw, self.layers, self.beam = ids, weights, raw, layers, beam
+        #: Links of the audit's vectors that there are, and those that were found with the beam settled on.
+        self.audited = (0, 0)
         self.x = unit(raw.astype(np.float64))
 
     @classmethod
-    def build(cls, ids: np.ndarray, weights: np.ndarray, raw: np.ndarray, threshold: float) -> Index:
-        """Nodes are numbered by height, highest first, so that every layer is a prefix of the one below."""
+    def build(cls, ids: np.ndarray, weights: np.ndarray, raw: np.ndarray, threshold: float, others: tuple[np.ndarray, np.ndarray] | None = None) -> Index:
+        """Nodes are numbered by height, highest first, so that every layer is a prefix of the one below.
+
+        ``others`` are ids and vectors from all shards that join the audit.
+        """
         draw = np.array([xxhash.xxh64_intdigest(str(i), 7) for i in ids.tolist()], np.float64) / 2.0**64
         height = np.minimum(-np.log(np.maximum(draw, 1e-18)) / math.log(UPPER), 8).astype(int)
         order = np.lexsort((ids, -height))
@@ -180,18 +187,29 @@ class Index:
             if (n := int((height >= level).sum())) > 1:
                 layers.append(build_layer(x[:n], UPPER))
         index = cls(ids, weights, raw, layers, BEAM)
-        index.audit(threshold)
+        index.audit(threshold, others)
         return index
 
-    def audit(self, threshold: float) -> None:
-        """Double the beam until a fixed number of the shard's vectors find their links in the shard."""
-        q = np.unique(np.linspace(0, len(self.ids) - 1, AUDITS).astype(int))
-        exact = self.x[q] @ self.x.T >= threshold
-        while self.beam < len(self.ids):
-            a, b = self.found(self.x[q], threshold)
+    def audit(self, threshold: float, others: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        """Double the beam until the tried vectors that have links in the shard find them.
+
+        A vector's match with itself is no link. A shard in which none has any keeps its beam: ``audited`` is (0, 0).
+        """
+        own = np.unique(np.linspace(0, len(self.ids) - 1, OWN_TRIED).astype(int))
+        ids, q = self.ids[own], self.x[own]
+        if others is not None and len(others[0]):
+            ids, q = np.concatenate([others[0], ids]), np.concatenate([unit(others[1].astype(np.float64)), q])
+        exact = (q @ self.x.T >= threshold) & (ids[:, None] != self.ids[None, :])
+        linked = np.flatnonzero(exact.any(axis=1))
+        linked = linked[np.unique(np.linspace(0, max(0, len(linked) - 1), AUDITS).astype(int))] if len(linked) else linked
+        q, exact = q[linked], exact[linked]
+        there = int(exact.sum())
+        while there:
+            a, b = self.found(q, threshold)
             got = np.zeros_like(exact)
             got[a, b] = True
-            if (got & exact).sum() >= RECALL * exact.sum():
+            self.audited = (there, int((got & exact).sum()))
+            if self.audited[1] >= RECALL * there or self.beam >= len(self.ids):
                 break
             self.beam *= 2
 
@@ -244,12 +262,17 @@ class Index:
         return cls(z["ids"], z["weights"], z["raw"], layers, int(z["beam"]))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(len(column), -1)
+def _found(u: np.ndarray, v: np.ndarray | None, count: np.ndarray) -> pa.RecordBatch:
+    """Links that connect u and v, or (without v) the numbers of links of u."""
+    arrays = [pa.array(u), pa.nulls(len(u), pa.int64()) if v is None else pa.array(v), pa.array(count)]
+    return pa.RecordBatch.from_arrays(arrays, names=["u", "v", "count"])
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """``(vec_id, n_links, component_id, kept)``, one row per row of ``vectors``.
+    """``(vec_id, n_links, component_id, kept, recall)``, one row per row of ``vectors``.
+
+    ``recall`` is the share of links that the shards' audits found, the same in all rows (null: no audited vector
+    has a link).
 
     Vectors that are null, empty or zero, or hold a null or non-finite number, link with nothing; so do
     vectors of different lengths with each other. Equal vectors link; rows that repeat a vec_id count as
@@ -264,8 +287,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     classes = cut(good.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("dim", F.size("vec")))
     n = classes.count()
     shards = max(SHARDS, math.ceil(n / SHARD_ROWS))
-    slots = max(4, math.ceil(n / TASK_ROWS))
     parts = shuffle_partitions(spark)
+    slots = max(parts, math.ceil(n / TASK_ROWS))
     pack = "shard int, slot int, kind int, rep long, n long, dim int, data binary"
 
     def as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +305,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in pack.split(", ")])
 
-    packed = cut(classes.mapInArrow(as_bytes, pack))
+    packed = cut(classes.mapInArrow(as_bytes, pack).repartition(slots, "slot"))
+    # A bounded sample of all classes, for the audits.
+    tried = packed.orderBy(F.xxhash64("rep"), "rep").limit(ALL_TRIED).select("rep", "dim", "data").collect()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list] = {}
@@ -291,46 +316,43 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
                 held.setdefault((shard, dim), []).append((rep, weight, data))
         for (shard, dim), got in held.items():
             raw = np.frombuffer(b"".join(g[2] for g in got), "<f8").reshape(len(got), dim)
-            index = Index.build(np.array([g[0] for g in got]), np.array([g[1] for g in got]), raw, threshold)
-            values = (shard, 0, 0, None, None, dim, index.dumps())
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=[x.split()[0] for x in pack.split(", ")])
-
-    types = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    indexes = written(packed.repartition(parts, "shard", "dim").mapInArrow(build, pack))
+            like = [r for r in tried if r["dim"] == dim]
+            others = np.array([r["rep"] for r in like], np.int64), np.frombuffer(b"".join(bytes(r["data"]) for r in like), "<f8").reshape(len(like), dim)
+            index = Index.build(np.array([g[0] for g in got]), np.array([g[1] for g in got]), raw, threshold, others)
+            values = (shard, dim, *index.audited, index.dumps())
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=["shard", "dim", "there", "found", "data"])
+
+    types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    graphs = packed.repartition(parts, "shard", "dim").mapInArrow(build, "shard int, dim int, there long, found long, data binary")
+    folder, indexes = written_by(graphs, "shard", "dim")
+    # One row per shard: which graphs there are, and what their audits found.
+    built = indexes.select("shard", "dim", "there", "found").collect()
+    there = sum(r["there"] for r in built)
+    recall = sum(r["found"] for r in built) / there if there else None
+    shards_of: dict[int, list[int]] = {}
+    for r in sorted(built, key=lambda r: r["shard"]):
+        shards_of.setdefault(r["dim"], []).append(r["shard"])
 
     def query(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = None
+        held: dict[int, tuple[list, list]] = {}
         for batch in batches:
-            key = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 5, 1, 2)], axis=1)
-            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                if key[a, 3] == 0:
-                    index = Index.loads(batch.column(6)[a].as_py())
-                    continue
-                ids = batch.column(3).slice(a, b - a).to_numpy()
-                q, node = index.links(ids, _matrix(batch.column(6).slice(a, b - a)), threshold)
-                count = np.bincount(q, index.weights[node], len(ids)).astype(np.int64)
-                linked = np.flatnonzero(count)
+            for rep, dim, data in zip(*(batch.column(i).to_pylist() for i in (3, 5, 6))):
+                ids, raw = held.setdefault(dim, ([], []))
+                ids.append(rep)
+                raw.append(data)
+        for dim, (ids, raw) in held.items():
+            ids, raw = np.array(ids, np.int64), np.frombuffer(b"".join(raw), "<f8").reshape(len(ids), dim)
+            count = np.zeros(len(ids), np.int64)
+            for shard in shards_of[dim]:
+                index = Index.loads(read_column(f"{folder}/shard={shard}/dim={dim}", "data")[0])
+                q, node = index.links(ids, raw, threshold)
+                count += np.bincount(q, index.weights[node], len(ids)).astype(np.int64)
                 u, v = spanning(ids[q], index.ids[node])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([ids[linked], u])),
-                        pa.array(np.concatenate([np.zeros(len(linked), np.int64), v]), mask=np.arange(len(linked) + len(u)) < len(linked)),
-                        pa.array(np.concatenate([count[linked], np.zeros(len(u), np.int64)])),
-                    ],
-                    names=["u", "v", "count"],
-                )
-
-    names = [x.split()[0] for x in pack.split(", ")]
-    # A graph goes to each of its tasks, a query to one task of each shard.
-    graphs = indexes.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    asked = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    present = indexes.select("shard", "dim").distinct()
-    asked = asked.join(F.broadcast(present), ["shard", "dim"], "left_semi")
-    streams = graphs.select(*names).unionByName(asked.select(*names)).repartition(parts, "shard", "slot").sortWithinPartitions("shard", "dim", "slot", "kind")
-    found = cut(streams.mapInArrow(query, "u long, v long, count long"))
+                yield _found(u, v, np.zeros(len(u), np.int64))
+            linked = np.flatnonzero(count)
+            yield _found(ids[linked], None, count[linked])
+
+    found = cut(packed.mapInArrow(query, "u long, v long, count long"))
     parts_of = connected_components(found.where("v is not null").select("u", "v"))
     counts = found.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("count").alias("links"))
     named = (
@@ -340,4 +362,4 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     )
     known = good.join(named, "vec").select("vec_id", "n_links", "component_id")
     alone = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return known.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return known.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))).withColumn("recall", F.lit(recall).cast("double"))
