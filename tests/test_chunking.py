@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +51,93 @@ def test_wide_table_names_six_columns(spark):
     assert df.select(chunking.table_summary(df.t, F.lit(""))).first()[0] == "[表格] 文档 包含 0 行数据，列：c0、c1、c2、c3、c4、c5等8列"
 
 
+def plain_pieces(text, most, back, separators=chunking.SEPARATORS):
+    """The rule as it is stated, by trial: of all runs of parts from here on, the longest that fits."""
+    if len(text) <= most:
+        return [text] if text.strip() else []
+    usable = [s for s in separators if s in text]
+    if not usable:
+        return [text[a : a + most] for a in range(0, len(text), most - back) if text[a : a + most].strip()]
+    sep, found, parts, before = usable[0], [], text.split(usable[0]), ""
+
+    def run(parts):
+        held = ""
+        for part in parts:
+            held = (held + sep + part).lstrip(sep) if held else part
+        return held
+
+    while parts:
+        opened = [before + sep + parts[0]] if before else [parts[0]]
+        fits = 1
+        while fits < len(parts) and len(run([*opened, *parts[1 : fits + 1]])) <= most:
+            fits += 1
+        got = plain_pieces(held, most, back, separators[1:]) if (held := run([*opened, *parts[1:fits]])).strip() else []
+        found, parts, before = found + got, parts[fits:], got[-1][-back:] if got and back else ""
+    return found
+
+
+def test_pieces_equal_the_plain_rule():
+    rng = random.Random(4)
+    for letters in (["a", "b", " ", ". ", "\n", "\n\n", "。", "word", "\n\n\n"], ["a", " ", "."], ["\n", "a", "\n\n"], ["。", ".", "x", "..."]):
+        for _ in range(400):
+            text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 120)))
+            most = rng.randint(2, 40)
+            back = rng.randint(0, most - 1)
+            assert chunking.pieces(text, most, back) == plain_pieces(text, most, back), (text, most, back)
+
+
+def plain_page(text, most, back):
+    """Kinds, paths and texts of a page's chunks, line by line and with the plain rule."""
+    lines, kinds = text.splitlines(), []
+    row = [len(x.strip()) > 2 and x.strip()[0] == "|" == x.strip()[-1] for x in lines]
+    rule = [r and all(c.strip() and set(c.strip().strip(":")) == {"-"} and len(c.strip()) - len(c.strip().strip(":")) <= 2 for c in x.strip()[1:-1].split("|")) for r, x in zip(row, lines)]
+    for i in range(len(lines)):
+        a = i
+        while a > 0 and row[a] and row[a - 1]:
+            a -= 1
+        tops = [j for j in range(a, len(lines) - 1) if all(row[a : j + 1]) and rule[j + 1]]
+        kinds.append("table" if row[i] and tops and i >= tops[0] else "text")
+    out, crumbs, i = [], [], 0
+    while i < len(lines):
+        j = i
+        while j < len(lines) and kinds[j] == kinds[i]:
+            j += 1
+        body = "\n".join(lines[i:j]).strip()
+        if kinds[i] == "table":
+            out.append(("table", " > ".join(crumbs), body))
+            if any(x.strip() and not re.match(r"\|[-:| ]+\|", x.strip()) for x in body.splitlines()):
+                out.append(("table_summary", " > ".join(crumbs), None))
+        else:
+            held, said = "", []
+            for part in re.split(r"(?m)^(#{1,6}\s+.+)", body):
+                said.append(part)
+            for n, part in enumerate(said):
+                if n % 2:
+                    mark, title = re.match(r"(#+)\s+(.+)", part).groups()
+                    crumbs = crumbs[: len(mark) - 1] + [title.strip()]
+                else:
+                    out += [("text", " > ".join(crumbs), p) for p in plain_pieces(part.strip(), most, back)]
+        i = j
+    return out
+
+
+def test_pages_equal_the_plain_rule(spark):
+    rng = random.Random(6)
+    blocks = ["# A", "## B", "#### C d", "### ", "#no", "| a | b |", "|---|:-:|", "|--|", "| 1 | 2 |", "|  | x |", "| - |", "```", "some words. and more of them", "", "", "  ", "x" * 60, "|not", "。" * 3, "# Last\r"]
+    texts = ["\n".join(rng.choice(blocks) for _ in range(rng.randint(0, 25))) for _ in range(300)]
+    got = {}
+    for r in chunking.page_chunks(pages(spark, *texts).repartition(3), 12, 3).orderBy("page_id", "position").collect():
+        assert r.char_count == len(r.text) and r.position == len(got.setdefault(r.page_id, []))
+        got[r.page_id].append((r.chunk_type, r.section, None if r.chunk_type == "table_summary" else r.text))
+    for i, text in enumerate(texts):
+        assert got.get(i, []) == plain_page(text, 24, 6), text
+
+
+def test_chunking_moves_no_rows(spark):
+    plan = chunking.page_chunks(pages(spark, "a"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_pieces_are_short_and_overlap():
     rng = random.Random(0)
     for _ in range(200):
