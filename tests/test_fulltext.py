@@ -6,6 +6,7 @@ import random
 import sqlite3
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import fulltext
@@ -47,7 +48,9 @@ def test_phrases_equal_sqlite(spark, corpus):
     assert not [r for r in got if r.query_id == 4]
 
 
-@pytest.mark.parametrize("question", ["nana", "ana", "ALPHA beta", "café", "cafe", "is alpha", "qu", "alpha OR über", "a-b", "beta, alpha?"])
+@pytest.mark.parametrize("question", ["nana", "ana", "ALPHA beta", "café", "cafe", "is alpha", "qu", "alpha OR über", "a-b", "beta, alpha?",
+    "alpha AND beta", "alpha NOT beta", '"alpha beta"', '"pha be"', "alp*", '"alp" * beta', "alpha AND", "NOT alpha", "alpha alpha", "is NOT alpha", "alpha NOT is", "is AND alpha", "alpha AND is", "is OR alpha", "beta OR is NOT gamma", "beta AND al NOT gamma", '"say ""alpha"" "', "alpha beta NOT gamma delta OR über",
+    "alpha AND beta NOT gamma AND delta", "alpha NOT beta NOT gamma", "beta OR alpha AND gamma NOT delta", '"a OR b" OR alpha', "alphaOR beta", "and or alpha", "", "al", '"unfinished'])
 def test_substrings_equal_sqlite(spark, corpus, question):
     con = sqlite_index(corpus, "trigram")
     chunks = spark.createDataFrame(corpus, "chunk_id long, text string")
@@ -59,6 +62,47 @@ def test_substrings_equal_sqlite(spark, corpus, question):
     assert {r.chunk_id: r.score for r in got} == pytest.approx(want, abs=2e-5)
 
 
+def test_kept_trigrams_change_nothing(spark, corpus):
+    chunks = spark.createDataFrame([*corpus, (900, None), (901, ""), (902, "ab")], "chunk_id long, text string")
+    asked = spark.createDataFrame([(1, "nana OR gam"), (2, "alpha NOT beta"), (3, "zzz OR delta"), (4, "qqqq"), (5, None)], "query_id long, question string")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    want = key(fulltext.trigram_topk(chunks, asked))
+    assert want and key(fulltext.trigram_topk(chunks, asked, grams=fulltext.trigram_postings(chunks))) == want
+
+
+def test_many_words_take_several_passes(spark, corpus, monkeypatch):
+    chunks = spark.createDataFrame(corpus, "chunk_id long, text string")
+    words = spark.createDataFrame([(w,) for w in ("nana", "ana", "alpha", "zzz", "a b", "über")], "word string")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    want = sorted((w, i, n, len(t) - 2) for i, t in corpus for w in ("nana", "ana", "alpha", "zzz", "a b", "über") if len(t) > 2 and (n := sum(t.startswith(w, k) for k in range(len(t)))))
+    assert key(fulltext.occurrences(chunks, words)) == want
+    monkeypatch.setattr(fulltext, "WORDS_TOGETHER", 2)
+    assert key(fulltext.occurrences(chunks, words)) == want
+
+
+def test_ideographs_are_found_by_pairs(spark):
+    texts = ["数据统计报告", "这份合同的违约条款是什么", "Q3各区域销售数据汇总", "total sales 数据", "款", "機器 学习", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
+    assert [r[0] for r in df.select(T.bigrams(df.text)).collect()][:5] == [
+        ["数据", "据统", "统计", "计报", "报告"], ["这份", "份合", "合同", "同的", "的违", "违约", "约条", "条款", "款是", "是什", "什么"],
+        ["q3", "各区", "区域", "域销", "销售", "售数", "数据", "据汇", "汇总"], ["total", "sales", "数据"], ["款"]]
+    marked = df.withColumn("is_cjk", T.is_cjk(F.col("text")))
+    asked = spark.createDataFrame([(1, "合同违约"), (2, "sales 数据"), (3, "统计")], "query_id long, question string")
+    got = {}
+    for r in fulltext.bm25_topk(fulltext.build_index(marked), asked).collect():
+        got.setdefault(r.query_id, set()).add(r.chunk_id)
+    # Chunk 3 has few ideographs: its run stays whole, and here it is a pair.
+    assert got == {1: {1}, 2: {0, 2, 3}, 3: {0}}
+    plain = fulltext.build_index(df.where("chunk_id = 0"))
+    assert [r.term for r in plain.postings.collect()] == ["数据统计报告"]
+
+
+def test_a_segmenter_can_be_passed_in(spark):
+    words = lambda text: F.split(F.lower(text), r"[ /]+")
+    df = spark.createDataFrame([(1, "数据/统计", True), (2, "a/b", False)], "chunk_id long, text string, is_cjk boolean")
+    assert sorted(r.term for r in fulltext.build_index(df, words).postings.collect()) == ["a", "b", "数据", "统计"]
+
+
 def test_terms(spark):
     df = spark.createDataFrame([("foo_bar don't C++ Été ế",), (None,), ("",)], "t string")
     got = [r[0] for r in df.select(T.terms(df.t)).collect()]

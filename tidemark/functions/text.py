@@ -33,6 +33,22 @@ def terms(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(fold(text), F.lit(TERM), F.lit(0)), F.array().cast("array<string>"))
 
 
+#: Characters that are written without spaces between words.
+CJK = "\\u4e00-\\u9fff\\u3400-\\u4dbf"
+
+
+def bigrams(text: Column) -> Column:
+    """Index terms with every run of CJK ideographs as its overlapping pairs (a single one as itself).
+
+    The default segmenter of CJK text: where a word list is at hand, any function from a text column to an
+    array of terms can take its place.
+    """
+    runs = F.flatten(F.transform(terms(text), lambda t: F.regexp_extract_all(t, F.lit(f"[{CJK}]+|[^{CJK}]+"), F.lit(0))))
+    pairs = lambda run: F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))
+    split = F.flatten(F.transform(runs, lambda run: F.when(run.rlike(f"^[{CJK}]{{2}}"), pairs(run)).otherwise(F.array(run))))
+    return F.when(text.rlike(f"[{CJK}]"), split).otherwise(terms(text))
+
+
 def strip(text: Column) -> Column:
     """Without white space at either end, as Unicode sees it."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -48,7 +64,16 @@ def lines(text: Column) -> Column:
 def cjk_share(text: Column) -> Column:
     """Share of CJK ideographs among all characters; 0 for an empty text."""
     n = F.length(text)
-    return F.when(n > 0, F.regexp_count(text, F.lit("[\\u4e00-\\u9fff\\u3400-\\u4dbf]")) / n).otherwise(F.lit(0.0))
+    return F.when(n > 0, F.regexp_count(text, F.lit(f"[{CJK}]")) / n).otherwise(F.lit(0.0))
+
+
+#: A text with more than this share of ideographs is segmented for the index.
+CJK_SHARE = 0.2
+
+
+def is_cjk(text: Column) -> Column:
+    """Whether a file whose first page has this text is indexed by segmented words."""
+    return F.coalesce(cjk_share(text) > CJK_SHARE, F.lit(False))
 
 
 # Markdown cleaning, in the order in which it applies.

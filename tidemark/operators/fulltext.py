@@ -7,13 +7,19 @@ there is no "+1" in it, so a term that half of the chunks hold weighs next to no
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 
+#: From a text to its terms: how runs of ideographs, which have no spaces, become words.
+Segmenter = Callable[[Column], Column]
 TOP_K = 20
 LEAST_IDF = 1e-6
 DIGITS = 6
@@ -28,20 +34,40 @@ class Index:
     stats: DataFrame
 
 
-def build_index(chunks: DataFrame) -> Index:
-    """Index of ``chunks(chunk_id, text)``; chunks without text are not in it.
+def index_terms(chunks: DataFrame, segmenter: Segmenter = T.bigrams) -> DataFrame:
+    """``(chunk_id, terms)`` of ``chunks(chunk_id, text)`` with text.
 
-    Terms are counted per chunk before the shuffle, so what moves is the postings.
+    With a column ``is_cjk`` (true for the chunks of files whose first page is in CJK, ``T.is_cjk``), those go
+    through the segmenter; other chunks keep runs of ideographs as they stand.
     """
-    held = chunks.where(F.coalesce(F.col("text"), F.lit("")) != "").select("chunk_id", T.terms(F.col("text")).alias("terms"))
-    postings = held.select("chunk_id", F.explode("terms").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
-    lengths = held.select("chunk_id", F.size("terms").cast("long").alias("len"))
+    text = F.col("text")
+    found = F.when(F.col("is_cjk"), segmenter(text)).otherwise(T.terms(text)) if "is_cjk" in chunks.columns else T.terms(text)
+    return chunks.where(F.coalesce(text, F.lit("")) != "").select("chunk_id", found.alias("terms"))
+
+
+def postings_of(held: DataFrame) -> DataFrame:
+    """``(term, chunk_id, tf)``. Terms are counted per chunk before the shuffle, so what moves is the postings."""
+    return held.select("chunk_id", F.explode("terms").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
+
+
+def lengths_of(held: DataFrame) -> DataFrame:
+    return held.select("chunk_id", F.size("terms").cast("long").alias("len"))
+
+
+def index_of(postings: DataFrame, lengths: DataFrame) -> Index:
+    """An index whose tables are at hand."""
     return Index(postings, lengths, lengths.agg(F.count("*").alias("n_chunks"), F.avg("len").alias("avglen")))
 
 
-def question_terms(questions: DataFrame) -> DataFrame:
-    """``(query_id, term, times)``; a term that a question repeats counts as often."""
-    exploded = questions.select("query_id", F.explode(T.terms(F.col("question"))).alias("term"))
+def build_index(chunks: DataFrame, segmenter: Segmenter = T.bigrams) -> Index:
+    """Index of ``chunks(chunk_id, text)``; chunks without text are not in it."""
+    held = index_terms(chunks, segmenter)
+    return index_of(postings_of(held), lengths_of(held))
+
+
+def question_terms(questions: DataFrame, segmenter: Segmenter = T.bigrams) -> DataFrame:
+    """``(query_id, term, times)``; a term that a question repeats counts as often. Questions are always segmented."""
+    exploded = questions.select("query_id", F.explode(segmenter(F.col("question"))).alias("term"))
     return exploded.groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
@@ -60,18 +86,28 @@ def top(scored: DataFrame, k: int, *keys: str) -> DataFrame:
     return ranked.where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long") - 1)
 
 
-def bm25(index: Index, questions: DataFrame) -> DataFrame:
-    """``(query_id, chunk_id, score)`` of every chunk that holds a term of the question."""
-    asked = question_terms(questions)
-    hits = index.postings.join(asked, "term")
+#: Tasks that the postings of one term are spread over.
+SPREAD = 16
+
+
+def bm25(index: Index, questions: DataFrame, segmenter: Segmenter = T.bigrams) -> DataFrame:
+    """``(query_id, chunk_id, score)`` of every chunk that holds a term of the question.
+
+    Asked terms meet the postings once per spread of chunks, so that a term in very many chunks is no single
+    task's work.
+    """
+    asked = question_terms(questions, segmenter)
+    spread = lambda: F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
+    dealt = index.postings.withColumn("spread", F.pmod(F.xxhash64("chunk_id"), F.lit(SPREAD)).cast("int"))
     n = index.postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-    weighted = hits.join(n, "term").join(index.lengths, "chunk_id").crossJoin(F.broadcast(index.stats))
+    hits = dealt.join(asked.join(n, "term").withColumn("spread", spread()), ["term", "spread"])
+    weighted = hits.join(index.lengths, "chunk_id").crossJoin(F.broadcast(index.stats))
     part = F.col("times") * idf(F.col("n_chunks"), F.col("n")) * saturation(F.col("tf"), F.col("len"), F.col("avglen"))
     return weighted.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
 
 
-def bm25_topk(index: Index, questions: DataFrame, k: int = TOP_K) -> DataFrame:
-    return top(bm25(index, questions), k)
+def bm25_topk(index: Index, questions: DataFrame, k: int = TOP_K, segmenter: Segmenter = T.bigrams) -> DataFrame:
+    return top(bm25(index, questions, segmenter), k)
 
 
 def filtered_topk(ranked: DataFrame, files: DataFrame, allowed: Column, k: int = TOP_K) -> DataFrame:
@@ -105,21 +141,40 @@ def phrase_topk(chunks: DataFrame, index: Index, phrases: DataFrame, k: int = TO
     return top(weighted.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")), k)
 
 
-#: Questions that substring search can read: words and white space only, no operator but OR.
-READABLE = r"^[A-Za-z0-9_\s\u0080-￿]+$"
-UNREADABLE_WORD = r"(^|\s)(AND|NOT|NEAR)(\s|$)"
+#: The expressions that substring search reads. Words and "quoted phrases", each with a star or not, one
+#: after another (all have to occur), joined by NOT, AND and OR, which bind in this order; no brackets, no NEAR.
+PHRASE = r'(?:"(?:[^"]|"")*"|(?!(?:AND|OR|NOT|NEAR)(?![A-Za-z0-9_\u0080-￿]))[A-Za-z0-9_\u0080-\x{10ffff}]+)(?:\s*\*)?'
+EXPRESSION = rf"^\s*{PHRASE}(?:\s+{PHRASE})*(?:\s+(?:AND|OR|NOT)\s+{PHRASE}(?:\s+{PHRASE})*)*\s*$"
+UNQUOTED = r'(?=(?:[^"]*"[^"]*")*[^"]*$)'
 LEAST_WORD = 3
 
 
 def question_words(questions: DataFrame) -> DataFrame:
-    """``(query_id, alternative, word, words)``: lower-case words of three characters or more, by OR-alternative.
+    """``(query_id, alternative, clause, excludes, word, times, words)``: what each alternative of a question asks for.
 
-    A question that the expression syntax rejects has no words.
+    All words (lower case, three characters or more; shorter ones say nothing beside them) of an alternative have to
+    occur, and not all words of a clause that ``excludes``. ``words`` counts the distinct words of the alternative, or of
+    the excluding clause. A question that is no expression, or without a long word, has no words.
     """
-    readable = questions.where(F.col("question").rlike(READABLE) & ~F.col("question").rlike(UNREADABLE_WORD))
-    parts = readable.select("query_id", F.posexplode(F.split("question", r"(?:^|\s+)OR(?:\s+|$)")).alias("alternative", "part"))
-    words = F.filter(F.array_distinct(F.split(F.lower("part"), r"\s+")), lambda w: F.length(w) >= LEAST_WORD)
-    return parts.select("query_id", "alternative", F.size(words).alias("words"), F.explode(words).alias("word"))
+
+    def split(rows: DataFrame, by: str, number: str) -> DataFrame:
+        kept = [c for c in rows.columns if c != "part"]
+        return rows.select(*kept, F.posexplode(F.split("part", rf"\s+{by}\s+{UNQUOTED}")).alias(number, "part"))
+
+    parts = questions.where(F.col("question").rlike(EXPRESSION)).select("query_id", F.col("question").alias("part"))
+    for by, number in (("OR", "alternative"), ("AND", "both"), ("NOT", "but")):
+        parts = split(parts, by, number)
+    bare = F.transform(F.regexp_extract_all("part", F.lit(r'"(?:[^"]|"")*"|[^\s"*]+'), F.lit(0)), lambda p: F.when(p.startswith('"'), F.replace(F.substring(p, F.lit(2), F.length(p) - 2), F.lit('""'), F.lit('"'))).otherwise(p))
+    words = F.filter(F.transform(bare, F.lower), lambda w: F.length(w) >= LEAST_WORD)
+    # Short words beside long ones say nothing, but a clause of short words only is found nowhere.
+    parts = parts.withColumn("found", words).withColumn("excludes", F.col("but") > 0)
+    least = F.min(F.when(~F.col("excludes"), F.size("found"))).over(Window.partitionBy("query_id", "alternative"))
+    parts = parts.withColumn("least", least).where("least > 0")
+    clause = F.when(F.col("excludes"), F.concat_ws("/", "both", "but")).otherwise(F.lit(""))
+    named = parts.select("query_id", "alternative", clause.alias("clause"), "excludes", F.explode("found").alias("word"))
+    keys = ["query_id", "alternative", "clause", "excludes"]
+    counted = named.groupBy(*keys, "word").agg(F.count("*").alias("times"))
+    return counted.withColumn("words", F.count("*").over(Window.partitionBy(*keys)))
 
 
 def trigrams(text: Column) -> Column:
@@ -128,49 +183,92 @@ def trigrams(text: Column) -> Column:
 
 
 def trigram_postings(chunks: DataFrame) -> DataFrame:
-    """``(gram, chunk_id)`` of all chunks of three characters or more."""
+    """``(gram, chunk_id)`` of all chunks of three characters or more: an index to keep."""
     return chunks.where(F.length("text") >= 3).select("chunk_id", F.explode(trigrams(F.col("text"))).alias("gram"))
 
 
-def trigram_matches(chunks: DataFrame, questions: DataFrame) -> DataFrame:
-    """``(query_id, chunk_id, score)`` by substrings: every word of an alternative has to occur.
+#: Words that one pass over the texts looks for at most; more take several passes.
+WORDS_TOGETHER = 100_000
+
 
-    A word's rarest trigram names its candidates; they are then counted in the text itself, overlaps
-    included. Lengths are counted in trigrams.
+def occurrences(chunks: DataFrame, words: DataFrame) -> DataFrame:
+    """``(word, chunk_id, f, len)``: how often each of ``words(word)`` is in a text, overlaps included.
+
+    Texts stay where they are. An automaton of up to ``WORDS_TOGETHER`` words goes to every task and finds all of
+    them in one pass over a text; ``len`` counts the text's trigrams.
     """
-    words = question_words(questions)
     distinct = words.select("word").distinct()
-    grams = distinct.select("word", F.explode(trigrams(F.col("word"))).alias("gram"))
-    # Postings of the asked trigrams only: the text is not exploded for others.
-    postings = trigram_postings(chunks).join(F.broadcast(grams.select("gram").distinct()), "gram", "left_semi")
-    sizes = postings.groupBy("gram").agg(F.count("*").alias("size"))
-    rarest = Window.partitionBy("word").orderBy("size", "gram")
-    chosen = grams.join(sizes, "gram").withColumn("nth", F.row_number().over(rarest)).where("nth = 1").select("word", "gram")
-    candidates = postings.join(chosen, "gram").select("word", "chunk_id")
-    low = F.lower("text")
-    # Occurrences of a word can overlap only if one of its beginnings is also its end.
-    overlapping = F.regexp_count(low, F.concat(F.lit("(?=\\Q"), F.col("word"), F.lit("\\E)")))
-    apart = F.floor((F.length(low) - F.length(F.replace(low, F.col("word"), F.lit("")))) / F.length("word"))
-    bordered = F.exists(F.sequence(F.lit(1), F.length("word") - 1), lambda k: F.left(F.col("word"), k) == F.right(F.col("word"), k))
-    f = F.when(F.col("bordered"), overlapping).otherwise(apart)
-    candidates = candidates.withColumn("bordered", bordered)
-    counted = candidates.join(chunks.select("chunk_id", "text"), "chunk_id").select("word", "chunk_id", f.cast("long").alias("f"), (F.length("text") - 2).alias("len"))
-    counted = counted.where("f > 0")
+    first = [r["word"] for r in distinct.limit(WORDS_TOGETHER + 1).collect()]
+    lots = 1 if len(first) <= WORDS_TOGETHER else math.ceil(distinct.count() / WORDS_TOGETHER)
+    held = chunks.where(F.length("text") >= LEAST_WORD).select("chunk_id", F.lower("text").alias("low"), (F.length("text") - 2).cast("long").alias("len"))
+    out = None
+    for lot in range(lots):
+        some = first if lots == 1 else [r["word"] for r in distinct.where(F.pmod(F.xxhash64("word"), F.lit(lots)) == lot).collect()]
+
+        def run(batches: Iterator[pa.RecordBatch], some: list[str] = some) -> Iterator[pa.RecordBatch]:
+            automaton = ahocorasick.Automaton()
+            for i, w in enumerate(some):
+                automaton.add_word(w, i)
+            automaton.make_automaton()
+            for batch in batches:
+                row, word, f = [], [], []
+                for i, text in enumerate(batch.column(1).to_pylist() if some else ()):
+                    times: dict[int, int] = {}
+                    for _, w in automaton.iter(text):
+                        times[w] = times.get(w, 0) + 1
+                    row += [i] * len(times)
+                    word += times
+                    f += times.values()
+                at = pa.array(row, pa.int64())
+                columns = [pa.array([some[w] for w in word], pa.string()), batch.column(0).take(at), pa.array(f, pa.int64()), batch.column(2).take(at)]
+                yield pa.RecordBatch.from_arrays(columns, names=["word", "chunk_id", "f", "len"])
+
+        found = held.mapInArrow(run, f"word string, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, f long, len long")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def candidates(chunks: DataFrame, words: DataFrame, grams: DataFrame) -> DataFrame:
+    """The chunks that hold the rarest trigram of a word, by a kept index ``grams(gram, chunk_id)``."""
+    asked = words.select("word").distinct().select("word", F.explode(trigrams(F.col("word"))).alias("gram"))
+    held = grams.join(asked.select("gram").distinct(), "gram", "left_semi")
+    sizes = held.groupBy("gram").agg(F.count("*").alias("size"))
+    # A word one of whose trigrams is nowhere occurs nowhere.
+    rarest = Window.partitionBy("word").orderBy(F.asc_nulls_first("size"), "gram")
+    chosen = asked.join(sizes, "gram", "left").withColumn("nth", F.row_number().over(rarest)).where("nth = 1").select("gram").distinct()
+    return chunks.join(held.join(chosen, "gram", "left_semi").select("chunk_id").distinct(), "chunk_id", "left_semi")
+
+
+def trigram_matches(chunks: DataFrame, questions: DataFrame, grams: DataFrame | None = None) -> DataFrame:
+    """``(query_id, chunk_id, score)`` by substrings: every word of an alternative has to occur.
+
+    Lengths are counted in trigrams. With a kept index ``grams`` only the chunks that it names are read for words;
+    without one all are.
+    """
+    # The questions' own words, asked for several times over; lost blocks are worked out anew.
+    words = question_words(questions).persist()
+    counted = occurrences(chunks if grams is None else candidates(chunks, words, grams), words)
     n = counted.groupBy("word").agg(F.count("*").alias("n"))
     held = chunks.where(F.coalesce(F.col("text"), F.lit("")) != "")
     stats = held.agg(F.count("*").alias("n_chunks"), F.avg(F.greatest(F.length("text") - 2, F.lit(0))).alias("avglen"))
-    part = idf(F.col("n_chunks"), F.col("n")) * saturation(F.col("f"), F.col("len"), F.col("avglen"))
-    scored = words.join(counted.join(n, "word").crossJoin(F.broadcast(stats)), "word")
-    whole = scored.groupBy("query_id", "alternative", "chunk_id", "words").agg(F.sum(part).alias("part"), F.count("*").alias("there"))
-    return whole.where("there = words").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
+    part = F.col("times") * idf(F.col("n_chunks"), F.col("n")) * saturation(F.col("f"), F.col("len"), F.col("avglen"))
+    scored = words.where("not excludes").join(counted.join(n, "word").crossJoin(F.broadcast(stats)), "word")
+    whole = scored.groupBy("query_id", "alternative", "chunk_id", "words").agg(F.sum(part).alias("part"), F.count("*").alias("there")).where("there = words")
+    if not words.where("excludes").limit(1).count():
+        return whole.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
+    barred = words.where("excludes").join(counted, "word").groupBy("query_id", "alternative", "clause", "chunk_id", "words").agg(F.count("*").alias("there")).where("there = words")
+    kept = whole.join(barred.select("query_id", "alternative", "chunk_id").distinct(), ["query_id", "alternative", "chunk_id"], "left_anti")
+    return kept.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
 
 
-def trigram_topk(chunks: DataFrame, questions: DataFrame, k: int = TOP_K) -> DataFrame:
-    return top(trigram_matches(chunks, questions), k)
+def trigram_topk(chunks: DataFrame, questions: DataFrame, k: int = TOP_K, grams: DataFrame | None = None) -> DataFrame:
+    return top(trigram_matches(chunks, questions, grams), k)
 
 
-def search(chunks: DataFrame, index: Index, questions: DataFrame, k: int = TOP_K) -> DataFrame:
+def search(chunks: DataFrame, index: Index, questions: DataFrame, k: int = TOP_K, grams: DataFrame | None = None, segmenter: Segmenter = T.bigrams) -> DataFrame:
     """Keyword hits, and substring hits for the questions without any; ``path`` tells which."""
-    exact = bm25_topk(index, questions, k)
-    rest = questions.join(exact.select("query_id").distinct(), "query_id", "left_anti")
-    return exact.withColumn("path", F.lit("terms")).unionByName(trigram_topk(chunks, rest, k).withColumn("path", F.lit("substrings")))
+    exact = bm25_topk(index, questions, k, segmenter)
+    # A question has a hit if one of its terms is in the index: no score is needed to tell.
+    known = question_terms(questions, segmenter).join(index.postings.select("term").distinct(), "term", "left_semi")
+    rest = questions.join(known.select("query_id").distinct(), "query_id", "left_anti")
+    return exact.withColumn("path", F.lit("terms")).unionByName(trigram_topk(chunks, rest, k, grams).withColumn("path", F.lit("substrings")))
