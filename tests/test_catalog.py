@@ -57,6 +57,31 @@ def test_replacing_chunks(spark):
     assert [f for f, _ in got] == [1, 1, 3] and sorted(i for _, i in got) == [9, 10, 11]
 
 
+def test_new_ids_follow_the_order(spark):
+    keys = [f"{i * 7919 % 1000:04d}" for i in range(1000)]
+    rows = spark.createDataFrame([(k,) for k in keys], "at string").repartition(5)
+    after = spark.createDataFrame([(500,)], "last long")
+    got = [(r.at, r.id) for r in catalog.new_ids(rows, "at", after).orderBy("id").collect()]
+    assert got == [(k, 501 + i) for i, k in enumerate(sorted(keys))]
+    assert catalog.new_ids(rows.limit(0), "at", after).collect() == []
+
+
+def test_new_chunks_are_numbered_by_file_and_position(spark):
+    chunks = spark.createDataFrame([(7, 1, 0), (8, 2, 0)], "id long, file_id long, position int")
+    given = spark.createDataFrame([(f, p) for f in (12, 3, 100) for p in range(60)], "file_id long, position int").repartition(4)
+    touched = given.select("file_id").distinct()
+    new = [(r.file_id, r.position) for r in catalog.replace_chunks(chunks, given, touched).where("id > 8").orderBy("id").collect()]
+    assert new == [(f, p) for f in (3, 12, 100) for p in range(60)]
+    sample = catalog.chunk_sample(catalog.replace_chunks(chunks, given, touched).withColumn("page_num", F.lit(1)).where("file_id = 12"))
+    assert [(r.position, r["rank"]) for r in sample.orderBy("rank").collect()] == [(i, i) for i in range(15)]
+
+
+def test_costs_are_shared_by_chunks(spark):
+    batch = spark.createDataFrame([("a", "x", 1), ("b", "x", 3), ("c", None, 2), ("d", "y", 0)], "name string, batch string, chunks long")
+    got = {r.name: r.embed_s for r in catalog.attributed_cost(batch, 8.0, "batch").collect()}
+    assert got == {"a": 2.0, "b": 6.0, "c": 8.0, "d": 0.0}
+
+
 def test_deleted_files_cascade(spark):
     chunks = spark.createDataFrame([(1, 1, 11), (2, 1, 12), (3, 2, 13)], "id long, file_id long, vector_id long")
     gone = catalog.deleted_files(known(spark), spark.createDataFrame([("/b",), ("/c",), ("/d",), ("/e",)], "file_path string"), chunks)

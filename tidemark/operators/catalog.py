@@ -30,14 +30,21 @@ def needs_ingest(listing: DataFrame, files: DataFrame) -> DataFrame:
     return quick.unionByName(rest.select("file_path", ~F.col("old_hash").eqNullSafe(F.col("file_hash")), "file_hash").toDF("file_path", "need", "file_hash"))
 
 
+#: Keys looked at for every range of the order.
+SAMPLED = 20
+
+
 def new_ids(rows: DataFrame, order: str, after: DataFrame) -> DataFrame:
-    """``rows`` with ``id`` counting on from ``after(last)``, in order.
+    """``rows`` with ``id`` counting on from ``after(last)``, in the order of the string column ``order``.
 
-    Rows are dealt to ranges of the order; a range's ids start after the sum of the ranges below, so no
-    task sees them all.
+    Rows are dealt to ranges of the order, bounded by keys of a fixed sample (``SAMPLED`` a range); a range's ids
+    start after the sum of the ranges below, so no task sees them all. Keys are unlike each other and not null.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.withColumn("_range", F.abs(F.xxhash64(order)) % n)
+    # The rows with the smallest hashes: a rerun draws the same.
+    keys = sorted(r[0] for r in rows.select(order).orderBy(F.xxhash64(order), order).limit(SAMPLED * n).collect())
+    bounds = F.array(*map(F.lit, keys[SAMPLED::SAMPLED])).cast("array<string>")
+    dealt = rows.withColumn("_range", F.size(F.filter(bounds, lambda b: b <= F.col(order))))
     sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
     below = sizes.withColumn("_below", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     nth = F.row_number().over(Window.partitionBy("_range").orderBy(order))
@@ -124,6 +131,11 @@ def chunk_sample(chunks: DataFrame, most: int = 15) -> DataFrame:
 
 
 def attributed_cost(batch: DataFrame, seconds: float, group: str) -> DataFrame:
-    """A batch's encoding time shared among its files by their chunks."""
-    total = F.sum("chunks").over(Window.partitionBy(group))
-    return batch.withColumn("embed_s", F.when(total > 0, F.lit(seconds) * F.col("chunks") / total).otherwise(F.lit(0.0)))
+    """A batch's encoding time shared among its files by their chunks.
+
+    Totals are summed before they move and come back by a join, so a batch may hold any share of the rows; files
+    without a batch are one of their own.
+    """
+    totals = batch.groupBy(F.col(group).alias("_of")).agg(F.sum("chunks").alias("_total"))
+    share = F.when(F.col("_total") > 0, F.lit(seconds) * F.col("chunks") / F.col("_total")).otherwise(F.lit(0.0))
+    return batch.join(totals, F.col(group).eqNullSafe(F.col("_of"))).withColumn("embed_s", share).drop("_of", "_total")
