@@ -80,8 +80,7 @@ def replace_chunks(spark, sf):
     files, chunks = _files(spark, sf), _chunk_rows(spark, sf)
     touched = files.where("source in ('src1', 'src2')").select(F.col("id").alias("file_id"))
     given = files.where("source = 'src1'").select(F.col("id").alias("file_id"), F.lit(0).cast("long").alias("vector_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("position")).withColumn("char_count", F.col("position") + 10)
-    out = catalog.replace_chunks(chunks, given, touched)
-    return out.groupBy("file_id").agg(F.count("*").alias("n"), F.sum("char_count").alias("chars"), F.countDistinct("id").alias("ids"))
+    return catalog.replace_chunks(chunks, given, touched).select("file_id", "position", "id", "char_count")
 
 
 def fts_backfill_missing(spark, sf):
@@ -149,10 +148,14 @@ def history_recent(spark, sf):
     return out.select("conv_id", "turn", F.length("question").alias("question_chars"), F.length("answer").alias("answer_chars"))
 
 
+#: Expressions asked of the history: substrings, alternatives, a phrase, an exclusion, and one that is no expression.
+ASKED = ("einach", "que la OR ithth", '"en la"', "the NOT ent", "a-b", "ere AND ing OR ung")
+
+
 def history_index_search(spark, sf):
-    """Substring search for fixed words among all questions; the last is no valid expression."""
+    """Substring search for fixed expressions among all questions."""
     rows = _history(spark, sf).select((F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), F.col("question").alias("text"))
-    asked = spark.createDataFrame([(1, "einach"), (2, "que la OR ithth"), (3, "a-b")], "query_id long, question string")
+    asked = spark.createDataFrame(list(enumerate(ASKED)), "query_id long, question string")
     return fulltext.trigram_topk(rows, asked).select("query_id", "chunk_id", "score", "rank")
 
 
@@ -188,8 +191,9 @@ select file_path, case when source in ('src1', 'src2', 'src3') then 'done' else
     "set_status": f"with {FILES} select id, case status when 'pending' then 'error' else status end as status, case status when 'pending' then 'no parser' else '' end as error_msg from files",
     "cleanup_deleted": f"with {FILES} select id, file_name, id::varchar as vector_ids from files where source = 'src1'",
     "cleanup_cascade": "select doc_id as id, doc_id as file_id, length(text) as char_count from documents where source <> 'src1'",
-    "replace_chunks": """select doc_id as file_id, case source when 'src1' then 2 else 1 end::bigint as n, case source when 'src1' then 21 else length(text) end::bigint as chars,
-  case source when 'src1' then 2 else 1 end::bigint as ids from documents where source <> 'src2'""",
+    "replace_chunks": """select doc_id as file_id, 0 as position, doc_id as id, length(text) as char_count from documents where source not in ('src1', 'src2')
+union all select doc_id, position, (select max(doc_id) from documents) + row_number() over (order by doc_id, position), position + 10
+  from documents, (values (0), (1)) v(position) where source = 'src1'""",
     "fts_backfill_missing": """select doc_id as chunk_id, len(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+')) as n_terms from documents
   where doc_id not in (select doc_id from labels) and text <> ''""",
     "favorites_list": f"with {FILES},{FAVORITES} select id, file_name, id as favorite_at from files join fav on id = file_id",
@@ -206,5 +210,23 @@ select coalesce(sum(times) filter (c.text_hash is not null), 0)::bigint as cache
   count(*) filter (c.text_hash is null) as to_encode from h left join c using (text_hash)""",
     "adaptive_batch_size": "select source, least(count(*), least(64, greatest(1, floor(32768 / greatest(1, floor(avg(length(text))))))))::bigint as batch from documents group by source",
     "cost_attribution": """select doc_id, round(10.0::double * ceil(length(text) / 1024) / sum(ceil(length(text) / 1024)) over (partition by source), 6) as embed_s from documents""",
+    "history_index_search": f"""with {HISTORY},
+chunks as (select conv_id * 1000 + turn as chunk_id, lower(question) as low, length(question) - 2 as len from history where question <> ''),
+words(query_id, alternative, excludes, word) as (values (0, 0, false, 'einach'), (1, 0, false, 'que'), (1, 1, false, 'ithth'), (2, 0, false, 'en la'),
+  (3, 0, false, 'the'), (3, 0, true, 'ent'), (5, 0, false, 'ere'), (5, 0, false, 'ing'), (5, 1, false, 'ung')),
+counted as (
+  select word, chunk_id, len, len(list_filter(range(1, length(low) + 1), lambda i: substr(low, i, length(word)) = word)) as f
+  from (select distinct word from words) cross join chunks),
+hits as (select *, count(*) over (partition by word) as n from counted where f > 0),
+stats as (select count(*) as n_chunks, avg(greatest(len, 0)) as avglen from chunks),
+parts as (
+  select query_id, alternative, chunk_id, count(*) as there, sum(greatest(ln((n_chunks - n + 0.5) / (n + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / avglen))) as part
+  from words join hits using (word) cross join stats where not excludes group by all),
+scored as (
+  select query_id, chunk_id, round(sum(part), 6) as score
+  from parts p join (select query_id, alternative, count(*) as words from words where not excludes group by all) using (query_id, alternative)
+  where there = words and not exists (select 1 from words w join hits h using (word) where w.excludes and w.query_id = p.query_id and w.alternative = p.alternative and h.chunk_id = p.chunk_id)
+  group by all)
+select * from (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) - 1 as rank from scored) where rank < 20""",
     "history_recent": f"with {HISTORY} select conv_id, turn, length(question) as question_chars, length(answer) as answer_chars from history order by conv_id desc, turn desc limit 50",
 }

@@ -109,29 +109,52 @@ def bm25_postfilter(spark, sf):
 
 
 def phrase_search(spark, sf):
-    """Two-word phrases from the start of every question."""
+    """All pairs of neighbouring terms of every question as phrases."""
     chunks, index = _index(spark, sf)
-    words = F.split("question", " ")
-    phrases = tables.questions(spark, sf).select("query_id", F.lit(0).alias("phrase_id"), F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1))).alias("phrase"))
+    terms = T.terms(F.col("question"))
+    pairs = F.when(F.size(terms) > 1, F.transform(F.sequence(F.lit(0), F.size(terms) - 2), lambda i: F.concat_ws(" ", F.get(terms, i), F.get(terms, i + 1))))
+    phrases = tables.questions(spark, sf).select("query_id", F.posexplode(pairs).alias("phrase_id", "phrase"))
     return fulltext.phrase_topk(chunks, index, phrases).select("query_id", "chunk_id", "score", "rank")
 
 
-def _short_questions(spark, sf):
-    """The first three words of every question: some are substrings of few chunks."""
-    words = F.slice(F.split(F.regexp_replace("question", r"[^\p{L}\p{N}\s]", ""), r"\s+"), 1, 3)
-    return tables.questions(spark, sf).select("query_id", F.array_join(words, " ").alias("question"))
+#: What is no letter, digit or white space, and so no part of a bare word.
+MARKS = r"[^\p{L}\p{N}\s]"
 
 
 def trigram_search(spark, sf):
-    return fulltext.trigram_topk(tables.chunks(spark, sf), _short_questions(spark, sf)).select("query_id", "chunk_id", "score", "rank")
+    """Every word of every question as a substring, one as good as another."""
+    words = F.split(T.strip(F.regexp_replace("question", MARKS, "")), r"\s+")
+    asked = tables.questions(spark, sf).select("query_id", F.array_join(words, " OR ").alias("question"))
+    return fulltext.trigram_topk(tables.chunks(spark, sf), asked).select("query_id", "chunk_id", "score", "rank")
 
 
 def fts_fallback(spark, sf):
-    """The third word without its first letter is seldom a term; substrings still find it."""
+    """Every word of every question, without its first letter, asks by itself: few are terms, substrings find others."""
     chunks, index = _index(spark, sf)
-    word = F.get(F.split("question", " "), F.lit(2))
-    cut = F.regexp_replace(F.substring(word, 2, 100), r"[^\p{L}\p{N}]", "")
-    return fulltext.search(chunks, index, tables.questions(spark, sf).select("query_id", F.coalesce(cut, F.lit("")).alias("question"))).select("query_id", "chunk_id", "score", "rank", "path")
+    words = tables.questions(spark, sf).select("query_id", F.posexplode(F.split("question", " ")).alias("pos", "word"))
+    cut = F.regexp_replace(F.expr("substring(word, 2)"), r"[^\p{L}\p{N}]", "")
+    asked = words.select((F.col("query_id") * 100_000 + F.col("pos")).alias("query_id"), cut.alias("question"))
+    return fulltext.search(chunks, index, asked).select("query_id", "chunk_id", "score", "rank", "path")
+
+
+#: Letters, and the ideographs that stand for them where a text has to be in CJK.
+LETTERS, IDEOGRAPHS = "aeioutnrs", "数据统计报告合同款"
+
+
+def _cjk_chunks(spark, sf):
+    """Every document with its most common letters written as ideographs: a chunk of a file of its own."""
+    chunks = tables.chunks(spark, sf).withColumn("text", F.translate(F.lower("text"), LETTERS, IDEOGRAPHS))
+    return chunks.withColumn("is_cjk", T.is_cjk(F.col("text")))
+
+
+def cjk_terms(spark, sf):
+    """Postings of texts in CJK: files with few ideographs keep their runs, others are segmented."""
+    return fulltext.build_index(_cjk_chunks(spark, sf)).postings
+
+
+def cjk_bm25_topk(spark, sf):
+    asked = tables.questions(spark, sf).withColumn("question", F.translate(F.lower("question"), LETTERS, IDEOGRAPHS))
+    return fulltext.bm25_topk(fulltext.build_index(_cjk_chunks(spark, sf)), asked).select("query_id", "chunk_id", "score", "rank")
 
 
 def vector_topk(spark, sf):
@@ -224,14 +247,17 @@ def vector_encode_norms(spark, sf):
 
 
 def l2_normalize(spark, sf):
+    """Every component of every vector, doubled first, at unit length."""
     doubled = F.transform("embedding", lambda x: x.cast("double") * 2)
     unit = tables.table(spark, sf, "embeddings").select("vec_id", vectors.l2_normalized(doubled).alias("v"))
-    return unit.select("vec_id", F.round(vectors.norm(F.col("v")), 6).alias("norm"), F.round(F.get("v", F.lit(0)), 6).alias("first"))
+    return unit.select("vec_id", F.posexplode("v").alias("place", "value")).withColumn("value", F.round("value", 6))
 
 
 def softmax_score(spark, sf):
+    """Neighbouring components of every vector as the logits of yes and no."""
     e = F.col("embedding")
-    return tables.table(spark, sf, "embeddings").select("vec_id", F.round(vectors.probability_of_yes(F.get(e, F.lit(0)).cast("double"), F.get(e, F.lit(1)).cast("double")), 6).alias("p_yes"))
+    pairs = F.transform(F.sequence(F.lit(0), F.size(e) - 2), lambda i: vectors.probability_of_yes(F.get(e, i).cast("double"), F.get(e, i + 1).cast("double")))
+    return tables.table(spark, sf, "embeddings").select("vec_id", F.posexplode(pairs).alias("place", "p_yes")).withColumn("p_yes", F.round("p_yes", 6))
 
 
 def position_ids(spark, sf):
@@ -242,28 +268,40 @@ def position_ids(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        tokenize_terms, postings_build, doc_length_stats, bm25_topk, bm25_postfilter, phrase_search, trigram_search, fts_fallback, vector_topk,
+        tokenize_terms, postings_build, doc_length_stats, bm25_topk, bm25_postfilter, phrase_search, trigram_search, fts_fallback, cjk_terms, cjk_bm25_topk, vector_topk,
         vector_topk_prefilter, vector_search_blocks, router_classify, table_intent, rrf_fusion, rrf_table_boost, fused_threshold, dedup_candidates,
         rerank_cutoff, citations_by_file, context_build, hybrid_retrieve, vector_encode_norms, l2_normalize, softmax_score, position_ids,
     )
 }
 
+#: Every row of ``asked_words(query_id, word)`` is an alternative of its question.
 TRIGRAM = """
-words as (select distinct query_id, unnest(list_filter(list_distinct(regexp_split_to_array(lower(question), '\\s+')), lambda w: length(w) >= 3)) as word from asked_short),
-need as (select query_id, count(*) as words from words group by all),
-runs as (select chunk_id, n, substr(low, i, 40) as run
-  from (select chunk_id, lower(text) as low, length(text) as n, unnest(range(1, length(text) + 1)) as i from chunks)),
-counted as (
-  select word, chunk_id, count(*) as f, any_value(n) - 2 as len
-  from (select distinct word from words) w join runs on left(run, 3) = left(w.word, 3) and starts_with(run, w.word) group by all),
+words as (select query_id, word, count(*) as times from (select query_id, lower(word) as word from asked_words) where length(word) >= 3 group by all),
+lens as (select distinct length(word) as l from words),
+blocks as (select chunk_id, n, substr(low, 256 * b + 1, 356) as block, least(256, n - 256 * b) as here
+  from (select chunk_id, lower(text) as low, length(text) as n, unnest(range(0, (length(text) + 255) // 256)) as b from chunks)),
+pieces as (select chunk_id, n, l, substr(block, i, l) as word from (select *, unnest(range(1, here + 1)) as i from blocks) cross join lens),
+counted as (select word, chunk_id, count(*) as f, any_value(n) - 2 as len from pieces join (select distinct word from words) using (word) where length(word) = l group by all),
 dfw as (select word, count(*) as n from counted group by all),
 tstats as (select count(*) as n_chunks, avg(greatest(length(text) - 2, 0)) as avglen from chunks where text <> ''),
 parts as (
-  select query_id, chunk_id, words, sum(greatest(ln((n_chunks - n + 0.5) / (n + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / avglen))) as part, count(*) as there
-  from words join need using (query_id) join counted using (word) join dfw using (word) cross join tstats group by all),
+  select query_id, chunk_id, sum(times * greatest(ln((n_chunks - n + 0.5) / (n + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / avglen))) as part
+  from words join counted using (word) join dfw using (word) cross join tstats group by all),
 substrings as (
-  select * from (select query_id, chunk_id, round(part, 6) as score, row_number() over (partition by query_id order by round(part, 6) desc, chunk_id) - 1 as rank from parts where there = words)
+  select * from (select query_id, chunk_id, round(part, 6) as score, row_number() over (partition by query_id order by round(part, 6) desc, chunk_id) - 1 as rank from parts)
   where rank < 20)"""
+#: ``toks`` and ``qtoks`` of texts in CJK, ``cjk(chunk_id, text)`` and ``asked_cjk(item_id, text)``.
+RUN = "[\\x{4e00}-\\x{9fff}\\x{3400}-\\x{4dbf}]"
+SEGMENTED = f"""flatten(list_transform(flatten(list_transform({TERMS.format("text")}, lambda t: regexp_extract_all(t, '{RUN}+|[^{RUN[1:]}+'))),
+  lambda r: case when regexp_matches(r, '^{RUN}{{2}}') then list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) else [r] end))"""
+CJK_INDEX = f"""
+cjk as (select doc_id as chunk_id, translate(lower(text), '{LETTERS}', '{IDEOGRAPHS}') as text from documents where text <> ''),
+shared as (select *, length(regexp_replace(text, '[^{RUN[1:]}', '', 'g'))::double / length(text) > 0.2 as is_cjk from cjk),
+held as materialized (select chunk_id, case when is_cjk then {SEGMENTED} else {TERMS.format("text")} end as terms from shared),
+toks as (select chunk_id, unnest(terms) as term from held),
+postings as (select term, chunk_id, count(*) as tf from toks group by all),
+lengths as (select chunk_id, len(terms) as len from held),
+stats as (select count(*) as n_chunks, avg(len) as avglen from lengths)"""
 
 ORACLE_SQL = {
     "tokenize_terms": f"with {tables.CHUNKS},{INDEX} select term, count(*) as occurrences, count(distinct chunk_id) as n_chunks from toks group by term",
@@ -274,23 +312,30 @@ ORACLE_SQL = {
 select * from (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) - 1 as rank
 from keyword join chunks using (chunk_id) where section in ('src0', 'src1', 'src2')) where rank < 20""",
     "phrase_search": f"""with {tables.CHUNKS},{INDEX},
-phrases as (select item_id as query_id, {TERMS.format("array_to_string(string_split(text, ' ')[1:2], ' ')")} as p from benchmark),
-placed as (select chunk_id, {TERMS.format("text")} as t from chunks where text <> ''),
-f as (select query_id, chunk_id, len(list_filter(range(1, len(t) + 1), lambda i: t[i:i + len(p) - 1] = p)) as f from phrases cross join placed where len(p) > 0),
-g as (select * from f where f > 0),
-n as (select query_id, count(*) as n from g group by all),
-s as (select query_id, chunk_id, round(greatest(ln((n_chunks - n + 0.5) / (n + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / avglen)), 6) as score
-  from g join n using (query_id) join lengths using (chunk_id) cross join stats)
+qterms as (select item_id as query_id, {TERMS.format("text")} as t from benchmark),
+phrases as (select query_id, i as phrase_id, t[i] as a, t[i + 1] as b from (select query_id, t, unnest(range(1, len(t))) as i from qterms)),
+pairs as (select chunk_id, t[i] as a, t[i + 1] as b, count(*) as f from (
+  select chunk_id, t, unnest(range(1, len(t))) as i from (select chunk_id, {TERMS.format("text")} as t from chunks where text <> '')) group by all),
+g as (select query_id, phrase_id, chunk_id, f from phrases join pairs using (a, b)),
+n as (select query_id, phrase_id, count(*) as n from g group by all),
+s as (select query_id, chunk_id, round(sum(greatest(ln((n_chunks - n + 0.5) / (n + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / avglen))), 6) as score
+  from g join n using (query_id, phrase_id) join lengths using (chunk_id) cross join stats group by all)
 select * from (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) - 1 as rank from s) where rank < 20""",
     "trigram_search": f"""with {tables.CHUNKS},
-asked_short as (select item_id as query_id, array_to_string(regexp_split_to_array(regexp_replace(text, '[^\\p{{L}}\\p{{N}}\\s]', '', 'g'), '\\s+')[1:3], ' ') as question from benchmark),
+asked_words as (select item_id as query_id, unnest(regexp_split_to_array(regexp_replace(text, '[^\\p{{L}}\\p{{N}}\\s]', '', 'g'), '\\s+')) as word from benchmark),
 {TRIGRAM} select query_id, chunk_id, score, rank from substrings""",
     "fts_fallback": f"""with {tables.CHUNKS},
-cut as (select item_id, regexp_replace(substr(string_split(text, ' ')[3], 2, 100), '[^\\p{{L}}\\p{{N}}]', '', 'g') as text from benchmark),
+each_word as (select item_id, i - 1 as pos, w[i] as word from (select item_id, string_split(text, ' ') as w, unnest(range(1, len(string_split(text, ' ')) + 1)) as i from benchmark)),
+cut as (select item_id * 100000 + pos as item_id, regexp_replace(substr(word, 2), '[^\\p{{L}}\\p{{N}}]', '', 'g') as text from each_word),
 {KEYWORD.replace("from benchmark", "from cut")},
-asked_short as (select item_id as query_id, text as question from cut where item_id not in (select query_id from keyword)),
+asked_words as (select item_id as query_id, text as word from cut where item_id not in (select query_id from keyword)),
 {TRIGRAM}
 select query_id, chunk_id, score, rank, 'terms' as path from keyword union all select query_id, chunk_id, score, rank, 'substrings' from substrings""",
+    "cjk_terms": f"with {CJK_INDEX} select term, chunk_id, tf from postings",
+    "cjk_bm25_topk": f"""with {CJK_INDEX},
+asked_cjk as (select item_id as query_id, translate(lower(text), '{LETTERS}', '{IDEOGRAPHS}') as text from benchmark),
+asked as (select query_id, term, count(*) as times from (select query_id, unnest({SEGMENTED}) as term from asked_cjk) group by all),
+{KEYWORD[KEYWORD.index("df as ("):]} select query_id, chunk_id, score, rank from keyword""",
     "vector_topk": f"with {VECTOR.format(where='')} select query_id, chunk_id, score, rank from vec",
     "vector_topk_prefilter": f"with {VECTOR.format(where='where e.label in (0, 1, 2)')} select query_id, chunk_id, score, rank from vec",
     "vector_search_blocks": f"""select * from (select q.vec_id as query_id, e.vec_id as chunk_id, {COSINE} as score,
@@ -311,8 +356,9 @@ select query_id, string_agg('[片段' || (rank + 1) || '] 来源: ' || file_name
 from reranked group by query_id""",
     "hybrid_retrieve": f"{UP_TO_FIRST},{DEDUPED},{RERANKED} select query_id, rank, chunk_id, file_name, rrf_score, rerank_score, substr(text, 1, 200) as snippet from reranked",
     "vector_encode_norms": "select doc_id as chunk_id, 64 as dims, 1.0::double as norm from documents",
-    "l2_normalize": """with u as (select vec_id, sqrt(list_dot_product(embedding::double[], embedding::double[])) as n, embedding from embeddings)
-select vec_id, 1.0::double as norm, round(embedding[1]::double / n, 6) as first from u""",
-    "softmax_score": "select vec_id, round(exp(embedding[1]::double) / (exp(embedding[1]::double) + exp(embedding[2]::double)), 6) as p_yes from embeddings",
+    "l2_normalize": """with u as (select vec_id, sqrt(list_dot_product(embedding::double[], embedding::double[])) as n, embedding::double[] as v from embeddings)
+select vec_id, (i - 1)::int as place, round(v[i] / n, 6) as value from (select *, unnest(range(1, len(v) + 1)) as i from u)""",
+    "softmax_score": """select vec_id, (i - 1)::int as place, round(exp(v[i]) / (exp(v[i]) + exp(v[i + 1])), 6) as p_yes
+from (select vec_id, embedding::double[] as v, unnest(range(1, len(embedding))) as i from embeddings)""",
     "position_ids": """select vec_id, array_to_string(list_transform(range(1, len(embedding) + 1), lambda i: case when embedding[i] > 0 then len(list_filter(embedding[1:i], lambda x: x > 0)) - 1 else 0 end), ',') as position_ids from embeddings""",
 }

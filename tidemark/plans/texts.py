@@ -85,9 +85,13 @@ def merged_tags(spark, sf):
     return pages(spark, sf).select("page_id", F.array_join(T.merged_tags(F.col("text")), ",").alias("tags"))
 
 
+IDEOGRAPHS = "数据统计报"
+
+
 def cjk_ratio(spark, sf):
-    mixed = F.concat(F.lit("数据"), F.substring("text", 1, 6))
-    return table(spark, sf, "documents").select("doc_id", F.round(T.cjk_share(mixed), 6).alias("share"), (T.cjk_share(mixed) > 0.2).alias("is_cjk"))
+    """Whole texts with their vowels written as ideographs."""
+    mixed = F.translate(F.col("text"), "aeiou", IDEOGRAPHS)
+    return table(spark, sf, "documents").select("doc_id", F.round(T.cjk_share(mixed), 6).alias("share"), T.is_cjk(mixed).alias("is_cjk"))
 
 
 def scanned_detector(spark, sf):
@@ -149,7 +153,8 @@ select page_id, '# ' || r_name || {NL} || {NL} || 'About the region of #' || r_n
     "frontmatter_tags": f"with {PAGES} select page_id, r_name || ',trade' as tags from pages",
     "inline_tags": f"with {PAGES} select page_id, regexp_extract(r_name, '^\\w+') || ',' || regexp_extract(n_name, '^\\w+') as tags from pages",
     "merged_tags": f"with {PAGES} select page_id, array_to_string(list_concat([r_name, 'trade'], list_filter(list_distinct([regexp_extract(r_name, '^\\w+')]), lambda x: x <> r_name), list_filter([regexp_extract(n_name, '^\\w+')], lambda x: x not in (r_name, 'trade', regexp_extract(r_name, '^\\w+')))), ',') as tags from pages",
-    "cjk_ratio": "select doc_id, round(2.0::double / (2 + length(substr(text, 1, 6))), 6) as share, 2.0::double / (2 + length(substr(text, 1, 6))) > 0.2 as is_cjk from documents",
+    "cjk_ratio": f"""select doc_id, round(share, 6) as share, share > 0.2 as is_cjk from (
+select doc_id, case when text = '' then 0 else length(regexp_replace(translate(text, 'aeiou', '{IDEOGRAPHS}'), '[^\\x{{4e00}}-\\x{{9fff}}\\x{{3400}}-\\x{{4dbf}}]', '', 'g'))::double / length(text) end as share from documents)""",
     "scanned_detector": "select doc_id, sum(length(regexp_replace(line, '\\s', '', 'g'))) < 20 as is_scanned from (select doc_id, unnest(string_split(text, chr(10))[1:3]) as line from documents) group by doc_id",
     "ocr_headings": f"with {PAGES} select page_id, r_name || '|' || n_name as headings from pages",
     "median_font_headers": """with b as (select s_nationkey, list_sort(list(s_acctbal::double))[count(*) // 2 + 1] as body from supplier group by 1)
