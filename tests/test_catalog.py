@@ -161,14 +161,26 @@ def test_micro_batches(spark):
     assert [r.batch for r in ingest.micro_batches(df).orderBy("position").collect()] == [0, 1, 1, 1, 2, 2, 2, 2, 2, 2, 2, 2, 3]
 
 
-def test_snapshots(spark, tmp_path):
-    path = str(tmp_path / "t")
-    with pytest.raises(FileNotFoundError):
-        snapshots.read(spark, path)
-    snapshots.write(spark.range(3).toDF("x"), path)
-    snapshots.write(snapshots.read(spark, path).where("x > 0"), path)
-    (tmp_path / "t" / "v3").mkdir()  # a write that broke off
-    assert snapshots.read(spark, path).count() == 2 and snapshots.read(spark, path, 1).count() == 3
+def test_manifests(spark, tmp_path):
+    root = str(tmp_path / "t")
+    empty = snapshots.manifest(spark, root)
+    assert empty["version"] == 0 and snapshots.read(spark, root, "x", "a long", empty).count() == 0
+    first = snapshots.part(spark.range(3).toDF("a"), root, "x")
+    one = snapshots.commit(spark, root, empty, {"x": [first]})
+    second = snapshots.part(spark.range(2).toDF("a").withColumn("b", F.lit("s")), root, "x")
+    assert snapshots.read(spark, root, "x", "a long", snapshots.manifest(spark, root)).count() == 3  # not named yet
+    two = snapshots.commit(spark, root, one, {"x": [first, second]}, {"k": 1})
+    assert snapshots.manifest(spark, root) == two and snapshots.manifest(spark, root, 1) == one
+    got = [(r.a, r.b) for r in snapshots.read(spark, root, "x", "a long, b string", two).collect()]
+    assert sorted(got, key=repr) == [(0, "s"), (0, None), (1, "s"), (1, None), (2, None)]
+    with pytest.raises(snapshots.Conflict):
+        snapshots.commit(spark, root, one, {"x": []})
+    (tmp_path / "t" / "manifests" / "m3.json").write_text('{"version": 3, "tab')  # a writer that broke off
+    assert snapshots.manifest(spark, root) == two
+    assert snapshots.commit(spark, root, two, {"x": [second]})["version"] == 4
+    assert snapshots.unnamed(spark, root) == [first]
+    snapshots.remove(spark, root, [first])
+    assert snapshots.unnamed(spark, root) == []
 
 
 def test_files_to_pages(spark, tmp_path):

@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 
+import pytest
+
+from tidemark.operators import vectors
 from tidemark.plans.library import Library
+from tidemark.sources import snapshots
+from tidemark.sources.files import Watch
 
 
 def test_from_files_to_answers(spark, tmp_path):
@@ -41,3 +47,89 @@ def test_from_files_to_answers(spark, tmp_path):
     assert lib.favorites().count() == 0 and {r.text for r in lib.payload().collect()} == {"Now about tin."}
     lib.clear_history()
     assert lib.history().count() == 0
+
+
+def folder_of(tmp_path, **texts):
+    folder = tmp_path / "in"
+    folder.mkdir(exist_ok=True)
+    for name, text in texts.items():
+        (folder / f"{name}.txt").write_text(text)
+    return str(folder)
+
+
+def state(lib):
+    return sorted((r.file_path.rsplit("/", 1)[1], r.chunk_id, r.text) for r in lib.payload().collect())
+
+
+def test_a_call_that_breaks_off_changes_nothing(spark, tmp_path, monkeypatch):
+    folder = folder_of(tmp_path, a="Alpha is first.", b="Beta is second.")
+    lib = Library(spark, str(tmp_path / "lib"))
+    lib.ingest(folder)
+    before = state(lib)
+    later = os.path.getmtime(f"{folder}/a.txt") + 10
+    folder_of(tmp_path, a="Alpha has changed.", c="Gamma is new.")
+    os.utime(f"{folder}/a.txt", (later, later))
+    for table in ("postings", "vectors", "files"):
+        real = Library.part
+
+        def part(self, name, df, table=table, real=real):
+            if name == table:
+                raise OSError("the disk is full")
+            return real(self, name, df)
+
+        monkeypatch.setattr(Library, "part", part)
+        with pytest.raises(OSError):
+            lib.ingest(folder)
+        monkeypatch.setattr(Library, "part", real)
+        assert state(lib) == before and lib.files("done").count() == 2
+    assert lib.ingest(folder).count() == 2
+    after = state(lib)
+    assert [(f, t) for f, _, t in after] == [("a.txt", "Alpha has changed."), ("b.txt", "Beta is second."), ("c.txt", "Gamma is new.")]
+    lib.compact()
+    lib.vacuum()
+    assert state(lib) == after
+    asked = spark.createDataFrame([(1, "changed"), (2, "first"), (3, "econ")], "query_id long, question string")
+    from tidemark.operators import fulltext
+
+    found = fulltext.search(lib.payload(), fulltext.index_of(lib.table("postings"), lib.table("lengths")), asked, grams=lib.table("grams")).collect()
+    assert sorted((r.query_id, r.path) for r in found) == [(1, "terms"), (3, "substrings")]
+
+
+def test_summaries_follow_the_file(spark, tmp_path):
+    body = "\n\n".join(f"Paragraph {i:03d} " + "filler words " * 60 for i in range(100))
+    lib = Library(spark, str(tmp_path / "lib"))
+    lib.ingest(folder_of(tmp_path, long=body, other="Something else."))
+    row = lib.files().where("file_name = 'long.txt'").first()
+    assert row.chunk_count >= 100
+    said = lib.summarize([row.id]).first().markdown
+    seen = [int(x) for x in re.findall(r"Paragraph (\d+)", said)]
+    assert seen == sorted(seen) and seen[0] == 0 and len(set(seen)) in (14, 15, 16)
+
+
+def test_folders_encoders_and_backfill(spark, tmp_path):
+    one, two = tmp_path / "one", tmp_path / "two"
+    (two / "sub").mkdir(parents=True)
+    one.mkdir()
+    (one / "a.txt").write_text("Alpha text.")
+    (one / "b.md").write_text("数据统计报告的内容")
+    (two / "c.txt").write_text("Gamma text.")
+    (two / "sub" / "d.txt").write_text("Delta text.")
+    (two / "e.docx").write_bytes(b"broken")
+    lib = Library(spark, str(tmp_path / "lib"))
+    watches = [Watch(str(one), suffixes=(".md",)), Watch(str(one)), Watch(str(two), recursive=False)]
+    got = {r.file_path.rsplit("/", 1)[1]: r.status for r in lib.ingest(watches).collect()}
+    assert got == {"a.txt": "done", "b.md": "done", "c.txt": "done", "e.docx": "error"}
+    assert "BadZipFile" in lib.files("error").first().error_msg
+    assert {r.status: (r.files, r.chunks) for r in lib.progress().collect()} == {"done": (3, 3), "error": (1, 0)}
+    asked = spark.createDataFrame([(1, "统计")], "query_id long, question string")
+    lib.threshold = 2.0  # keyword hits only
+    assert [r.file_name for r in lib.search(asked).collect()] == ["b.md"]
+    old = lib.manifest()
+    snapshots.commit(spark, lib.path, old, {t: [] for t in ("postings", "lengths", "grams")})
+    assert lib.search(asked).count() == 0
+    assert lib.backfill() == 3 and lib.backfill() == 0
+    assert [r.file_name for r in lib.search(asked).collect()] == ["b.md"]
+    other = Library(spark, lib.path, encoder_key="hashed::short", encoder=lambda texts: vectors.encode(texts, 16))
+    (two / "f.txt").write_text("Phi text.")
+    other.ingest(watches)
+    assert {len(r.vector) for r in other.table("vectors").collect()} == {16} and other.table("vectors").count() == 4

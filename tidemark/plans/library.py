@@ -1,7 +1,10 @@
 """A library of documents: ingest, search, answers, and the tables behind them.
 
-Every table is a series of snapshots under one folder; a call reads the newest versions and writes new
-ones, the catalogue last, so that a call that breaks off leaves the library as it was.
+Tables are parts under one folder, and a manifest names the parts of all tables: a call writes new parts and
+then one manifest, so that one that breaks off leaves the library as it was. Rows that belong to a file carry
+its id and the run that wrote them, and the catalogue says which run of a file counts: an ingest appends what
+is new and never rewrites old rows, however many there are. ``compact`` drops the rows that no longer count.
+The keyword and substring indexes are tables like the others and grow with each ingest.
 """
 
 from __future__ import annotations
@@ -18,13 +21,18 @@ from tidemark.sources import files as source
 from tidemark.sources import snapshots
 
 SCHEMAS = {
-    "files": "id long, file_path string, file_name string, file_hash string, status string, total_pages int, is_scanned boolean, tags array<string>, mtime_ns long, chunk_count int, error_msg string, created_at timestamp, updated_at timestamp",
-    "chunks": "id long, file_id long, position int, chunk_type string, page_num int, section string, text string, char_count int",
-    "vectors": "chunk_id long, vector array<float>",
+    "files": "id long, file_path string, file_name string, file_hash string, status string, total_pages int, is_scanned boolean, tags array<string>, mtime_ns long, chunk_count int, error_msg string, created_at timestamp, updated_at timestamp, run string",
+    "chunks": "id long, file_id long, run string, position int, chunk_type string, page_num int, section string, text string, char_count int, is_cjk boolean",
+    "postings": "file_id long, run string, term string, chunk_id long, tf long",
+    "lengths": "file_id long, run string, chunk_id long, len long",
+    "grams": "file_id long, run string, gram string, chunk_id long",
+    "vectors": "file_id long, run string, chunk_id long, vector array<float>",
     "cache": "model_name string, text_hash string, vector array<float>",
     "favorites": "file_id long, created_at timestamp",
     "history": "question string, answer string, citations string, created_at timestamp",
 }
+#: Tables of rows that count while their file's run does.
+BY_RUN = ("chunks", "postings", "lengths", "grams", "vectors")
 
 
 @dataclass
@@ -34,78 +42,149 @@ class Library:
     encoder_key: str = "hashed::words"
     encoder: Callable[[DataFrame], DataFrame] = vectors.encode
     threshold: float = fusion.VECTOR_THRESHOLD
+    segmenter: fulltext.Segmenter = T.bigrams
 
-    def table(self, name: str) -> DataFrame:
-        """Newest version of a table; an empty one before its first write."""
-        if not snapshots.versions(self.spark, f"{self.path}/{name}"):
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return snapshots.read(self.spark, f"{self.path}/{name}")
+    def manifest(self) -> dict:
+        return snapshots.manifest(self.spark, self.path)
 
-    def save(self, name: str, df: DataFrame) -> None:
-        snapshots.write(df, f"{self.path}/{name}")
+    def table(self, name: str, of: dict | None = None) -> DataFrame:
+        """The rows of a table that count, by the newest manifest or a given one."""
+        of = of or self.manifest()
+        rows = snapshots.read(self.spark, self.path, name, SCHEMAS[name], of)
+        if name not in BY_RUN:
+            return rows
+        live = snapshots.read(self.spark, self.path, "files", SCHEMAS["files"], of).select(F.col("id").alias("file_id"), "run")
+        return rows.join(live, ["file_id", "run"], "left_semi")
+
+    def part(self, name: str, df: DataFrame) -> str:
+        return snapshots.part(df.select(*(c.split()[0] for c in SCHEMAS[name].split(", "))), self.path, name)
 
-    def ingest(self, folder: str, recursive: bool = True, extractors=None) -> DataFrame:
-        """Bring new and changed files of a folder in; returns ``(file_path, status, chunk_count)`` of those."""
-        now = F.current_timestamp()
-        found = source.scan(self.spark, folder, recursive).withColumn("file_path", F.col("path"))
+    def save(self, name: str, df: DataFrame) -> None:
+        """A table anew."""
+        old = self.manifest()
+        snapshots.commit(self.spark, self.path, old, {name: [self.part(name, df)]})
+
+    def staged(self, name: str, df: DataFrame) -> DataFrame:
+        """Rows written aside, so that they are worked out once: no manifest names them."""
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{snapshots.part(df, self.path, name)}")
+
+    def ingest(self, folders: str | list[source.Watch], recursive: bool = True, extractors=None) -> DataFrame:
+        """Bring new and changed files of a folder (or several) in; returns ``(file_path, status, chunk_count)`` of those."""
+        now, old = F.current_timestamp(), self.manifest()
+        watches = [source.Watch(folders, recursive)] if isinstance(folders, str) else folders
+        found = source.scan_all(self.spark, watches).withColumn("file_path", F.col("path"))
         found = found.withColumn("mtime_ns", F.unix_micros("modificationTime") * 1000)
-        files, chunks = self.table("files"), self.table("chunks")
+        files = self.table("files", old)
         need = catalog.needs_ingest(found.select("file_path", "mtime_ns", "content"), files).where("need").select("file_path")
         taken = found.join(need, "file_path", "left_semi")
-        pages = source.pages(taken, extractors)
-        by_file = pages.groupBy("path").agg(F.max("page_num").alias("total_pages"), F.flatten(F.collect_list("tags")).alias("tags"), F.max("status").alias("read"))
-        given = taken.join(by_file, "path").join(source.is_scanned(pages), "path")
+        hashed = self.staged("taken", taken.select("file_path", "mtime_ns", F.sha2("content", 256).alias("file_hash")))
+        pages = self.staged("pages", source.pages(taken.join(hashed.select("file_path"), "file_path", "left_semi"), extractors))
+        by_file = pages.groupBy("path").agg(F.max("page_num").alias("total_pages"), F.flatten(F.collect_list("tags")).alias("tags"), F.max("status").alias("read"), F.max("error_msg").alias("said"), F.max(F.when(F.col("page_num") == 1, T.is_cjk(F.col("text")))).alias("is_cjk"))
+        by_file = by_file.join(source.is_scanned(pages), "path")
+        read = hashed.join(by_file, F.col("file_path") == F.col("path"))
         status = F.when(F.col("read") == "ok", "done").otherwise(F.when(F.col("read") == "unsupported", "unsupported").otherwise("error"))
         name = F.element_at(F.split("file_path", "/"), -1)
-        given = given.select("file_path", name.alias("file_name"), F.sha2("content", 256).alias("file_hash"), status.alias("status"), "total_pages", "is_scanned", "tags", "mtime_ns")
-        new_files = catalog.upsert_files(files, given, now)
+        given = read.select("file_path", name.alias("file_name"), "file_hash", status.alias("status"), "total_pages", "is_scanned", "tags", "mtime_ns")
         # Ids are fixed by a write before chunks refer to them.
-        self.save("staged", new_files)
-        staged = snapshots.read(self.spark, f"{self.path}/staged")
-        ids = staged.join(given.select("file_path"), "file_path", "left_semi").select(F.col("id").alias("file_id"), F.col("file_path").alias("path"))
-        keyed = pages.where("status = 'ok'").select(F.struct("path", "page_num").alias("page_id"), "text")
-        cut = chunking.page_chunks(keyed.select(F.to_json("page_id").alias("page_id"), "text"))
-        place = F.from_json("page_id", "path string, page_num int")
-        cut = cut.withColumn("at", place).select(F.col("at.path").alias("path"), F.col("at.page_num").alias("page_num"), "position", "chunk_type", "section", "text", "char_count")
-        fresh = cut.join(ids, "path").withColumn("position", (F.col("page_num") * 1_000_000 + F.col("position")).cast("int"))
-        self.save("chunks", catalog.replace_chunks(chunks, fresh, ids).select(*chunks.columns))
-        written = self.table("chunks")
-        _, gained = vectors.encode_with_cache(written.select(F.col("id").alias("chunk_id"), "text"), self.table("cache"), self.encoder_key, self.encoder)
-        self.save("cache", self.table("cache").unionByName(gained))
-        self.save("vectors", vectors.encode_with_cache(written.select(F.col("id").alias("chunk_id"), "text"), self.table("cache"), self.encoder_key, self.encoder)[0])
+        staged = self.staged("new_files", catalog.upsert_files(files.drop("run"), given, now))
+        touched = staged.join(read.select("file_path", "said", "is_cjk"), "file_path").select(F.col("id").alias("file_id"), F.col("file_path").alias("path"), "said", "is_cjk")
+        keyed = pages.where("status = 'ok'").select(F.to_json(F.struct("path", "page_num")).alias("page_id"), "text")
+        at = F.from_json("page_id", "path string, page_num int")
+        cut = chunking.page_chunks(keyed).withColumn("at", at).select(F.col("at.path").alias("path"), F.col("at.page_num").alias("page_num"), "position", "chunk_type", "section", "text", "char_count")
+        cut = cut.join(touched.select("path", "file_id", "is_cjk"), "path")
+        run = f"run-{old['version'] + 1}"
+        order = F.concat_ws("/", *(F.lpad(F.col(c).cast("string"), n, "0") for c, n in (("file_id", 20), ("page_num", 10), ("position", 10))))
+        last = self.spark.createDataFrame([(old["values"].get("last_chunk", 0),)], "last long")
+        fresh = catalog.new_ids(cut.withColumn("_order", order), "_order", last).withColumn("run", F.lit(run))
+        parts = {"chunks": self.part("chunks", fresh)}
+        written = self.spark.read.schema(SCHEMAS["chunks"]).parquet(f"{self.path}/{parts['chunks']}")
+        parts |= self.index_parts(written)
+        cache = self.table("cache", old)
+        gained = vectors.encode_with_cache(written.select(F.col("id").alias("chunk_id"), "text"), cache, self.encoder_key, self.encoder)[1]
+        parts["cache"] = self.part("cache", gained)
+        tables = {t: [*old["tables"].get(t, []), p] for t, p in parts.items()}
+        others, values = self.vectors_of(written, old, tables["cache"])
+        tables["vectors"] = others
         counts = written.groupBy("file_id").agg(F.count("*").cast("int").alias("n"))
-        counted = staged.join(counts, F.col("id") == F.col("file_id"), "left").withColumn("chunk_count", F.coalesce("n", F.lit(0)))
-        self.save("files", counted.select(*files.columns))
-        return self.table("files").join(ids.select(F.col("file_id").alias("id")), "id", "left_semi").select("file_path", "status", "chunk_count")
-
-    def forget_deleted(self, folder: str) -> DataFrame:
-        """Drop what belongs to files that are gone from the folder; returns their names and chunk ids."""
-        files, chunks = self.table("files"), self.table("chunks")
-        listing = source.scan(self.spark, folder).select(F.col("path").alias("file_path"))
-        gone = catalog.deleted_files(files, listing, chunks.withColumn("vector_id", F.col("id")))
-        self.save("gone", gone)
-        gone = snapshots.read(self.spark, f"{self.path}/gone")
-        self.save("favorites", catalog.without(self.table("favorites"), gone))
-        self.save("vectors", self.table("vectors").join(gone.select(F.explode("vector_ids").alias("chunk_id")), "chunk_id", "left_anti"))
-        self.save("chunks", catalog.without(chunks, gone).select(*chunks.columns))
-        self.save("files", files.join(gone.select("id"), "id", "left_anti").select(*files.columns))
+        named = staged.join(touched.select(F.col("file_id").alias("id"), "said", F.lit(run).alias("new_run")), "id", "left").join(files.select("id", F.col("run").alias("old_run")), "id", "left")
+        named = named.join(counts.withColumnRenamed("file_id", "id"), "id", "left")
+        hit = F.col("new_run").isNotNull()
+        rows = named.withColumns({"chunk_count": F.when(hit, F.coalesce("n", F.lit(0))).otherwise(F.col("chunk_count")), "error_msg": F.when(hit, F.coalesce("said", F.lit(""))).otherwise(F.col("error_msg")), "run": F.coalesce("new_run", "old_run")})
+        tables["files"] = [self.part("files", rows)]
+        top = written.agg(F.max("id")).first()[0]
+        snapshots.commit(self.spark, self.path, old, tables, values | {"last_chunk": top or old["values"].get("last_chunk", 0)})
+        return self.table("files").where(F.col("run") == run).select("file_path", "status", "chunk_count")
+
+    def index_parts(self, chunks: DataFrame) -> dict[str, str]:
+        """Postings, lengths and trigrams of chunks."""
+        of = chunks.select(F.col("id").alias("chunk_id"), "file_id", "run")
+        named = chunks.withColumnRenamed("id", "chunk_id")
+        terms = fulltext.index_terms(named, self.segmenter)
+        rows = {"postings": fulltext.postings_of(terms), "lengths": fulltext.lengths_of(terms), "grams": fulltext.trigram_postings(named)}
+        return {t: self.part(t, df.join(of, "chunk_id")) for t, df in rows.items()}
+
+    def vectors_of(self, written: DataFrame, old: dict, cache_parts: list[str]) -> tuple[list[str], dict]:
+        """The parts of ``vectors`` with the new chunks' own; all live chunks are encoded anew if the encoder has
+        changed, or makes vectors of another length."""
+        cache = self.spark.read.schema(SCHEMAS["cache"]).parquet(*(f"{self.path}/{p}" for p in cache_parts))
+        size = cache.where(F.col("model_name") == self.encoder_key).select(F.size("vector")).limit(1).collect()
+        made_by = {"encoder": self.encoder_key, "dims": size[0][0] if size else old["values"].get("dims")}
+        same = all(old["values"].get(k) in (None, v) for k, v in made_by.items())
+        chunks = written if same else written.unionByName(self.table("chunks", old).select(*written.columns))
+        found = vectors.encode_with_cache(chunks.select(F.col("id").alias("chunk_id"), "text"), cache, self.encoder_key, self.encoder)[0]
+        part = self.part("vectors", found.join(chunks.select(F.col("id").alias("chunk_id"), "file_id", "run"), "chunk_id"))
+        return [*(old["tables"].get("vectors", []) if same else []), part], made_by
+
+    def backfill(self) -> int:
+        """Index the live chunks with text that the keyword index lacks; returns their number."""
+        old = self.manifest()
+        named = self.table("chunks", old).withColumnRenamed("id", "chunk_id")
+        missing = self.staged("missing", catalog.not_indexed(named, self.table("lengths", old)).withColumnRenamed("chunk_id", "id"))
+        parts = self.index_parts(missing)
+        snapshots.commit(self.spark, self.path, old, {t: [*old["tables"].get(t, []), p] for t, p in parts.items()})
+        return missing.count()
+
+    def compact(self) -> None:
+        """Every table as one part, without the rows that no longer count."""
+        old = self.manifest()
+        snapshots.commit(self.spark, self.path, old, {t: [self.part(t, self.table(t, old))] for t in SCHEMAS if t in old["tables"]})
+
+    def vacuum(self) -> None:
+        """Remove parts that the newest manifest does not name; no call may be under way."""
+        snapshots.remove(self.spark, self.path, snapshots.unnamed(self.spark, self.path))
+
+    def forget_deleted(self, folders: str | list[source.Watch]) -> DataFrame:
+        """Drop what belongs to files that are gone from the folders; returns their names and chunk ids."""
+        old = self.manifest()
+        watches = [source.Watch(folders)] if isinstance(folders, str) else folders
+        files = self.table("files", old)
+        listing = source.scan_all(self.spark, watches).select(F.col("path").alias("file_path"))
+        gone = self.staged("gone", catalog.deleted_files(files, listing, self.table("chunks", old).withColumn("vector_id", F.col("id"))))
+        left = {
+            "favorites": catalog.without(self.table("favorites", old), gone),
+            "files": files.join(gone.select("id"), "id", "left_anti"),
+        }
+        snapshots.commit(self.spark, self.path, old, {t: [self.part(t, df)] for t, df in left.items()})
         return gone.select("file_name", "vector_ids")
 
-    def payload(self) -> DataFrame:
-        named = self.table("files").select(F.col("id").alias("file_id"), "file_name", "file_path")
-        return self.table("chunks").withColumnRenamed("id", "chunk_id").join(named, "file_id")
+    def payload(self, of: dict | None = None) -> DataFrame:
+        of = of or self.manifest()
+        named = self.table("files", of).select(F.col("id").alias("file_id"), "file_name", "file_path")
+        return self.table("chunks", of).withColumnRenamed("id", "chunk_id").join(named, "file_id")
 
     def search(self, questions: DataFrame, file_names: list[str] | None = None) -> DataFrame:
         """The best chunks of every question ``(query_id, question)``: both searches, fused and reranked."""
-        payload = self.payload()
-        index = fulltext.build_index(payload)
+        of = self.manifest()
+        payload = self.payload(of)
+        index, grams = fulltext.index_of(self.table("postings", of), self.table("lengths", of)), self.table("grams", of)
         allowed = F.lit(True) if file_names is None else F.col("file_name").isin(*file_names)
         if file_names is None:
-            keyword = fulltext.search(payload, index, questions)
+            keyword = fulltext.search(payload, index, questions, grams=grams, segmenter=self.segmenter)
         else:
-            keyword = fulltext.filtered_topk(fulltext.search(payload, index, questions, 3 * fulltext.TOP_K), payload.select("chunk_id", "file_name"), allowed)
+            wide = fulltext.search(payload, index, questions, 3 * fulltext.TOP_K, grams, self.segmenter)
+            keyword = fulltext.filtered_topk(wide, payload.select("chunk_id", "file_name"), allowed)
         asked = self.encoder(questions.select(F.col("query_id").cast("string").alias("key"), vectors.question_text(F.col("question")).alias("text")))
-        near = vectors.topk(self.table("vectors").join(payload.select("chunk_id", "file_name"), "chunk_id"), asked.select(F.col("key").cast("long").alias("query_id"), "vector"), allowed=allowed)
+        near = vectors.topk(self.table("vectors", of).join(payload.select("chunk_id", "file_name"), "chunk_id"), asked.select(F.col("key").cast("long").alias("query_id"), "vector"), allowed=allowed)
         fused = fusion.rrf(near, keyword, fusion.route(questions), payload.select("chunk_id", "chunk_type"))
         kept = fusion.first(fusion.over_threshold(fused, self.threshold))
         return fusion.rerank(fusion.deduplicate(kept.join(payload, "chunk_id")), questions)
@@ -114,7 +193,8 @@ class Library:
         """Answers with citations; they join the history."""
         said = answers.answer(questions, self.search(questions, file_names), model)
         rows = said.select("question", "answer", F.to_json("citations").alias("citations"), F.current_timestamp().alias("created_at"))
-        self.save("history", self.table("history").unionByName(rows))
+        part, old = self.part("history", rows), self.manifest()
+        snapshots.commit(self.spark, self.path, old, {"history": [*old["tables"].get("history", []), part]})
         return said
 
     def history(self, limit: int = 50) -> DataFrame:
@@ -125,7 +205,7 @@ class Library:
         return fulltext.trigram_topk(rows, questions, k).join(rows, "chunk_id")
 
     def clear_history(self) -> None:
-        self.save("history", self.table("history").limit(0))
+        snapshots.commit(self.spark, self.path, self.manifest(), {"history": []})
 
     def toggle_favorites(self, toggles: DataFrame) -> None:
         self.save("favorites", catalog.toggle_favorites(self.table("favorites"), toggles, F.current_timestamp()))
@@ -136,6 +216,10 @@ class Library:
     def files(self, status: str | None = None) -> DataFrame:
         return catalog.by_status(self.table("files"), status).orderBy(F.desc("updated_at"), "id")
 
+    def progress(self) -> DataFrame:
+        """``(status, files, chunks)``: how far the files of the catalogue have come."""
+        return self.table("files").groupBy("status").agg(F.count("*").alias("files"), F.sum("chunk_count").alias("chunks"))
+
     def recover(self) -> None:
         """After a crash: what was being processed is taken up again by the next ingest."""
         self.save("files", catalog.reset_processing(self.table("files"), F.current_timestamp()))

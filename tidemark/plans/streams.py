@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.tables import table
+from tidemark.sources.shared import shared_folder
 from tidemark.streaming import ingest
 
 #: The driver's events are hours apart: a throttle of three seconds would never act.
@@ -31,8 +32,7 @@ def microbatch_pack(spark, sf):
 
 def stream_ingest(spark, sf):
     """Documents as a stream, cut and hashed by the same functions as a batch."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    run = f"{folder}/stream-{spark.sparkContext.applicationId}-{abs(hash(sf))}"
+    run = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     docs = table(spark, sf, "documents")
     stream = spark.readStream.schema(docs.schema).parquet(f"{sf}/documents.parquet*")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -34,6 +36,29 @@ def scan(spark: SparkSession, folder: str, recursive: bool = True, suffixes: lis
     return reader.load(folder).withColumn("suffix", T.suffix(path)).where(F.col("suffix").isin(*(suffixes or supported())) & ~T.excluded(path))
 
 
+@dataclass(frozen=True)
+class Watch:
+    """A folder to read, with its own suffixes (all supported ones by default)."""
+
+    folder: str
+    recursive: bool = True
+    suffixes: tuple[str, ...] | None = None
+
+
+def scan_all(spark: SparkSession, watches: list[Watch]) -> DataFrame:
+    """Files of several folders; a file that several of them reach is there once."""
+    if not watches:
+        raise ValueError("there has to be a folder to read")
+    each = [scan(spark, w.folder, w.recursive, list(w.suffixes) if w.suffixes else None) for w in watches]
+    if len(each) == 1:
+        return each[0]
+    # Paths are made distinct without the files' content.
+    named = [df.withColumn("watch", F.lit(i)) for i, df in enumerate(each)]
+    every = reduce(DataFrame.unionByName, named)
+    first = every.groupBy("path").agg(F.min("watch").alias("watch"))
+    return every.join(first, ["path", "watch"]).drop("watch")
+
+
 def docx_text(content: bytes) -> str:
     """Paragraphs with text, then tables: a row's filled cells joined by bars."""
     root = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml"))
@@ -47,18 +72,18 @@ def docx_text(content: bytes) -> str:
 
 
 def pages(files: DataFrame, extractors: dict[str, Callable[[bytes], list[str]]] | None = None) -> DataFrame:
-    """``(path, page_num, text, tags, status)`` of scanned files.
+    """``(path, page_num, text, tags, status, error_msg)`` of scanned files.
 
     Text and markdown are read by the JVM, invalid bytes replaced; DOCX, and what ``extractors`` (suffix
     to a function from bytes to page texts) take, in Arrow batches. Other files get one row, status ``unsupported``;
-    a file that its reader cannot read gets one with status ``error``.
+    a file that its reader cannot read gets one with status ``error`` and what the reader said.
     """
     own = {".docx": lambda b: [docx_text(b)]} | (extractors or {})
     raw = F.make_valid_utf8(F.col("content").cast("string"))
     none = F.array().cast("array<string>")
     is_md = F.col("suffix").isin(".md", ".markdown")
     plain = files.where(F.col("suffix").isin(".txt", ".md", ".markdown")).select(
-        "path", F.lit(1).alias("page_num"), F.when(is_md, T.clean_markdown(T.body(raw))).otherwise(raw).alias("text"), F.when(is_md, T.merged_tags(raw)).otherwise(none).alias("tags"), F.lit("ok").alias("status")
+        "path", F.lit(1).alias("page_num"), F.when(is_md, T.clean_markdown(T.body(raw))).otherwise(raw).alias("text"), F.when(is_md, T.merged_tags(raw)).otherwise(none).alias("tags"), F.lit("ok").alias("status"), F.lit("").alias("error_msg")
     )
 
     def run(batches):
@@ -66,16 +91,17 @@ def pages(files: DataFrame, extractors: dict[str, Callable[[bytes], list[str]]]
             rows = []
             for path, suffix, content in zip(*(c.to_pylist() for c in batch.columns)):
                 try:
-                    rows += [(path, i, text, "ok") for i, text in enumerate(own[suffix](content), 1)]
-                except Exception:  # noqa: BLE001  one bad file must not end the job
-                    rows.append((path, 1, "", "error"))
-            cols = list(zip(*rows)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.string()))], names=["path", "page_num", "text", "status"])
+                    rows += [(path, i, text, "ok", "") for i, text in enumerate(own[suffix](content), 1)]
+                except Exception as e:  # noqa: BLE001  one bad file must not end the job
+                    rows.append((path, 1, "", "error", f"{type(e).__name__}: {e}"))
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            types = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["path", "page_num", "text", "status", "error_msg"])
 
     rest = files.where(~F.col("suffix").isin(".txt", ".md", ".markdown"))
-    read = rest.where(F.col("suffix").isin(*own)).select("path", "suffix", "content").mapInArrow(run, "path string, page_num int, text string, status string")
-    read = read.select("path", "page_num", "text", none.alias("tags"), "status")
-    unknown = rest.where(~F.col("suffix").isin(*own)).select("path", F.lit(1).alias("page_num"), F.lit("").alias("text"), none.alias("tags"), F.lit("unsupported").alias("status"))
+    read = rest.where(F.col("suffix").isin(*own)).select("path", "suffix", "content").mapInArrow(run, "path string, page_num int, text string, status string, error_msg string")
+    read = read.select("path", "page_num", "text", none.alias("tags"), "status", "error_msg")
+    unknown = rest.where(~F.col("suffix").isin(*own)).select("path", F.lit(1).alias("page_num"), F.lit("").alias("text"), none.alias("tags"), F.lit("unsupported").alias("status"), F.lit("no reader for this kind of file").alias("error_msg"))
     return plain.unionByName(read).unionByName(unknown)
 
 
