@@ -479,3 +479,237 @@ def test_rows_that_share_a_doc_id_are_documents_of_their_own(spark):
     got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
     assert sorted(r for r in got if r[0] is not None) == want
     assert sorted(r[1:4] for r in got if r[0] is None) == [(0, 0, 0), (260, 0, 0)]
+
+
+def test_small_buckets_share_words():
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        sizes = np.sort(rng.integers(2, 65, rng.integers(1, 15)))[::-1]
+        parts = []
+        for m in sizes:
+            base, got = int(rng.integers(0, 2**63)), set()
+            while len(got) < m:
+                got.add(base ^ (1 << int(rng.integers(64))) ^ (1 << int(rng.integers(64))) ^ (1 << int(rng.integers(64))))
+            parts.append(np.array(sorted(got), np.uint64))
+        x, own = np.concatenate(parts), np.repeat(np.arange(len(sizes)), sizes)
+        i, j = simhash.packed_links(x, sizes)
+        near = (np.bitwise_count(x[:, None] ^ x[None, :]) <= 2) & (own[:, None] == own[None, :])
+        assert set(zip(i.tolist(), j.tolist())) == {(a, b) for a, b in zip(*map(np.ndarray.tolist, np.nonzero(near))) if a > b}
+    assert len(simhash.packed_links(np.empty(0, np.uint64), np.empty(0, np.int64))[0]) == 0
+
+
+def test_links_of_small_buckets(spark):
+    rng = random.Random(15)
+    base = [rng.getrandbits(64) for _ in range(200)]
+    values = sorted({*base, *(b ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for b in base[:90]), *(b ^ (1 << rng.randrange(64)) for b in base[60:120])})
+    df = spark.createDataFrame([(struct.unpack("<q", struct.pack("<Q", v))[0], i) for i, v in enumerate(values)], "fp long, rep long")
+    got = {(r.u, r.v) for r in simhash.links(df).collect()}
+    assert got == {(j, i) for i in range(len(values)) for j in range(i + 1, len(values)) if (values[i] ^ values[j]).bit_count() <= 2}
+
+
+def test_ties_and_rows_without_id_when_one_stays(spark):
+    rows = [(5, "same words here"), (5, "same words here"), (9, "same words here"), (None, "same words here"), (None, None), (7, None), (8, "")]
+    kept = [r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept, key=str) == [5, 5, 7, None, None]
+
+
+def heap_contest(weights: dict, seats: int) -> dict:
+    """Seats one by one to the highest quotient; ties to the party that is first."""
+    import heapq
+
+    quota = dict.fromkeys(weights, 0)
+    heap = [(-w / 0.5, p, 1) for p, w in weights.items() if w > 0]
+    heapq.heapify(heap)
+    for _ in range(seats if heap else 0):
+        _, p, k = heapq.heappop(heap)
+        quota[p] += 1
+        heapq.heappush(heap, (-weights[p] / (k + 0.5), p, k + 1))
+    return quota
+
+
+def test_seats_go_to_the_highest_quotients(spark):
+    rng = random.Random(1)
+    contests = {c: ({p: rng.choice([0, 1, 5, 100, 100000, rng.randint(0, 1000)]) for p in range(rng.choice([1, 2, 3, 8, 50]))}, rng.choice([0, 1, 7, 100, 12345])) for c in range(40)}
+    rows = [(c, p, w, seats) for c, (weights, seats) in contests.items() for p, w in weights.items()]
+    df = spark.createDataFrame(rows, "c long, p long, w long, s long").repartition(3)
+    got = {(r.c, r.p): r.quota for r in mixing.apportion(df, ["c"], "w", "s", ["p"]).collect()}
+    assert got == {(c, p): q for c, (weights, seats) in contests.items() for p, q in heap_contest(weights, seats).items()}
+
+
+def test_shards_share_out_their_sources_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 4)
+    rng = random.Random(9)
+    rows = [(i, " ".join("w" for _ in range(rng.randint(0, 90))), "en", rng.choice(["a", "a", "a", "b", None]), 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.takings(docs).collect()
+    target = {r.source: r.target for r in got}
+    blocks = heap_contest({i: target[s] for i, s in enumerate(sorted(target, key=lambda s: (s is None, s or "")))}, int(sum(target.values()) / 16 + 0.5))
+    taken = Counter()
+    for r in got:
+        taken[r.source] += r.taken
+    for i, s in enumerate(sorted(target, key=lambda s: (s is None, s or ""))):
+        size = next(r.source_size for r in got if r.source == s)
+        # Exact but where a shard's blocks are more than two copies of it.
+        assert taken[s] == 16 * blocks[i] or (2 * size - 16 * 100 <= taken[s] <= 16 * blocks[i] and target[s] == 2.0 * size)
+    nulls = spark.createDataFrame([(None, "a b c", "en", "a", 5), (None, None, None, None, None)], SCHEMA)
+    assert sorted((r.size, r.taken) for r in mixing.takings(nulls).collect())[0] == (0, 0)
+    assert mixing.mix(nulls.limit(0)).collect() == []
+
+
+def test_identifiers_of_the_corpus_are_plain(spark):
+    rng = random.Random(31)
+    words = ["".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(5)) for _ in range(40)]
+    docs = [(i, " ".join(f"{rng.choice(words)}_{rng.choice(words)}" for _ in range(60))) for i in range(60)]
+    name = "_".join([words[3], words[17], words[29]])
+    docs += [(100, f"the login is {name} here")]
+    df = with_clashes(spark.createDataFrame(docs, "doc_id long, text string"))
+    dictionary = secrets.identifiers(df)
+    assert all(w in dictionary for w in words) and dictionary.endswith(secrets.IDENTIFIERS)
+    assert {r.n_novel for r in secrets.scan(df).collect()} == {0}
+    alone = spark.createDataFrame([(1, "nothing here")], "doc_id long, text string")
+    assert secrets.identifiers(alone) == f"nothing here {secrets.IDENTIFIERS}"
+    assert secrets.identifiers(alone.limit(0)) == secrets.IDENTIFIERS
+
+
+def test_planted_secrets_that_no_fixed_pattern_names(spark):
+    rng = random.Random(33)
+    key = lambda n, chars="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789": "".join(rng.choice(chars) for _ in range(n))
+    prose = "the house stands by the river and nobody knows when it was built or by whom. "
+    rows, planted = [], {}
+    for i in range(60):
+        k = key(rng.choice([20, 32, 44, 64]))
+        form = (f"login as admin with {k} today", f"{k} is the password of the box", f"Bearer {k}", f"credential >> {k}", f'"private-key" -> "{k}"')[i % 5]
+        rows.append((i, prose * rng.randint(0, 3) + form + ". " + prose))
+        planted[i] = k
+    # A secret that is copied all over the corpus is no identifier.
+    rows += [(1000 + i, f"pwd {planted[0]} stays") for i in range(200)]
+    rows += [(500 + i, prose * 5 + "login and password are not told here.") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.scan(df).collect()}
+    text = dict(rows)
+    found = {d for d, k in planted.items() for s in got[d].split(",") if s and (p := s.split(":"))[0] == "novel" and text[d][int(p[1]) : int(p[2])] == k}
+    assert len(found) >= 0.95 * len(planted)
+    assert all(got[1000 + i] for i in range(200)) and not any(got[500 + i] for i in range(40))
+    left = {r.doc_id: r.text for r in secrets.mask(df).collect()}
+    assert not any(planted[d] in left[d] for d in found)
+
+
+def test_masking_awkward_rows(docs, empty):
+    got = {r.doc_id: r for r in secrets.mask(with_clashes(docs)).collect()}
+    assert set(got) == set(texts()) and got[50].text is None and got[50].n_chars is None and got[51].text == ""
+    assert got[60].text.count("[SECRET]") == 3 and got[60].n_chars == len(got[60].text) and got[60].fp == "x"
+    assert secrets.mask(empty).collect() == [] and secrets.scan(empty).collect() == []
+
+
+def test_ids_that_stand_for_nothing(spark):
+    rows = [(1, [RANKS[b"a"], RANKS[b"b"]]), (2, []), (3, None), (4, [RANKS[b"a"], None]), (5, [10**8]), (None, [RANKS[b"a"]])]
+    got = {r.doc_id: r.bytes and bytes(r.bytes) for r in bpe.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>"), RANKS).collect()}
+    assert got == {1: b"ab", 2: b"", 3: None, 4: None, 5: None, None: b"a"} or got == {1: b"ab", 2: bytearray(), 3: None, 4: None, 5: None, None: b"a"}
+
+
+def test_positions_of_the_longest_texts_keep_their_order(spark):
+    at = [0, 1, (1 << 24) - 1, 1 << 24, (1 << 24) + 1, (1 << 31) - 8]
+    df = spark.createDataFrame([(p,) for p in at], "p long")
+    placed = order_minhash._placed(F.lit(-1).cast("long"), F.col("p"))
+    got = df.select("p", order_minhash._pos(placed).alias("q"), order_minhash._hash(placed).alias("h"), placed.alias("x")).collect()
+    assert all(r.p == r.q and r.h == (1 << order_minhash.KEPT_BITS) - 1 and r.x >= 0 for r in got)
+
+
+def test_packed_rows_in_files(docs, spark, tmp_path):
+    packed = packing.pack(docs, RANKS, public_tokenizers.PATTERN, context=64, shard_rows=5)
+    path = str(tmp_path / "packed")
+    packing.write_packed(packed, path)
+    key = lambda df: sorted((r.shard, r.seq, bytes(r.ids), bytes(r.positions), r.cu_seqlens, r.doc_ids) for r in df.collect())
+    assert key(spark.read.parquet(path)) == key(packed)
+    import pyarrow.parquet as pq
+
+    files = sorted((tmp_path / "packed").glob("*.parquet"))
+    assert 0 < len(files) <= 4
+    shards = []
+    for f in files:
+        t = pq.read_table(f, columns=["shard", "seq", "ids"])
+        names = list(zip(t.column("shard").to_pylist(), t.column("seq").to_pylist()))
+        assert names == sorted(names)
+        assert np.frombuffer(b"".join(t.column("ids").to_pylist()), "<u4").reshape(-1, 64).shape[0] == len(names)
+        shards += sorted(set(t.column("shard").to_pylist()))
+    assert len(shards) == len(set(shards))
+
+
+def test_the_end_token_is_above_ranks_with_gaps():
+    assert packing.end_token({b"a": 0, b"b": 7}) == 8 and packing.end_token({}) == 0 and packing.end_token(RANKS) == len(RANKS)
+
+
+def plain_fit(docs):
+    """The noisy-or fit document by document and sentence by sentence."""
+    import math
+
+    n, share = len(docs), sum(y for y, _ in docs) / len(docs)
+    rows, toxic = Counter(), Counter()
+    for y, sentences in docs:
+        for f in {int(f) for s in sentences for f in s}:
+            rows[f] += 1
+            toxic[f] += y
+    known = {f for f in rows if rows[f] >= toxicity.LEAST_ROWS and abs(toxic[f] - rows[f] * share) / math.sqrt(max(rows[f] * share * (1 - share), 1e-9)) >= toxicity.LEAST_DEVIATIONS}
+    data = [(y, [[int(f) for f in s if int(f) in known] for s in sentences]) for y, sentences in docs if sentences]
+    w, gw, b, gb = defaultdict(float), defaultdict(lambda: 1e-6), toxicity.START_BIAS, 1e-6
+    order = np.random.default_rng(0)
+    for _ in range(toxicity.EPOCHS):
+        at = order.permutation(len(data)).tolist()
+        for i in range(0, n, toxicity.BATCH):
+            part = [data[j] for j in at[i : i + toxicity.BATCH]]
+            if not part:
+                continue
+            grad, gbias, touched = defaultdict(float), 0.0, set()
+            for y, sentences in part:
+                z = [b + sum(w[f] for f in s) for s in sentences]
+                none = math.exp(-sum(math.log1p(math.exp(x)) for x in z))
+                for s, x in zip(sentences, z):
+                    # Derivative of -log p (toxic) or -log(1 - p) by the sentence's logit, where 1 - p is ``none``.
+                    g = 1 / (1 + math.exp(-x)) * (-none / max(1 - none, 1e-9) if y else 1.0) / len(part)
+                    gbias += g
+                    for f in s:
+                        grad[f] += g
+                        touched.add(f)
+            for f in touched:
+                g = grad[f] + toxicity.DECAY * w[f]
+                gw[f] += g * g
+                w[f] -= toxicity.RATE * g / math.sqrt(gw[f])
+            gb += gbias**2
+            b -= 0.1 * toxicity.RATE * gbias / math.sqrt(gb)
+    return w, b
+
+
+def test_the_toxicity_fit_equals_the_plain_one(monkeypatch):
+    monkeypatch.setattr(toxicity, "EPOCHS", 4)
+    rows, labels = toxic_corpus()
+    docs = []
+    for (_, text), (_, y) in zip(rows[:300], labels):
+        sentences = [[f for w in toxicity.WORD.findall(m.group().lower()) for f in toxicity.features(w)] for m in toxicity.SENTENCE.finditer(text)]
+        docs.append((y, [np.array(s, np.int32) for s in sentences if s]))
+    w, b = toxicity.fit(docs)
+    want, bias = plain_fit(docs)
+    assert b == pytest.approx(bias, abs=1e-6) and np.count_nonzero(w) == sum(v != 0 for v in want.values()) > 0
+    assert all(w[f] == pytest.approx(v, abs=1e-4) for f, v in want.items())
+    z = np.array([-8.0, -3.0, 2.0])
+    assert toxicity.noisy_or(z, -8.0) == pytest.approx(1 - np.prod([(1 + np.exp(-8.0)) / (1 + np.exp(x)) for x in z]))
+
+
+def test_clean_rows_of_no_table(empty, spark):
+    assert toxicity.keep_clean(empty, spark.createDataFrame([], "doc_id long, toxic int")).collect() == []
+
+
+def test_helpers_follow_the_input_and_the_cluster(spark, tmp_path, monkeypatch):
+    from tidemark.llm import common
+
+    spark.range(200000).selectExpr("id", "cast(id as string) text").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert common.partitions_for(df) == common.partitions_for(spark.createDataFrame([(1,)], "id long")) == 4
+    monkeypatch.setattr(common, "PARTITION_BYTES", 50_000)
+    assert common.partitions_for(df.join(df.withColumnRenamed("text", "t2"), "id")) >= common.partitions_for(df) > 4
+
+    class Cluster:
+        sparkContext = type("Context", (), {"master": "spark://host:7077", "getCheckpointDir": staticmethod(lambda: None)})
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default=None: default)})
+
+    with pytest.raises(RuntimeError):
+        common.ensure_checkpoint_dir(Cluster)

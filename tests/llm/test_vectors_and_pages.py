@@ -148,3 +148,99 @@ def test_pages_with_tags_left_open_keep_their_text():
     assert said("<body><button><div>Label</div></button><select><option>A</option></select><svg><text>x</text></svg><p>Text</p>") == ["Text"]
     formula = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>x=1</annotation></semantics></math>"
     assert said(f"<article><p>Let {formula} hold.</p></article>") == ["Let x=1 hold."]
+
+
+def test_audits_count_links_and_not_the_vector_itself():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 24))
+    index = vectors.Index.build(np.arange(400), np.ones(400, int), x, 0.95)
+    assert index.audited == (0, 0) and index.beam == vectors.BEAM  # nothing is near anything: nothing to find
+    x[200:] = x[:200] + 0.05 * rng.normal(size=(200, 24))
+    others = np.arange(1000, 1020), x[:20] + 0.03 * rng.normal(size=(20, 24))
+    index = vectors.Index.build(np.arange(400), np.ones(400, int), x, 0.95, others)
+    there, found = index.audited
+    assert there >= 100 and found >= vectors.RECALL * there
+    # A graph without links finds nothing but its way in: the audit widens the beam to a scan of the shard.
+    cut = vectors.Index(index.ids, index.weights, index.raw, [np.full_like(index.layers[0], -1)], vectors.BEAM)
+    cut.audit(0.95)
+    assert cut.beam > vectors.BEAM and cut.audited[0] == cut.audited[1]
+
+
+def test_recall_on_planted_pairs(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 48))
+    x[1500:] = x[:1500] + 0.2 * rng.normal(size=(1500, 48))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = vectors.near_vectors(df).collect()
+    want = brute_links(x, list(range(3000)))
+    links = sum(n for n, _ in want.values())
+    assert links > 2500 and sum(r.n_links for r in got) >= 0.99 * links and len({r.recall for r in got}) == 1 and got[0].recall >= 0.99
+    assert all(r.n_links <= want[r.vec_id][0] for r in got)
+
+
+def plain_crf(pages, epochs):
+    """The same gradient steps, with every path of every page counted out."""
+    import itertools
+    import math
+
+    w, t, start = {}, [[0.5, -0.5], [-0.5, 0.5]], [0.0, 0.0]
+    order = np.random.default_rng(0)
+    for epoch in range(epochs):
+        rate = html_main.RATE / (1 + epoch)
+        for at in order.permutation(len(pages)).tolist():
+            page, labels = pages[at]
+            n = len(page)
+            u = [sum(w.get(f, html_main.PRIOR.get(f, 0.0)) for f in fs) for fs in page]
+            paths = list(itertools.product((0, 1), repeat=n))
+            score = lambda p: start[p[0]] + sum(x * y for x, y in zip(u, p)) + sum(t[a][b] for a, b in zip(p, p[1:]))  # noqa: B023, E731
+            weight = [math.exp(score(p)) for p in paths]
+            z = sum(weight)
+            one = [sum(m for p, m in zip(paths, weight) if p[i]) / z for i in range(n)]
+            both = [[[sum(m for p, m in zip(paths, weight) if p[i - 1] == a and p[i] == b) / z for b in (0, 1)] for a in (0, 1)] for i in range(1, n)]
+            for i in range(n):
+                g = labels[i] - one[i]
+                if abs(g) > 1e-4:
+                    for f in page[i]:
+                        old, prior = w.get(f, html_main.PRIOR.get(f, 0.0)), html_main.PRIOR.get(f, 0.0)
+                        w[f] = old + rate * (g - html_main.DECAY * (old - prior))
+            for a in (0, 1):
+                for b in (0, 1):
+                    seen = sum(labels[i - 1] == a and labels[i] == b for i in range(1, n)) - sum(m[a][b] for m in both)
+                    t[a][b] += rate * (seen / max(1, n) - html_main.DECAY * t[a][b])
+            for y in (0, 1):
+                start[y] += rate * ((labels[0] == y) - (one[0] if y else 1 - one[0]))
+    return w, t, start
+
+
+def test_the_crf_fit_equals_the_plain_one(monkeypatch):
+    monkeypatch.setattr(html_main, "EPOCHS", 3)
+    rng = random.Random(2)
+    names = ["tag:p", "out", "in:nav", "links:all", "a", "b"]
+    pages = [([rng.sample(names, rng.randint(1, 3)) for _ in range(n)], [rng.randint(0, 1) for _ in range(n)]) for n in (1, 2, 3, 5, 6, 4, 1, 2) for _ in range(3)]
+    model, (w, t, start) = html_main.fit(pages), plain_crf(pages, 3)
+    assert model.weights == pytest.approx(w, abs=1e-9) and model.start == pytest.approx(start, abs=1e-9)
+    assert [*model.steps[0], *model.steps[1]] == pytest.approx([*t[0], *t[1]], abs=1e-9)
+
+
+def awkward_docs(spark, rows):
+    clashing = {c: F.lit("x") for c in ("row", "part", "key", "shard", "kept", "size", "rank", "seats")}
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns(clashing)
+
+
+def test_pipeline_stages_on_awkward_rows(spark):
+    rows = [(i, f"document {i} has some words of its own like word{i} and more{i}", "en", "ab"[i % 2], 10) for i in range(20)]
+    rows += [(30, None, None, None, None), (31, "", "en", "a", 0), (None, "words of a row without an id", "en", "b", 3), (32, "x " * 5000, "en", "a", 10000)]
+    rows += [(40, rows[3][1], "en", "a", 10), (3, rows[3][1], "en", "a", 10), (41, "the password = abcdefghijkl9 is here", "en", None, 5)]
+    docs = awkward_docs(spark, rows)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, DATA)
+        got = out.collect()
+        assert got
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == docs.columns
+        none = stage(spark, docs.limit(0), DATA)
+        assert none.collect() == []
+        docs = spark.createDataFrame(got, out.schema)
+    ids = {r.doc_id for r in got}
+    # 40 is a copy of 3; 41 alone is its source, with fewer words than a block of the mix.
+    assert 40 not in ids and ids >= {3, 30, 31, 32, None}
