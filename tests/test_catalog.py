@@ -156,6 +156,25 @@ def test_throttle_in_batch_and_stream(spark, tmp_path):
     assert sorted(r.event_id for r in spark.table("throttled").collect()) == [1, 3, 5, 6]
 
 
+def test_a_tracked_path_is_taken_once(spark, tmp_path):
+    rows = [(1, "p", 0.0, False), (2, "p", 1.0, False), (3, "p", 2.0, True), (4, "p", 3.0, False), (5, "p", 3.0, False), (6, "q", 1.0, True), (7, "q", 2.0, False), (8, None, 1.0, False)]
+    df = spark.createDataFrame(rows, "event_id long, path string, at double, done boolean")
+    got = {r.event_id: r.accepted for r in ingest.once_while_tracked(df).collect()}
+    assert got == {1: True, 2: False, 4: True, 5: False, 7: True, 8: False}
+    for i, part in enumerate((df.where("event_id < 4"), df.where("event_id >= 4 and path is not null"))):
+        part.coalesce(1).write.parquet(str(tmp_path / "in" / f"part={i}"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    query = ingest.tracked_stream(stream).writeStream.format("memory").queryName("tracked").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(r.event_id for r in spark.table("tracked").collect()) == [1, 4, 7]
+
+
+def test_headings_by_font(spark):
+    rows = [(1, 1, 2, "Title", 20.0, False), (1, 1, 1, "The ", 10.0, False), (1, 2, 1, "text", 10.0, False), (1, 3, 1, "Bold", 10.0, True), (1, 4, 1, "The Title", 12.0, None), (1, 5, 1, "  ", 30.0, True), (1, 6, 1, "more", 10.0, False), (2, 1, 1, "plain", 9.0, False)]
+    df = spark.createDataFrame(rows, "page_id long, line_no int, span_no int, text string, size double, bold boolean").repartition(3)
+    assert {r.page_id: r.headings for r in files.font_headings(df).collect()} == {1: ["The Title", "Bold"], 2: []}
+
+
 def test_micro_batches(spark):
     df = spark.createDataFrame([("q", i, n) for i, n in enumerate([200, 1, 100, 27, 1, 1, 1, 1, 1, 1, 1, 1, 1])], "queue string, position long, chunks long")
     assert [r.batch for r in ingest.micro_batches(df).orderBy("position").collect()] == [0, 1, 1, 1, 2, 2, 2, 2, 2, 2, 2, 2, 3]

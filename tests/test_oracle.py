@@ -7,7 +7,7 @@ import math
 import duckdb
 import pytest
 
-from tidemark.plans import catalogue
+from tidemark.plans import catalogue, texts
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -43,5 +43,17 @@ def test_equals_sql(spark, db, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
-def test_runs(spark, name):
-    assert catalogue.QUERIES[name](spark, DATA).count() >= 0
+def test_queries_without_sql_equal_a_plain_version(spark, name):
+    from test_chunking import plain_page
+
+    from tidemark.operators.chunking import checked_size
+
+    source = spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("doc_id as page_id", "text") if name == "recursive_chunks" else texts.pages(spark, DATA)
+    want = {r.page_id: [len(t) for *_, t in plain_page(r.text, *checked_size(512, 51)) if t is not None] for r in source.collect()}
+    got = {}
+    df = catalogue.QUERIES[name](spark, DATA)
+    if "chunk_type" in df.columns:
+        df = df.where("chunk_type <> 'table_summary'")
+    for r in df.orderBy("position").collect():
+        got.setdefault(r[0], []).append(r.char_count)
+    assert got == {k: v for k, v in want.items() if v}

@@ -110,6 +110,11 @@ def clean_markdown(text: Column) -> Column:
     return strip(F.regexp_replace(out, r"\n{3,}", "\n\n"))
 
 
+def marked_headings(text: Column) -> Column:
+    """Titles of the lines that start with a number sign, as in text read from an image."""
+    return F.transform(F.filter(lines(text), lambda x: x.startswith("#")), lambda x: strip(F.regexp_replace(x, "^#+", "")))
+
+
 def front_matter_tags(text: Column) -> Column:
     """Tags of the front matter, as ``tags: [a, b]``, ``tags: a`` or a list of ``- a`` lines."""
     fm = front_matter(text)

@@ -21,8 +21,9 @@ def watch_throttle(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def submit_dedupe(spark, sf):
-    events = table(spark, sf, "events").select("event_id", F.col("user_id").alias("path"), F.col("ts").cast("timestamp").alias("at"))
-    return ingest.once_while_tracked(events).select(F.col("path").alias("user_id"), F.col("first.event_id").alias("event_id"), "duplicates")
+    """Users as paths: a purchase says that a path is done, every other event submits it."""
+    events = table(spark, sf, "events").select("event_id", F.col("user_id").alias("path"), F.col("ts").alias("at"), (F.col("event_type") == "purchase").alias("done"))
+    return ingest.once_while_tracked(events).select("event_id", F.col("path").alias("user_id"), "accepted")
 
 
 def microbatch_pack(spark, sf):
@@ -54,8 +55,9 @@ f as (
   select e.event_id, e.user_id, e.n, case when e.t - f.prev >= {HOURS * 3600} then e.t else f.prev end, e.t - f.prev >= {HOURS * 3600}
   from f join e on e.user_id = f.user_id and e.n = f.n + 1)
 select event_id, user_id from f where taken""",
-    "submit_dedupe": """select user_id, event_id, duplicates from (
-  select user_id, event_id, count(*) over (partition by user_id, ts::date) - 1 as duplicates, row_number() over (partition by user_id, ts::date order by ts, event_id) as n from events) where n = 1""",
+    "submit_dedupe": """with e as (
+  select event_id, user_id, ts, event_type, count(*) filter (event_type = 'purchase') over (partition by user_id order by ts, event_id) as ended from events)
+select event_id, user_id, row_number() over (partition by user_id, ended order by ts, event_id) = 1 as accepted from e where event_type <> 'purchase'""",
     "microbatch_pack": f"""with recursive d as (select source, doc_id, ceil(length(text) / 100)::bigint as c, row_number() over (partition by source order by doc_id) as n from documents),
 f as (
   select source, doc_id, n, 0::bigint as batch, 1 as files, c as chunks from d where n = 1

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators import chunking
 from tidemark.plans.tables import table
+from tidemark.sources import files
 
 
 def _suppliers(spark, sf):
@@ -96,27 +97,28 @@ def cjk_ratio(spark, sf):
 
 def scanned_detector(spark, sf):
     """Documents as files whose lines are pages: scanned if the first three hold under 20 visible characters."""
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where("pos < 3")
-    seen = F.sum(F.length(F.regexp_replace("line", r"(?U)\s", "")))
-    return lines.groupBy("doc_id").agg((seen < 20).alias("is_scanned"))
+    lines = table(spark, sf, "documents").select(F.col("doc_id").alias("path"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    found = files.is_scanned(lines.select("path", (F.col("pos") + 1).alias("page_num"), "text"))
+    return found.select(F.col("path").alias("doc_id"), "is_scanned")
 
 
 def ocr_headings(spark, sf):
-    found = F.transform(F.filter(T.lines(F.col("text")), lambda x: x.startswith("#")), lambda x: T.strip(F.regexp_replace(x, "^#+", "")))
-    return pages(spark, sf).select("page_id", F.array_join(found, "|").alias("headings"))
+    return pages(spark, sf).select("page_id", F.array_join(T.marked_headings(F.col("text")), "|").alias("headings"))
 
 
 def median_font_headers(spark, sf):
-    """Suppliers as spans of a page per nation, their balance as font size."""
-    spans = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("page_id"), "s_suppkey", F.col("s_acctbal").cast("double").alias("size"))
-    body = spans.groupBy("page_id").agg(F.expr("sort_array(collect_list(size))[count(*) div 2]").alias("body"))
-    return spans.join(body, "page_id").where("size >= 1.2 * body").select("page_id", "s_suppkey")
+    """Suppliers as lines of a page per nation, in two spans each: their balance is the font size, every seventh is
+    bold, and names come again."""
+    s = table(spark, sf, "supplier")
+    name = F.concat(F.lit("Line "), (F.col("s_suppkey") % 10).cast("string"))
+    spans = s.select(F.col("s_nationkey").alias("page_id"), F.col("s_suppkey").alias("line_no"), F.posexplode(F.array(F.substring(name, 1, 5), F.substring(name, 6, 9))).alias("span_no", "text"), F.col("s_acctbal").cast("double").alias("size"), (F.col("s_suppkey") % 7 == 0).alias("bold"))
+    return files.font_headings(spans).select("page_id", F.array_join("headings", "|").alias("headings"))
 
 
 def extension_dispatch(spark, sf):
     kinds = F.element_at(F.array(*map(F.lit, (".pdf", ".MD", ".txt", ".docx", ".py", ""))), (F.col("page_id") % 6 + 1).cast("int"))
     path = F.concat(F.lit("/a.b/f"), F.col("page_id").cast("string"), kinds)
-    known = T.suffix(path).isin(".pdf", ".md", ".markdown", ".txt", ".docx")
+    known = T.suffix(path).isin(*files.supported())
     return table(spark, sf, "pages").select("page_id", T.suffix(path).alias("suffix"), F.when(known, "supported").otherwise("unsupported").alias("status"), T.media_type(path).alias("media_type"))
 
 
@@ -157,8 +159,10 @@ select page_id, '# ' || r_name || {NL} || {NL} || 'About the region of #' || r_n
 select doc_id, case when text = '' then 0 else length(regexp_replace(translate(text, 'aeiou', '{IDEOGRAPHS}'), '[^\\x{{4e00}}-\\x{{9fff}}\\x{{3400}}-\\x{{4dbf}}]', '', 'g'))::double / length(text) end as share from documents)""",
     "scanned_detector": "select doc_id, sum(length(regexp_replace(line, '\\s', '', 'g'))) < 20 as is_scanned from (select doc_id, unnest(string_split(text, chr(10))[1:3]) as line from documents) group by doc_id",
     "ocr_headings": f"with {PAGES} select page_id, r_name || '|' || n_name as headings from pages",
-    "median_font_headers": """with b as (select s_nationkey, list_sort(list(s_acctbal::double))[count(*) // 2 + 1] as body from supplier group by 1)
-select s.s_nationkey as page_id, s_suppkey from supplier s join b using (s_nationkey) where s_acctbal::double >= 1.2::double * body""",
+    "median_font_headers": """with b as (select s_nationkey, list_sort(list(s_acctbal::double))[count(*) // 2 + 1] as body from supplier group by 1),
+h as (select s.s_nationkey as page_id, 'Line ' || (s_suppkey % 10) as line, min(s_suppkey) filter (s_suppkey % 7 = 0 or s_acctbal::double >= 1.2::double * body) as seen
+  from supplier s join b using (s_nationkey) group by all)
+select page_id, coalesce(string_agg(line, '|' order by seen) filter (seen is not null), '') as headings from h group by page_id""",
     "extension_dispatch": """select page_id, ['.pdf', '.md', '.txt', '.docx', '.py', ''][page_id % 6 + 1] as suffix, case when page_id % 6 < 4 then 'supported' else 'unsupported' end as status,
 ['application/pdf', 'text/markdown; charset=utf-8', 'text/plain; charset=utf-8', 'application/vnd.openxmlformats-officedocument.wordprocessingml.document', 'application/octet-stream', 'application/octet-stream'][page_id % 6 + 1] as media_type from pages""",
     "excluded_paths": "select page_id, page_id % 5 in (1, 2, 3) as is_excluded from pages",

@@ -109,3 +109,24 @@ def is_scanned(pages: DataFrame) -> DataFrame:
     """``(path, is_scanned)``: under 20 visible characters on the first three pages."""
     seen = F.sum(F.when(F.col("page_num") <= SCANNED_PAGES, F.length(F.regexp_replace("text", r"(?U)\s", ""))).otherwise(0))
     return pages.groupBy("path").agg((seen < SCANNED_BELOW).alias("is_scanned"))
+
+
+#: A span this much larger than the body makes its line a heading.
+HEADING_SCALE = 1.2
+
+
+def font_headings(spans: DataFrame) -> DataFrame:
+    """``spans(page_id, line_no, span_no, text, size, bold)`` of pages to ``(page_id, headings)``: lines with a span
+    that is bold or much larger than the page's upper median size, each once, in order.
+
+    Pages without a heading have an empty list, blank lines are none; a page's spans are gathered, not those of others.
+    """
+    span = F.struct("span_no", "text")
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(span)), lambda x: x["text"]), "")
+    body = spans.groupBy("page_id").agg(F.sort_array(F.collect_list(F.col("size").cast("double"))).alias("sizes"))
+    body = body.select("page_id", F.get("sizes", F.expr("cast(size(sizes) div 2 as int)")).alias("body"))
+    largest, any_bold = F.max(F.col("size").cast("double")).alias("size"), F.max(F.coalesce("bold", F.lit(False))).alias("bold")
+    lines = spans.groupBy("page_id", "line_no").agg(T.strip(said).alias("line"), largest, any_bold).join(body, "page_id")
+    heads = F.when((F.col("line") != "") & (F.col("bold") | (F.col("size") >= HEADING_SCALE * F.col("body"))), F.struct("line_no", "line"))
+    found = lines.groupBy("page_id").agg(F.array_sort(F.collect_list(heads)).alias("found"))
+    return found.select("page_id", F.array_distinct(F.transform("found", lambda x: x["line"])).alias("headings"))

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -57,10 +57,33 @@ def throttle_stream(events: DataFrame, seconds: float = THROTTLE_S) -> DataFrame
     return events.groupBy("path").applyInPandasWithState(accept, "event_id long, path string, at double", "last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def once_while_tracked(submitted: DataFrame, window: str = "1 day") -> DataFrame:
-    """The first submission of a path in every window; later ones are duplicates of what is queued."""
-    by = F.window("at", window)["start"]
-    return submitted.groupBy("path", by.alias("since")).agg(F.min(F.struct("at", "event_id")).alias("first"), (F.count("*") - 1).alias("duplicates"))
+def once_while_tracked(events: DataFrame) -> DataFrame:
+    """``events(event_id, path, at, done)`` that are submissions, with ``accepted``: a path that is queued or in work
+    is not taken again until it is done.
+
+    A path is tracked from its first submission after the last event that it is done; ties are taken in the order
+    of ``event_id``. A path's events are sorted in one task, which spills. Null paths are never accepted.
+    """
+    order = Window.partitionBy("path").orderBy("at", "event_id")
+    ended = F.count(F.when(F.col("done"), 1)).over(order)
+    named = events.withColumn("_ended", ended).where("not done")
+    first = F.row_number().over(Window.partitionBy("path", "_ended").orderBy("at", "event_id")) == 1
+    return named.withColumn("accepted", first & F.col("path").isNotNull()).drop("_ended")
+
+
+def tracked_stream(events: DataFrame) -> DataFrame:
+    """The accepted submissions of a stream: whether a path is tracked is kept as state between micro-batches."""
+
+    def accept(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        tracked, taken = state.exists and state.get[0], []
+        for event_id, at, done in pd.concat(list(frames)).sort_values(["at", "event_id"])[["event_id", "at", "done"]].itertuples(index=False):
+            if not done and not tracked:
+                taken.append((event_id, key[0], at))
+            tracked = not done
+        state.update((bool(tracked),))
+        yield pd.DataFrame(taken, columns=["event_id", "path", "at"])
+
+    return events.groupBy("path").applyInPandasWithState(accept, "event_id long, path string, at double", "tracked boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def micro_batches(prepared: DataFrame, most_files: int = MOST_FILES, most_chunks: int = MOST_CHUNKS) -> DataFrame:
