@@ -70,14 +70,16 @@ def test_kept_trigrams_change_nothing(spark, corpus):
     assert want and key(fulltext.trigram_topk(chunks, asked, grams=fulltext.trigram_postings(chunks))) == want
 
 
-def test_many_words_take_several_passes(spark, corpus, monkeypatch):
-    chunks = spark.createDataFrame(corpus, "chunk_id long, text string")
-    words = spark.createDataFrame([(w,) for w in ("nana", "ana", "alpha", "zzz", "a b", "über")], "word string")
-    key = lambda df: sorted(map(tuple, df.collect()))
-    want = sorted((w, i, n, len(t) - 2) for i, t in corpus for w in ("nana", "ana", "alpha", "zzz", "a b", "über") if len(t) > 2 and (n := sum(t.startswith(w, k) for k in range(len(t)))))
-    assert key(fulltext.occurrences(chunks, words)) == want
-    monkeypatch.setattr(fulltext, "WORDS_TOGETHER", 2)
-    assert key(fulltext.occurrences(chunks, words)) == want
+def test_many_questions_take_several_passes(spark, corpus, monkeypatch):
+    chunks = spark.createDataFrame(corpus, "chunk_id long, text string").repartition(3)
+    asked = ["nana OR gam", "alpha NOT beta", "ananas", "a b", "zzz", "alpha beta OR über gamma", "naïve NOT alpha beta NOT gamma", "banana"]
+    df = spark.createDataFrame(list(enumerate(asked)), "query_id long, question string")
+    key = lambda d: sorted(map(tuple, d.collect()))
+    every, few = key(fulltext.trigram_topk(chunks, df, 100)), key(fulltext.trigram_topk(chunks, df, 3))
+    assert few == [r for r in every if r[-1] < 3] and len({r[0] for r in every}) > 4
+    monkeypatch.setattr(fulltext, "WORDS_TOGETHER", 4)
+    monkeypatch.setattr(fulltext, "CELLS", 20)
+    assert key(fulltext.trigram_topk(chunks, df, 100)) == every and key(fulltext.trigram_topk(chunks, df, 3)) == few
 
 
 def test_ideographs_are_found_by_pairs(spark):

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -187,47 +188,6 @@ def trigram_postings(chunks: DataFrame) -> DataFrame:
     return chunks.where(F.length("text") >= 3).select("chunk_id", F.explode(trigrams(F.col("text"))).alias("gram"))
 
 
-#: Words that one pass over the texts looks for at most; more take several passes.
-WORDS_TOGETHER = 100_000
-
-
-def occurrences(chunks: DataFrame, words: DataFrame) -> DataFrame:
-    """``(word, chunk_id, f, len)``: how often each of ``words(word)`` is in a text, overlaps included.
-
-    Texts stay where they are. An automaton of up to ``WORDS_TOGETHER`` words goes to every task and finds all of
-    them in one pass over a text; ``len`` counts the text's trigrams.
-    """
-    distinct = words.select("word").distinct()
-    first = [r["word"] for r in distinct.limit(WORDS_TOGETHER + 1).collect()]
-    lots = 1 if len(first) <= WORDS_TOGETHER else math.ceil(distinct.count() / WORDS_TOGETHER)
-    held = chunks.where(F.length("text") >= LEAST_WORD).select("chunk_id", F.lower("text").alias("low"), (F.length("text") - 2).cast("long").alias("len"))
-    out = None
-    for lot in range(lots):
-        some = first if lots == 1 else [r["word"] for r in distinct.where(F.pmod(F.xxhash64("word"), F.lit(lots)) == lot).collect()]
-
-        def run(batches: Iterator[pa.RecordBatch], some: list[str] = some) -> Iterator[pa.RecordBatch]:
-            automaton = ahocorasick.Automaton()
-            for i, w in enumerate(some):
-                automaton.add_word(w, i)
-            automaton.make_automaton()
-            for batch in batches:
-                row, word, f = [], [], []
-                for i, text in enumerate(batch.column(1).to_pylist() if some else ()):
-                    times: dict[int, int] = {}
-                    for _, w in automaton.iter(text):
-                        times[w] = times.get(w, 0) + 1
-                    row += [i] * len(times)
-                    word += times
-                    f += times.values()
-                at = pa.array(row, pa.int64())
-                columns = [pa.array([some[w] for w in word], pa.string()), batch.column(0).take(at), pa.array(f, pa.int64()), batch.column(2).take(at)]
-                yield pa.RecordBatch.from_arrays(columns, names=["word", "chunk_id", "f", "len"])
-
-        found = held.mapInArrow(run, f"word string, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, f long, len long")
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
 def candidates(chunks: DataFrame, words: DataFrame, grams: DataFrame) -> DataFrame:
     """The chunks that hold the rarest trigram of a word, by a kept index ``grams(gram, chunk_id)``."""
     asked = words.select("word").distinct().select("word", F.explode(trigrams(F.col("word"))).alias("gram"))
@@ -239,30 +199,134 @@ def candidates(chunks: DataFrame, words: DataFrame, grams: DataFrame) -> DataFra
     return chunks.join(held.join(chosen, "gram", "left_semi").select("chunk_id").distinct(), "chunk_id", "left_semi")
 
 
-def trigram_matches(chunks: DataFrame, questions: DataFrame, grams: DataFrame | None = None) -> DataFrame:
-    """``(query_id, chunk_id, score)`` by substrings: every word of an alternative has to occur.
+#: Rows of question words that one pass over the texts looks for (on average); more take several passes.
+WORDS_TOGETHER = 50_000
+#: Scores held together in a task.
+CELLS = 1 << 22
+
+
+class Asked:
+    """The words of some questions as arrays: which clauses a word is in, and what clauses and alternatives make up."""
+
+    def __init__(self, rows: list):
+        self.words = sorted({r["word"] for r in rows})
+        number = {w: i for i, w in enumerate(self.words)}
+        clauses = sorted({(r["query_id"], r["alternative"], r["excludes"], r["clause"], r["words"]) for r in rows})
+        place = {c[:4]: i for i, c in enumerate(clauses)}
+        alternatives = sorted({c[:2] for c in clauses})
+        self.queries = np.array(sorted({q for q, _ in alternatives}), np.int64)
+        self.size = np.array([c[4] for c in clauses])
+        self.main = np.array([place[(*x, False, "")] for x in alternatives])
+        at = {x: i for i, x in enumerate(alternatives)}
+        self.barring = [(i, at[c[:2]]) for i, c in enumerate(clauses) if c[2]]
+        self.first = np.searchsorted([q for q, _ in alternatives], self.queries)
+        entries = sorted((number[r["word"]], place[(r["query_id"], r["alternative"], r["excludes"], r["clause"])], r["times"]) for r in rows)
+        word, self.clause, self.times = (np.array(x) for x in zip(*entries))
+        self.ends = np.searchsorted(word, np.arange(len(self.words) + 1))
+
+    def automaton(self) -> ahocorasick.Automaton:
+        out = ahocorasick.Automaton()
+        for i, w in enumerate(self.words):
+            out.add_word(w, i)
+        out.make_automaton()
+        return out
+
+    def scores(self, row: np.ndarray, word: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+        """Scores of ``n`` texts (rows) for the questions (columns), -1 where nothing matches, from what their words weigh."""
+        times = self.ends[word + 1] - self.ends[word]
+        of = np.repeat(np.arange(len(word)), times)
+        entry = np.repeat(self.ends[word] - (np.cumsum(times) - times), times) + np.arange(len(of))
+        key, clauses = row[of] * len(self.size) + self.clause[entry], len(self.size)
+        whole = np.bincount(key, minlength=n * clauses).reshape(n, clauses) == self.size
+        sums = np.bincount(key, value[of] * self.times[entry], n * clauses).reshape(n, clauses)
+        there = whole[:, self.main]
+        for clause, alternative in self.barring:
+            there[:, alternative] &= ~whole[:, clause]
+        total = np.add.reduceat(np.where(there, sums[:, self.main], 0.0), self.first, axis=1)
+        return np.where(np.logical_or.reduceat(there, self.first, axis=1), np.round(total, DIGITS), -1.0)
+
+
+def found_words(batch: pa.RecordBatch, automaton: ahocorasick.Automaton) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word, how often it occurs there, overlaps included) of a batch, texts in its second column."""
+    row, word, times = [], [], []
+    for i, text in enumerate(batch.column(1).to_pylist()):
+        seen: dict[int, int] = {}
+        for _, w in automaton.iter(text):
+            seen[w] = seen.get(w, 0) + 1
+        row += [i] * len(seen)
+        word += seen
+        times += seen.values()
+    return np.array(row, np.int64), np.array(word, np.int64), np.array(times, np.float64)
+
+
+def best_of(parts: list[tuple[np.ndarray, ...]], k: int) -> list[tuple[np.ndarray, ...]]:
+    """The ``k`` best (query, text, score) of every query among all parts, ties by text."""
+    if not parts:
+        return []
+    q, c, s = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((c, -s, q))
+    q, c, s = q[order], c[order], s[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return [(q[keep], c[keep], s[keep])]
 
-    Lengths are counted in trigrams. With a kept index ``grams`` only the chunks that it names are read for words;
-    without one all are.
+
+def trigram_topk(chunks: DataFrame, questions: DataFrame, k: int = TOP_K, grams: DataFrame | None = None) -> DataFrame:
+    """The ``k`` best chunks of every question by substrings: every word of an alternative has to occur.
+
+    Texts stay where they are. An automaton with the words of many questions goes to every task; a first pass over
+    the texts counts in how many each word is, a second scores them, and a task lets go only the ``k`` best of each
+    question. Lengths are counted in trigrams. With a kept index ``grams`` only the chunks that it names are
+    read for words; without one all are. Ids are longs.
     """
     # The questions' own words, asked for several times over; lost blocks are worked out anew.
     words = question_words(questions).persist()
-    counted = occurrences(chunks if grams is None else candidates(chunks, words, grams), words)
-    n = counted.groupBy("word").agg(F.count("*").alias("n"))
+    lots = max(1, math.ceil(words.count() / WORDS_TOGETHER))
+    read = chunks if grams is None else candidates(chunks, words, grams)
+    read = read.where(F.length("text") >= LEAST_WORD).select(F.col("chunk_id").cast("long").alias("chunk_id"), F.lower("text").alias("low"), (F.length("text") - 2).cast("double").alias("len"))
     held = chunks.where(F.coalesce(F.col("text"), F.lit("")) != "")
-    stats = held.agg(F.count("*").alias("n_chunks"), F.avg(F.greatest(F.length("text") - 2, F.lit(0))).alias("avglen"))
-    part = F.col("times") * idf(F.col("n_chunks"), F.col("n")) * saturation(F.col("f"), F.col("len"), F.col("avglen"))
-    scored = words.where("not excludes").join(counted.join(n, "word").crossJoin(F.broadcast(stats)), "word")
-    whole = scored.groupBy("query_id", "alternative", "chunk_id", "words").agg(F.sum(part).alias("part"), F.count("*").alias("there")).where("there = words")
-    if not words.where("excludes").limit(1).count():
-        return whole.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
-    barred = words.where("excludes").join(counted, "word").groupBy("query_id", "alternative", "clause", "chunk_id", "words").agg(F.count("*").alias("there")).where("there = words")
-    kept = whole.join(barred.select("query_id", "alternative", "chunk_id").distinct(), ["query_id", "alternative", "chunk_id"], "left_anti")
-    return kept.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
-
-
-def trigram_topk(chunks: DataFrame, questions: DataFrame, k: int = TOP_K, grams: DataFrame | None = None) -> DataFrame:
-    return top(trigram_matches(chunks, questions, grams), k)
+    out = chunks.sparkSession.createDataFrame([], "query_id long, chunk_id long, score double")
+    for lot in range(lots):
+        rows = words.where(F.pmod(F.xxhash64("query_id"), F.lit(lots)) == lot).collect()
+        if rows:
+            n_chunks, avglen = held.agg(F.count("*"), F.avg(F.greatest(F.length("text") - 2, F.lit(0)))).first()
+            out = out.unionByName(_scored(read, Asked(rows), k, n_chunks, avglen or 0.0))
+    return top(out, k)
+
+
+def _scored(texts: DataFrame, asked: Asked, k: int, n_chunks: int, avglen: float) -> DataFrame:
+    """Every task's ``k`` best of ``texts(chunk_id, low, len)`` for the questions."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, n = asked.automaton(), np.zeros(len(asked.words), np.int64)
+        for batch in batches:
+            n += np.bincount(found_words(batch, automaton)[1], minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["word", "n"])
+
+    n = np.zeros(len(asked.words))
+    for r in texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
+        n[r["word"]] = r["n"]
+    weight = np.maximum(np.log((n_chunks - n + 0.5) / (n + 0.5)), LEAST_IDF)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, best, step = asked.automaton(), [], max(1, CELLS // len(asked.size))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                some = batch.slice(at, step)
+                row, word, f = found_words(some, automaton)
+                length = some.column(2).to_numpy()
+                value = weight[word] * (f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length[row] / avglen)))
+                s = asked.scores(row, word, value, some.num_rows)
+                # All that tie with the k-th stay until the ids decide.
+                edge = -np.partition(-s, min(k, len(s)) - 1, axis=0)[min(k, len(s)) - 1]
+                i, j = np.nonzero((s >= edge) & (s >= 0))
+                best.append((asked.queries[j], some.column(0).to_numpy()[i], s[i, j]))
+                if sum(len(x[0]) for x in best) > CELLS:
+                    best = best_of(best, k)
+        for q, c, s in best_of(best, k):
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(s)], names=["query_id", "chunk_id", "score"])
+
+    return texts.mapInArrow(score, "query_id long, chunk_id long, score double")
 
 
 def search(chunks: DataFrame, index: Index, questions: DataFrame, k: int = TOP_K, grams: DataFrame | None = None, segmenter: Segmenter = T.bigrams) -> DataFrame:
