@@ -300,7 +300,7 @@ shared as (select *, length(regexp_replace(text, '[^{RUN[1:]}', '', 'g'))::doubl
 held as materialized (select chunk_id, case when is_cjk then {SEGMENTED} else {TERMS.format("text")} end as terms from shared),
 toks as (select chunk_id, unnest(terms) as term from held),
 postings as (select term, chunk_id, count(*) as tf from toks group by all),
-lengths as (select chunk_id, len(terms) as len from held),
+lengths as materialized (select chunk_id, len(terms) as len from held),
 stats as (select count(*) as n_chunks, avg(len) as avglen from lengths)"""
 
 ORACLE_SQL = {
