@@ -7,7 +7,7 @@ import re
 
 import pytest
 
-from tidemark.operators import vectors
+from tidemark.operators import fulltext, vectors
 from tidemark.plans.library import Library
 from tidemark.sources import snapshots
 from tidemark.sources.files import Watch
@@ -61,6 +61,12 @@ def state(lib):
     return sorted((r.file_path.rsplit("/", 1)[1], r.chunk_id, r.text) for r in lib.payload().collect())
 
 
+def keyword_hits(lib, asked):
+    """Keyword and substring hits by the kept indexes."""
+    hits = fulltext.search(lib.payload(), fulltext.index_of(lib.table("postings"), lib.table("lengths")), asked, grams=lib.table("grams"))
+    return sorted((r.query_id, r.file_name, r.path) for r in hits.join(lib.payload().select("chunk_id", "file_name"), "chunk_id").collect())
+
+
 def test_a_call_that_breaks_off_changes_nothing(spark, tmp_path, monkeypatch):
     folder = folder_of(tmp_path, a="Alpha is first.", b="Beta is second.")
     lib = Library(spark, str(tmp_path / "lib"))
@@ -89,10 +95,7 @@ def test_a_call_that_breaks_off_changes_nothing(spark, tmp_path, monkeypatch):
     lib.vacuum()
     assert state(lib) == after
     asked = spark.createDataFrame([(1, "changed"), (2, "first"), (3, "econ")], "query_id long, question string")
-    from tidemark.operators import fulltext
-
-    found = fulltext.search(lib.payload(), fulltext.index_of(lib.table("postings"), lib.table("lengths")), asked, grams=lib.table("grams")).collect()
-    assert sorted((r.query_id, r.path) for r in found) == [(1, "terms"), (3, "substrings")]
+    assert keyword_hits(lib, asked) == [(1, "a.txt", "terms"), (3, "b.txt", "substrings")]
 
 
 def test_summaries_follow_the_file(spark, tmp_path):
@@ -122,13 +125,12 @@ def test_folders_encoders_and_backfill(spark, tmp_path):
     assert "BadZipFile" in lib.files("error").first().error_msg
     assert {r.status: (r.files, r.chunks) for r in lib.progress().collect()} == {"done": (3, 3), "error": (1, 0)}
     asked = spark.createDataFrame([(1, "统计")], "query_id long, question string")
-    lib.threshold = 2.0  # keyword hits only
-    assert [r.file_name for r in lib.search(asked).collect()] == ["b.md"]
+    assert keyword_hits(lib, asked) == [(1, "b.md", "terms")]
     old = lib.manifest()
     snapshots.commit(spark, lib.path, old, {t: [] for t in ("postings", "lengths", "grams")})
-    assert lib.search(asked).count() == 0
+    assert keyword_hits(lib, asked) == []
     assert lib.backfill() == 3 and lib.backfill() == 0
-    assert [r.file_name for r in lib.search(asked).collect()] == ["b.md"]
+    assert keyword_hits(lib, asked) == [(1, "b.md", "terms")]
     other = Library(spark, lib.path, encoder_key="hashed::short", encoder=lambda texts: vectors.encode(texts, 16))
     (two / "f.txt").write_text("Phi text.")
     other.ingest(watches)
