@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, html_main, mixing, order_minhash, packing, secrets, simhash, substrings, toxicity, vectors
+from tidemark.llm import bpe, html_main, impacts, mixing, order_minhash, packing, secrets, simhash, substrings, tiers, toxicity, vector_codes, vectors
 from tidemark.llm.common import table
 
 
@@ -56,6 +56,20 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.drop("label").withColumn("codebooks_sha256", F.lit(books.digest()))
+
+
+def op12_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tiers.read_model(public_tokenizers.path("word_bpe_49k.json"))
+    return tiers.pack(table(spark, sf_dir, "documents"), model).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impacts.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -67,6 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_html_extraction": op10_html_extraction,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_tier_packing": op12_tier_packing,
+    "op13_lexical_search": op13_lexical_search,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.ORACLE_SQL, "op11_vector_codes": vector_codes.ORACLE_SQL, "op13_lexical_search": impacts.ORACLE_SQL}
