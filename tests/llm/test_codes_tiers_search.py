@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -11,6 +12,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -124,11 +127,22 @@ def model():
 
 def test_words_encode_like_texts(model):
     encoder, rng = tiers.Encoder(model), random.Random(1)
-    bits = ["'s", "'T", "a", "é", "é", "́", "Σ", " ", "\n", "\t", " ", "\x1c", "漢", "1", "٣", "!!", "<|endoftext|>", "ﬁ", "İ", "\x85", " ", "‍", "😀", "\x00"]
-    texts = ["".join(rng.choices(bits, k=rng.randint(0, 12))) for _ in range(4000)] + ["x" * 100_000, " " * 1000]
-    want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert [i.tolist() for i in encoder.encode(texts)] == want
-    assert all(len(w) <= tiers.LONGEST_WORD for w in encoder.known)
+    plain = ["'s", "'re", "'T", "'l", "'ll", "s", "a", "É", "é", "Ŀ", "ŉ", "ª", "×", " ", "  ", "\n", "\t", "\xa0", "\x85", "\x0b", "\x7f", "\x00", "1", "²", "¼", "!!", ".", "'", "İ", "ſ", "<|endoftext|>", "in", "the", "\xad"]
+    rare = ["\u0301", "Σ", "\u2003", "\x1c", "漢", "٣", "ﬁ", "\u200d", "😀", "e\u0301", "\U0010ffff"]
+    texts = ["".join(rng.choices(plain, k=rng.randint(0, 12))) for _ in range(6000)] + ["".join(rng.choices(plain + 3 * rare, k=rng.randint(0, 12))) for _ in range(6000)] + ["x" * 100_000, " " * 1000, ""]
+    words = [r["text"] or "" for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()]
+    for some in (texts, words, ["漢"], [""], []):
+        want = [e.ids for e in encoder.tokenizer.encode_batch(some, add_special_tokens=False)]
+        assert [i.tolist() for i in encoder.encode(pa.array(some, pa.string()))] == want
+
+
+def test_other_tokenizers_encode_by_themselves():
+    """A tokenizer that isn't of the known kind has no merges to borrow; its words go through it."""
+    model = tiers.read_model(public_tokenizers.path("word_bpe_49k.json"))
+    other = json.loads(model)
+    other["model"]["merges"] = other["model"]["merges"][:1000] + other["model"]["merges"][1001:]
+    encoder, text = tiers.Encoder(json.dumps(other)), "Some words, and MORE words."
+    assert encoder.merges is None and encoder.encode(pa.array([text]))[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("seed", range(6))

@@ -14,10 +14,15 @@ text meets in one task, and a lost task is packed again from its rows alone.
 from __future__ import annotations
 
 import heapq
+import itertools
+import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,38 +36,87 @@ TIERS = (4096, 2048, 1024, 512, 256)
 WINDOW_TOKENS = 1 << 22
 STEP_TOKENS = 1 << 16
 END = 2
-#: Words whose ids a task remembers, and the longest of them (in characters).
-WORDS, LONGEST_WORD = 1 << 19, 64
+#: Bytes of text that are encoded together.
+TEXT_BYTES = 1 << 24
 
 Piece = tuple[int, int, int]
 
 
+#: How a tokenizer with word ends takes texts apart, and the strings that its bytes are written as.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+WORD_END = "</w>"
+#: The same over characters below U+0180 but the dotted capital I: their classes, lower case and composition are the same everywhere.
+SPACE, LETTER, NUMBER = "\t\n\x0b\x0c\r \x85\xa0", "a-zA-ZªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾"
+PIECE = re.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+")
+PLAIN = r"^[\x00-\x1b\x20-\x{12f}\x{131}-\x{17f}]*$"
+
+
+def merges_of(model: str) -> dict[bytes, int] | None:
+    """The tokenizer's tokens as bytes, a space for the end of a word, if it is byte-level BPE with word ends over
+    ``PATTERN`` whose ids are in the order of its merges; else None."""
+    parts = json.loads(model)
+    own, normal, before = parts["model"], parts["normalizer"] or {}, parts["pre_tokenizer"] or {}
+    kinds = [n["type"] for n in normal.get("normalizers", [])], [(n["type"], n.get("pattern"), n.get("invert")) for n in before.get("pretokenizers", [])]
+    if kinds != (["NFC", "Replace", "Lowercase"], [("Split", {"Regex": PATTERN}, True), ("ByteLevel", None, None)]) or own["type"] != "BPE" or own["end_of_word_suffix"] != WORD_END:
+        return None
+    joined = ["".join(m if isinstance(m, list) else m.split(" ")) for m in own["merges"]]
+    if [own["vocab"].get(m) for m in joined] != list(range(512, 512 + len(joined))):
+        return None
+    rest = [b for b in range(256) if b not in PRINTED]
+    byte = {chr(b): b for b in PRINTED} | {chr(256 + i): b for i, b in enumerate(rest)}
+    special = {t["content"] for t in parts["added_tokens"]}
+    return {bytes(byte[c] for c in t.removesuffix(WORD_END)) + b" " * t.endswith(WORD_END): i for t, i in own["vocab"].items() if t not in special}
+
+
 class Encoder:
-    """The ids of texts by a tokenizer whose pre-tokens hold no white space; ids of words are worked out once.
+    """The ids of texts by a tokenizer whose pre-tokens hold no white space.
 
-    Between spaces and line feeds the tokenizer's work does not depend on what stands beyond them, so each
-    stretch is encoded by itself, and a task's rows share the frequent ones.
+    Between spaces and line feeds its work does not depend on what stands beyond them, so each distinct stretch of
+    a batch is encoded once. Stretches of common characters go through the same merges by rank, their pieces
+    closed with a space for the end of the word; all others through the tokenizer itself.
     """
 
     def __init__(self, model: str):
         self.tokenizer = Tokenizer.from_str(model)
         # Strings of special tokens in a text are ordinary text.
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        ranks = merges_of(model)
+        self.merges = tiktoken.Encoding("word ends", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={}) if ranks else None
+        self.line = ranks[b"\n "] if ranks else None
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of distinct words without line feeds, and where each word's begin and end among them."""
+        plain = pc.match_substring_regex(words, PLAIN).to_numpy(zero_copy_only=False) if self.merges else np.zeros(len(words), bool)
+        sizes, ids = np.zeros(len(words), np.int64), [np.zeros(0, "<u4")]
+        if plain.any():
+            # Words are lines, and a line feed is a piece and an id of its own.
+            some = words.filter(pa.array(plain))
+            lines = pc.binary_join(pa.ListArray.from_arrays([0, len(some)], some), "\n")[0].as_py().lower() + "\n"
+            found = np.array(self.merges.encode_ordinary(" ".join(PIECE.findall(lines)) + " "), "<u4")
+            ends = np.flatnonzero(found == self.line)
+            sizes[plain] = np.diff(ends, prepend=-1) - 1
+            ids.append(np.delete(found, ends))
+        others = [e.ids for e in self.tokenizer.encode_batch_fast(words.filter(pa.array(~plain)).to_pylist(), add_special_tokens=False)]
+        sizes[~plain] = [len(o) for o in others]
+        ids.append(np.fromiter(itertools.chain.from_iterable(others), "<u4"))
+        # The plain words' ids come first.
+        order, starts = np.argsort(~plain, kind="stable"), np.zeros(len(words), np.int64)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        return np.concatenate(ids), starts, starts + sizes
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Little-endian 32-bit ids of every text."""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > WORDS:
-            self.known.clear()
-        fresh = list({w for ws in words for w in ws if w not in self.known})
-        found = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(fresh, found))
-        out = [np.frombuffer(b"".join([self.known[w] for w in ws]), "<u4") for ws in words]
-        for w in fresh:
-            if len(w) > LONGEST_WORD:
-                del self.known[w]
-        return out
+        if not len(texts):
+            return []
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = words.flatten().dictionary_encode()
+        ids, starts, ends = self.words(coded.dictionary)
+        which = coded.indices.to_numpy()
+        sizes = (ends - starts)[which]
+        stops = np.cumsum(sizes)
+        flat = ids[np.repeat(starts[which] - (stops - sizes), sizes) + np.arange(stops[-1])]
+        return np.split(flat, stops[np.cumsum(pc.list_value_length(words).to_numpy()) - 1][:-1])
 
 
 class Pool:
@@ -169,6 +223,16 @@ def steps_of(sequences: list[tuple[int, list[Piece]]], step_tokens: int) -> list
     return out
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, as many together as have ``TEXT_BYTES`` in their second column, one at least."""
+    size = np.cumsum(pc.binary_length(batch.column(1)).to_numpy())
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + TEXT_BYTES, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def read_model(path: str) -> str:
     """A tokenizer's definition, to be sent to the tasks."""
     with open(path, encoding="utf-8") as f:
@@ -216,9 +280,8 @@ def pack(docs: DataFrame, model: str, end: int = END, tiers: tuple[int, ...] = T
             sequences_before, steps_before = sequences_before + len(sequences), steps_before + max(steps) + 1
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                for doc_id, got in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist())):
+            for some in slices(batch):
+                for doc_id, got in zip(some.column(0).to_pylist(), encoder.encode(some.column(1))):
                     doc_ids.append(doc_id)
                     ids.append(np.append(got, np.array([end], "<u4")))
                     held += len(ids[-1])
