@@ -184,9 +184,10 @@ def test_manifests(spark, tmp_path):
     root = str(tmp_path / "t")
     empty = snapshots.manifest(spark, root)
     assert empty["version"] == 0 and snapshots.read(spark, root, "x", "a long", empty).count() == 0
-    first = snapshots.part(spark.range(3).toDF("a"), root, "x")
+    first, known = snapshots.part(spark.range(3).toDF("a"), root, "x", ranges=["a"])
+    assert known == {"schema": 1, "rows": 3, "low a": 0, "high a": 2}
     one = snapshots.commit(spark, root, empty, {"x": [first]})
-    second = snapshots.part(spark.range(2).toDF("a").withColumn("b", F.lit("s")), root, "x")
+    second = snapshots.part(spark.range(2).toDF("a").withColumn("b", F.lit("s")), root, "x")[0]
     assert snapshots.read(spark, root, "x", "a long", snapshots.manifest(spark, root)).count() == 3  # not named yet
     two = snapshots.commit(spark, root, one, {"x": [first, second]}, {"k": 1})
     assert snapshots.manifest(spark, root) == two and snapshots.manifest(spark, root, 1) == one
@@ -202,6 +203,53 @@ def test_manifests(spark, tmp_path):
     assert snapshots.unnamed(spark, root) == []
 
 
+def test_of_two_writers_one_commits(spark, tmp_path, monkeypatch):
+    """However two commits interleave, the one that is refused knows, and no part of the other is lost."""
+    root = str(tmp_path / "t")
+    parts = [snapshots.part(spark.range(i + 1).toDF("a"), root, "x")[0] for i in range(3)]
+    one = snapshots.commit(spark, root, snapshots.manifest(spark, root), {"x": parts[:1]})
+    publish, others = snapshots._publish, []
+
+    def after_another(*args):
+        """The other writer's whole commit falls between this one's writing and its naming."""
+        if not others:
+            others.append(None)
+            others[0] = snapshots.commit(spark, root, one, {"x": parts[:2]})
+        return publish(*args)
+
+    monkeypatch.setattr(snapshots, "_publish", after_another)
+    with pytest.raises(snapshots.Conflict):
+        snapshots.commit(spark, root, one, {"x": [parts[0], parts[2]]})
+    assert snapshots.manifest(spark, root) == others[0] and others[0]["tables"] == {"x": parts[:2]}
+    again = snapshots.commit(spark, root, snapshots.manifest(spark, root), {"x": parts})
+    assert again["version"] == 3 and [p.name for p in (tmp_path / "t" / "manifests").iterdir() if p.suffix != ".crc" and not p.name.startswith("m")] == []
+
+
+def test_parts_of_older_schemas_have_defaults(spark, tmp_path):
+    root = str(tmp_path / "t")
+    changes = (snapshots.Change(2, "x", "b", "'none'"), snapshots.Change(3, "x", "c", "a * 10"), snapshots.Change(2, "y", "a", "0"))
+    rows = [spark.sql("select 1 as a"), spark.sql("select 2 as a, 'two' as b"), spark.sql("select 3L as a, 'three' as b, 7L as c")]
+    parts = dict(snapshots.part(df, root, "x", i) for i, df in enumerate(rows, 1))
+    now = snapshots.commit(spark, root, snapshots.manifest(spark, root), {"x": list(parts)}, parts=parts)
+    got = snapshots.read(spark, root, "x", "a long, b string, c long", now, changes=changes)
+    assert sorted(map(tuple, got.collect())) == [(1, "none", 10), (2, "two", 20), (3, "three", 7)]
+    # Of parts that are older than what is known of parts, nothing is known: they count as the first schema.
+    assert sorted(map(tuple, snapshots.read(spark, root, "x", "a long, b string", now | {"parts": {}}, changes=changes[:1]).collect())) == [(1, "none"), (2, "none"), (3, "none")]
+
+
+def test_a_lookup_reads_few_parts(spark, tmp_path):
+    root, parts = str(tmp_path / "t"), {}
+    for i in range(24):
+        parts |= dict([snapshots.part(spark.createDataFrame([(i, f"run-{i}"), (i + 100, f"run-{i}")], "file_id long, run string"), root, "x", ranges=["file_id", "run"])])
+    now = snapshots.commit(spark, root, snapshots.manifest(spark, root), {"x": list(parts)}, parts=parts)
+    files = lambda df: {f.split("/")[-2] for f in df.inputFiles()}
+    every = snapshots.read(spark, root, "x", "file_id long, run string", now)
+    few = snapshots.read(spark, root, "x", "file_id long, run string", now, [{"file_id": 5, "run": "run-5"}, {"file_id": 107, "run": "run-7"}])
+    assert (len(files(every)), len(files(few)), few.count()) == (24, 2, 4)
+    assert snapshots.read(spark, root, "x", "file_id long, run string", now, [{"file_id": 5, "run": "run-6"}]).count() == 0
+    assert [len(g) for g in snapshots.like_sized(now, "x", 8)] == [24] and snapshots.like_sized(now, "x", 30) == []
+
+
 def test_files_to_pages(spark, tmp_path):
     ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     xml = f"<w:document {ns}><w:body><w:p><w:r><w:t>Hello</w:t></w:r></w:p><w:p/><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>"

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import fulltext
+from tidemark.operators import best, fulltext
 
 
 @pytest.fixture(scope="module")
@@ -62,6 +62,34 @@ def test_substrings_equal_sqlite(spark, corpus, question):
     assert {r.chunk_id: r.score for r in got} == pytest.approx(want, abs=2e-5)
 
 
+BRACKETS = ["(alpha OR beta) NOT gamma", "(alpha OR beta) AND (gamma OR delta)", "((alpha))", "()", "(alpha", "alpha)", "(alpha) beta", "alpha (beta)", "alpha NOT (beta OR (gamma AND delta))", "alpha NOT (beta NOT gamma)",
+    "(alpha NOT beta) NOT gamma", "alpha NOT (al)", "(al) AND alpha", "(al beta)", "(al) OR alpha", "(alpha OR (banana AND x1)) AND gamma", "NEAR alpha", "NEAR(alpha beta)", "NEAR(alpha beta, 0)", "NEAR(alpha beta gamma, 12)",
+    "NEAR(alpha al)", "NEAR(al be)", "NEAR(alpha)", "NEAR(alpha* beta , 5) AND gamma", "NEAR(alpha beta,)", "NEAR(alpha beta, x)", "NEAR(alpha beta, -1)", "near(alpha beta)", "NEAR (ana nana, 3)", "NEAR(ana ana, 2)", "gamma NOT NEAR(alpha beta, 3)",
+    'NEAR("alpha beta" gamma, 20) OR delta', "^alpha", "^ alpha", "alpha ^beta", "alpha AND ^beta", "NEAR(^alpha beta)", '"alp" + "lph"', "alp + pha", 'NEAR("alp" + "lph" beta)', "alpha + ^beta", '^"alpha beta" OR gamma', '^"alp" + lpha', "alpha, beta", "al + alpha", "title: alpha"]
+
+
+def test_brackets_and_near_equal_sqlite(spark, corpus):
+    con = sqlite_index(corpus, "trigram")
+    rng, words = random.Random(7), ["alpha", "beta", "gamma", "nana", "delta", "caf", "al", "der"]
+
+    def random_tree(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return rng.choice([rng.choice(words), rng.choice(words) + " " + rng.choice(words), f"NEAR({rng.choice(words)} {rng.choice(words)} {rng.choice(words)}, {rng.randint(0, 40)})", "^" + rng.choice(words)])
+        return f"({random_tree(depth - 1)}) {rng.choice(['AND', 'OR', 'NOT'])} ({random_tree(depth - 1)})"
+
+    asked = dict(enumerate([*BRACKETS, *(random_tree(rng.randint(1, 3)) for _ in range(150))]))
+    found = fulltext.trigram_topk(spark.createDataFrame(corpus, "chunk_id long, text string"), spark.createDataFrame(list(asked.items()), "query_id long, question string"), 100).collect()
+    got = {q: {} for q in asked}
+    for r in found:
+        got[r.query_id][r.chunk_id] = r.score
+    for q, question in asked.items():
+        try:
+            want = {i: -s for i, s in con.execute("select rowid, rank from t where t match ?", (question,))}
+        except sqlite3.OperationalError:
+            want = {}
+        assert got[q] == pytest.approx(want, abs=2e-5), question
+
+
 def test_kept_trigrams_change_nothing(spark, corpus):
     chunks = spark.createDataFrame([*corpus, (900, None), (901, ""), (902, "ab")], "chunk_id long, text string")
     asked = spark.createDataFrame([(1, "nana OR gam"), (2, "alpha NOT beta"), (3, "zzz OR delta"), (4, "qqqq"), (5, None)], "query_id long, question string")
@@ -78,7 +106,7 @@ def test_many_questions_take_several_passes(spark, corpus, monkeypatch):
     every, few = key(fulltext.trigram_topk(chunks, df, 100)), key(fulltext.trigram_topk(chunks, df, 3))
     assert few == [r for r in every if r[-1] < 3] and len({r[0] for r in every}) > 4
     monkeypatch.setattr(fulltext, "WORDS_TOGETHER", 4)
-    monkeypatch.setattr(fulltext, "CELLS", 20)
+    monkeypatch.setattr(best, "CELLS", 20)
     assert key(fulltext.trigram_topk(chunks, df, 100)) == every and key(fulltext.trigram_topk(chunks, df, 3)) == few
 
 

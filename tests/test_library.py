@@ -6,6 +6,7 @@ import os
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import fulltext, vectors
 from tidemark.plans.library import Library
@@ -135,3 +136,61 @@ def test_folders_encoders_and_backfill(spark, tmp_path):
     (two / "f.txt").write_text("Phi text.")
     other.ingest(watches)
     assert {len(r.vector) for r in other.table("vectors").collect()} == {16} and other.table("vectors").count() == 4
+
+
+def test_a_filter_decides_the_fallback(spark, tmp_path):
+    """A question that has keyword hits, but none in the named files, asks for substrings in those."""
+    lib = Library(spark, str(tmp_path / "lib"), threshold=0.0)
+    lib.ingest(folder_of(tmp_path, a="A quick brown fox.", b="The quickest hare of all.", c="Nothing here."))
+    asked = spark.createDataFrame([(1, "quick")], "query_id long, question string")
+    payload = lib.payload()
+    hits = lambda names: sorted((r.file_name, r.path) for r in fulltext.search(payload, fulltext.index_of(lib.table("postings"), lib.table("lengths")), asked, grams=lib.table("grams"), allowed=F.col("file_name").isin(*names)).join(payload.select("chunk_id", "file_name"), "chunk_id").collect())
+    assert hits(["a.txt", "b.txt"]) == [("a.txt", "terms")]
+    assert hits(["b.txt"]) == [("b.txt", "substrings")]
+    assert hits(["c.txt"]) == []
+    assert {r.file_name for r in lib.search(asked, ["b.txt"]).collect()} == {"b.txt"}
+
+
+def test_parts_grow_and_are_merged(spark, tmp_path, monkeypatch):
+    lib = Library(spark, str(tmp_path / "lib"))
+    for i in range(3):
+        folder = folder_of(tmp_path, **{f"n{i}": f"Text number {i}."})
+        lib.ingest(folder)
+    before, ids = state(lib), {r.file_name: r.id for r in lib.files().collect()}
+    assert len(lib.manifest()["tables"]["chunks"]) == 3
+    assert len(lib.table("chunks", file_ids=[ids["n1.txt"]]).inputFiles()) < len(lib.table("chunks").inputFiles())
+    assert [r.text for r in lib.table("chunks", file_ids=[ids["n1.txt"]]).collect()] == ["Text number 1."]
+    monkeypatch.setattr(snapshots, "FAN", 3)
+    lib.compact(everything=False)
+    assert len(lib.manifest()["tables"]["chunks"]) == 1 and state(lib) == before
+    said = [(r.stage, r.files, r.chunks) for r in lib.stages().where("run = 'run-3'").orderBy("nth").collect()]
+    assert said == [("queued", 1, 0), ("preparing", 1, 0), ("embedding", 1, 1), ("storing", 1, 1), ("done", 1, 1)]
+
+
+def test_stages_of_a_run_that_breaks_off(spark, tmp_path, monkeypatch):
+    folder, lib = folder_of(tmp_path, a="Alpha.", b="Beta."), Library(spark, str(tmp_path / "lib"))
+
+    def broken(*args):
+        raise OSError("no model")
+
+    monkeypatch.setattr(vectors, "encode_with_cache", broken)
+    with pytest.raises(OSError):
+        lib.ingest(folder)
+    last = lib.stages().first()
+    assert (last.run, last.stage, last.files, last.chunks) == ("run-1", "embedding", 2, 2) and lib.files().count() == 0
+
+
+def test_kept_vector_lists(spark, tmp_path):
+    """Lists are trained once, later ingests append, and a search finds what a full one does."""
+    topics = ["cats purr and sleep", "iron rusts in water", "ships sail at sea", "bread is baked of flour"]
+    folder = folder_of(tmp_path, **{f"t{i}": f"{topics[i % 4]} {i} " + " ".join(f"w{i % 4}x{j}" for j in range(i % 7)) for i in range(24)})
+    lib = Library(spark, str(tmp_path / "lib"), threshold=0.0)
+    lib.ingest(folder)
+    asked = spark.createDataFrame(list(enumerate(topics)), "query_id long, question string")
+    assert lib.index_vectors(asked) >= 0.9 and lib.manifest()["values"]["recall"] >= 0.9
+    parts = lib.manifest()["tables"]["vectors"]
+    assert len(parts) == 1
+    lib.ingest(folder_of(tmp_path, late="cats purr and sleep late"))
+    after = lib.manifest()["tables"]["vectors"]
+    assert after[:1] == parts and len(after) == 2 and vectors.NO_LIST not in {r["list"] for r in lib.table("vectors").collect()}
+    assert "late.txt" in {r.file_name for r in lib.search(asked).where("query_id = 0").collect()}

@@ -25,7 +25,9 @@ FOLD_FROM, FOLD_TO = _folding()
 
 def fold(text: Column) -> Column:
     """Lower case without single diacritics; letters with several marks stay as they are."""
-    return F.translate(F.lower(text), FOLD_FROM, FOLD_TO)
+    low = F.lower(text)
+    # Most texts have nothing to fold, and to look is cheaper.
+    return F.when(low.rlike(r"[^\x00-\x7f]"), F.translate(low, FOLD_FROM, FOLD_TO)).otherwise(low)
 
 
 def terms(text: Column) -> Column:

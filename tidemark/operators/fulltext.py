@@ -7,9 +7,11 @@ there is no "+1" in it, so a term that half of the chunks hold weighs next to no
 
 from __future__ import annotations
 
+import itertools
+import json
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import ahocorasick
 import numpy as np
@@ -18,6 +20,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.functions.expressions import LEAST_WORD, near_counts, parsed
+from tidemark.operators import best
+from tidemark.operators.best import NONE, Best
+from tidemark.sources.shared import written
 
 #: From a text to its terms: how runs of ideographs, which have no spaces, become words.
 Segmenter = Callable[[Column], Column]
@@ -28,11 +34,21 @@ DIGITS = 6
 
 @dataclass(frozen=True)
 class Index:
-    """``postings(term, chunk_id, tf)``, ``lengths(chunk_id, len)`` and one row of ``stats(n, avglen)``."""
+    """``postings(term, chunk_id, tf)``, ``lengths(chunk_id, len)`` and one row of ``stats(n_chunks, avglen)``; with
+    ``held(chunk_id, terms)`` where postings are still to be counted from it."""
 
     postings: DataFrame
     lengths: DataFrame
     stats: DataFrame
+    held: DataFrame | None = None
+
+    def of_terms(self, terms: DataFrame) -> DataFrame:
+        """``(number, chunk_id, tf)`` of a few ``terms(term, number)``: others are neither counted nor shuffled."""
+        few = F.broadcast(terms)
+        if self.held is None:
+            return self.postings.join(few, "term").select("number", "chunk_id", "tf")
+        found = self.held.select("chunk_id", F.explode("terms").alias("term")).join(few, "term")
+        return found.groupBy("chunk_id", "number").agg(F.count("*").alias("tf"))
 
 
 def index_terms(chunks: DataFrame, segmenter: Segmenter = T.bigrams) -> DataFrame:
@@ -61,9 +77,10 @@ def index_of(postings: DataFrame, lengths: DataFrame) -> Index:
 
 
 def build_index(chunks: DataFrame, segmenter: Segmenter = T.bigrams) -> Index:
-    """Index of ``chunks(chunk_id, text)``; chunks without text are not in it."""
-    held = index_terms(chunks, segmenter)
-    return index_of(postings_of(held), lengths_of(held))
+    """Index of ``chunks(chunk_id, text)``; chunks without text are not in it. Texts are taken apart once, into a
+    table in the shared folder."""
+    held = written(index_terms(chunks, segmenter))
+    return replace(index_of(postings_of(held), lengths_of(held)), held=held)
 
 
 def question_terms(questions: DataFrame, segmenter: Segmenter = T.bigrams) -> DataFrame:
@@ -87,28 +104,91 @@ def top(scored: DataFrame, k: int, *keys: str) -> DataFrame:
     return ranked.where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long") - 1)
 
 
-#: Tasks that the postings of one term are spread over.
-SPREAD = 16
+#: Rows of question terms or words that one pass answers (on average); more take several passes.
+WORDS_TOGETHER = 50_000
+
+
+def in_lots(asked: DataFrame) -> Iterator[DataFrame]:
+    """The rows of ``asked(query_id, ...)`` in lots of whole questions, ``WORDS_TOGETHER`` rows on average."""
+    lots = max(1, math.ceil(asked.count() / WORDS_TOGETHER))
+    for lot in range(lots):
+        yield asked if lots == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(lots)) == lot)
 
 
-def bm25(index: Index, questions: DataFrame, segmenter: Segmenter = T.bigrams) -> DataFrame:
-    """``(query_id, chunk_id, score)`` of every chunk that holds a term of the question.
+def bm25_topk(index: Index, questions: DataFrame, k: int = TOP_K, segmenter: Segmenter = T.bigrams) -> DataFrame:
+    """The ``k`` best chunks of every question, of those that hold one of its terms.
 
-    Asked terms meet the postings once per spread of chunks, so that a term in very many chunks is no single
-    task's work.
+    What the index has of the asked terms is dealt to tasks by chunk, once; the questions' terms, a bounded lot at
+    a time, come to every task, which adds up its chunks for all of them and lets go the ``k`` best. So neither a
+    frequent term nor many questions multiply what is shuffled. Ids are longs.
     """
-    asked = question_terms(questions, segmenter)
-    spread = lambda: F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
-    dealt = index.postings.withColumn("spread", F.pmod(F.xxhash64("chunk_id"), F.lit(SPREAD)).cast("int"))
-    n = index.postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-    hits = dealt.join(asked.join(n, "term").withColumn("spread", spread()), ["term", "spread"])
-    weighted = hits.join(index.lengths, "chunk_id").crossJoin(F.broadcast(index.stats))
-    part = F.col("times") * idf(F.col("n_chunks"), F.col("n")) * saturation(F.col("tf"), F.col("len"), F.col("avglen"))
-    return weighted.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+    spark = questions.sparkSession
+    out = spark.createDataFrame([], "query_id long, chunk_id long, score double")
+    asked = written(question_terms(questions, segmenter))
+    n_chunks, avglen = index.stats.select("n_chunks", "avglen").first()
+    for lot in in_lots(asked):
+        rows = lot.collect()
+        if not rows:
+            continue
+        number = {t: i for i, t in enumerate(sorted({r["term"] for r in rows}))}
+        terms = spark.createDataFrame(list(number.items()), "term string, number long")
+        # As many rows as the lot has terms.
+        held = index.of_terms(terms).withColumn("chunk_id", F.col("chunk_id").cast("long"))
+        held = written(held.join(index.lengths.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("len").cast("double").alias("len")), "chunk_id"))
+        n = np.zeros(len(number))
+        for r in held.groupBy("number").agg(F.count("*").alias("n")).collect():
+            n[r["number"]] = r["n"]
+        weight = np.maximum(np.log((n_chunks - n + 0.5) / (n + 0.5)), LEAST_IDF)
+        out = out.unionByName(_term_scores(held, [(number[r["term"]], r["query_id"], r["times"]) for r in rows], weight, k, avglen or 0.0))
+    return top(out, k)
 
 
-def bm25_topk(index: Index, questions: DataFrame, k: int = TOP_K, segmenter: Segmenter = T.bigrams) -> DataFrame:
-    return top(bm25(index, questions, segmenter), k)
+def _term_scores(held: DataFrame, asked: list[tuple[int, int, int]], weight: np.ndarray, k: int, avglen: float) -> DataFrame:
+    """Every task's ``k`` best chunks of ``held(chunk_id, number, tf, len)`` for the questions of ``asked``."""
+    queries = np.array(sorted({q for _, q, _ in asked}), np.int64)
+    term, query, times = (np.array(x) for x in zip(*sorted(asked)))
+    column, ends = np.searchsorted(queries, query), np.searchsorted(term, np.arange(len(weight) + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, step, left = Best(k), max(1, best.CELLS // len(queries)), None
+
+        def score(table: pa.Table) -> None:
+            chunk, number, tf, length = (table.column(c).to_numpy() for c in ("chunk_id", "number", "tf", "len"))
+            chunks, row = np.unique(chunk, return_inverse=True)
+            value = weight[number] * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avglen)))
+            for a in range(0, len(chunks), step):
+                some = np.flatnonzero((row >= a) & (row < a + step))
+                of, entry = spread(ends, number[some])
+                key = (row[some][of] - a) * len(queries) + column[entry]
+                shape = min(step, len(chunks) - a), len(queries)
+                s = np.bincount(key, value[some][of] * times[entry], shape[0] * shape[1]).reshape(shape)
+                there = np.bincount(key, minlength=shape[0] * shape[1]).reshape(shape) > 0
+                kept.add(np.where(there, np.round(s, DIGITS), NONE), chunks[a : a + step], queries)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch] if left is None else [*left.to_batches(), batch])
+            # The last chunk may go on in the next batch.
+            chunk = table.column("chunk_id").to_numpy()
+            cut = int(np.searchsorted(chunk, chunk[-1]))
+            if cut:
+                score(table.slice(0, cut))
+            left = table.slice(cut)
+        if left is not None:
+            score(left)
+        for q, c, s in kept.rows():
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(s)], names=["query_id", "chunk_id", "score"])
+
+    dealt = held.select("chunk_id", "number", "tf", "len").repartition("chunk_id").sortWithinPartitions("chunk_id")
+    return dealt.mapInArrow(run, "query_id long, chunk_id long, score double")
+
+
+def spread(ends: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every word's entries ``ends[word]..ends[word + 1]``: (place in ``words``, entry)."""
+    times = ends[words + 1] - ends[words]
+    of = np.repeat(np.arange(len(words)), times)
+    return of, np.repeat(ends[words] - (np.cumsum(times) - times), times) + np.arange(len(of))
 
 
 def filtered_topk(ranked: DataFrame, files: DataFrame, allowed: Column, k: int = TOP_K) -> DataFrame:
@@ -142,40 +222,17 @@ def phrase_topk(chunks: DataFrame, index: Index, phrases: DataFrame, k: int = TO
     return top(weighted.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")), k)
 
 
-#: The expressions that substring search reads. Words and "quoted phrases", each with a star or not, one
-#: after another (all have to occur), joined by NOT, AND and OR, which bind in this order; no brackets, no NEAR.
-PHRASE = r'(?:"(?:[^"]|"")*"|(?!(?:AND|OR|NOT|NEAR)(?![A-Za-z0-9_\u0080-￿]))[A-Za-z0-9_\u0080-\x{10ffff}]+)(?:\s*\*)?'
-EXPRESSION = rf"^\s*{PHRASE}(?:\s+{PHRASE})*(?:\s+(?:AND|OR|NOT)\s+{PHRASE}(?:\s+{PHRASE})*)*\s*$"
-UNQUOTED = r'(?=(?:[^"]*"[^"]*")*[^"]*$)'
-LEAST_WORD = 3
-
+def expressions(questions: DataFrame) -> DataFrame:
+    """``(query_id, words, tree)`` of the questions that are expressions; words in lower case."""
 
-def question_words(questions: DataFrame) -> DataFrame:
-    """``(query_id, alternative, clause, excludes, word, times, words)``: what each alternative of a question asks for.
-
-    All words (lower case, three characters or more; shorter ones say nothing beside them) of an alternative have to
-    occur, and not all words of a clause that ``excludes``. ``words`` counts the distinct words of the alternative, or of
-    the excluding clause. A question that is no expression, or without a long word, has no words.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            read = [parsed(q) for q in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w for w, _ in read], pa.list_(pa.string())), pa.array([t for _, t in read], pa.string())], names=["query_id", "words", "tree"])
 
-    def split(rows: DataFrame, by: str, number: str) -> DataFrame:
-        kept = [c for c in rows.columns if c != "part"]
-        return rows.select(*kept, F.posexplode(F.split("part", rf"\s+{by}\s+{UNQUOTED}")).alias(number, "part"))
-
-    parts = questions.where(F.col("question").rlike(EXPRESSION)).select("query_id", F.col("question").alias("part"))
-    for by, number in (("OR", "alternative"), ("AND", "both"), ("NOT", "but")):
-        parts = split(parts, by, number)
-    bare = F.transform(F.regexp_extract_all("part", F.lit(r'"(?:[^"]|"")*"|[^\s"*]+'), F.lit(0)), lambda p: F.when(p.startswith('"'), F.replace(F.substring(p, F.lit(2), F.length(p) - 2), F.lit('""'), F.lit('"'))).otherwise(p))
-    words = F.filter(F.transform(bare, F.lower), lambda w: F.length(w) >= LEAST_WORD)
-    # Short words beside long ones say nothing, but a clause of short words only is found nowhere.
-    parts = parts.withColumn("found", words).withColumn("excludes", F.col("but") > 0)
-    least = F.min(F.when(~F.col("excludes"), F.size("found"))).over(Window.partitionBy("query_id", "alternative"))
-    parts = parts.withColumn("least", least).where("least > 0")
-    clause = F.when(F.col("excludes"), F.concat_ws("/", "both", "but")).otherwise(F.lit(""))
-    named = parts.select("query_id", "alternative", clause.alias("clause"), "excludes", F.explode("found").alias("word"))
-    keys = ["query_id", "alternative", "clause", "excludes"]
-    counted = named.groupBy(*keys, "word").agg(F.count("*").alias("times"))
-    return counted.withColumn("words", F.count("*").over(Window.partitionBy(*keys)))
+    kind = questions.schema["query_id"].dataType.simpleString()
+    read = questions.select("query_id", "question").mapInArrow(run, f"query_id {kind}, words array<string>, tree string")
+    return read.where("tree is not null").withColumn("words", F.transform("words", F.lower))
 
 
 def trigrams(text: Column) -> Column:
@@ -199,140 +256,199 @@ def candidates(chunks: DataFrame, words: DataFrame, grams: DataFrame) -> DataFra
     return chunks.join(held.join(chosen, "gram", "left_semi").select("chunk_id").distinct(), "chunk_id", "left_semi")
 
 
-#: Rows of question words that one pass over the texts looks for (on average); more take several passes.
-WORDS_TOGETHER = 50_000
-#: Scores held together in a task.
-CELLS = 1 << 22
-
-
 class Asked:
-    """The words of some questions as arrays: which clauses a word is in, and what clauses and alternatives make up."""
+    """Some questions' trees as arrays.
+
+    Columns are phrases first (one for each place in a tree), then what joins them, from the bottom up; a text is a
+    row. ``entities`` are what texts are searched for: a word, or a word at a text's start.
+    """
 
     def __init__(self, rows: list):
-        self.words = sorted({r["word"] for r in rows})
+        self.words = sorted({w for r in rows for w in r["words"]})
         number = {w: i for i, w in enumerate(self.words)}
-        clauses = sorted({(r["query_id"], r["alternative"], r["excludes"], r["clause"], r["words"]) for r in rows})
-        place = {c[:4]: i for i, c in enumerate(clauses)}
-        alternatives = sorted({c[:2] for c in clauses})
-        self.queries = np.array(sorted({q for q, _ in alternatives}), np.int64)
-        self.size = np.array([c[4] for c in clauses])
-        self.main = np.array([place[(*x, False, "")] for x in alternatives])
-        at = {x: i for i, x in enumerate(alternatives)}
-        self.barring = [(i, at[c[:2]]) for i, c in enumerate(clauses) if c[2]]
-        self.first = np.searchsorted([q for q, _ in alternatives], self.queries)
-        entries = sorted((number[r["word"]], place[(r["query_id"], r["alternative"], r["excludes"], r["clause"])], r["times"]) for r in rows)
-        word, self.clause, self.times = (np.array(x) for x in zip(*entries))
-        self.ends = np.searchsorted(word, np.arange(len(self.words) + 1))
+        self.firsts: dict[int, int] = {}
+        self.leaves: list[int] = []
+        self.near: list[tuple[int, list[int]]] = []
+        joins: list[tuple[int, str, list[tuple[str, int]]]] = []
+        plain: list[tuple[int, int]] = []
+
+        def leaf(entity: int, found_by_itself: bool = True) -> tuple[str, int]:
+            self.leaves.append(entity)
+            if found_by_itself:
+                plain.append((entity, len(self.leaves) - 1))
+            return "leaf", len(self.leaves) - 1
+
+        def build(tree: list, words: list[str]) -> tuple[tuple[str, int], int]:
+            kind = tree[0]
+            if kind == "word":
+                return leaf(number[words[tree[1]]]), 0
+            if kind == "first":
+                word = number[words[tree[1]]]
+                return leaf(self.firsts.setdefault(word, len(self.words) + len(self.firsts))), 0
+            if kind == "never":
+                return leaf(0, False), 0
+            if kind == "near":
+                below = [leaf(number[words[w]], False) for w in tree[2]]
+                self.near.append((tree[1], [i for _, i in below]))
+                parts = [(c, 0) for c in below]
+            else:
+                parts = [build(t, words) for t in tree[1]]
+            height = 1 + max(h for _, h in parts)
+            joins.append((height, "and" if kind == "near" else kind, [c for c, _ in parts]))
+            return ("join", len(joins) - 1), height
+
+        roots = [(r["query_id"], build(json.loads(r["tree"]), r["words"])[0]) for r in rows]
+        order = sorted(range(len(joins)), key=lambda j: joins[j][:2])
+        place = {("join", j): len(self.leaves) + i for i, j in enumerate(order)} | {("leaf", i): i for i in range(len(self.leaves))}
+        self.columns = len(self.leaves) + len(joins)
+        self.steps: list[tuple[str, int, np.ndarray, np.ndarray]] = []
+        for (_, kind), group in itertools.groupby(order, key=lambda j: joins[j][:2]):
+            below = [[place[c] for c in joins[j][2]] for j in group]
+            ends = np.cumsum([0, *(len(b) for b in below)])
+            start = self.steps[-1][1] + len(self.steps[-1][3]) if self.steps else len(self.leaves)
+            self.steps.append((kind, start, np.array([c for b in below for c in b]), ends[:-1]))
+        self.queries = np.array([q for q, _ in roots], np.int64)
+        self.roots = np.array([place[c] for _, c in roots])
+        self.of_leaf = np.array(self.leaves, np.int64)
+        self.entities = len(self.words) + len(self.firsts)
+        entity, self.entry = (np.array(x, np.int64) for x in zip(*sorted(plain))) if plain else (np.zeros(0, np.int64),) * 2
+        self.ends = np.searchsorted(entity, np.arange(self.entities + 1))
+        self.placed = {self.leaves[i] for _, below in self.near for i in below}
 
     def automaton(self) -> ahocorasick.Automaton:
         out = ahocorasick.Automaton()
         for i, w in enumerate(self.words):
             out.add_word(w, i)
-        out.make_automaton()
+        if self.words:
+            out.make_automaton()
         return out
 
-    def scores(self, row: np.ndarray, word: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
-        """Scores of ``n`` texts (rows) for the questions (columns), -1 where nothing matches, from what their words weigh."""
-        times = self.ends[word + 1] - self.ends[word]
-        of = np.repeat(np.arange(len(word)), times)
-        entry = np.repeat(self.ends[word] - (np.cumsum(times) - times), times) + np.arange(len(of))
-        key, clauses = row[of] * len(self.size) + self.clause[entry], len(self.size)
-        whole = np.bincount(key, minlength=n * clauses).reshape(n, clauses) == self.size
-        sums = np.bincount(key, value[of] * self.times[entry], n * clauses).reshape(n, clauses)
-        there = whole[:, self.main]
-        for clause, alternative in self.barring:
-            there[:, alternative] &= ~whole[:, clause]
-        total = np.add.reduceat(np.where(there, sums[:, self.main], 0.0), self.first, axis=1)
-        return np.where(np.logical_or.reduceat(there, self.first, axis=1), np.round(total, DIGITS), -1.0)
-
-
-def found_words(batch: pa.RecordBatch, automaton: ahocorasick.Automaton) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, word, how often it occurs there, overlaps included) of a batch, texts in its second column."""
-    row, word, times = [], [], []
-    for i, text in enumerate(batch.column(1).to_pylist()):
-        seen: dict[int, int] = {}
-        for _, w in automaton.iter(text):
-            seen[w] = seen.get(w, 0) + 1
-        row += [i] * len(seen)
-        word += seen
-        times += seen.values()
-    return np.array(row, np.int64), np.array(word, np.int64), np.array(times, np.float64)
-
-
-def best_of(parts: list[tuple[np.ndarray, ...]], k: int) -> list[tuple[np.ndarray, ...]]:
-    """The ``k`` best (query, text, score) of every query among all parts, ties by text."""
-    if not parts:
-        return []
-    q, c, s = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((c, -s, q))
-    q, c, s = q[order], c[order], s[order]
-    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
-    return [(q[keep], c[keep], s[keep])]
-
-
-def trigram_topk(chunks: DataFrame, questions: DataFrame, k: int = TOP_K, grams: DataFrame | None = None) -> DataFrame:
-    """The ``k`` best chunks of every question by substrings: every word of an alternative has to occur.
+    def find(self, batch: pa.RecordBatch, automaton: ahocorasick.Automaton) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+        """(text, entity, how often it occurs there, overlaps included) of a batch, texts in its second column, and
+        (text, phrase, how often) of the phrases of a NEAR."""
+        row, entity, times, near = [], [], [], []
+        for i, text in enumerate(batch.column(1).to_pylist() if self.words else []):
+            seen: dict[int, int] = {}
+            starts: dict[int, list[int]] = {}
+            for end, w in automaton.iter(text):
+                seen[w] = seen.get(w, 0) + 1
+                at = end - len(self.words[w]) + 1
+                if w in self.placed:
+                    starts.setdefault(w, []).append(at)
+                if at == 0 and w in self.firsts:
+                    seen[self.firsts[w]] = 1
+            row += [i] * len(seen)
+            entity += seen
+            times += seen.values()
+            for within, below in self.near if starts else []:
+                words = [self.leaves[c] for c in below]
+                if all(w in starts for w in words):
+                    counts = near_counts([starts[w] for w in words], [len(self.words[w]) - 2 for w in words], within)
+                    near += [(i, c, n) for c, n in zip(below, counts) if n]
+        return np.array(row, np.int64), np.array(entity, np.int64), np.array(times, np.float64), near
+
+    def scores(self, row: np.ndarray, column: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+        """Scores of ``n`` texts (rows) for the questions (columns), none where nothing matches, from what phrases weigh.
+
+        A join adds up the parts that match; of a NOT, that is the first one.
+        """
+        there, total = np.zeros((n, self.columns), bool), np.zeros((n, self.columns))
+        there[row, column] = True
+        total[row, column] = value
+        for kind, at, below, starts in self.steps:
+            held, sums = there[:, below], np.where(there[:, below], total[:, below], 0.0)
+            out = slice(at, at + len(starts))
+            if kind == "not":
+                there[:, out], total[:, out] = held[:, ::2] & ~held[:, 1::2], sums[:, ::2]
+            else:
+                joined = np.logical_and if kind == "and" else np.logical_or
+                there[:, out], total[:, out] = joined.reduceat(held, starts, axis=1), np.add.reduceat(sums, starts, axis=1)
+        return np.where(there[:, self.roots], np.round(total[:, self.roots], DIGITS), NONE)
+
+
+def trigram_topk(chunks: DataFrame, questions: DataFrame, k: int = TOP_K, grams: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+    """The ``k`` best chunks of every question, an expression over substrings.
 
     Texts stay where they are. An automaton with the words of many questions goes to every task; a first pass over
     the texts counts in how many each word is, a second scores them, and a task lets go only the ``k`` best of each
-    question. Lengths are counted in trigrams. With a kept index ``grams`` only the chunks that it names are
-    read for words; without one all are. Ids are longs.
+    question. Lengths are counted in trigrams; ``stats(n_chunks, avgchars)``, the number of chunks with text and
+    their mean, saves a pass over all of them. With a kept index ``grams`` only the chunks that it names are read
+    for words; without one all are. Ids are longs.
     """
-    # The questions' own words, asked for several times over; lost blocks are worked out anew.
-    words = question_words(questions).persist()
-    lots = max(1, math.ceil(words.count() / WORDS_TOGETHER))
-    read = chunks if grams is None else candidates(chunks, words, grams)
-    read = read.where(F.length("text") >= LEAST_WORD).select(F.col("chunk_id").cast("long").alias("chunk_id"), F.lower("text").alias("low"), (F.length("text") - 2).cast("double").alias("len"))
-    held = chunks.where(F.coalesce(F.col("text"), F.lit("")) != "")
+    asked = written(expressions(questions))
     out = chunks.sparkSession.createDataFrame([], "query_id long, chunk_id long, score double")
-    for lot in range(lots):
-        rows = words.where(F.pmod(F.xxhash64("query_id"), F.lit(lots)) == lot).collect()
-        if rows:
-            n_chunks, avglen = held.agg(F.count("*"), F.avg(F.greatest(F.length("text") - 2, F.lit(0)))).first()
-            out = out.unionByName(_scored(read, Asked(rows), k, n_chunks, avglen or 0.0))
+    n_chunks = avglen = None
+    for lot in in_lots(asked):
+        rows = lot.collect()
+        if not rows:
+            continue
+        if n_chunks is None:
+            n_chunks, avglen = (text_stats(chunks) if stats is None else stats).select("n_chunks", "avgchars").first()
+        words = lot.select(F.explode("words").alias("word"))
+        read = chunks if grams is None else candidates(chunks, words, grams)
+        read = read.where(F.length("text") >= LEAST_WORD).select(F.col("chunk_id").cast("long").alias("chunk_id"), F.lower("text").alias("low"), (F.length("text") - 2).cast("double").alias("len"))
+        out = out.unionByName(_scored(read, Asked(rows), k, n_chunks, avglen or 0.0))
     return top(out, k)
 
 
+def text_stats(chunks: DataFrame) -> DataFrame:
+    """``(n_chunks, avgchars)``: chunks with text, and their mean length in trigrams."""
+    held = chunks.where(F.coalesce(F.col("text"), F.lit("")) != "")
+    return held.agg(F.count("*").alias("n_chunks"), F.avg(F.greatest(F.length("text") - 2, F.lit(0))).alias("avgchars"))
+
+
 def _scored(texts: DataFrame, asked: Asked, k: int, n_chunks: int, avglen: float) -> DataFrame:
     """Every task's ``k`` best of ``texts(chunk_id, low, len)`` for the questions."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, n = asked.automaton(), np.zeros(len(asked.words), np.int64)
+        automaton, n = asked.automaton(), np.zeros(asked.entities, np.int64)
         for batch in batches:
-            n += np.bincount(found_words(batch, automaton)[1], minlength=len(n))
+            n += np.bincount(asked.find(batch, automaton)[1], minlength=len(n))
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["word", "n"])
 
-    n = np.zeros(len(asked.words))
+    n = np.zeros(asked.entities)
     for r in texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
         n[r["word"]] = r["n"]
     weight = np.maximum(np.log((n_chunks - n + 0.5) / (n + 0.5)), LEAST_IDF)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, best, step = asked.automaton(), [], max(1, CELLS // len(asked.size))
+        automaton, kept, step = asked.automaton(), Best(k), max(1, best.CELLS // asked.columns)
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 some = batch.slice(at, step)
-                row, word, f = found_words(some, automaton)
-                length = some.column(2).to_numpy()
-                value = weight[word] * (f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length[row] / avglen)))
-                s = asked.scores(row, word, value, some.num_rows)
-                # All that tie with the k-th stay until the ids decide.
-                edge = -np.partition(-s, min(k, len(s)) - 1, axis=0)[min(k, len(s)) - 1]
-                i, j = np.nonzero((s >= edge) & (s >= 0))
-                best.append((asked.queries[j], some.column(0).to_numpy()[i], s[i, j]))
-                if sum(len(x[0]) for x in best) > CELLS:
-                    best = best_of(best, k)
-        for q, c, s in best_of(best, k):
+                row, entity, f, near = asked.find(some, automaton)
+                of, entry = spread(asked.ends, entity)
+                row, column, f = row[of], asked.entry[entry], f[of]
+                if near:
+                    more = np.array(near, np.int64)
+                    row, column, f = np.append(row, more[:, 0]), np.append(column, more[:, 1]), np.append(f, more[:, 2])
+                length = some.column(2).to_numpy()[row]
+                value = weight[asked.of_leaf[column]] * (f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / avglen)))
+                kept.add(asked.scores(row, column, value, some.num_rows), some.column(0).to_numpy(), asked.queries)
+        for q, c, s in kept.rows():
             yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(s)], names=["query_id", "chunk_id", "score"])
 
     return texts.mapInArrow(score, "query_id long, chunk_id long, score double")
 
 
-def search(chunks: DataFrame, index: Index, questions: DataFrame, k: int = TOP_K, grams: DataFrame | None = None, segmenter: Segmenter = T.bigrams) -> DataFrame:
-    """Keyword hits, and substring hits for the questions without any; ``path`` tells which."""
-    exact = bm25_topk(index, questions, k, segmenter)
-    # A question has a hit if one of its terms is in the index: no score is needed to tell.
-    known = question_terms(questions, segmenter).join(index.postings.select("term").distinct(), "term", "left_semi")
-    rest = questions.join(known.select("query_id").distinct(), "query_id", "left_anti")
-    return exact.withColumn("path", F.lit("terms")).unionByName(trigram_topk(chunks, rest, k, grams).withColumn("path", F.lit("substrings")))
+def search(chunks: DataFrame, index: Index, questions: DataFrame, k: int = TOP_K, grams: DataFrame | None = None, segmenter: Segmenter = T.bigrams, allowed: Column | None = None, stats: DataFrame | None = None) -> DataFrame:
+    """Keyword hits, and substring hits for the questions without any; ``path`` tells which.
+
+    ``allowed`` speaks of ``chunks`` and filters both: a search's first 3k hits are filtered, and a question whose
+    keyword hits are all filtered away asks for substrings.
+    """
+    files, wide = chunks.drop("text"), k if allowed is None else 3 * k
+    exact = bm25_topk(index, questions, wide, segmenter)
+    if allowed is not None:
+        # Small, asked for twice: a few hits of each question.
+        exact = written(filtered_topk(exact, files, allowed, k).select("query_id", "chunk_id", "score", "rank"))
+        found = exact.select("query_id").distinct()
+    else:
+        # A question has a hit if one of its terms is in the index: no score is needed to tell.
+        known = question_terms(questions, segmenter).join(index.postings.select("term").distinct(), "term", "left_semi")
+        found = known.select("query_id").distinct()
+    near = trigram_topk(chunks, questions.join(found, "query_id", "left_anti"), wide, grams, stats)
+    if allowed is not None:
+        near = filtered_topk(near, files, allowed, k).select("query_id", "chunk_id", "score", "rank")
+    return exact.withColumn("path", F.lit("terms")).unionByName(near.withColumn("path", F.lit("substrings")))

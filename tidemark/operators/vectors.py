@@ -7,11 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from tidemark.operators.best import CELLS, Best
+from tidemark.sources.shared import written
 
 TOP_K = 20
-#: Questions that meet a slice of the corpus together; the answer does not depend on it.
+#: Questions that come to a task together, on average; the answer does not depend on it.
 BLOCK = 4096
 DIMS = 64
 #: Fixed value: what a question is prefixed with before it is encoded.
@@ -88,68 +94,190 @@ def encode(texts: DataFrame, dims: int = DIMS) -> DataFrame:
     return texts.select(F.col("key").cast("string").alias("key"), "text").mapInArrow(run, "key string, vector array<float>")
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows."""
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(len(column), -1)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def question_blocks(questions: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and unit vectors of ``questions(query_id, vector)``, ``BLOCK`` of them together on average."""
+    asked = written(questions.where("vector is not null").select(F.col("query_id").cast("long").alias("query_id"), "vector"))
+    blocks = max(1, math.ceil(asked.count() / BLOCK))
+    for block in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
+        if rows:
+            yield np.array([r["query_id"] for r in rows], np.int64), unit(np.array([r["vector"] for r in rows], float))
+
+
+def ranked(near: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of every question of what tasks let go, ties by chunk_id; ``rank`` counts from 0."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long") - 1)
+
+
 def topk(vectors: DataFrame, questions: DataFrame, k: int = TOP_K, digits: int = 6, allowed: Column | None = None) -> DataFrame:
     """``(query_id, chunk_id, score, rank)``: the ``k`` nearest by cosine, exactly, ties by chunk_id.
 
-    ``vectors(chunk_id, vector, ...)`` stay where they are dealt; questions ``(query_id, vector)`` come
-    to every slice in blocks, a slice keeps each question's ``k`` best, and only those are shuffled.
-    ``allowed`` filters the corpus before the search.
+    ``vectors(chunk_id, vector, ...)`` stay in their tasks and are not shuffled; questions ``(query_id, vector)``
+    come to every task, a block of bounded size at a time, and a task lets go each question's ``k`` best.
+    ``allowed`` filters the corpus before the search. Null vectors are near nothing.
     """
-    spark = vectors.sparkSession
-    corpus = (vectors if allowed is None else vectors.where(allowed)).select("chunk_id", F.col("vector").cast("array<double>").alias("vector"))
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(1, math.ceil(questions.count() / BLOCK))
-    asked = questions.select(F.col("query_id").alias("id"), F.col("vector").cast("array<double>").alias("vector"), F.lit(0).alias("kind"))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    held = corpus.select(F.col("chunk_id").alias("id"), "vector", F.lit(1).alias("kind"))
-    held = held.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    cells = asked.unionByName(held).repartition(slices, "slice", "block").sortWithinPartitions("slice", "block", "kind")
+    corpus = (vectors if allowed is None else vectors.where(allowed)).where("vector is not null").select(F.col("chunk_id").cast("long").alias("chunk_id"), "vector")
+    out = vectors.sparkSession.createDataFrame([], NEAR)
+    for ids, q in question_blocks(questions):
+        out = out.unionByName(_nearest(corpus, ids, q, None, k, digits))
+    return ranked(out, k)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, ids, q, best = None, [], None, []
 
-        def unit(x: np.ndarray) -> np.ndarray:
-            return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+NEAR = "query_id long, chunk_id long, score double"
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if best:
-                i, c, s = (np.concatenate(x) for x in zip(*best))
-                order = np.lexsort((c, -s, i))
-                i, c, s = i[order], c[order], s[order]
-                nth = np.arange(len(i)) - np.searchsorted(i, i)
-                keep = nth < k
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[i[keep]]), pa.array(c[keep]), pa.array(s[keep])], names=["query_id", "chunk_id", "score"])
 
+def _nearest(corpus: DataFrame, ids: np.ndarray, q: np.ndarray, of_list: dict[int, np.ndarray] | None, k: int, digits: int) -> DataFrame:
+    """Every task's ``k`` nearest of each question; with ``of_list``, a list's vectors meet its questions only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, step = Best(k), max(1, CELLS // len(ids))
         for batch in batches:
-            at, kind = batch.column(batch.schema.get_field_index("slice")).to_numpy(), batch.column(batch.schema.get_field_index("kind")).to_numpy()
-            block = batch.column(batch.schema.get_field_index("block")).to_numpy()
-            key = np.stack([at.astype(np.int64), block, kind.astype(np.int64)], axis=1)
-            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
+            for at in range(0, batch.num_rows, step):
+                some = batch.slice(at, step)
+                x, chunk = unit(matrix(some.column(1))), some.column(0).to_numpy()
+                if of_list is None:
+                    kept.add(np.round(x @ q.T, digits), chunk, ids)
                     continue
-                if cell != (key[a, 0], key[a, 1]):
-                    yield from flush()
-                    cell, ids, q, best = (key[a, 0], key[a, 1]), [], None, []
-                part = batch.slice(a, b - a)
-                x = unit(np.stack([np.array(v, float) for v in part.column(1).to_pylist()]))
-                if key[a, 2] == 0:
-                    ids += part.column(0).to_pylist()
-                    q = x if q is None else np.concatenate([q, x])
-                elif q is not None:
-                    chunk = part.column(0).to_numpy()
-                    for c in range(0, len(chunk), 4096):
-                        s = np.round(q @ x[c : c + 4096].T, digits)
-                        n = min(k, s.shape[1])
-                        # All that tie with the k-th stay until the ids decide.
-                        edge = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]
-                        i, j = np.nonzero(s >= edge)
-                        best.append((i, chunk[c : c + 4096][j], s[i, j]))
-        yield from flush()
-
-    near = cells.select("id", "vector", "kind", "slice", "block").mapInArrow(run, "query_id long, chunk_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long") - 1)
+                of = some.column(2).to_numpy()
+                for n in np.unique(of):
+                    here, asked = np.flatnonzero(of == n), of_list.get(int(n))
+                    if asked is not None:
+                        kept.add(np.round(x[here] @ q[asked].T, digits), chunk[here], ids[asked])
+        for found in kept.rows():
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "chunk_id", "score"])
+
+    return corpus.mapInArrow(run, NEAR)
+
+
+#: Vectors that lists are trained on (on average), lists at most, and rounds of training.
+SAMPLE, MOST_LISTS, ROUNDS = 1 << 18, 1 << 14, 12
+#: The list of vectors that were stored before there were any: it is always read.
+NO_LIST = -1
+
+
+def no_centroids() -> np.ndarray:
+    return np.zeros((0, 0))
+
+
+def train_lists(vectors: DataFrame, lists: int | None = None, seed: int = 7) -> np.ndarray:
+    """Unit centroids for an inverted file, by k-means on a sample picked by a hash of the ids; none without vectors.
+
+    The square root of the number of vectors makes as many lists as lists have vectors. Zero vectors don't train.
+    """
+    held = vectors.where("vector is not null").select("chunk_id", "vector").where(norm(F.col("vector")) > 0)
+    n = held.count()
+    if not n:
+        return no_centroids()
+    share = max(1, math.ceil(n / SAMPLE))
+    sample = held.where(F.pmod(F.xxhash64("chunk_id"), F.lit(share)) == 0) if share > 1 else held
+    rows = sample.select(array_to_vector(l2_normalized(F.col("vector"))).alias("features"))
+    wanted = lists or min(MOST_LISTS, math.ceil(math.sqrt(n)))
+    model = KMeans(k=max(2, wanted), seed=seed, maxIter=ROUNDS, distanceMeasure="cosine").fit(rows)
+    return unit(np.array(model.clusterCenters()))
+
+
+def with_list(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """``vectors(chunk_id, vector, ...)`` with ``list``, the nearest centroid's number (zero vectors: some list)."""
+    if not len(centroids):
+        return vectors.drop("list").withColumn("list", F.lit(NO_LIST))
+    shared = vectors.sparkSession.sparkContext.broadcast(centroids)
+    schema = StructType([f for f in vectors.schema if f.name != "list"]).add("list", "integer")
+    at = [f.name for f in vectors.schema if f.name != "list"].index("vector")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        step = max(1, CELLS // len(c))
+        for batch in batches:
+            of = [(unit(matrix(batch.column(at).slice(a, step))) @ c.T).argmax(axis=1) for a in range(0, batch.num_rows, step)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(of) if of else [], pa.int32())], names=[f.name for f in schema])
+
+    return vectors.drop("list").mapInArrow(run, schema)
+
+
+def _listed(corpus: DataFrame, ids: np.ndarray, q: np.ndarray, asked: np.ndarray, k: int, digits: int) -> DataFrame:
+    """Every task's ``k`` nearest of each question among the lists it asks (``asked[question, list]``) and the vectors
+    without a list. Only those lists are read, as far as files are sorted by them."""
+    of_list = {int(n): np.flatnonzero(asked[:, n]) for n in np.flatnonzero(asked.any(axis=0))} | {NO_LIST: np.arange(len(ids))}
+    read = corpus.where(F.col("list").isin(*sorted(of_list))) if len(of_list) <= asked.shape[1] // 2 else corpus
+    return _nearest(read, ids, q, of_list, k, digits)
+
+
+def _first_lists(q: np.ndarray, centroids: np.ndarray, probes: int) -> np.ndarray:
+    asked = np.zeros((len(q), len(centroids)), bool)
+    np.put_along_axis(asked, np.argsort(-(q @ centroids.T), axis=1, kind="stable")[:, :probes], True, axis=1)
+    return asked
+
+
+def probe(listed: DataFrame, questions: DataFrame, centroids: np.ndarray, probes: int, k: int = TOP_K, digits: int = 6) -> DataFrame:
+    """The ``k`` nearest of every question among the vectors of its ``probes`` nearest lists (``listed`` has them) and
+    those without one. Scores are exact."""
+    corpus = listed.where("vector is not null").select(F.col("chunk_id").cast("long").alias("chunk_id"), "vector", "list")
+    out = listed.sparkSession.createDataFrame([], NEAR)
+    for ids, q in question_blocks(questions):
+        asked = _first_lists(q, centroids, probes) if len(centroids) else np.zeros((len(ids), 0), bool)
+        out = out.unionByName(_listed(corpus, ids, q, asked, k, digits))
+    return ranked(out, k)
+
+
+def indexed_topk(listed: DataFrame, questions: DataFrame, centroids: np.ndarray, probes: int = 4, k: int = TOP_K, digits: int = 6) -> DataFrame:
+    """``topk`` by way of the lists, and as exact: a question's nearest lists give it ``k`` scores, and then it reads
+    every list that can hold a better one, by the angle of the list's farthest member. Zero vectors are read always."""
+    if not len(centroids):
+        return topk(listed, questions, k, digits)
+    corpus = listed.where("vector is not null").select(F.col("chunk_id").cast("long").alias("chunk_id"), "vector", F.when(norm(F.col("vector")) > 0, F.col("list")).otherwise(NO_LIST).alias("list"))
+    reach = np.ones(len(centroids))
+    for r in least_cosines(corpus.where(F.col("list") != NO_LIST), centroids).collect():
+        reach[r["list"]] = r["least"]
+    out = listed.sparkSession.createDataFrame([], NEAR)
+    for ids, q in question_blocks(questions):
+        first = ranked(_listed(corpus, ids, q, _first_lists(q, centroids, probes), k, digits), k)
+        floors = {r["query_id"]: r["score"] for r in first.where(F.col("rank") == k - 1).select("query_id", "score").collect()}
+        angle = np.maximum(0, np.arccos(np.clip(q @ centroids.T, -1, 1)) - np.arccos(np.clip(reach, -1, 1)))
+        asked = np.cos(angle) + 10.0**-digits >= np.array([floors.get(int(i), -1.0) for i in ids])[:, None]
+        out = out.unionByName(_listed(corpus, ids, q, asked, k, digits))
+    return ranked(out, k)
+
+
+def least_cosines(listed: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """``(list, least)``: the least cosine of a list's members to its centroid."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = np.full(len(centroids), 2.0)
+        for batch in batches:
+            of = batch.column(1).to_numpy()
+            np.minimum.at(least, of, (unit(matrix(batch.column(0))) * centroids[of]).sum(axis=1) if len(of) else 0.0)
+        at = np.flatnonzero(least < 2)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(least[at])], names=["list", "least"])
+
+    return listed.select("vector", "list").mapInArrow(run, "list int, least double").groupBy("list").agg(F.min("least").alias("least"))
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """``(query_id, wanted, got)``: how many of the exact hits of a question were found."""
+    hit = found.select("query_id", "chunk_id", F.lit(1).alias("hit"))
+    return exact.join(hit, ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.count("*").alias("wanted"), F.count("hit").alias("got"))
+
+
+def probes_for(listed: DataFrame, questions: DataFrame, centroids: np.ndarray, least: float = 0.9, k: int = TOP_K) -> tuple[int, float]:
+    """The lists a question has to probe, doubled until the share of the exact hits that is found is ``least``, and that share."""
+    exact = written(topk(listed, questions, k))
+    probes = 1
+    while True:
+        wanted, got = recall(probe(listed, questions, centroids, probes, k), exact).agg(F.sum("wanted"), F.sum("got")).first()
+        share = got / wanted if wanted else 1.0
+        if share >= least or probes >= len(centroids):
+            return probes, share
+        probes = min(2 * probes, len(centroids))
 
 
 def cache_plan(chunks: DataFrame, cache: DataFrame, key: str) -> DataFrame:

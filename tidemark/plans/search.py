@@ -89,11 +89,12 @@ def tokenize_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def postings_build(spark, sf):
-    return _index(spark, sf)[1].postings
+    return fulltext.postings_of(fulltext.index_terms(tables.chunks(spark, sf)))
 
 
 def doc_length_stats(spark, sf):
-    return _index(spark, sf)[1].stats.select("n_chunks", F.round("avglen", 6).alias("avglen"))
+    lengths = fulltext.lengths_of(fulltext.index_terms(tables.chunks(spark, sf)))
+    return fulltext.index_of(None, lengths).stats.select("n_chunks", F.round("avglen", 6).alias("avglen"))
 
 
 def bm25_topk(spark, sf):
@@ -137,6 +138,32 @@ def fts_fallback(spark, sf):
     return fulltext.search(chunks, index, asked).select("query_id", "chunk_id", "score", "rank", "path")
 
 
+def filtered_fallback(spark, sf):
+    """Every word of every question asks in the files of one section: where they have no keyword hit, substrings do."""
+    chunks, index = _index(spark, sf)
+    words = tables.questions(spark, sf).select("query_id", F.posexplode(F.split("question", " ")).alias("pos", "word"))
+    bare = F.regexp_replace("word", r"[^\p{L}\p{N}]", "")
+    asked = words.select((F.col("query_id") * 100_000 + F.col("pos")).alias("query_id"), bare.alias("question"))
+    return fulltext.search(chunks, index, asked, allowed=F.col("section") == "src0").select("query_id", "chunk_id", "score", "rank", "path")
+
+
+def _long_words(spark, sf):
+    words = F.regexp_extract_all(F.lower("question"), F.lit("[a-z]{4,}"), F.lit(0))
+    return tables.questions(spark, sf).select("query_id", words.alias("w"))
+
+
+def expression_search(spark, sf):
+    """The first five long words of every question as an expression with brackets."""
+    asked = _long_words(spark, sf).where(F.size("w") >= 5).select("query_id", F.format_string("(%s OR %s) AND ((%s OR %s) NOT %s)", *(F.get("w", F.lit(i)) for i in range(5))).alias("question"))
+    return fulltext.trigram_topk(tables.chunks(spark, sf), asked).select("query_id", "chunk_id", "score", "rank")
+
+
+def near_search(spark, sf):
+    """The first two long words of every question, near each other."""
+    asked = _long_words(spark, sf).where(F.size("w") >= 2).select("query_id", F.format_string("NEAR(%s %s, 40)", F.get("w", F.lit(0)), F.get("w", F.lit(1))).alias("question"))
+    return fulltext.trigram_topk(tables.chunks(spark, sf), asked).select("query_id", "chunk_id", "score", "rank")
+
+
 #: Letters, and the ideographs that stand for them where a text has to be in CJK.
 LETTERS, IDEOGRAPHS = "aeioutnrs", "数据统计报告合同款"
 
@@ -149,7 +176,7 @@ def _cjk_chunks(spark, sf):
 
 def cjk_terms(spark, sf):
     """Postings of texts in CJK: files with few ideographs keep their runs, others are segmented."""
-    return fulltext.build_index(_cjk_chunks(spark, sf)).postings
+    return fulltext.postings_of(fulltext.index_terms(_cjk_chunks(spark, sf)))
 
 
 def cjk_bm25_topk(spark, sf):
@@ -161,6 +188,13 @@ def vector_topk(spark, sf):
     return vectors.topk(tables.vectors(spark, sf), tables.question_vectors(spark, sf)).select("query_id", "chunk_id", "score", "rank")
 
 
+def vector_index_topk(spark, sf):
+    """The same by way of an inverted file: lists that cannot hold a better vector are not read."""
+    held = tables.vectors(spark, sf)
+    centroids = vectors.train_lists(held)
+    return vectors.indexed_topk(vectors.with_list(held, centroids), tables.question_vectors(spark, sf), centroids).select("query_id", "chunk_id", "score", "rank")
+
+
 def vector_topk_prefilter(spark, sf):
     return vectors.topk(tables.vectors(spark, sf), tables.question_vectors(spark, sf), allowed=F.col("label").isin(0, 1, 2)).select("query_id", "chunk_id", "score", "rank")
 
@@ -268,7 +302,7 @@ def position_ids(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        tokenize_terms, postings_build, doc_length_stats, bm25_topk, bm25_postfilter, phrase_search, trigram_search, fts_fallback, cjk_terms, cjk_bm25_topk, vector_topk,
+        tokenize_terms, postings_build, doc_length_stats, bm25_topk, bm25_postfilter, phrase_search, trigram_search, fts_fallback, filtered_fallback, expression_search, near_search, cjk_terms, cjk_bm25_topk, vector_topk, vector_index_topk,
         vector_topk_prefilter, vector_search_blocks, router_classify, table_intent, rrf_fusion, rrf_table_boost, fused_threshold, dedup_candidates,
         rerank_cutoff, citations_by_file, context_build, hybrid_retrieve, vector_encode_norms, l2_normalize, softmax_score, position_ids,
     )
@@ -290,6 +324,8 @@ parts as (
 substrings as (
   select * from (select query_id, chunk_id, round(part, 6) as score, row_number() over (partition by query_id order by round(part, 6) desc, chunk_id) - 1 as rank from parts)
   where rank < 20)"""
+LONG_WORDS = """
+long_words as (select item_id as query_id, regexp_extract_all(lower(text), '[a-z]{4,}') as w from benchmark)"""
 #: ``toks`` and ``qtoks`` of texts in CJK, ``cjk(chunk_id, text)`` and ``asked_cjk(item_id, text)``.
 RUN = "[\\x{4e00}-\\x{9fff}\\x{3400}-\\x{4dbf}]"
 SEGMENTED = f"""flatten(list_transform(flatten(list_transform({TERMS.format("text")}, lambda t: regexp_extract_all(t, '{RUN}+|[^{RUN[1:]}+'))),
@@ -331,12 +367,56 @@ cut as (select item_id * 100000 + pos as item_id, regexp_replace(substr(word, 2)
 asked_words as (select item_id as query_id, text as word from cut where item_id not in (select query_id from keyword)),
 {TRIGRAM}
 select query_id, chunk_id, score, rank, 'terms' as path from keyword union all select query_id, chunk_id, score, rank, 'substrings' from substrings""",
+    "filtered_fallback": f"""with {tables.CHUNKS},
+each_word as (select item_id, i - 1 as pos, w[i] as word from (select item_id, string_split(text, ' ') as w, unnest(range(1, len(string_split(text, ' ')) + 1)) as i from benchmark)),
+bare as (select item_id * 100000 + pos as item_id, regexp_replace(word, '[^\\p{{L}}\\p{{N}}]', '', 'g') as text from each_word),
+{WIDER.replace("from benchmark", "from bare")},
+section0 as (select chunk_id from chunks where section = 'src0'),
+terms as (select * from (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) - 1 as rank from keyword join section0 using (chunk_id)) where rank < 20),
+asked_words as (select item_id as query_id, text as word from bare where item_id not in (select query_id from terms)),
+{TRIGRAM.replace("rank < 20", "rank < 60")},
+rest as (select * from (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) - 1 as rank from substrings join section0 using (chunk_id)) where rank < 20)
+select query_id, chunk_id, score, rank, 'terms' as path from terms union all select query_id, chunk_id, score, rank, 'substrings' from rest""",
+    "expression_search": f"""with {tables.CHUNKS},{LONG_WORDS},
+places as (select query_id, i, w[i] as word from (select query_id, w, unnest(range(1, 6)) as i from long_words where len(w) >= 5)),
+asked_words as (select query_id, word from places),
+{TRIGRAM},
+found as (
+  select query_id, chunk_id, i, greatest(ln((n_chunks - n + 0.5) / (n + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / avglen)) as part
+  from places join counted using (word) join dfw using (word) cross join tstats),
+matched as (
+  select query_id, chunk_id, round(sum(part) filter (i <= 4), 6) as score from found group by all
+  having bool_or(i in (1, 2)) and bool_or(i in (3, 4)) and not bool_or(i = 5))
+select * from (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) - 1 as rank from matched) where rank < 20""",
+    "near_search": f"""with {tables.CHUNKS},{LONG_WORDS},
+places as (select query_id, i, w[i] as word from (select query_id, w, unnest(range(1, 3)) as i from long_words where len(w) >= 2)),
+asked_words as (select query_id, word from places),
+{TRIGRAM},
+held_at as (
+  select word, chunk_id, n, 256 * b + i as pos from (
+    select chunk_id, n, b, i, l, substr(block, i, l) as word from (
+      select chunk_id, n, b, block, unnest(range(1, here + 1)) as i from (
+        select chunk_id, n, b, substr(low, 256 * b + 1, 356) as block, least(256, n - 256 * b) as here
+        from (select chunk_id, lower(text) as low, length(text) as n, unnest(range(0, (length(text) + 255) // 256)) as b from chunks))) cross join lens)
+  where length(word) = l and word in (select word from asked_words)),
+pairs as (
+  select a.query_id, x.chunk_id, x.n - 2 as len, a.word as word1, b.word as word2, x.pos as pos1, y.pos as pos2
+  from places a join places b on a.query_id = b.query_id and a.i = 1 and b.i = 2 join held_at x on x.word = a.word join held_at y on y.word = b.word and y.chunk_id = x.chunk_id
+  where x.pos >= y.pos - (length(a.word) - 2) - 40 and y.pos >= x.pos - (length(b.word) - 2) - 40),
+counts as (select query_id, chunk_id, len, word1, word2, count(distinct pos1) as f1, count(distinct pos2) as f2 from pairs group by all),
+matched as (
+  select query_id, chunk_id, round(
+    greatest(ln((n_chunks - d1.n + 0.5) / (d1.n + 0.5)), 1e-6) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * len / avglen))
+    + greatest(ln((n_chunks - d2.n + 0.5) / (d2.n + 0.5)), 1e-6) * f2 * 2.2 / (f2 + 1.2 * (0.25 + 0.75 * len / avglen)), 6) as score
+  from counts join dfw d1 on d1.word = word1 join dfw d2 on d2.word = word2 cross join tstats)
+select * from (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) - 1 as rank from matched) where rank < 20""",
     "cjk_terms": f"with {CJK_INDEX} select term, chunk_id, tf from postings",
     "cjk_bm25_topk": f"""with {CJK_INDEX},
 asked_cjk as (select item_id as query_id, translate(lower(text), '{LETTERS}', '{IDEOGRAPHS}') as text from benchmark),
 asked as (select query_id, term, count(*) as times from (select query_id, unnest({SEGMENTED}) as term from asked_cjk) group by all),
 {KEYWORD[KEYWORD.index("df as ("):]} select query_id, chunk_id, score, rank from keyword""",
     "vector_topk": f"with {VECTOR.format(where='')} select query_id, chunk_id, score, rank from vec",
+    "vector_index_topk": f"with {VECTOR.format(where='')} select query_id, chunk_id, score, rank from vec",
     "vector_topk_prefilter": f"with {VECTOR.format(where='where e.label in (0, 1, 2)')} select query_id, chunk_id, score, rank from vec",
     "vector_search_blocks": f"""select * from (select q.vec_id as query_id, e.vec_id as chunk_id, {COSINE} as score,
 row_number() over (partition by q.vec_id order by {COSINE} desc, e.vec_id) - 1 as rank from embeddings q cross join embeddings e where q.vec_id % 20 = 0) where rank < 10""",
