@@ -15,11 +15,14 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions import text as T
 from tidemark.operators import answers, catalog, chunking, fulltext, fusion, vectors
 from tidemark.sources import files as source
 from tidemark.sources import snapshots
+from tidemark.streaming import ingest as streaming
+from tidemark.streaming.watch import FileWatch
 
 SCHEMAS = {
     "files": "id long, file_path string, file_name string, file_hash string, status string, total_pages int, is_scanned boolean, tags array<string>, mtime_ns long, chunk_count int, error_msg string, created_at timestamp, updated_at timestamp, run string",
@@ -164,6 +167,21 @@ class Library:
         self.report(run, "done", taken_files, made)
         return self.table("files").where(F.col("run") == run).select("file_path", "status", "chunk_count")
 
+    def follow(self, watch: FileWatch, seconds: float = streaming.THROTTLE_S, every: str | None = None, extractors=None) -> StreamingQuery:
+        """Bring in the files that a watch reports, as they come (``every`` so often), or those reported by now.
+
+        A file that is written again and again is taken once in ``seconds``, and not while it is in work.
+        """
+
+        def bring_in(batch: DataFrame, number: int) -> None:
+            paths = self.staged("submitted", batch.select("path"))
+            if not paths.isEmpty():
+                self.ingest(watch.watches, extractors=extractors, only=paths)
+                watch.finished(paths)
+
+        found = watch.submissions(seconds).writeStream.foreachBatch(bring_in).option("checkpointLocation", f"{watch.state}/followed")
+        return (found.trigger(processingTime=every) if every else found.trigger(availableNow=True)).start()
+
     def index_parts(self, chunks: DataFrame) -> dict[str, str]:
         """Postings, lengths and trigrams of chunks."""
         of = chunks.select(F.col("id").alias("chunk_id"), "file_id", "run")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.tables import table
 from tidemark.sources.shared import shared_folder
-from tidemark.streaming import ingest
+from tidemark.streaming import ingest, watch
 
 #: The driver's events are hours apart: a throttle of three seconds would never act.
 HOURS = 24
@@ -31,6 +31,14 @@ def microbatch_pack(spark, sf):
     return ingest.micro_batches(docs).select(F.col("queue").alias("source"), F.col("position").alias("doc_id"), "batch")
 
 
+def file_events(spark, sf):
+    """Documents as files: those with a label were listed before, toxic ones with another length."""
+    path = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
+    listing = table(spark, sf, "documents").select(path.alias("path"), F.timestamp_seconds("n_chars").alias("modified"), F.col("n_chars").alias("length"), "doc_id")
+    before = listing.join(table(spark, sf, "labels"), "doc_id").select("path", "modified", (F.col("length") + F.col("toxic")).alias("length"))
+    return watch.changes(listing.drop("doc_id"), before)
+
+
 def stream_ingest(spark, sf):
     """Documents as a stream, cut and hashed by the same functions as a batch."""
     run = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -44,7 +52,7 @@ def stream_ingest(spark, sf):
     return spark.read.parquet(f"{run}/out").select("doc_id", "n_chars", "text_hash")
 
 
-QUERIES = {f.__name__: f for f in (watch_throttle, submit_dedupe, microbatch_pack, stream_ingest)}
+QUERIES = {f.__name__: f for f in (watch_throttle, submit_dedupe, microbatch_pack, file_events, stream_ingest)}
 
 ORACLE_SQL = {
     "watch_throttle": f"""with recursive e as (
@@ -68,5 +76,7 @@ f as (
     case when files >= {ingest.MOST_FILES} or chunks >= {ingest.MOST_CHUNKS} or chunks + c > {ingest.MOST_CHUNKS} then c else chunks + c end
   from f join d on d.source = f.source and d.n = f.n + 1)
 select source, doc_id, batch from f""",
+    "file_events": """select source || '/' || d.doc_id as path, case when l.doc_id is null then 'created' else 'modified' end as kind
+from documents d left join labels l on l.doc_id = d.doc_id where l.doc_id is null or toxic <> 0""",
     "stream_ingest": "select doc_id, length(text) as n_chars, sha256(text) as text_hash from documents",
 }
