@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import io
+import os
 import shutil
 import subprocess
 import sys
+import time
 import zipfile
 from pathlib import Path
 
 import pytest
+from pyspark import InheritableThread
 from pyspark.sql import functions as F
 
 from tidemark.operators import catalog, fusion, vectors
@@ -180,6 +183,73 @@ def test_micro_batches(spark):
     assert [r.batch for r in ingest.micro_batches(df).orderBy("position").collect()] == [0, 1, 1, 1, 2, 2, 2, 2, 2, 2, 2, 2, 3]
 
 
+def stub_judge():
+    """Made here, so that workers get it whole: they do not import this file."""
+
+    class StubJudge:
+        """Says yes to documents that hold the question's word, and remembers how it was asked."""
+
+        def prompt(self, system, user):
+            return [ord(c) for c in f"{system}|{user}"]
+
+        def logits(self, ids):
+            out = []
+            for said in ("".join(map(chr, i)) for i in ids):
+                assert said.startswith(fusion.SYSTEM + "|<Instruct>: Find it.\n<Query>: ") and len(ids) <= 3
+                query, document = said.split("<Query>: ")[1].split("\n<Document>: ")
+                out.append((2.0, 0.0) if query and query in document else (0.0, 900.0))
+            return out
+
+    return StubJudge
+
+
+def test_a_model_judges(spark, tmp_path):
+    loads, judge = str(tmp_path / "loads"), stub_judge()
+
+    def load():
+        import tempfile
+
+        os.makedirs(loads, exist_ok=True)
+        tempfile.mkstemp(dir=loads, prefix=f"{os.getpid()}-")
+        return judge()
+
+    questions = spark.createDataFrame([(1, "tin"), (2, "zinc"), (3, None)], "query_id long, question string")
+    rows = [(q, i, t, i) for q in (1, 2, 3) for i, t in enumerate(["tin is soft", "zinc is not", None, "x" * 5000 + " tin", "tin and zinc"])]
+    candidates = spark.createDataFrame(rows, "query_id long, chunk_id long, text string, rank long").repartition(3)
+    scored = fusion.judged(candidates, questions, load, "stub", "Find it.", most_tokens=2000, together=3)
+    got = {q: [r.chunk_id for r in fusion.best_scored(scored).where(F.col("query_id") == q).orderBy("rank").collect()] for q in (1, 2, 3)}
+    # What stands behind the budget of tokens is not seen; what is under a tenth of the best goes.
+    assert got == {1: [0, 4], 2: [1, 4], 3: [0, 1, 2, 3, 4]}
+    pids = [n.split("-")[0] for n in os.listdir(loads)]
+    assert len(pids) == len(set(pids)) > 0
+
+
+def test_a_search_can_be_given_up(spark):
+    class Slow(stub_judge()):
+        def logits(self, ids):
+            time.sleep(120)
+
+    questions = spark.createDataFrame([(1, "tin")], "query_id long, question string")
+    candidates = spark.createDataFrame([(1, 1, "tin", 0)], "query_id long, chunk_id long, text string, rank long")
+    scored = fusion.judged(candidates, questions, Slow, "slow", "Find it.")
+    failed, began = [], time.time()
+
+    def ask():
+        spark.sparkContext.addJobTag("a search")
+        try:
+            failed.append(scored.collect())
+        except Exception as e:  # noqa: BLE001  whatever says that the job was cancelled
+            failed.append(e)
+
+    asked = InheritableThread(target=ask, session=spark)
+    asked.start()
+    while asked.is_alive() and time.time() - began < 40:
+        time.sleep(1)
+        spark.sparkContext.cancelJobsWithTag("a search")
+    asked.join(5)
+    assert failed and isinstance(failed[0], Exception)
+
+
 def test_manifests(spark, tmp_path):
     root = str(tmp_path / "t")
     empty = snapshots.manifest(spark, root)

@@ -37,13 +37,16 @@ def test_from_files_to_answers(spark, tmp_path):
     lib.toggle_favorites(spark.createDataFrame([(ids["cats.md"],)], "file_id long"))
     assert [r.file_name for r in lib.favorites().collect()] == ["cats.md"]
     assert lib.summarize([ids["rust.txt"]]).first().markdown.startswith("## rust.txt\n\nRust is")
-    assert lib.preview(ids["rust.txt"]).first().media_type.startswith("text/plain")
+    seen = lib.preview(ids["rust.txt"]).first()
+    assert seen.media_type.startswith("text/plain") and seen.status == "found" and bytes(seen.content).startswith(b"Rust is")
+    assert lib.preview(999).count() == 0
     (folder / "rust.txt").write_text("Now about tin.")
     later = os.path.getmtime(folder / "rust.txt") + 10
     os.utime(folder / "rust.txt", (later, later))
     assert [r.chunk_count for r in lib.ingest(str(folder)).collect()] == [1]
     assert {r.file_name: r.id for r in lib.files().collect()} == ids
     (folder / "cats.md").unlink()
+    assert tuple(lib.preview(ids["cats.md"]).first())[3:] == ("missing", None)
     assert [r.file_name for r in lib.forget_deleted(str(folder)).collect()] == ["cats.md"]
     assert lib.favorites().count() == 0 and {r.text for r in lib.payload().collect()} == {"Now about tin."}
     lib.clear_history()

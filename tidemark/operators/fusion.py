@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+from typing import Protocol
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemark.functions import text as T
+from tidemark.operators.vectors import INSTRUCTION
 
 RRF_K = 60
 TABLE_BOOST = 1.5
@@ -71,8 +78,63 @@ def lexical_score(question: Column, text: Column) -> Column:
 
 def rerank(candidates: DataFrame, questions: DataFrame, k: int = TOP_RERANKED, score=lexical_score) -> DataFrame:
     """The ``k`` best by ``score(question, text)``, without those under a tenth of the best; ``rank`` anew."""
-    scored = candidates.join(questions.select("query_id", "question"), "query_id")
-    scored = scored.withColumn("rerank_score", F.round(score(F.col("question"), F.col("text")), DIGITS)).drop("question")
+    asked = candidates.join(questions.select("query_id", "question"), "query_id")
+    return best_scored(asked.withColumn("rerank_score", score(F.col("question"), F.col("text"))).drop("question"), k)
+
+
+#: What a reranking model is told, and how a pair is put to it.
+SYSTEM = "Judge whether the Document meets the requirements based on the Query and the Instruct, output your judgement in 'yes' or 'no'."
+PAIR = "<Instruct>: {instruction}\n<Query>: {query}\n<Document>: {document}"
+MOST_TOKENS = 4096
+
+
+class Judge(Protocol):
+    """A model as a worker holds it."""
+
+    def prompt(self, system: str, user: str) -> list[int]:
+        """The ids of a conversation that the model is to go on with."""
+
+    def logits(self, ids: list[list[int]]) -> list[tuple[float, float]]:
+        """The logits of yes and of no after each prompt."""
+
+
+_judges: dict[str, Judge] = {}
+
+
+def _judge(name: str, load: Callable[[], Judge]) -> Judge:
+    """The worker's own, which outlives its tasks."""
+    if name not in _judges:
+        _judges[name] = load()
+    return _judges[name]
+
+
+def judged(candidates: DataFrame, questions: DataFrame, load: Callable[[], Judge], name: str, instruction: str = INSTRUCTION, most_tokens: int = MOST_TOKENS, together: int = 16) -> DataFrame:
+    """``candidates`` with ``rerank_score``, a model's probability that the text answers the question.
+
+    A worker loads the model ``name`` once, whatever it scores; pairs go to it ``together`` at a time, prompts cut to
+    ``most_tokens``. Null texts are judged as empty. To give up a search, run it under a job tag and interrupt the tag:
+    it then ends without rows.
+    """
+    fields = [f for f in candidates.schema if f.name != "rerank_score"]
+    schema = StructType([*fields, StructField("rerank_score", DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            judge, scores = _judge(name, load), []
+            question, text = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_question", "text"))
+            for at in range(0, len(text), together):
+                ids = [judge.prompt(SYSTEM, PAIR.format(instruction=instruction, query=q or "", document=t or ""))[:most_tokens] for q, t in zip(question[at : at + together], text[at : at + together])]
+                scores += [1 / (1 + math.exp(max(-700.0, min(700.0, no - yes)))) for yes, no in judge.logits(ids)]
+            kept = [batch.column(batch.schema.get_field_index(f.name)) for f in fields]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(scores, pa.float64())], names=schema.names)
+
+    asked = questions.select("query_id", F.col("question").alias("_question"))
+    return candidates.drop("rerank_score").join(asked, "query_id").select(*(f.name for f in fields), "_question").mapInArrow(run, schema)
+
+
+def best_scored(scored: DataFrame, k: int = TOP_RERANKED) -> DataFrame:
+    """The ``k`` best by ``rerank_score``, without those under a tenth of the best; ``rank`` anew."""
+    scored = scored.withColumn("rerank_score", F.round("rerank_score", DIGITS))
     best = F.max("rerank_score").over(Window.partitionBy("query_id"))
     kept = scored.withColumn("best", best).where(F.col("rerank_score") >= RELATIVE_CUTOFF * F.col("best")).drop("best")
     order = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank")

@@ -56,6 +56,8 @@ class Library:
     encoder: Callable[[DataFrame], DataFrame] = vectors.encode
     threshold: float = fusion.VECTOR_THRESHOLD
     segmenter: fulltext.Segmenter = T.bigrams
+    #: From candidates and questions to the best: by shared terms, or by a model (``fusion.judged``, ``fusion.best_scored``).
+    reranker: Callable[[DataFrame, DataFrame], DataFrame] = fusion.rerank
 
     def __post_init__(self):
         #: What is known of parts that this object has written.
@@ -295,7 +297,7 @@ class Library:
         near = vectors.probe(held, asked, centroids, of["values"]["probes"]) if len(centroids) else vectors.topk(held, asked)
         fused = fusion.rrf(near, keyword, fusion.route(questions), payload.select("chunk_id", "chunk_type"))
         kept = fusion.first(fusion.over_threshold(fused, self.threshold))
-        return fusion.rerank(fusion.deduplicate(kept.join(payload, "chunk_id")), questions)
+        return self.reranker(fusion.deduplicate(kept.join(payload, "chunk_id")), questions)
 
     def text_stats(self, of: dict, lengths: DataFrame) -> DataFrame | None:
         """What substring search weighs with, from the kept lengths; None if some are older than the counts of characters."""
@@ -343,5 +345,11 @@ class Library:
         return answers.export(answers.summaries(chosen, self.table("chunks", of, file_ids), model))
 
     def preview(self, file_id: int) -> DataFrame:
-        row = self.table("files").where(F.col("id") == file_id)
-        return row.select("id", "file_path", T.media_type(F.col("file_path")).alias("media_type"))
+        """``(id, file_path, media_type, status, content)`` of a file: ``found`` with its bytes, ``missing`` if its folder
+        has it no more. A file that the catalogue lacks gives no row."""
+        row = self.table("files").where(F.col("id") == file_id).select("id", "file_path", T.media_type(F.col("file_path")).alias("media_type"))
+        known = row.first()
+        if known is None or not snapshots.exists(self.spark, known.file_path):
+            return row.select("*", F.lit("missing").alias("status"), F.lit(None).cast("binary").alias("content"))
+        named = [F.lit(known[c]).alias(c) for c in row.columns]
+        return self.spark.read.format("binaryFile").load(known.file_path).select(*named, F.lit("found").alias("status"), "content")
