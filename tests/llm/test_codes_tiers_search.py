@@ -10,6 +10,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -277,7 +278,7 @@ def test_ranks_equal_plain_ones(spark, monkeypatch, size):
     rng = random.Random(size)
     docs = corpus(rng, 700)
     docs += [(2000 + i, docs[7][1]) for i in range(30)] + [(None, docs[9][1]), (5, docs[9][1]), (5, docs[9][1]), (3000, None), (3001, ""), (3002, "! ?")]
-    questions = [(i, docs[rng.randrange(700)][1]) for i in range(25)] + [(90, None), (91, ""), (92, "the The THE"), (92, "zebra"), (93, "w1 w1 w1 w2"), (93, "w1 w1 w1 w2"), (None, "b c d")]
+    questions = [(i, docs[rng.randrange(700)][1]) for i in range(25)] + [(90, None), (91, ""), (92, "the The THE"), (92, "zebra"), (93, "w1 w1 w1 w2"), (93, "w1 w1 w1 w2"), (None, "b c d"), (None, "7:a b"), (7, "a b")]
     monkeypatch.setattr(impacts, "TERMS_TOGETHER", 100 * size)
     assert ranks_of(spark, docs, questions) == plain_ranks(docs, questions)
 
@@ -344,3 +345,14 @@ def test_a_whole_index_answers_too(spark):
     assert (of.docs, of.tokens, of.held_by) == (3, 6, {b"a": 2, b"b": 1, b"c": 1, b"d": 1})
     questions = impacts.Questions([{"item": "q", "item_id": 9, "term": b"b", "times": 1}])
     assert [(r["item_id"], r["doc_id"]) for r in impacts.search(index, questions, of).collect()] == [(9, 1)]
+
+
+@pytest.mark.parametrize("name", ["op11_vector_codes", "op13_lexical_search"])
+def test_queries_equal_their_sql(spark, name):
+    df = queries.QUERIES[name](spark, SF)
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "benchmark"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    columns = sorted(df.columns)
+    want = con.execute(f"select {', '.join(columns)} from ({queries.ORACLE_SQL[name]})").fetchall()
+    assert order(tuple(r) for r in df.select(columns).collect()) == order(want) and want

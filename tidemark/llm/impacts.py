@@ -65,7 +65,7 @@ def items_of(questions: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.string(), pa.binary(), pa.int64()))], names=["item_id", "item", "term", "times"])
 
     rows = questions.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("text is not null").distinct()
-    name = F.sha2(F.concat_ws(":", F.col("item_id").cast("string"), "text"), 256)
+    name = F.sha2(F.concat_ws(":", F.coalesce(F.col("item_id").cast("string"), F.lit("none")), "text"), 256)
     return rows.select("item_id", name.alias("item"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "item_id long, item string, term binary, times long")
 
 
