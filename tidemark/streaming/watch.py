@@ -83,7 +83,8 @@ class FileWatch:
 
     def events(self) -> DataFrame:
         """The stream of events: ``created`` and ``modified`` files, and those ``done``."""
-        self.spark.createDataFrame([], EVENTS).write.mode("append").parquet(f"{self.state}/events")
+        if not snapshots.exists(self.spark, f"{self.state}/events"):
+            self.spark.createDataFrame([], EVENTS).write.mode("append").parquet(f"{self.state}/events")
         return self.spark.readStream.schema(EVENTS).parquet(f"{self.state}/events")
 
     def submissions(self, seconds: float = ingest.THROTTLE_S) -> DataFrame:
