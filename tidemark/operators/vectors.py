@@ -161,6 +161,8 @@ def _nearest(corpus: DataFrame, ids: np.ndarray, q: np.ndarray, of_list: dict[in
 
 #: Vectors that lists are trained on (on average), lists at most, and rounds of training.
 SAMPLE, MOST_LISTS, ROUNDS = 1 << 18, 1 << 14, 12
+#: Vectors of the sample that a task trains on, on average.
+TASK_ROWS = 1 << 13
 #: The list of vectors that were stored before there were any: it is always read.
 NO_LIST = -1
 
@@ -173,6 +175,7 @@ def train_lists(vectors: DataFrame, lists: int | None = None, seed: int = 7) ->
     """Unit centroids for an inverted file, by k-means on a sample picked by a hash of the ids; none without vectors.
 
     The square root of the number of vectors makes as many lists as lists have vectors. Zero vectors don't train.
+    The sample is written once, in as many parts as it asks for, and the rounds read that.
     """
     held = vectors.where("vector is not null").select("chunk_id", "vector").where(norm(F.col("vector")) > 0)
     n = held.count()
@@ -180,7 +183,7 @@ def train_lists(vectors: DataFrame, lists: int | None = None, seed: int = 7) ->
         return no_centroids()
     share = max(1, math.ceil(n / SAMPLE))
     sample = held.where(F.pmod(F.xxhash64("chunk_id"), F.lit(share)) == 0) if share > 1 else held
-    rows = sample.select(array_to_vector(l2_normalized(F.col("vector"))).alias("features"))
+    rows = written(sample.select(array_to_vector(l2_normalized(F.col("vector"))).alias("features")).repartition(math.ceil(min(n, SAMPLE) / TASK_ROWS)))
     wanted = lists or min(MOST_LISTS, math.ceil(math.sqrt(n)))
     model = KMeans(k=max(2, wanted), seed=seed, maxIter=ROUNDS, distanceMeasure="cosine").fit(rows)
     return unit(np.array(model.clusterCenters()))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators import fulltext, fusion, vectors
 from tidemark.plans import tables
+from tidemark.sources.shared import written
 
 TERMS = "regexp_extract_all(strip_accents(lower({})), '[\\p{{L}}\\p{{N}}]+')"
 INDEX = f"""
@@ -192,7 +193,7 @@ def vector_index_topk(spark, sf):
     """The same by way of an inverted file: lists that cannot hold a better vector are not read."""
     held = tables.vectors(spark, sf)
     centroids = vectors.train_lists(held)
-    return vectors.indexed_topk(vectors.with_list(held, centroids), tables.question_vectors(spark, sf), centroids).select("query_id", "chunk_id", "score", "rank")
+    return vectors.indexed_topk(written(vectors.with_list(held, centroids)), tables.question_vectors(spark, sf), centroids).select("query_id", "chunk_id", "score", "rank")
 
 
 def vector_topk_prefilter(spark, sf):
