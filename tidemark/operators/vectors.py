@@ -36,8 +36,9 @@ def norm(a: Column) -> Column:
 
 def l2_normalized(a: Column) -> Column:
     """The vector over its length; zero vectors stay."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    # The length is bound as a variable: inside the inner function it would be worked out for every component.
+    over = lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    return F.element_at(F.transform(F.array(norm(a)), over), 1)
 
 
 def probability_of_yes(yes: Column, no: Column) -> Column:
