@@ -170,6 +170,57 @@ def test_markdown(spark):
     assert text == "# H #no\nText #tag/sub #fff (#anchor) x#y #k=1 #tag/sub\n\n alias target\n> Title\npara"
 
 
+FRONT = [
+    ("tags: [a, \"b, c\", 'd''s', it's, 2024]", ["a", "b, c", "d's", "it's", "2024"]),
+    ("title: x\ntags: [\n  a,\n  'b]',\n]\ndate: 1", ["a", "b]"]),
+    ("tags:  # ours\n- a # first\n\n  # none\n- \"b # c\"\n-\n- yes\nother: [x]", ["a", "b # c", "None", "True"]),
+    ('"tags": a b # one', ["a b"]),
+    ("'tags': 'a: b'", ["a: b"]),
+    ('tags: "say \\"so\\""', ['say "so"']),
+    ("tags: []", []),
+    ("tags:", []),
+    ("tags: ~", []),
+    ("tags: 2024", []),
+    ("tags: 2024-01-02", []),
+    ("tags: {a: b}", []),
+    ("tags:a", []),
+    ("other:\n  tags: [a]", []),
+    ("mytags: [a]", []),
+    ("tags: [a, a]", ["a", "a"]),
+    ("tags: [" + ", ".join(f'"t{i}"' for i in range(20000)) + "]", [f"t{i}" for i in range(20000)]),
+    ("tags:\n" + "- 'x'\n" * 20000, ["x"] * 20000),
+]
+
+
+def test_front_matter_tags(spark):
+    df = spark.createDataFrame([(i, f"---\n{head}\n---\nBody") for i, (head, _) in enumerate(FRONT)] + [(98, None), (99, "no front matter")], "i int, t string")
+    got = {r.i: r.tags for r in df.select("i", T.front_matter_tags(df.t).alias("tags")).collect()}
+    assert (got.pop(98) or [], got.pop(99)) == ([], [])
+    for i, (head, tags) in enumerate(FRONT):
+        assert got[i] == tags, head[:80]
+
+
+def test_front_matter_tags_come_back_as_written(spark):
+    draw = random.Random(5)
+    quotes = (lambda t: '"' + t.replace("\\", "\\\\").replace('"', '\\"') + '"', lambda t: "'" + t.replace("'", "''") + "'")
+    frames = (
+        lambda items: f"tags: [{', '.join(items)}]",
+        lambda items: "tags: [" + ",\n  ".join(items) + "\n]\nlater: [z]",
+        lambda items: "first: 1\ntags:\n" + "\n".join(f"  - {x}  # note" for x in items) + "\nlater: z",
+    )
+    rows, want = [], []
+    for i in range(300):
+        tags = ["".join(draw.choice("ab 中,#'\"\\[]{}:-|") for _ in range(draw.randint(1, 8))) for _ in range(draw.randint(1, 5))]
+        plain = [re.fullmatch("[ab中]+", t) and draw.random() < 0.8 for t in tags]
+        items = [t if p else draw.choice(quotes)(t) for t, p in zip(tags, plain)]
+        rows.append((i, f"---\n{draw.choice(frames)(items)}\n---\nBody"))
+        want.append(tags)
+    df = spark.createDataFrame(rows, "i int, t string")
+    got = {r.i: r.tags for r in df.select("i", T.front_matter_tags(df.t).alias("tags")).collect()}
+    for i, tags in enumerate(want):
+        assert got[i] == tags, rows[i][1]
+
+
 def test_lines(spark):
     df = spark.createDataFrame([("a\r\nb\n\nc d\n",), ("",), ("\n",)], "t string")
     assert [r[0] for r in df.select(T.lines(df.t)).collect()] == [["a", "b", "", "c", "d"], [], [""]]

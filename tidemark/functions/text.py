@@ -117,17 +117,48 @@ def marked_headings(text: Column) -> Column:
     return F.transform(F.filter(lines(text), lambda x: x.startswith("#")), lambda x: strip(F.regexp_replace(x, "^#+", "")))
 
 
+# The part of YAML that tags are written in. Quantifiers over groups are possessive: they need no stack on long lists.
+TAGS_KEY = r"""(?m)^(?:tags|'tags'|"tags")[ \t]*:(?=\s)"""
+QUOTED = r""""(?:[^"\\]|\\[\s\S])*+"|'(?:[^']|'')*+'"""
+FLOW_ITEM = rf"""\s*+({QUOTED}|[^,\[\]{{}}\s"'][^,\]]*+)"""
+FLOW_TAGS = rf"{TAGS_KEY}[ \t]*\[((?:{FLOW_ITEM}|\s*+,|\s++)*+)\]"
+BLOCK_TAGS = rf"{TAGS_KEY}[ \t]*(?:#[^\n]*)?\r?\n((?:[ \t]*+(?:-(?:[ \t][^\n]*+)?+|#[^\n]*+|\r?)\n)*+)"
+BLOCK_ITEM = rf"(?m)^[ \t]*+-[ \t]*+({QUOTED}|[^\n]*+)"
+ONE_TAG = rf"{TAGS_KEY}[ \t]+({QUOTED}|[^\s\[{{|>&*!#][^\n]*+)"
+#: Plain words that YAML takes for yes, no, nothing, and numbers or days.
+YES, NO, NOTHING = r"^(?:true|True|TRUE|yes|Yes|YES|on|On|ON)$", r"^(?:false|False|FALSE|no|No|NO|off|Off|OFF)$", r"^(?:~|null|Null|NULL)?$"
+NUMBER = r"^[-+]?(?:0x[0-9a-fA-F_]+|[0-9][0-9_]*(?:\.[0-9_]*(?:[eE][-+][0-9]+)?)?|\.[0-9][0-9_]*|\.(?:inf|nan))$|^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+
+
+def _plain(item: Column) -> Column:
+    """An item that is not quoted, without its comment."""
+    return strip(F.regexp_replace(item, r"(?:^|[ \t])#[^\n]*", ""))
+
+
+def _tag(item: Column) -> Column:
+    """An item as text: without its quotes, yes and no as ``True`` and ``False``, nothing as ``None``."""
+    inner, plain = F.substr(item, F.lit(2), F.length(item) - 2), _plain(item)
+    return (
+        F.when(item.startswith('"'), F.regexp_replace(inner, r'\\([\s\S])', "$1"))
+        .when(item.startswith("'"), F.replace(inner, F.lit("''"), F.lit("'")))
+        .when(plain.rlike(YES), "True").when(plain.rlike(NO), "False").when(plain.rlike(NOTHING), "None").otherwise(plain)
+    )
+
+
 def front_matter_tags(text: Column) -> Column:
-    """Tags of the front matter, as ``tags: [a, b]``, ``tags: a`` or a list of ``- a`` lines."""
+    """Tags of the front matter: ``tags: [a, "b, c"]`` over one line or several, a list of ``- a`` lines, or ``tags: a``.
+
+    Items may be quoted and have comments behind them; a single tag that is a number, a day, yes, no or nothing is
+    none. Lists in lists, maps, block scalars and anchors are not read, nor is the rest of the front matter checked.
+    """
     fm = front_matter(text)
-    block = F.regexp_extract(fm, r"(?m)^tags:[ \t]*\n((?:[ \t]*-[ \t]+.*\n)+)", 1)
-    inline = F.regexp_extract(fm, r"(?m)^tags:[ \t]*(\S.*?)[ \t]*$", 1)
-    flow = F.regexp_extract(inline, r"^\[(.*)\]$", 1)
-    item = lambda t: F.regexp_replace(strip(t), r"^(['\"])(.*)\1$", "$2")
+    block, one = F.regexp_extract(fm, BLOCK_TAGS, 1), F.regexp_extract(fm, ONE_TAG, 1)
+    listed = F.transform(F.regexp_extract_all(block, F.lit(BLOCK_ITEM), F.lit(1)), _tag)
+    flowed = F.transform(F.regexp_extract_all(F.regexp_extract(fm, FLOW_TAGS, 1), F.lit(FLOW_ITEM), F.lit(1)), _tag)
+    typed = F.array(*(F.lit(kind) for kind in (YES, NO, NOTHING, NUMBER)))
+    word = one.startswith('"') | one.startswith("'") | ~F.exists(typed, lambda kind: F.regexp(_plain(one), kind))
     none = F.array().cast("array<string>")
-    listed = F.transform(F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]*-[ \t]+(.*)$"), F.lit(1)), item)
-    flowed = F.filter(F.transform(F.split(flow, ","), item), lambda t: t != "")
-    return F.when(block != "", listed).when(flow != "", flowed).when((inline != "") & ~inline.startswith("["), F.array(item(inline))).otherwise(none)
+    return F.when(fm.rlike(FLOW_TAGS), flowed).when(block != "", listed).when((one != "") & word, F.array(_tag(one))).otherwise(none)
 
 
 def inline_tags(text: Column) -> Column:
