@@ -445,6 +445,14 @@ def test_toxicity_does_not_grow_with_length_alone(spark):
         assert toxicity.keep_clean(df, marks).where("doc_id >= 8000 and doc_id < 8003").count() == 3
 
 
+def test_toxicity_of_repeated_ids_does_not_hang_on_their_order(spark):
+    rows, labels = toxic_corpus()
+    rows = rows + [(i, "other words, and clean ones") for i, _ in rows[::3]]
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    fits = [toxicity.train(spark.createDataFrame(given, "doc_id long, text string").repartition(n), marks) for given, n in ((rows, 1), (rows[::-1], 5))]
+    assert (fits[0][0] == fits[1][0]).all() and fits[0][1] == fits[1][1]
+
+
 def test_toxicity_without_rows(docs, empty, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.score(empty, none).collect() == []

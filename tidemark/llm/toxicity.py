@@ -126,8 +126,9 @@ def fold(doc_id):
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Fit on at most ``sample`` labelled rows that are not held out.
 
-    Labels of one document are combined by their maximum; null labels and ids are ignored. Without a
-    usable row the model scores every text with the starting bias.
+    Labels of one document are combined by their maximum; null labels and ids are ignored. Of rows with
+    one doc_id the least text (by code point) is the one that is labelled. Without a usable row the model
+    scores every text with the starting bias.
     """
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT_FOLD))
     chosen = (
@@ -136,7 +137,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample)
     )
-    rows = ids_and_texts(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "toxic", "text")
+    # Of rows that share a doc_id the one with the least text counts, so that a rerun fits the same model.
+    rows = ids_and_texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,6 +171,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
 
     ``offending`` lists start:end (code points) of the sentences that are toxic by themselves. Null
     and empty texts, and texts without a word, score 0. Rows with a null doc_id count as id text ''.
+    Rows of one doc_id are scored each by its text. An empty table gives no rows; other columns are not read.
     """
     w, b = train(docs, labels, sample)
     model = docs.sparkSession.sparkContext.broadcast((w, b))
@@ -194,7 +197,10 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, all columns as they were."""
+    """The rows of ``docs`` that are not predicted toxic, all columns as they were, whatever their names.
+
+    Null and empty texts stay, null and repeated doc_ids are judged each by its text, and an empty table gives no rows.
+    """
     w, b = train(docs, labels, sample)
     model = docs.sparkSession.sparkContext.broadcast((w, b))
 
