@@ -314,6 +314,11 @@ class Asked:
         entity, self.entry = (np.array(x, np.int64) for x in zip(*sorted(plain))) if plain else (np.zeros(0, np.int64),) * 2
         self.ends = np.searchsorted(entity, np.arange(self.entities + 1))
         self.placed = {self.leaves[i] for _, below in self.near for i in below}
+        #: The phrases of a NEAR by the longest of their words: a text without that one need not be looked at.
+        self.near_of: dict[int, list[tuple[int, list[int]]]] = {}
+        for within, below in self.near:
+            longest = max((self.leaves[c] for c in below), key=lambda w: len(self.words[w]))
+            self.near_of.setdefault(longest, []).append((within, below))
 
     def automaton(self) -> ahocorasick.Automaton:
         out = ahocorasick.Automaton()
@@ -323,9 +328,9 @@ class Asked:
             out.make_automaton()
         return out
 
-    def find(self, batch: pa.RecordBatch, automaton: ahocorasick.Automaton) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    def find(self, batch: pa.RecordBatch, automaton: ahocorasick.Automaton, placed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
         """(text, entity, how often it occurs there, overlaps included) of a batch, texts in its second column, and
-        (text, phrase, how often) of the phrases of a NEAR."""
+        (text, phrase, how often) of the phrases of a NEAR (none without ``placed``)."""
         row, entity, times, near = [], [], [], []
         for i, text in enumerate(batch.column(1).to_pylist() if self.words else []):
             seen: dict[int, int] = {}
@@ -333,14 +338,14 @@ class Asked:
             for end, w in automaton.iter(text):
                 seen[w] = seen.get(w, 0) + 1
                 at = end - len(self.words[w]) + 1
-                if w in self.placed:
+                if placed and w in self.placed:
                     starts.setdefault(w, []).append(at)
                 if at == 0 and w in self.firsts:
                     seen[self.firsts[w]] = 1
             row += [i] * len(seen)
             entity += seen
             times += seen.values()
-            for within, below in self.near if starts else []:
+            for within, below in itertools.chain.from_iterable(self.near_of.get(w, ()) for w in starts):
                 words = [self.leaves[c] for c in below]
                 if all(w in starts for w in words):
                     counts = near_counts([starts[w] for w in words], [len(self.words[w]) - 2 for w in words], within)
@@ -403,7 +408,7 @@ def _scored(texts: DataFrame, asked: Asked, k: int, n_chunks: int, avglen: float
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, n = asked.automaton(), np.zeros(asked.entities, np.int64)
         for batch in batches:
-            n += np.bincount(asked.find(batch, automaton)[1], minlength=len(n))
+            n += np.bincount(asked.find(batch, automaton, placed=False)[1], minlength=len(n))
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["word", "n"])
 
