@@ -48,6 +48,31 @@ def test_phrases_equal_sqlite(spark, corpus):
     assert not [r for r in got if r.query_id == 4]
 
 
+def test_phrases_are_looked_for_where_the_texts_are(spark):
+    """What is shuffled are a chunk's phrases, not its places times the places of all phrases."""
+    rng = random.Random(3)
+    texts = [(i % 25, " ".join(rng.choice("abcd") for _ in range(rng.randint(0, 40)))) for i in range(30)]
+    chunks = spark.createDataFrame([*texts, (98, None), (99, "")], "chunk_id int, text string").repartition(3)
+    phrases = sorted({tuple(rng.choice("abcde") for _ in range(rng.randint(1, 4))) for _ in range(40)})
+    df = fulltext.phrase_counts(chunks, phrases)
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for c, text in texts:
+        words = text.split()
+        for p, phrase in enumerate(phrases):
+            n = sum(tuple(words[i : i + len(phrase)]) == phrase for i in range(len(words)))
+            if n:
+                want[c, p] = want.get((c, p), 0) + n
+    assert {(r.chunk_id, r.number): r.tf for r in df.collect()} == want
+    # A phrase that a question repeats counts as often, however it is written.
+    asked = [(1, 0, "A b"), (1, 1, "a-b"), (2, 0, "a b"), (3, 0, "?"), (4, 0, "e e e e e")]
+    index = fulltext.build_index(chunks)
+    got = {}
+    for r in fulltext.phrase_topk(chunks, index, spark.createDataFrame(asked, "query_id long, phrase_id int, phrase string"), 100).collect():
+        got.setdefault(r.query_id, {})[r.chunk_id] = r.score
+    assert set(got) == {1, 2} and got[1] == pytest.approx({c: 2 * s for c, s in got[2].items()}, abs=2e-5)
+
+
 @pytest.mark.parametrize("question", ["nana", "ana", "ALPHA beta", "café", "cafe", "is alpha", "qu", "alpha OR über", "a-b", "beta, alpha?",
     "alpha AND beta", "alpha NOT beta", '"alpha beta"', '"pha be"', "alp*", '"alp" * beta', "alpha AND", "NOT alpha", "alpha alpha", "is NOT alpha", "alpha NOT is", "is AND alpha", "alpha AND is", "is OR alpha", "beta OR is NOT gamma", "beta AND al NOT gamma", '"say ""alpha"" "', "alpha beta NOT gamma delta OR über",
     "alpha AND beta NOT gamma AND delta", "alpha NOT beta NOT gamma", "beta OR alpha AND gamma NOT delta", '"a OR b" OR alpha', "alphaOR beta", "and or alpha", "", "al", '"unfinished'])

@@ -10,18 +10,21 @@ from __future__ import annotations
 import itertools
 import json
 import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.functions.expressions import LEAST_WORD, near_counts, parsed
 from tidemark.operators import best
+from tidemark.operators.batches import slices
 from tidemark.operators.best import NONE, Best
 from tidemark.sources.shared import written
 
@@ -133,16 +136,22 @@ def bm25_topk(index: Index, questions: DataFrame, k: int = TOP_K, segmenter: Seg
         number = {t: i for i, t in enumerate(sorted({r["term"] for r in rows}))}
         terms = spark.createDataFrame(list(number.items()), "term string, number long")
         # As many rows as the lot has terms.
-        held = index.of_terms(terms).withColumn("chunk_id", F.col("chunk_id").cast("long"))
-        held = written(held.join(index.lengths.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("len").cast("double").alias("len")), "chunk_id"))
-        n = np.zeros(len(number))
-        for r in held.groupBy("number").agg(F.count("*").alias("n")).collect():
-            n[r["number"]] = r["n"]
-        weight = np.maximum(np.log((n_chunks - n + 0.5) / (n + 0.5)), LEAST_IDF)
-        out = out.unionByName(_term_scores(held, [(number[r["term"]], r["query_id"], r["times"]) for r in rows], weight, k, avglen or 0.0))
+        asked_numbers = [(number[r["term"]], r["query_id"], r["times"]) for r in rows]
+        out = out.unionByName(_by_number(index.of_terms(terms), index.lengths, asked_numbers, len(number), n_chunks, avglen, k))
     return top(out, k)
 
 
+def _by_number(counts: DataFrame, lengths: DataFrame, asked: list[tuple[int, int, int]], numbers: int, n_chunks: int, avglen: float, k: int) -> DataFrame:
+    """Every task's ``k`` best of ``counts(chunk_id, number, tf)`` for ``asked``, ``(number, query_id, times)``."""
+    size = lengths.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("len").cast("double").alias("len"))
+    held = written(counts.withColumn("chunk_id", F.col("chunk_id").cast("long")).join(size, "chunk_id"))
+    n = np.zeros(numbers)
+    for r in held.groupBy("number").agg(F.countDistinct("chunk_id").alias("n")).collect():
+        n[r["number"]] = r["n"]
+    weight = np.maximum(np.log((n_chunks - n + 0.5) / (n + 0.5)), LEAST_IDF)
+    return _term_scores(held, asked, weight, k, avglen or 0.0)
+
+
 def _term_scores(held: DataFrame, asked: list[tuple[int, int, int]], weight: np.ndarray, k: int, avglen: float) -> DataFrame:
     """Every task's ``k`` best chunks of ``held(chunk_id, number, tf, len)`` for the questions of ``asked``."""
     queries = np.array(sorted({q for _, q, _ in asked}), np.int64)
@@ -199,27 +208,80 @@ def filtered_topk(ranked: DataFrame, files: DataFrame, allowed: Column, k: int =
     return top(ranked.drop("rank").join(files, "chunk_id").where(allowed), k)
 
 
-def phrase_counts(chunks: DataFrame, phrases: DataFrame) -> DataFrame:
-    """``(query_id, phrase_id, chunk_id, f)``: how often a phrase's terms follow one another in a chunk.
+class Phrases:
+    """Phrases as the levels of a tree: a node is a beginning, told by the node before it and its last term."""
 
-    Positions minus places in the phrase meet where the phrase starts; a start counts if every place is
-    there. ``phrases(query_id, phrase_id, phrase)``; phrases without a term match nothing.
+    def __init__(self, phrases: list[tuple[str, ...]]):
+        self.words = sorted({w for p in phrases for w in p})
+        number = {w: i for i, w in enumerate(self.words)}
+        #: Of every length: the beginnings' keys in order, and which phrase ends there (-1: none).
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        node = {(): 0}
+        for size in range(1, max(map(len, phrases), default=0) + 1):
+            key = {p[:size]: node[p[: size - 1]] * len(self.words) + number[p[size - 1]] for p in phrases if len(p) >= size}
+            order = sorted(key, key=key.get)
+            node = {p: i for i, p in enumerate(order)}
+            ends = np.full(len(order), -1)
+            for i, p in enumerate(phrases):
+                if len(p) == size:
+                    ends[node[p]] = i
+            self.levels.append((np.array([key[p] for p in order], np.int64), ends))
+
+    def find(self, terms: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, phrase, how often it starts there) of the texts' terms."""
+        sizes = np.asarray(terms.value_lengths())
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        word = np.asarray(pc.fill_null(pc.index_in(terms.flatten(), pa.array(self.words, pa.string())), -1)).astype(np.int64)
+        at, node, found = np.flatnonzero(word >= 0), 0, []
+        for before, (keys, ends) in enumerate(self.levels):
+            inside = at + before < len(word)
+            at, node = at[inside], node[inside] if before else 0
+            here = at + before
+            key = np.where((row[here] == row[at]) & (word[here] >= 0), node * len(self.words) + word[here], -1)
+            node = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            there = keys[node] == key
+            at, node = at[there], node[there]
+            whole = ends[node] >= 0
+            found.append(row[at[whole]] * _MOST + ends[node[whole]])
+        key, times = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
+        return key // _MOST, key % _MOST, times
+
+
+#: Over the number of phrases that one pass looks for.
+_MOST = 1 << 32
+
+
+def phrase_counts(chunks: DataFrame, phrases: list[tuple[str, ...]]) -> DataFrame:
+    """``(chunk_id, number, tf)``: how often a phrase's terms follow one another in a chunk, by the phrase's place.
+
+    Texts stay in their tasks: a pass over them looks for all phrases, and only what it finds is shuffled.
     """
-    places = phrases.select("query_id", "phrase_id", T.terms(F.col("phrase")).alias("terms"))
-    places = places.select("query_id", "phrase_id", F.size("terms").alias("places"), F.posexplode("terms").alias("place", "term"))
-    found = chunks.select("chunk_id", F.posexplode(T.terms(F.col("text"))).alias("pos", "term"))
-    starts = found.join(places, "term").groupBy("query_id", "phrase_id", "chunk_id", "places", (F.col("pos") - F.col("place")).alias("start"))
-    whole = starts.agg(F.count("*").alias("there")).where(F.col("there") == F.col("places"))
-    return whole.groupBy("query_id", "phrase_id", "chunk_id").agg(F.count("*").alias("f"))
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    tree = Phrases(phrases)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            text, number, times = tree.find(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(number), pa.array(times)], names=["chunk_id", "number", "tf"])
+
+    found = chunks.select("chunk_id", T.terms(F.col("text")).alias("terms")).mapInArrow(run, f"chunk_id {kind}, number long, tf long")
+    return found.groupBy("chunk_id", "number").agg(F.sum("tf").alias("tf"))
 
 
 def phrase_topk(chunks: DataFrame, index: Index, phrases: DataFrame, k: int = TOP_K) -> DataFrame:
-    """BM25 over phrases instead of terms."""
-    f = phrase_counts(chunks, phrases)
-    n = f.groupBy("query_id", "phrase_id").agg(F.count("*").alias("n"))
-    weighted = f.join(n, ["query_id", "phrase_id"]).join(index.lengths, "chunk_id").crossJoin(F.broadcast(index.stats))
-    part = idf(F.col("n_chunks"), F.col("n")) * saturation(F.col("f"), F.col("len"), F.col("avglen"))
-    return top(weighted.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")), k)
+    """BM25 over phrases instead of terms: ``phrases(query_id, phrase_id, phrase)``, each of them an alternative of
+    its question. Phrases without a term match nothing. Ids are longs."""
+    out = phrases.sparkSession.createDataFrame([], "query_id long, chunk_id long, score double")
+    asked = written(phrases.select("query_id", T.terms(F.col("phrase")).alias("terms")).where(F.size("terms") > 0))
+    n_chunks, avglen = index.stats.select("n_chunks", "avglen").first()
+    for lot in in_lots(asked):
+        times = Counter((tuple(r["terms"]), r["query_id"]) for r in lot.collect())
+        if not times:
+            continue
+        number = {p: i for i, p in enumerate(sorted({p for p, _ in times}))}
+        counts = phrase_counts(chunks, list(number))
+        out = out.unionByName(_by_number(counts, index.lengths, [(number[p], q, n) for (p, q), n in times.items()], len(number), n_chunks, avglen, k))
+    return top(out, k)
 
 
 def expressions(questions: DataFrame) -> DataFrame:

@@ -112,7 +112,9 @@ def bm25_postfilter(spark, sf):
 
 def phrase_search(spark, sf):
     """All pairs of neighbouring terms of every question as phrases."""
-    chunks, index = _index(spark, sf)
+    chunks = tables.chunks(spark, sf)
+    # Phrases are looked for in the texts: of the index, the lengths do.
+    index = fulltext.index_of(None, written(fulltext.lengths_of(fulltext.index_terms(chunks))))
     terms = T.terms(F.col("question"))
     pairs = F.when(F.size(terms) > 1, F.transform(F.sequence(F.lit(0), F.size(terms) - 2), lambda i: F.concat_ws(" ", F.get(terms, i), F.get(terms, i + 1))))
     phrases = tables.questions(spark, sf).select("query_id", F.posexplode(pairs).alias("phrase_id", "phrase"))
