@@ -224,3 +224,15 @@ def test_front_matter_tags_come_back_as_written(spark):
 def test_lines(spark):
     df = spark.createDataFrame([("a\r\nb\n\nc d\n",), ("",), ("\n",)], "t string")
     assert [r[0] for r in df.select(T.lines(df.t)).collect()] == [["a", "b", "", "c", "d"], [], [""]]
+
+
+def test_long_texts_are_taken_apart_a_few_at_a_time():
+    import pyarrow as pa
+
+    from tidemark.operators.batches import ROWS, TOGETHER, slices
+
+    texts = ["x" * n for n in (0, 5, 3 * TOGETHER, 7, TOGETHER // 2, TOGETHER // 2, TOGETHER // 2, *[1] * (2 * ROWS))]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["page_id", "text"])
+    got = list(slices([batch.slice(0, 0), batch.slice(1), batch.slice(0, 1)]))
+    assert [i for b in got for i in b.column(0).to_pylist()] == [*range(1, len(texts)), 0]
+    assert all(b.num_rows == 1 or b.nbytes <= TOGETHER and b.num_rows <= ROWS for b in got)
