@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Scores held together in a task.
-CELLS = 1 << 22
+CELLS = 1 << 19
 #: No score.
 NONE = -np.inf
 
@@ -31,19 +31,34 @@ def best_of(parts: list[tuple[np.ndarray, ...]], k: int) -> list[tuple[np.ndarra
 
 
 class Best:
-    """What a task keeps: ``k`` of every question, and no more than ``CELLS`` on the way."""
+    """What a task keeps: ``k`` of every question, and on the way no more than ``CELLS``, or twice what it keeps.
+
+    What is under the last of a question's ``k`` so far is let go at once.
+    """
 
     def __init__(self, k: int):
-        self.k, self.parts, self.held = k, [], 0
+        self.k, self.parts, self.held, self.most = k, [], 0, 0
+        self.asked, self.floor = np.zeros(0, np.int64), np.zeros(0)
 
     def add(self, scores: np.ndarray, ids: np.ndarray, queries: np.ndarray) -> None:
         if not scores.size:
             return
-        self.parts.append(leading(scores, ids, queries, self.k))
-        self.held += len(self.parts[-1][0])
-        if self.held > CELLS:
+        q, c, s = leading(scores, ids, queries, self.k)
+        if len(self.asked):
+            at = np.minimum(np.searchsorted(self.asked, q), len(self.asked) - 1)
+            keep = (self.asked[at] != q) | (s >= self.floor[at])
+            q, c, s = q[keep], c[keep], s[keep]
+        self.parts.append((q, c, s))
+        self.held += len(q)
+        if self.held > max(CELLS, self.most):
             self.parts = best_of(self.parts, self.k)
-            self.held = sum(len(p[0]) for p in self.parts)
+            q, _, s = self.parts[0]
+            self.held, self.most = len(q), 2 * len(q)
+            # A question's rows stand together, best first.
+            last = np.append(q[1:] != q[:-1], True)
+            self.asked = q[last]
+            full = np.diff(np.flatnonzero(np.append(True, last))) >= self.k
+            self.floor = np.where(full, s[last], NONE)
 
     def rows(self) -> list[tuple[np.ndarray, ...]]:
         return best_of(self.parts, self.k)
