@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 import sqlite3
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +117,30 @@ def test_brackets_and_near_equal_sqlite(spark, corpus):
         assert got[q] == pytest.approx(want, abs=2e-5), question
 
 
+def test_places_near_each_other_are_counted_in_one_sweep():
+    """Two common words in a long text: a window of places moves on, it is not looked up among all of them anew."""
+    from tidemark.functions.expressions import near_counts
+
+    began, n = time.process_time(), 40_000
+    assert near_counts([list(range(0, 8 * n, 8)), list(range(5, 8 * n, 8))], [2, 2], 10) == [n, n]
+    assert time.process_time() - began < 5
+    assert near_counts([[0, 50, 51], [10, 90]], [3, 3], 7) == [1, 1]
+
+
+def test_texts_are_searched_once(spark, corpus):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(text):
+        seen.add(1)
+        return text
+
+    chunks = spark.createDataFrame(corpus, "chunk_id long, text string").withColumn("text", told.asNondeterministic()("text"))
+    asked = spark.createDataFrame([(1, "NEAR(alpha beta, 30)"), (2, "nana OR delta")], "query_id long, question string")
+    assert fulltext.trigram_topk(chunks, asked, stats=spark.createDataFrame([(40, 50.0)], "n_chunks long, avgchars double")).count()
+    assert seen.value <= len(corpus)
+
+
 def test_kept_trigrams_change_nothing(spark, corpus):
     chunks = spark.createDataFrame([*corpus, (900, None), (901, ""), (902, "ab")], "chunk_id long, text string")
     asked = spark.createDataFrame([(1, "nana OR gam"), (2, "alpha NOT beta"), (3, "zzz OR delta"), (4, "qqqq"), (5, None)], "query_id long, question string")
@@ -123,6 +149,24 @@ def test_kept_trigrams_change_nothing(spark, corpus):
     assert want and key(fulltext.trigram_topk(chunks, asked, grams=fulltext.trigram_postings(chunks))) == want
 
 
+def test_a_task_keeps_little_on_the_way(monkeypatch):
+    assert best.CELLS <= 1 << 19
+    monkeypatch.setattr(best, "CELLS", 30)
+    rng = np.random.default_rng(4)
+    every, kept, most = [], best.Best(3), 0
+    asked = np.array([7, 3, 11, 2])
+    for at in range(0, 4000, 8):
+        some = slice(None) if at % 3 else slice(0, 2)
+        scores, ids = rng.integers(-1, 6, (8, 4))[:, some].astype(float), np.arange(at, at + 8)
+        scores[scores < 0] = best.NONE
+        kept.add(scores, ids, asked[some])
+        every += [(q, -s, c) for j, q in enumerate(asked[some]) for s, c in zip(scores[:, j], ids) if s > best.NONE]
+        most = max(most, sum(len(p[0]) for p in kept.parts))
+    (q, c, s), *rest = kept.rows()
+    want = [r for q in sorted(asked) for r in sorted(e for e in every if e[0] == q)[:3]]
+    assert not rest and list(zip(q, -s, c)) == want and most <= 30 + 8 * 4
+
+
 def test_many_questions_take_several_passes(spark, corpus, monkeypatch):
     chunks = spark.createDataFrame(corpus, "chunk_id long, text string").repartition(3)
     asked = ["nana OR gam", "alpha NOT beta", "ananas", "a b", "zzz", "alpha beta OR über gamma", "naïve NOT alpha beta NOT gamma", "banana"]

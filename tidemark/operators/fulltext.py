@@ -174,9 +174,7 @@ def _term_scores(held: DataFrame, asked: list[tuple[int, int, int]], weight: np.
                 there = np.bincount(key, minlength=shape[0] * shape[1]).reshape(shape) > 0
                 kept.add(np.where(there, np.round(s, DIGITS), NONE), chunks[a : a + step], queries)
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             table = pa.Table.from_batches([batch] if left is None else [*left.to_batches(), batch])
             # The last chunk may go on in the next batch.
             chunk = table.column("chunk_id").to_numpy()
@@ -375,7 +373,6 @@ class Asked:
         self.entities = len(self.words) + len(self.firsts)
         entity, self.entry = (np.array(x, np.int64) for x in zip(*sorted(plain))) if plain else (np.zeros(0, np.int64),) * 2
         self.ends = np.searchsorted(entity, np.arange(self.entities + 1))
-        self.placed = {self.leaves[i] for _, below in self.near for i in below}
         #: The phrases of a NEAR by the longest of their words: a text without that one need not be looked at.
         self.near_of: dict[int, list[tuple[int, list[int]]]] = {}
         for within, below in self.near:
@@ -390,29 +387,29 @@ class Asked:
             out.make_automaton()
         return out
 
-    def find(self, batch: pa.RecordBatch, automaton: ahocorasick.Automaton, placed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
-        """(text, entity, how often it occurs there, overlaps included) of a batch, texts in its second column, and
-        (text, phrase, how often) of the phrases of a NEAR (none without ``placed``)."""
-        row, entity, times, near = [], [], [], []
-        for i, text in enumerate(batch.column(1).to_pylist() if self.words else []):
-            seen: dict[int, int] = {}
-            starts: dict[int, list[int]] = {}
-            for end, w in automaton.iter(text):
-                seen[w] = seen.get(w, 0) + 1
-                at = end - len(self.words[w]) + 1
-                if placed and w in self.placed:
-                    starts.setdefault(w, []).append(at)
-                if at == 0 and w in self.firsts:
+    def find(self, texts: list[str], automaton: ahocorasick.Automaton) -> tuple[list, list]:
+        """Of every text: (entity, how often it occurs there, overlaps included), and (phrase, how often) of the
+        phrases of a NEAR."""
+        words, nears = [], []
+        for text in texts if self.words else [""] * len(texts):
+            found = list(automaton.iter(text)) if self.words else []
+            seen, near = Counter(w for _, w in found), []
+            asked = [(within, below) for w in seen.keys() & self.near_of.keys() for within, below in self.near_of[w] if all(self.leaves[c] in seen for c in below)]
+            if asked:
+                starts: dict[int, list[int]] = {self.leaves[c]: [] for _, below in asked for c in below}
+                for end, w in found:
+                    if w in starts:
+                        starts[w].append(end - len(self.words[w]) + 1)
+                for within, below in asked:
+                    of = [self.leaves[c] for c in below]
+                    counts = near_counts([starts[w] for w in of], [len(self.words[w]) - 2 for w in of], within)
+                    near += [(c, n) for c, n in zip(below, counts) if n]
+            for end, w in found if self.firsts else ():
+                if w in self.firsts and end + 1 == len(self.words[w]):
                     seen[self.firsts[w]] = 1
-            row += [i] * len(seen)
-            entity += seen
-            times += seen.values()
-            for within, below in itertools.chain.from_iterable(self.near_of.get(w, ()) for w in starts):
-                words = [self.leaves[c] for c in below]
-                if all(w in starts for w in words):
-                    counts = near_counts([starts[w] for w in words], [len(self.words[w]) - 2 for w in words], within)
-                    near += [(i, c, n) for c, n in zip(below, counts) if n]
-        return np.array(row, np.int64), np.array(entity, np.int64), np.array(times, np.float64), near
+            words.append(list(seen.items()))
+            nears.append(near)
+        return words, nears
 
     def scores(self, row: np.ndarray, column: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
         """Scores of ``n`` texts (rows) for the questions (columns), none where nothing matches, from what phrases weigh.
@@ -436,9 +433,8 @@ class Asked:
 def trigram_topk(chunks: DataFrame, questions: DataFrame, k: int = TOP_K, grams: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """The ``k`` best chunks of every question, an expression over substrings.
 
-    Texts stay where they are. An automaton with the words of many questions goes to every task; a first pass over
-    the texts counts in how many each word is, a second scores them, and a task lets go only the ``k`` best of each
-    question. Lengths are counted in trigrams; ``stats(n_chunks, avgchars)``, the number of chunks with text and
+    Texts stay where they are. An automaton with the words of many questions goes to every task, which writes what it
+    finds; that is counted and scored, and a task lets go only the ``k`` best of each question. Lengths are counted in trigrams; ``stats(n_chunks, avgchars)``, the number of chunks with text and
     their mean, saves a pass over all of them. With a kept index ``grams`` only the chunks that it names are read
     for words; without one all are. Ids are longs.
     """
@@ -464,39 +460,64 @@ def text_stats(chunks: DataFrame) -> DataFrame:
     return held.agg(F.count("*").alias("n_chunks"), F.avg(F.greatest(F.length("text") - 2, F.lit(0))).alias("avgchars"))
 
 
+def _pairs(found: list[list[tuple[int, int]]]) -> pa.ListArray:
+    """Lists of (place, count) as a column."""
+    ends = np.cumsum([0, *map(len, found)])
+    flat = np.array([x for f in found for x in f], np.int32).reshape(-1, 2)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["at", "n"]))
+
+
+def _unpaired(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, count) of such a column."""
+    row = np.repeat(np.arange(len(column)), np.asarray(column.value_lengths()))
+    flat = column.flatten()
+    return row, np.asarray(flat.field(0)).astype(np.int64), np.asarray(flat.field(1)).astype(float)
+
+
 def _scored(texts: DataFrame, asked: Asked, k: int, n_chunks: int, avglen: float) -> DataFrame:
-    """Every task's ``k`` best of ``texts(chunk_id, low, len)`` for the questions."""
+    """Every task's ``k`` best of ``texts(chunk_id, low, len)`` for the questions.
+
+    Texts are searched once: what is found in them, a few numbers for each word or NEAR that a text holds, is written
+    to the shared folder, where it is counted and then scored.
+    """
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = asked.automaton()
+        for some in slices(batches):
+            words, nears = asked.find(some.column(1).to_pylist(), automaton)
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), _pairs(words), _pairs(nears)], names=["chunk_id", "len", "words", "nears"])
+
+    pairs = "array<struct<at: int, n: int>>"
+    found = written(texts.mapInArrow(find, f"chunk_id long, len double, words {pairs}, nears {pairs}").where(F.size("words") > 0))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, n = asked.automaton(), np.zeros(asked.entities, np.int64)
-        for batch in batches:
-            n += np.bincount(asked.find(batch, automaton, placed=False)[1], minlength=len(n))
+        n = np.zeros(asked.entities, np.int64)
+        for some in slices(batches):
+            n += np.bincount(_unpaired(some.column(0))[1], minlength=len(n))
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["word", "n"])
 
     n = np.zeros(asked.entities)
-    for r in texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
+    for r in found.select("words").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
         n[r["word"]] = r["n"]
     weight = np.maximum(np.log((n_chunks - n + 0.5) / (n + 0.5)), LEAST_IDF)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, kept, step = asked.automaton(), Best(k), max(1, best.CELLS // asked.columns)
-        for batch in batches:
+        kept, step = Best(k), max(1, best.CELLS // asked.columns)
+        for batch in slices(batches):
             for at in range(0, batch.num_rows, step):
                 some = batch.slice(at, step)
-                row, entity, f, near = asked.find(some, automaton)
+                row, entity, f = _unpaired(some.column(2))
                 of, entry = spread(asked.ends, entity)
-                row, column, f = row[of], asked.entry[entry], f[of]
-                if near:
-                    more = np.array(near, np.int64)
-                    row, column, f = np.append(row, more[:, 0]), np.append(column, more[:, 1]), np.append(f, more[:, 2])
-                length = some.column(2).to_numpy()[row]
+                near_row, near_column, near_f = _unpaired(some.column(3))
+                row, column, f = np.append(row[of], near_row), np.append(asked.entry[entry], near_column), np.append(f[of], near_f)
+                length = some.column(1).to_numpy()[row]
                 value = weight[asked.of_leaf[column]] * (f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / avglen)))
                 kept.add(asked.scores(row, column, value, some.num_rows), some.column(0).to_numpy(), asked.queries)
         for q, c, s in kept.rows():
             yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(s)], names=["query_id", "chunk_id", "score"])
 
-    return texts.mapInArrow(score, "query_id long, chunk_id long, score double")
+    return found.mapInArrow(score, "query_id long, chunk_id long, score double")
 
 
 def search(chunks: DataFrame, index: Index, questions: DataFrame, k: int = TOP_K, grams: DataFrame | None = None, segmenter: Segmenter = T.bigrams, allowed: Column | None = None, stats: DataFrame | None = None) -> DataFrame:
