@@ -206,3 +206,20 @@ def test_terms(spark):
     df = spark.createDataFrame([("foo_bar don't C++ Été ế",), (None,), ("",)], "t string")
     got = [r[0] for r in df.select(T.terms(df.t)).collect()]
     assert got == [["foo", "bar", "don", "t", "c", "ete", "ế"], [], []]
+
+
+def test_counted_terms_are_those_of_the_segmenter(spark):
+    rng = random.Random(6)
+    texts = [(i % 45 if i else None, "".join(rng.choice("数据统a1é𠀀𝒳 .-款") for _ in range(rng.randint(0, 30))), rng.choice([True, False, None])) for i in range(60)]
+    df = spark.createDataFrame([*texts, (70, None, True), (71, "", False), (72, "款", True), (73, "--", True)], "chunk_id int, text string, is_cjk boolean").repartition(3)
+    held = fulltext.counted_terms(df)
+    key = lambda d, *c: sorted((tuple(r) for r in d.select(*c).collect()), key=repr)
+    plain = fulltext.index_terms(df)
+    want = plain.select("chunk_id", F.explode("terms").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
+    assert key(fulltext.postings_of(held), "term", "chunk_id", "tf") == key(want, "term", "chunk_id", "tf")
+    assert key(fulltext.lengths_of(held), "chunk_id", "len") == key(fulltext.lengths_of(plain), "chunk_id", "len")
+    other = fulltext.counted_terms(df, lambda text: F.split(text, "a"))
+    assert key(fulltext.lengths_of(other), "chunk_id", "len") == key(fulltext.lengths_of(fulltext.index_terms(df, lambda text: F.split(text, "a"))), "chunk_id", "len")
+    # Repeats of a term in a text are no rows.
+    one = fulltext.counted_terms(spark.createDataFrame([(1, "数" * 5000 + " b" * 5000, True)], "chunk_id long, text string, is_cjk boolean")).first()
+    assert sorted(map(tuple, one.terms)) == [("b", 5000), ("数数", 4999)] and one.len == 9999

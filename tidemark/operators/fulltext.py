@@ -38,7 +38,7 @@ DIGITS = 6
 @dataclass(frozen=True)
 class Index:
     """``postings(term, chunk_id, tf)``, ``lengths(chunk_id, len)`` and one row of ``stats(n_chunks, avglen)``; with
-    ``held(chunk_id, terms)`` where postings are still to be counted from it."""
+    ``held(chunk_id, terms, len)``, terms as in ``counted_terms``, where postings are still to be dealt from it."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -50,8 +50,13 @@ class Index:
         few = F.broadcast(terms)
         if self.held is None:
             return self.postings.join(few, "term").select("number", "chunk_id", "tf")
-        found = self.held.select("chunk_id", F.explode("terms").alias("term")).join(few, "term")
-        return found.groupBy("chunk_id", "number").agg(F.count("*").alias("tf"))
+        found = self.held.select("chunk_id", F.inline("terms")).join(few, "term")
+        return found.groupBy("chunk_id", "number").agg(F.sum("tf").alias("tf"))
+
+    def vocabulary(self) -> DataFrame:
+        """``term``, each once."""
+        every = self.postings.select("term") if self.held is None else self.held.select(F.inline("terms")).select("term")
+        return every.distinct()
 
 
 def index_terms(chunks: DataFrame, segmenter: Segmenter = T.bigrams) -> DataFrame:
@@ -65,13 +70,92 @@ def index_terms(chunks: DataFrame, segmenter: Segmenter = T.bigrams) -> DataFram
     return chunks.where(F.coalesce(text, F.lit("")) != "").select("chunk_id", found.alias("terms"))
 
 
+COUNTED = "array<struct<term: string, tf: long>>"
+
+
+def counted_terms(chunks: DataFrame, segmenter: Segmenter = T.bigrams) -> DataFrame:
+    """``(chunk_id, terms, len)`` of ``chunks`` as for ``index_terms``: a row's distinct terms with how often they
+    occur, and how many they are with repeats.
+
+    Terms are counted in Arrow batches, text by text, so that repeats never become rows. Runs of ideographs come whole
+    from the JVM where the segmenter is the default one, and their pairs are counted as numbers.
+    """
+    pairs = F.coalesce("is_cjk", F.lit(False)) if "is_cjk" in chunks.columns and segmenter is T.bigrams else None
+    if pairs is None:
+        held = index_terms(chunks, segmenter).withColumn("pairs", F.lit(False))
+    else:
+        text = F.col("text")
+        held = chunks.where(F.coalesce(text, F.lit("")) != "").select("chunk_id", T.terms(text).alias("terms"), pairs.alias("pairs"))
+    kind = held.schema["chunk_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            terms, sizes = count_terms(batch.column(1), np.asarray(batch.column(2).to_numpy(zero_copy_only=False), bool))
+            yield pa.RecordBatch.from_arrays([batch.column(0), terms, pa.array(sizes)], names=["chunk_id", "terms", "len"])
+
+    return held.mapInArrow(run, f"chunk_id {kind}, terms {COUNTED}, len long")
+
+
+def count_terms(terms: pa.ListArray, pairs: np.ndarray) -> tuple[pa.ListArray, np.ndarray]:
+    """Every text's distinct terms with their counts, and the number of its terms; where ``pairs`` says so, runs of
+    ideographs are taken as ``bigrams`` does."""
+    sizes = np.asarray(pc.fill_null(terms.value_lengths(), 0))
+    row, flat = np.repeat(np.arange(len(sizes)), sizes), terms.flatten()
+    keys = np.zeros(0, np.int64)
+    if pairs.any():
+        of = pairs[row]
+        split_row, rest, keys = ideograph_pairs(row[of], flat.filter(pa.array(of)))
+        row, flat = np.append(row[~of], split_row), pa.concat_arrays([flat.filter(pa.array(~of)), rest])
+    words = flat.dictionary_encode("encode")
+    n = max(1, len(words.dictionary))
+    word, tf = np.unique(row * n + np.asarray(words.indices), return_counts=True)
+    pair, pair_tf = np.unique(keys, return_counts=True)
+    said, at = np.unique(pair & ((1 << 42) - 1), return_inverse=True)
+    named = pa.concat_arrays([words.dictionary, pa.array([chr(x >> 21) + chr(x & 0x1FFFFF) for x in said.tolist()], pa.string())])
+    rows, code, tf = np.append(word // n, pair >> 42), np.append(word % n, len(words.dictionary) + at), np.append(tf, pair_tf)
+    order = np.argsort(rows, kind="stable")
+    ends = np.searchsorted(rows[order], np.arange(len(sizes) + 1)).astype(np.int32)
+    held = pa.StructArray.from_arrays([named.take(pa.array(code[order])), pa.array(tf[order])], names=["term", "tf"])
+    return pa.ListArray.from_arrays(pa.array(ends), held), np.bincount(rows, tf, len(sizes)).astype(np.int64)
+
+
+def ideograph_pairs(row: np.ndarray, terms: pa.StringArray) -> tuple[np.ndarray, pa.StringArray, np.ndarray]:
+    """Terms in runs of ideographs and of other characters: (row, run) of those that stay whole, and the pairs of the
+    others, each as ``row << 42 | first << 21 | second``."""
+    if not len(terms):
+        return row[:0], terms, np.zeros(0, np.int64)
+    _, ends, data = terms.buffers()
+    ends = np.frombuffer(ends, np.int32)[terms.offset : terms.offset + len(terms) + 1]
+    data = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]
+    point = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.int64)
+    of = np.repeat(np.arange(len(terms)), np.asarray(pc.utf8_length(terms)))
+    han = (point >= 0x4E00) & (point <= 0x9FFF) | (point >= 0x3400) & (point <= 0x4DBF)
+    first = np.append(True, (of[1:] != of[:-1]) | (han[1:] != han[:-1]))
+    last = np.append(first[1:], True)
+    at = np.flatnonzero(han & ~last)
+    keys = row[of[at]] << 42 | point[at] << 21 | point[at + 1]
+    # What is in no pair: other characters, and ideographs by themselves.
+    whole = ~han | first & last
+    starts = np.flatnonzero(first & whole)
+    width = 1 + (point >= 0x80) + (point >= 0x800) + (point >= 0x10000)
+    kept = data[np.repeat(whole, width)]
+    sizes = np.add.reduceat(width[whole], np.flatnonzero(first[whole])) if len(starts) else np.zeros(0, np.int64)
+    ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
+    return row[of[starts]], pa.StringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(kept)), keys
+
+
 def postings_of(held: DataFrame) -> DataFrame:
-    """``(term, chunk_id, tf)``. Terms are counted per chunk before the shuffle, so what moves is the postings."""
-    return held.select("chunk_id", F.explode("terms").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
+    """``(term, chunk_id, tf)`` of ``counted_terms``: rows are dealt by chunk, once, and only the terms of a chunk with
+    several rows are added up."""
+    rows = held.select("chunk_id", "terms", F.count("*").over(Window.partitionBy("chunk_id")).alias("rows"))
+    of = lambda some: rows.where(some).select("chunk_id", F.inline("terms"))
+    again = of(F.col("rows") > 1).groupBy("term", "chunk_id").agg(F.sum("tf").alias("tf"))
+    return of(F.col("rows") == 1).select("term", "chunk_id", "tf").unionByName(again)
 
 
 def lengths_of(held: DataFrame) -> DataFrame:
-    return held.select("chunk_id", F.size("terms").cast("long").alias("len"))
+    """``(chunk_id, len)`` of ``counted_terms`` or ``index_terms``."""
+    return held.select("chunk_id", (F.col("len") if "len" in held.columns else F.size("terms")).cast("long").alias("len"))
 
 
 def index_of(postings: DataFrame, lengths: DataFrame) -> Index:
@@ -82,7 +166,7 @@ def index_of(postings: DataFrame, lengths: DataFrame) -> Index:
 def build_index(chunks: DataFrame, segmenter: Segmenter = T.bigrams) -> Index:
     """Index of ``chunks(chunk_id, text)``; chunks without text are not in it. Texts are taken apart once, into a
     table in the shared folder."""
-    held = written(index_terms(chunks, segmenter))
+    held = written(counted_terms(chunks, segmenter))
     return replace(index_of(postings_of(held), lengths_of(held)), held=held)
 
 
@@ -534,7 +618,7 @@ def search(chunks: DataFrame, index: Index, questions: DataFrame, k: int = TOP_K
         found = exact.select("query_id").distinct()
     else:
         # A question has a hit if one of its terms is in the index: no score is needed to tell.
-        known = question_terms(questions, segmenter).join(index.postings.select("term").distinct(), "term", "left_semi")
+        known = question_terms(questions, segmenter).join(index.vocabulary(), "term", "left_semi")
         found = known.select("query_id").distinct()
     near = trigram_topk(chunks, questions.join(found, "query_id", "left_anti"), wide, grams, stats)
     if allowed is not None:

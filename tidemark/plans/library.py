@@ -188,7 +188,7 @@ class Library:
         """Postings, lengths and trigrams of chunks."""
         of = chunks.select(F.col("id").alias("chunk_id"), "file_id", "run")
         named = chunks.withColumnRenamed("id", "chunk_id")
-        terms = fulltext.index_terms(named, self.segmenter)
+        terms = fulltext.counted_terms(named, self.segmenter)
         rows = {"postings": fulltext.postings_of(terms), "lengths": fulltext.lengths_of(terms).join(named.select("chunk_id", F.length("text").cast("long").alias("chars")), "chunk_id"), "grams": fulltext.trigram_postings(named)}
         return {t: self.part(t, df.join(of, "chunk_id")) for t, df in rows.items()}
 

@@ -90,7 +90,7 @@ def tokenize_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def postings_build(spark, sf):
-    return fulltext.postings_of(fulltext.index_terms(tables.chunks(spark, sf)))
+    return fulltext.postings_of(fulltext.counted_terms(tables.chunks(spark, sf)))
 
 
 def doc_length_stats(spark, sf):
@@ -179,7 +179,7 @@ def _cjk_chunks(spark, sf):
 
 def cjk_terms(spark, sf):
     """Postings of texts in CJK: files with few ideographs keep their runs, others are segmented."""
-    return fulltext.postings_of(fulltext.index_terms(_cjk_chunks(spark, sf)))
+    return fulltext.postings_of(fulltext.counted_terms(_cjk_chunks(spark, sf)))
 
 
 def cjk_bm25_topk(spark, sf):
