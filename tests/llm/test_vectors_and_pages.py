@@ -178,6 +178,52 @@ def test_recall_on_planted_pairs(spark):
     assert all(r.n_links <= want[r.vec_id][0] for r in got)
 
 
+def test_a_full_beam_becomes_a_scan_where_that_is_less_work(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 32))
+    x[:400] = x[0] + 0.05 * rng.normal(size=(400, 32))
+    index = vectors.Index.build(np.arange(3000), np.ones(3000, int), x, 0.95)
+    walked, walk = [], vectors.beam_search
+    monkeypatch.setattr(vectors, "beam_search", lambda q, x, links, entries, beam: walked.append((len(q), beam)) or walk(q, x, links, entries, beam))
+    a, b = index.links(np.arange(3000), x, 0.95)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    assert len(a) == (unit @ unit.T >= 0.95).sum() - 3000
+    # A walk of 128 for each of the 400 costs many times what looking at 3,000 vectors does.
+    assert index.beam == vectors.BEAM and max(beam for _, beam in walked) == vectors.BEAM and sum(n for n, _ in walked) == 3000
+
+
+def test_two_shards_meet_once():
+    for shards in range(1, 12):
+        of = np.arange(shards)
+        met = np.array([vectors.meets(of, s, shards) for s in range(shards)])  # by queried shard and own shard
+        assert met.diagonal().all() and ((met ^ met.T) | np.eye(shards, dtype=bool)).all()
+        assert met.sum(axis=0).max() - met.sum(axis=0).min() <= 1
+
+
+def test_links_between_shards_count_for_both_ends(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1600, 24))
+    x[800:] = x[:800] + 0.05 * rng.normal(size=(800, 24))
+    x[1500:] = x[1499]  # a class of equal vectors: a link with it counts all of them
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(df).collect()}
+    assert got == brute_links(x, list(range(1600)))
+
+
+def test_shards_and_slots_have_tasks_of_their_own(spark):
+    df = spark.range(4000).selectExpr("id as vec_id", "array(sin(id), cos(id), sin(id * id), cos(id * 7)) as embedding")
+    dealt = []
+    real = type(df).repartitionById
+    try:
+        type(df).repartitionById = lambda self, n, by: dealt.append(real(self, n, by)) or dealt[-1]
+        vectors.near_vectors(df)
+    finally:
+        type(df).repartitionById = real
+    for part, by, n in zip(dealt, ("slot", "shard"), (4, vectors.SHARDS)):
+        rows = part.select(by, F.spark_partition_id().alias("task")).distinct().collect()
+        assert len(rows) == len({r.task for r in rows}) == len({r[by] for r in rows}) == n
+
+
 def plain_crf(pages, epochs):
     """The same gradient steps, with every path of every page counted out."""
     import itertools

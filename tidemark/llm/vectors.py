@@ -1,11 +1,13 @@
 """Embedding near-duplicates by hierarchical navigable small-world graphs, one per shard.
 
 Equal vectors collapse into a class; classes are dealt to shards by hash, and every shard's graph is
-built in one task and written to the shared folder. Every class then queries every shard: a task holds a
+built in one task and written to the shared folder. Every class then queries its own shard, and of every two
+shards the classes of one query the other, as a link found counts for both its ends: a task holds a
 slice of the classes and reads the graphs from the shared folder one after another, so that vectors are
 shuffled once, however many shards there are. Beams widen in two ways: a shard audits its graph against
 brute force, with vectors of its own and of all shards that have links in it (themselves not counted), and
-doubles its beam until the recall is reached; and a query whose beam is filled with links doubles its own.
+doubles its beam until the recall is reached; and a query whose beam is filled with links widens its own. A
+widened beam that would cost more than a look at all of the shard becomes that look.
 What a beam finds is checked in double precision before it counts; links become counts and spanning
 forests where they are found, so pairs never leave a task.
 """
@@ -31,34 +33,73 @@ GROUND, UPPER = 32, 16
 #: Shards at least, classes in a shard on average at most, classes per query task on average at most.
 SHARDS, SHARD_ROWS, TASK_ROWS = 8, 50_000, 32_768
 BEAM, BUILD_BEAM, EXPAND = 32, 48, 4
+#: Nodes that a layer is entered by, and nodes of the topmost layer at most: all of them are looked at, and layers above it left out.
+ENTRIES, FLAT = 8, 4096
 #: Vectors with links that audit a shard at most; vectors of the shard, and of all shards, they are looked for among.
 AUDITS, OWN_TRIED, ALL_TRIED, RECALL = 128, 1024, 256, 0.99
 SLACK = 1e-4
-#: A widened beam of at least one in so many of a shard's vectors becomes a scan of the shard.
-SCAN = 16
+#: Bytes of vectors that are looked up at once.
+BLOCK_BYTES = 1 << 18
+#: A widened beam of at least one in so many of a shard's vectors becomes a scan of the shard: a place in a beam takes as
+#: long as some 3,000 vectors of a scan (9 us and 3 ns, 64 dimensions).
+SCAN = 2048
 
 
 def unit(x: np.ndarray) -> np.ndarray:
     return (x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]).astype(np.float32)
 
 
+def similarities(x: np.ndarray, nodes: np.ndarray, q: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Products of the rows ``nodes`` of ``x`` with the rows ``of`` of ``q``, a block that stays in the cache at a time."""
+    out = np.empty(len(nodes), np.float32)
+    block = max(1, min(len(nodes), BLOCK_BYTES // (4 * x.shape[1])))
+    left, right = np.empty((block, x.shape[1]), x.dtype), np.empty((block, x.shape[1]), q.dtype)
+    for at in range(0, len(nodes), block):
+        n = min(block, len(nodes) - at)
+        np.take(x, nodes[at : at + n], axis=0, out=left[:n], mode="clip")
+        np.take(q, of[at : at + n], axis=0, out=right[:n], mode="clip")
+        np.einsum("ij,ij->i", left[:n], right[:n], out=out[at : at + n])
+    return out
+
+
+def scan(q: np.ndarray, x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """All (row of q, row of x) pairs with a product of at least ``least``, by products of blocks."""
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for top in range(0, len(q), 256):
+        for at in range(0, len(x), 4096):
+            part = x[at : at + 4096]
+            i, j = np.divmod(np.flatnonzero((q[top : top + 256] @ part.T).ravel() >= least), len(part))
+            a.append(i + top)
+            b.append(j + at)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def nearest(q: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` rows of ``x`` (all, if fewer) nearest to each query, in no order: the way into a layer."""
+    sims = q @ x.T
+    k = min(k, len(x))
+    return np.argpartition(-sims, k - 1, axis=1)[:, :k]
+
+
 def beam_search(q: np.ndarray, x: np.ndarray, links: np.ndarray, entries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids (-1: none) and similarities of each query's beam, best first, all queries in step.
 
-    ``links`` has a row of neighbours (-1: none) per node, ``entries`` a row of start nodes per query.
+    ``links`` has a row of neighbours (-1: none) per node, ``entries`` a row of different start nodes per query.
     """
     n = len(q)
-    seen = np.zeros((n, len(x) + 1), bool)  # the last column stands for "none"
-    rows = np.arange(n)[:, None]
-    sims = np.where(entries >= 0, np.einsum("qkd,qd->qk", x[entries], q), -2.0).astype(np.float32)
-    seen[rows, entries] = True
-    seen[:, -1] = True
-    width = max(beam, entries.shape[1])
-    ids = np.full((n, width), -1)
+    seen = np.zeros(n * (len(x) + 1), bool)  # the first place of a query stands for "none"
+    first = (np.arange(n) * (len(x) + 1) + 1)[:, None]
+    seen[first[:, 0] - 1] = True
+    k = entries.shape[1]
+    width = max(beam, k)
+    ids = np.full((n, width), -1, np.int32)
     best = np.full((n, width), -2.0, np.float32)
     done = np.ones((n, width), bool)
-    ids[:, : entries.shape[1]], best[:, : entries.shape[1]] = entries, sims
-    done[:, : entries.shape[1]] = entries < 0
+    there = entries >= 0
+    seen[(first + entries)[there]] = True
+    a, b = np.nonzero(there)
+    ids[:, :k], done[:, :k] = entries, ~there
+    best[a, b] = similarities(x, entries[a, b], q, a)
     live = np.arange(n)
     while len(live):
         # The best unexpanded members of every beam that still has any.
@@ -71,18 +112,26 @@ def beam_search(q: np.ndarray, x: np.ndarray, links: np.ndarray, entries: np.nda
             break
         here = np.arange(len(live))[:, None]
         done[live[:, None], pick] = True
-        nodes = np.where(open_, ids[live[:, None], pick], -1)
-        near = np.where(nodes[:, :, None] >= 0, links[nodes], -1).reshape(len(live), -1)
-        near = np.where(seen[live[:, None], near], -1, near)
+        nodes = ids[live[:, None], pick]
+        near = np.where(open_[:, :, None], links[nodes], -1).reshape(len(live), -1)
+        near[seen.take(first[live] + near)] = -1
         near.sort(axis=1)
         near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
-        seen[live[:, None], near] = True
-        s = np.full(near.shape, -2.0, np.float32)
-        a, b = np.nonzero(near >= 0)
-        s[a, b] = np.einsum("ij,ij->i", x[near[a, b]], q[live[a]])
-        all_ids = np.concatenate([ids[live], near], axis=1)
+        at = np.flatnonzero(near.ravel() >= 0)
+        new, row = near.ravel()[at], at // near.shape[1]
+        of = live[row]
+        seen[first[of, 0] + new] = True
+        sims = similarities(x, new, q, of)
+        # Only what is better than a beam's worst member can join it; it moves to the front of its row.
+        at = np.flatnonzero(sims > best[live].min(axis=1)[row])
+        new, row, sims = new[at], row[at], sims[at]
+        col = np.arange(len(row)) - np.searchsorted(row, row)
+        joins = np.full((len(live), int(col.max(initial=-1)) + 1), -1, np.int32)
+        s = np.full(joins.shape, -2.0, np.float32)
+        joins[row, col], s[row, col] = new, sims
+        all_ids = np.concatenate([ids[live], joins], axis=1)
         all_best = np.concatenate([best[live], s], axis=1)
-        all_done = np.concatenate([done[live], near < 0], axis=1)
+        all_done = np.concatenate([done[live], joins < 0], axis=1)
         top = np.argpartition(-all_best, width - 1, axis=1)[:, :width]
         ids[live], best[live], done[live] = all_ids[here, top], all_best[here, top], all_done[here, top]
     order = np.argsort(-best, axis=1, kind="stable")
@@ -97,7 +146,7 @@ def choose(x: np.ndarray, ids: np.ndarray, sims: np.ndarray, most: int) -> np.nd
         return np.pad(ids, ((0, 0), (0, most - k)), constant_values=-1)
     nearest = most // 2
     vecs = x[ids]
-    between = np.einsum("nid,njd->nij", vecs, vecs)
+    between = vecs @ vecs.transpose(0, 2, 1)
     spread = np.zeros((n, k), bool)
     for j in range(k):
         blocked = (spread[:, :j] & (between[:, j, :j] > sims[:, j : j + 1])).any(axis=1)
@@ -127,7 +176,7 @@ def connect(x: np.ndarray, links: np.ndarray, new: np.ndarray, chosen: np.ndarra
         ids = np.concatenate([links[t], extra], axis=1)
         ids.sort(axis=1)
         ids[:, 1:][ids[:, 1:] == ids[:, :-1]] = -1
-        sims = np.where(ids >= 0, np.einsum("nkd,nd->nk", x[ids], x[t]), -2.0)
+        sims = np.where(ids >= 0, (x[ids] @ x[t][:, :, None])[:, :, 0], -2.0)
         order2 = np.argsort(-sims, axis=1, kind="stable")[:, : 2 * most]
         ids, sims = np.take_along_axis(ids, order2, 1), np.take_along_axis(sims, order2, 1)
         links[t] = choose(x, ids, sims, most)
@@ -136,7 +185,7 @@ def connect(x: np.ndarray, links: np.ndarray, new: np.ndarray, chosen: np.ndarra
 def build_layer(x: np.ndarray, most: int) -> np.ndarray:
     """Links of a small-world graph over the rows of ``x``, inserted in growing batches."""
     n = len(x)
-    links = np.full((n, most), -1)
+    links = np.full((n, most), -1, np.int32)
     at = min(n, 256)
     sims = x[:at] @ x[:at].T
     np.fill_diagonal(sims, -2.0)
@@ -145,7 +194,7 @@ def build_layer(x: np.ndarray, most: int) -> np.ndarray:
         links[:at] = choose(x, ids, np.take_along_axis(sims, ids, 1), most)
     while at < n:
         new = np.arange(at, min(n, at + min(at, 512)))
-        entries = np.broadcast_to(np.arange(0, at, max(1, at // 8))[:8], (len(new), min(8, -(-at // max(1, at // 8)))))
+        entries = nearest(x[new], x[: max(256, at // UPPER)], ENTRIES)
         ids, sims = beam_search(x[new], x[:at], links[:at], entries, BUILD_BEAM)
         # Nodes of one batch do not see each other in the graph: their own nearest join the candidates.
         own = x[new] @ x[new].T
@@ -184,8 +233,10 @@ class Index:
         x = unit(raw.astype(np.float64))
         layers = [build_layer(x, GROUND)]
         for level in range(1, int(height.max()) + 1):
-            if (n := int((height >= level).sum())) > 1:
-                layers.append(build_layer(x[:n], UPPER))
+            n = int((height >= level).sum())
+            layers.append(build_layer(x[:n], UPPER) if n > FLAT else np.empty((n, 0), np.int32))
+            if n <= FLAT:
+                break
         index = cls(ids, weights, raw, layers, BEAM)
         index.audit(threshold, others)
         return index
@@ -213,30 +264,38 @@ class Index:
                 break
             self.beam *= 2
 
+    def entries(self, q: np.ndarray) -> np.ndarray:
+        """The ground's start nodes of each query: down the layers, from all nodes of the topmost one."""
+        if len(self.layers) == 1:
+            return np.zeros((len(q), 1), np.int64)
+        entries = nearest(q, self.x[: len(self.layers[-1])], ENTRIES)
+        for links in self.layers[-2:0:-1]:
+            entries = beam_search(q, self.x[: len(links)], links, entries, ENTRIES)[0][:, :ENTRIES]
+        return entries
+
     def found(self, q: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """(query, node) pairs that reach the threshold by single precision, less a little."""
-        a, b = [], []
-        for at in range(0, len(q), 256):
-            todo, beam = np.arange(at, min(len(q), at + 256)), self.beam
-            while len(todo):
-                if beam * SCAN >= len(self.x) and beam > self.beam or beam >= len(self.x):
-                    # A widened beam over much of the shard costs more than the whole shard at once.
-                    i, j = np.nonzero(q[todo] @ self.x.T >= threshold - SLACK)
-                    a.append(todo[i])
-                    b.append(j)
-                    break
-                entries = np.zeros((len(todo), 1), np.int64)
-                for links in self.layers[:0:-1]:
-                    n = len(links)
-                    entries = beam_search(q[todo], self.x[:n], links, entries, 8)[0][:, :4]
-                ids, sims = beam_search(q[todo], self.x, self.layers[0], entries, beam)
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        todo, beam = np.arange(len(q)), self.beam
+        while len(todo):
+            if beam * SCAN >= len(self.x) and beam > BEAM or beam >= len(self.x):
+                # A widened beam over much of the shard costs more than the whole shard at once.
+                i, j = scan(q[todo], self.x, threshold - SLACK)
+                a.append(todo[i])
+                b.append(j)
+                break
+            wide = []
+            for at in range(0, len(todo), 256):
+                now = todo[at : at + 256]
+                ids, sims = beam_search(q[now], self.x, self.layers[0], self.entries(q[now]), beam)
                 good = (sims >= threshold - SLACK) & (ids >= 0)
                 full = good.sum(axis=1) > beam // 2
                 i, j = np.nonzero(good & ~full[:, None])
-                a.append(todo[i])
+                a.append(now[i])
                 b.append(ids[i, j])
-                todo, beam = todo[full], 4 * beam
-        return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, int), np.empty(0, int))
+                wide.append(now[full])
+            todo, beam = np.concatenate(wide), 4 * beam
+        return np.concatenate(a), np.concatenate(b)
 
     def links(self, ids: np.ndarray, raw: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """(query, node) pairs of different ids whose cosine in double precision reaches the threshold."""
@@ -258,10 +317,16 @@ class Index:
     @classmethod
     def loads(cls, data: bytes) -> Index:
         z = np.load(io.BytesIO(data))
-        layers = [z[f"layer{i}"].astype(np.int64) for i in range(sum(k.startswith("layer") for k in z.files))]
+        layers = [z[f"layer{i}"] for i in range(sum(k.startswith("layer") for k in z.files))]
         return cls(z["ids"], z["weights"], z["raw"], layers, int(z["beam"]))
 
 
+def meets(of: np.ndarray, shard: int, shards: int) -> np.ndarray:
+    """Whether vectors of the shards ``of`` query ``shard``: of two shards one queries the other, and each itself."""
+    ahead = (shard - of) % shards
+    return (2 * ahead < shards) | (2 * ahead == shards) & (of < shard)
+
+
 def _found(u: np.ndarray, v: np.ndarray | None, count: np.ndarray) -> pa.RecordBatch:
     """Links that connect u and v, or (without v) the numbers of links of u."""
     arrays = [pa.array(u), pa.nulls(len(u), pa.int64()) if v is None else pa.array(v), pa.array(count)]
@@ -305,7 +370,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in pack.split(", ")])
 
-    packed = cut(classes.mapInArrow(as_bytes, pack).repartition(slots, "slot"))
+    # Dealt by number: a hash of it would put several slots into one task, and several shards below.
+    packed = cut(classes.mapInArrow(as_bytes, pack).repartitionById(slots, "slot"))
     # A bounded sample of all classes, for the audits.
     tried = packed.orderBy(F.xxhash64("rep"), "rep").limit(ALL_TRIED).select("rep", "dim", "data").collect()
 
@@ -323,7 +389,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=["shard", "dim", "there", "found", "data"])
 
     types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-    graphs = packed.repartition(parts, "shard", "dim").mapInArrow(build, "shard int, dim int, there long, found long, data binary")
+    graphs = packed.repartitionById(shards, "shard").mapInArrow(build, "shard int, dim int, there long, found long, data binary")
     folder, indexes = written_by(graphs, "shard", "dim")
     # One row per shard: which graphs there are, and what their audits found.
     built = indexes.select("shard", "dim", "there", "found").collect()
@@ -334,21 +400,29 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
         shards_of.setdefault(r["dim"], []).append(r["shard"])
 
     def query(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {}
+        held: dict[int, tuple[list, list, list, list]] = {}
         for batch in batches:
-            for rep, dim, data in zip(*(batch.column(i).to_pylist() for i in (3, 5, 6))):
-                ids, raw = held.setdefault(dim, ([], []))
-                ids.append(rep)
-                raw.append(data)
-        for dim, (ids, raw) in held.items():
-            ids, raw = np.array(ids, np.int64), np.frombuffer(b"".join(raw), "<f8").reshape(len(ids), dim)
+            for of, rep, weight, dim, data in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4, 5, 6))):
+                for column, value in zip(held.setdefault(dim, ([], [], [], [])), (of, rep, weight, data)):
+                    column.append(value)
+        for dim, (of, ids, weights, raw) in held.items():
+            of, ids, weights, raw = np.array(of), np.array(ids, np.int64), np.array(weights, np.int64), np.frombuffer(b"".join(raw), "<f8").reshape(len(ids), dim)
             count = np.zeros(len(ids), np.int64)
             for shard in shards_of[dim]:
+                now = np.flatnonzero(meets(of, shard, shards))
+                if not len(now):
+                    continue
                 index = Index.loads(read_column(f"{folder}/shard={shard}/dim={dim}", "data")[0])
-                q, node = index.links(ids, raw, threshold)
+                q, node = index.links(ids[now], raw[now], threshold)
+                q = now[q]
                 count += np.bincount(q, index.weights[node], len(ids)).astype(np.int64)
                 u, v = spanning(ids[q], index.ids[node])
                 yield _found(u, v, np.zeros(len(u), np.int64))
+                # Vectors of another shard are not looked for from here: what finds them counts for them too.
+                other = of[q] != shard
+                back = np.bincount(node[other], weights[q[other]], len(index.ids)).astype(np.int64)
+                met = np.flatnonzero(back)
+                yield _found(index.ids[met], None, back[met])
             linked = np.flatnonzero(count)
             yield _found(ids[linked], None, count[linked])
 
